@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import bpe, token_counts
+from parlance.llm import bpe, language_id, token_counts, token_files
 from parlance.llm.common import read
 
 
@@ -15,12 +15,23 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = token_files.write_token_files(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_token_files(files)
+
+
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.language_table(read(spark, folder, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op5_token_files": op5_token_files,
+    "op6_language_id": op6_language_id,
     "op9_token_counts": op9_token_counts,
 }
 ORACLES: dict[str, str] = {}
