@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import bpe, language_id, token_counts, token_files
+from parlance.llm import block_names, bpe, language_id, token_counts, token_files
 from parlance.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.language_table(read(spark, folder, "documents"))
 
 
+def op8_block_names(spark: SparkSession, folder: str) -> DataFrame:
+    return block_names.duplicate_groups(read(spark, folder, "documents")).drop("uid")
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -32,6 +36,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
+    "op8_block_names": op8_block_names,
     "op9_token_counts": op9_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_block_names": block_names.ORACLE,
+}
