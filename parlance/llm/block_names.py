@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import own_name, written
+from parlance.llm.common import mapped, own_name, written
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -63,7 +63,7 @@ def _named(rows: DataFrame) -> DataFrame:
     """rows (key binary and the carried columns) with the rank of key among all distinct keys as name, written out."""
     ordered = rows.repartitionByRange("key", "uid", "pos").sortWithinPartitions("key")
     ordered = ordered.select("key", "uid", "pos", "blocks", "doc_id", "n_points", "text_sha256")
-    ranked = written(ordered.mapInArrow(_ranked, f"{_CARRIED}, rank long, task long, first binary, last binary"), "names")
+    ranked = written(mapped(ordered, _ranked, f"{_CARRIED}, rank long, task long, first binary, last binary"), "names")
     ends = ranked.where(F.col("uid").isNull()).select("task", F.col("rank").alias("n"), "first", "last")
     # One row for each task: its block may go on from the task before.
     by_task = Window.orderBy("task")

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 #: Upper-case and lower-case ASCII letters, for translate(): only these are folded.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows in one Arrow batch, so that a batch of very long texts still fits beside a second worker.
-ARROW_ROWS = 256
+#: An Arrow batch ends at so many rows or bytes, so very long texts fit beside a second worker.
+ARROW_ROWS, ARROW_BYTES = 20_000, 4 << 20
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -57,16 +57,11 @@ def forget(df: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Holds Arrow batches to so many rows in this session; smaller settings are left alone."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, rows)
-
-
 def mapped(df: DataFrame, rows: Callable, schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow with bounded batches."""
-    arrow_batches(df.sparkSession)
+    """df.mapInArrow with batches of bounded size."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return df.mapInArrow(rows, schema)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import block_names, bpe, language_id, token_counts, token_files
+from parlance.llm import block_names, bpe, jaccard_join, language_id, token_counts, token_files
 from parlance.llm.common import read
 
 
@@ -32,12 +32,18 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard_join.link_table(read(spark, folder, "documents"), words=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
     "op8_block_names": op8_block_names,
     "op9_token_counts": op9_token_counts,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op8_block_names": block_names.ORACLE,
