@@ -21,14 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import mapped, own_name, written
+from parlance.llm.common import mapped, number_rows, own_name, without_rows, written
 
 #: Bytes of a block.
 BLOCK = 4096
 #: What equal texts may differ in.
 SPACES = r"[\x20\x09-\x0D]+"
-#: Rows to drop whose ids go to every executor, 8 bytes each; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
 
 _CARRIED = "uid long, pos long, blocks long, doc_id long, n_points long, text_sha256 string"
 
@@ -140,13 +138,9 @@ def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 def without_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that duplicate_groups() keeps, with all their columns."""
-    uid = own_name(docs, "uid")
-    held = written(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
-    groups = written(duplicate_groups(held, text, doc_id, uid).select("uid", "kept"), "groups")
-    dropped = groups.where(~F.col("kept")).select(F.col("uid").alias(uid))
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return held.join(dropped, uid, "left_anti").select(*docs.columns)
+    held, uid = number_rows(docs)
+    dropped = written(duplicate_groups(held, text, doc_id, uid).where(~F.col("kept")).select("uid"), "dropped")
+    return without_rows(held, uid, dropped, docs.columns)
 
 
 ORACLE = r"""

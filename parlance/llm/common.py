@@ -76,3 +76,21 @@ def own_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Rows to drop whose numbers go to every executor, 8 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def number_rows(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a column that numbers its rows, written out so that the numbers stay; and that column's name."""
+    uid = own_name(df, "row_uid")
+    return written(df.withColumn(uid, F.monotonically_increasing_id()), "numbered"), uid
+
+
+def without_rows(df: DataFrame, uid: str, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of df whose number isn't in dropped's only column."""
+    dropped = dropped.toDF(uid)
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return df.join(dropped, uid, "left_anti").select(*columns)

@@ -31,13 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import mapped, own_name, written
+from parlance.llm.common import BROADCAST_ROWS, mapped, number_rows, own_name, without_rows, written
 from parlance.llm.components import components
 
 #: Chunks of a block hold about so many shingles and documents at most.
 CHUNK_SHINGLES, CHUNK_DOCS = 1_500_000, 3000
-#: Members of blocks whose ids go to every executor, 8 bytes each; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
 #: Signatures that a task remembers with their first bearer.
 SEEN_BITS = 20
 #: Words with their hashes held ready in a worker.
@@ -378,12 +376,9 @@ def link_table(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each component of link_table(), with all columns of docs: that of the smallest doc_id, then any one of those."""
-    uid = own_name(docs, "uid")
-    held = written(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+    held, uid = number_rows(docs)
     found = written(link_table(held, words, percent, text, doc_id, uid), "linked")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")
     stays = found.groupBy("root").agg(first, F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root", F.col("first.uid").alias("stays"))
-    dropped = found.join(stays, "root").where("uid != stays").select(F.col("uid").alias(uid))
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return held.join(dropped, uid, "left_anti").select(*docs.columns)
+    dropped = written(found.join(stays, "root").where("uid != stays").select("uid"), "dropped")
+    return without_rows(held, uid, dropped, docs.columns)

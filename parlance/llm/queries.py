@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import block_names, bpe, jaccard_join, language_id, token_counts, token_files
+from parlance.llm import block_names, bpe, decontamination, jaccard_join, language_id, token_counts, token_files
 from parlance.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.language_table(read(spark, folder, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op8_block_names(spark: SparkSession, folder: str) -> DataFrame:
     return block_names.duplicate_groups(read(spark, folder, "documents")).drop("uid")
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
+    "op7_decontamination": op7_decontamination,
     "op8_block_names": op8_block_names,
     "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
