@@ -7,10 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import block_names, bpe, decontamination, jaccard_join, language_id, token_counts, token_files
+from parlance.llm import block_names, bpe, decontamination, jaccard_join, language_id, token_counts, token_files, url_filter
 from parlance.llm.common import read
 
 
+#: Rules of the url filter: verdict, host, path.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(read(spark, folder, "pages"), URL_RULES)
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -42,6 +50,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filter": op2_url_filter,
     "op3_bpe": op3_bpe,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
@@ -51,5 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {
+    "op2_url_filter": url_filter.oracle(URL_RULES),
     "op8_block_names": block_names.ORACLE,
 }
