@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import block_names, bpe, decontamination, jaccard_join, language_id, token_counts, token_files, url_filter
+from parlance.llm import block_names, bpe, decontamination, jaccard_join, language_id, license_scan, token_counts, token_files, url_filter
 from parlance.llm.common import read
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.license_table(read(spark, folder, "documents"))
+
+
 #: Rules of the url filter: verdict, host, path.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -50,6 +54,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
     "op3_bpe": op3_bpe,
     "op5_token_files": op5_token_files,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle(),
     "op2_url_filter": url_filter.oracle(URL_RULES),
     "op8_block_names": block_names.ORACLE,
 }
