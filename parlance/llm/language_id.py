@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import mapped
+from parlance.llm.common import mapped, own_name
 
 UNKNOWN = "und"
 #: The sample that is learned from: so many documents of each language (least hash of doc_id first),
@@ -120,3 +120,10 @@ def language_table(docs: DataFrame) -> DataFrame:
     dictionaries = learn(docs.where(~held_out("doc_id")))
     out = predict(docs.select("doc_id", "text"), dictionaries)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def without_rejected(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, lang and others) whose language is told, with all their columns."""
+    names = [own_name(docs, c) for c in ("lang_pred", "lang_score", "lang_rejected")]
+    out = predict(docs, learn(docs.where(~held_out("doc_id"))), "text", *names)
+    return out.where(~out[names[2]]).select(*docs.columns)
