@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parlance.llm import block_names, bpe, decontamination, jaccard_join, language_id, license_scan, token_counts, token_files, url_filter
+from parlance.llm import block_names, bpe, chat_format, decontamination, jaccard_join, language_id, license_scan, token_counts, token_files, url_filter
 from parlance.llm.common import read
 
 
@@ -27,6 +28,13 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, folder, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(more)))
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = token_files.write_token_files(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.read_token_files(files)
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
     "op3_bpe": op3_bpe,
+    "op4_chat_format": op4_chat_format,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
