@@ -192,7 +192,7 @@ def all_rules() -> list[Rule]:
         out += _forms(label, "tag", 1, [f"spdx license identifier {p}" for p in ids], "identifier")
         out += _forms(label, "address", 2, urls)
         granted = [f"licensed|released|distributed|available|published|provided|licenced under [the] [terms] [of] [the] {p}" for p in names]
-        out += _forms(label, "grant", 3, granted, "under")
+        out += [r._replace(name=f"{label}/grant{k}", priority=3, pattern=g, regex=compiled(g)) for k, (r, g) in enumerate(zip(_forms(label, "grant", 3, names), granted, strict=True))]
         out += _forms(label, "name", 4, names)
     for k, line in enumerate(PHRASES.split("\n")):
         label, priority, keyword, pattern = (x.strip() for x in line.split(" | "))

@@ -1,6 +1,6 @@
 """Licence scan: ordered signature rules, in DataFrame functions alone.
 
-Texts with none of the gate stems are done after a count of their words. The others become normalised
+Texts with none of the gate stems are left alone. The others become normalised
 text, in which each word stands between a blank and a semicolon. Each rule whose keyword is there is
 matched, its matches are marked, and the marks' places among the words are the detections. Then
 detections are gone through by place: one that lies inside an earlier one of the same or a more
@@ -22,22 +22,34 @@ _LEAST = min(SCORES)
 _MOST = max(SCORES)
 
 
-def _rule_array(rules: list[Rule]) -> Column:
-    """The rules as an array of structs, a constant of the plan. Their keywords stand as in normalised text."""
-    rows = ", ".join(f"struct({k} AS k, {r.priority} AS p, '{r.label}' AS label, ' {r.keyword};' AS word, '{r.regex}' AS regex)" for k, r in enumerate(rules))
-    return F.expr(f"array({rows})")
+def _rules_by_keyword(rules: list[Rule]) -> tuple[Column, Column]:
+    """The keywords, and the rules as a map from keyword to an array of structs: constants of the plan."""
+    by: dict[str, list[str]] = {}
+    for k, r in enumerate(rules):
+        by.setdefault(r.keyword, []).append(f"struct({k} AS k, {r.priority} AS p, '{r.label}' AS label, '{r.regex}' AS regex)")
+    pairs = ", ".join(f"'{word}', array({', '.join(own)})" for word, own in by.items())
+    return F.array(*map(F.lit, by)), F.expr(f"map({pairs})")
+
+
+def _once(value: Column, then) -> Column:
+    """then(value), with value computed once: a lambda over an array of one element."""
+    return F.transform(F.array(value), then)[0]
 
 
 def _marked(norm: Column, regex: Column | str) -> Column:
     """Matches of regex as an array of structs s, e: first word and the word behind the last, from 0."""
     words = F.split(F.regexp_replace(norm, F.lit(regex) if isinstance(regex, str) else regex, F.lit(f"{_OPEN}$0{_CLOSE}")), ";")
-    at = lambda mark: F.filter(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit(mark)), i)), lambda i: i.isNotNull())
-    return F.zip_with(at(_OPEN), at(_CLOSE), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+
+    def places(w: Column) -> Column:
+        at = lambda mark: F.filter(F.transform(w, lambda x, i: F.when(F.contains(x, F.lit(mark)), i)), lambda i: i.isNotNull())
+        return F.zip_with(at(_OPEN), at(_CLOSE), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+
+    return _once(words, places)
 
 
 def _survivors(found: Column) -> Column:
     """Detections (s, longer, p, k, label) in order, without those inside an earlier one that is at least as certain."""
-    start = F.struct(F.array_repeat(F.lit(-1), _MOST).alias("ends"), F.filter(found, lambda d: F.lit(False)).alias("kept"))
+    start = lambda all_: F.struct(F.array_repeat(F.lit(-1), _MOST).alias("ends"), F.slice(all_, 1, 0).alias("kept"))
 
     def step(state: Column, d: Column) -> Column:
         end = -d["longer"]
@@ -46,41 +58,42 @@ def _survivors(found: Column) -> Column:
         ends = F.transform(state["ends"], lambda x, i: F.when(i + 1 >= d["p"], F.greatest(x, end)).otherwise(x))
         return F.when(falls, state).otherwise(F.struct(ends.alias("ends"), F.concat(state["kept"], F.array(d)).alias("kept")))
 
-    return F.aggregate(found, start, step, lambda state: state["kept"])
+    return _once(found, lambda all_: F.aggregate(all_, start(all_), step, lambda state: state["kept"]))
 
 
-def scan(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
-    """Adds license_scan to each row: words, the places of the base phrases, and the detections that stay.
+def scan(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", column: str = "license_scan") -> DataFrame:
+    """Adds column: the places of the base phrases and the detections that stay, null for texts that fail the gate.
 
-    license_scan: struct of n_words, base (array of s, e, label) and found (array of s, longer, p, k, label:
-    first word, minus the word behind the last, priority and number of the rule, its label). A null or
-    empty text has no words and no detections. Every row gives one row; its columns stay.
+    It is a struct of base (array of s, e, label) and found (array of s, longer, p, k, label: first word,
+    minus the word behind the last, priority and number of the rule, its label). A null or empty text
+    fails the gate. Every row gives one row; its other columns stay.
     """
     rules = all_rules() if rules is None else rules
     given = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(given)
-    gate = low.rlike(f"cc{_BREAK}+by")
-    for stem in GATES:
-        gate = F.contains(low, F.lit(stem)) | gate
-    words = F.filter(F.split(ascii_lower(given), f"{_BREAK}+"), lambda w: w != "")
-    norm = F.concat(F.lit(" "), F.array_join(words, "; "), F.lit(";"))
+
+    def gate(low: Column) -> Column:
+        out = low.rlike(f"cc{_BREAK}+by")
+        for stem in GATES:
+            out = F.contains(low, F.lit(stem)) | out
+        return out
 
     def place(n: Column, label: str, pattern: str) -> Column:
         return F.transform(_marked(n, compiled(pattern)), lambda d: F.struct(d["s"].alias("s"), d["e"].alias("e"), F.lit(label).alias("label")))
 
-    def base(n: Column) -> Column:
-        return F.concat(*(place(n, label, pattern) for label, pattern in BASE))
+    keywords, rules_of = _rules_by_keyword(rules)
 
-    def detections(n: Column) -> Column:
-        near = F.filter(_rule_array(rules), lambda r: F.contains(n, r["word"]))
-        spans = F.transform(near, lambda r: F.transform(_marked(n, r["regex"]), lambda d: F.struct(d["s"].alias("s"), (-d["e"]).alias("longer"), r["p"].alias("p"), r["k"].alias("k"), r["label"].alias("label"))))
+    def detections(n: Column, words: Column) -> Column:
+        near = F.flatten(F.transform(F.array_intersect(words, keywords), lambda w: F.element_at(rules_of, w)))
+        hit = F.filter(near, lambda r: F.rlike(n, r["regex"]))
+        spans = F.transform(hit, lambda r: F.transform(_marked(n, r["regex"]), lambda d: F.struct(d["s"].alias("s"), (-d["e"]).alias("longer"), r["p"].alias("p"), r["k"].alias("k"), r["label"].alias("label"))))
         return _survivors(F.array_sort(F.flatten(spans)))
 
-    # A lambda over a one-element array, so that the normalised text is made once for a row.
-    seen = F.transform(F.array(norm), lambda n: F.struct(base(n).alias("base"), detections(n).alias("found")))[0]
-    # Rows that fail the gate get nulls without any of this being done.
-    close = F.when(gate, seen)
-    return docs.withColumn("license_scan", F.struct(F.regexp_count(given, F.lit(_WORD)).cast("long").alias("n_words"), close["base"].alias("base"), close["found"].alias("found")))
+    def seen(words: Column) -> Column:
+        norm = F.concat(F.lit(" "), F.array_join(words, "; "), F.lit(";"))
+        return _once(norm, lambda n: F.struct(F.concat(*(place(n, label, p) for label, p in BASE)).alias("base"), detections(n, words).alias("found")))
+
+    words = F.filter(F.split(ascii_lower(given), f"{_BREAK}+"), lambda w: w != "")
+    return docs.withColumn(column, F.when(_once(F.lower(given), gate), _once(words, seen)))
 
 
 def license_table(docs: DataFrame) -> DataFrame:
@@ -91,17 +104,23 @@ def license_table(docs: DataFrame) -> DataFrame:
     joined by commas. score: that of the most certain detection, 0 without one.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scan(narrow).select("doc_id", "license_scan.*")
-    starts, base_labels = F.transform("base", lambda d: d["s"].cast("long")), F.transform("base", lambda d: d["label"])
-    labels = F.concat(base_labels, F.transform("found", lambda d: d["label"]))
-    joined = lambda x: F.coalesce(F.array_join(F.array_sort(F.array_distinct(x)), ","), F.lit(""))
-    certain = F.array_min(F.transform("found", lambda d: d["p"]))
-    score = F.lit(0.0)
-    for p, value in SCORES.items():
-        score = F.when(certain == p, F.lit(value)).otherwise(score)
+    joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
+
+    def row(s: Column) -> Column:
+        starts, base_labels = F.transform(s["base"], lambda d: d["s"].cast("long")), F.transform(s["base"], lambda d: d["label"])
+        certain, score = F.array_min(F.transform(s["found"], lambda d: d["p"])), F.lit(0.0)
+        for p, value in SCORES.items():
+            score = F.when(certain == p, F.lit(value)).otherwise(score)
+        return F.struct(
+            F.size(s["base"]).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+            joined(base_labels).alias("base_labels"), joined(F.concat(base_labels, F.transform(s["found"], lambda d: d["label"]))).alias("labels"), score.alias("score"),
+        )
+
+    scanned = scan(narrow)
+    rows = scanned.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long").alias("n_words"), F.when(F.col("license_scan").isNotNull(), _once(F.col("license_scan"), row)).alias("r"))
     return rows.select(
-        "doc_id", "n_words", F.coalesce(F.size("base"), F.lit(0)).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        joined(base_labels).alias("base_labels"), joined(labels).alias("labels"), score.alias("score"),
+        "doc_id", "n_words", F.coalesce("r.n_base", F.lit(0).cast("long")).alias("n_base"), "r.first_word", "r.last_word",
+        F.coalesce("r.base_labels", F.lit("")).alias("base_labels"), F.coalesce("r.labels", F.lit("")).alias("labels"), F.coalesce("r.score", F.lit(0.0)).alias("score"),
     )
 
 
