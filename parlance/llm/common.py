@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,22 +42,55 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+class _Open(threading.local):
+    def __init__(self) -> None:
+        self.scopes: list[list[str]] = []
+
+
+_OPEN = _Open()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; what goes on must be kept()."""
+    _OPEN.scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.scopes.pop():
+            _delete(spark, path)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: lineage is cut and every later read sees the same rows."""
+    return _written(df, tag, -1)
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """written(), for the scope around the innermost scratch()."""
+    return _written(df, tag, -2)
+
+
+def _written(df: DataFrame, tag: str, scope: int) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
+    if len(_OPEN.scopes) >= -scope:
+        _OPEN.scopes[scope].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+    root = shared_folder(df.sparkSession).replace("file:", "").lstrip("/")
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if path.replace("file:", "").lstrip("/").startswith(shared_folder(spark).replace("file:", "").lstrip("/")):
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if path.replace("file:", "").lstrip("/").startswith(root):
+            _delete(df.sparkSession, path)
 
 
 def mapped(df: DataFrame, rows: Callable, schema: T.StructType | str) -> DataFrame:
@@ -80,12 +116,28 @@ def own_name(df: DataFrame, name: str) -> str:
 
 #: Rows to drop whose numbers go to every executor, 8 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Paths of files that go to every executor, some 200 bytes each.
+BROADCAST_FILES = 100_000
 
 
 def number_rows(df: DataFrame) -> tuple[DataFrame, str]:
-    """df with a column that numbers its rows, written out so that the numbers stay; and that column's name."""
-    uid = own_name(df, "row_uid")
-    return written(df.withColumn(uid, F.monotonically_increasing_id()), "numbered"), uid
+    """df with a column of numbers that tell its rows apart, the same each time it is read; and that column's name.
+
+    Rows of Parquet files are numbered by file and place. Anything else is written out with its numbers.
+    """
+    uid, path = own_name(df, "row_uid"), own_name(df, "row_path")
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(uid))
+    except AnalysisException:
+        return written(df.withColumn(uid, F.monotonically_increasing_id()), "numbered"), uid
+    files = placed.select(path).distinct().withColumn("file_no", F.row_number().over(Window.orderBy(path)).cast("long"))
+    files = written(files, "files")
+    most = files.count()
+    if most == 1:
+        return placed.drop(path), uid
+    number = own_name(placed, "file_no")
+    placed = placed.join(F.broadcast(files.withColumnRenamed("file_no", number)) if most <= BROADCAST_FILES else files.withColumnRenamed("file_no", number), path)
+    return placed.withColumn(uid, F.col(number) * F.lit(1 << 40) + F.col(uid)).select(*df.columns, uid), uid
 
 
 def without_rows(df: DataFrame, uid: str, dropped: DataFrame, columns: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import mapped, number_rows, without_rows, written
+from parlance.llm.common import kept, mapped, number_rows, scratch, without_rows, written
 
 #: Tokens in a window, words among them at least, and windows that make a match (all, if an item has fewer).
 WINDOW, LEAST_WORDS, ENOUGH = 8, 4, 6
@@ -168,6 +168,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, uid: str, text: str = "text",
     Items with the same template and the same pattern of equal slots are searched for once. An item
     with fewer than WINDOW tokens matches nothing, nor does a null or empty text on either side.
     """
+    with scratch(docs.sparkSession):
+        return kept(_matches(docs, benchmark, uid, text, doc_id, item_id, item_text), "contaminated")
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, uid: str, text: str, doc_id: str, item_id: str, item_text: str) -> DataFrame:
     spark = docs.sparkSession
     numbered = benchmark.select(F.monotonically_increasing_id().alias("uid"), F.col(item_id).cast("long").alias("key"), F.col(item_text).alias("text"))
     items = written(mapped(numbered, _cut(None), _SCHEMA), "items").where("h is not null")
@@ -214,5 +219,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that no benchmark item is in, with all their columns."""
     held, uid = number_rows(docs)
-    found = written(matches(held, benchmark, uid, text, doc_id).where("n_items > 0").select("uid"), "contaminated")
+    with scratch(docs.sparkSession):
+        found = kept(matches(held, benchmark, uid, text, doc_id).where("n_items > 0").select("uid"), "dropped")
     return without_rows(held, uid, found, docs.columns)

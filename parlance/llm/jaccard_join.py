@@ -2,10 +2,12 @@
 
 1. Each document becomes the sorted set of its shingles, as 64-bit hashes.
 2. Sets that can be similar meet by signatures. Sets of neighbouring size classes differ in at most H
-   shingles if they link; the range of hashes is cut into more than H parts, so at least one part of
-   the two is the same and not empty. A signature is the content of one part, so what meets is alike
-   in ten shingles or so and a passage that many texts share brings nothing together. Tasks join
-   what they have seen before to its first bearer and send only the rest.
+   shingles if they link; the range of hashes is cut into AGREE and more parts than H, so at least AGREE
+   parts of the two are the same and not empty. A signature is the content of one part. Where few
+   documents have one, each pair of them is noted, and pairs noted fewer than AGREE times are left out.
+   A frequent one, as a passage makes that texts share, joins only those of its bearers that have
+   more frequent ones than parts to spare: any other shares AGREE rare ones with all it links with.
+   Tasks send what they have often seen to where its bearer goes, not to one place.
 3. What hangs together by signatures is a block; nothing links across blocks. Within a block each set
    is looked up among the smaller ones by T-occurrence search: the shingles' inverted lists are split
    by length, the short ones are merged with a heap that leaps over documents found too rarely, and
@@ -13,8 +15,9 @@
    known to be connected with the sought one are taken off the lists first.
 4. The links' connected components are the result.
 
-A block of more documents or shingles than a task should hold is dealt out in chunks, each pair of
-chunks searched by one task.
+A block is searched by neighbouring size classes, one task for each two. Where they have more
+documents or shingles than a task should hold they are dealt out in chunks, and each pair of chunks
+is searched by one task.
 """
 
 from __future__ import annotations
@@ -31,11 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import BROADCAST_ROWS, mapped, number_rows, own_name, without_rows, written
+from parlance.llm.common import kept, mapped, number_rows, own_name, scratch, without_rows, written
 from parlance.llm.components import components
 
 #: Chunks of a block hold about so many shingles and documents at most.
 CHUNK_SHINGLES, CHUNK_DOCS = 1_500_000, 3000
+#: Signatures that sets which link have in common at least; bearers of one up to which pairs are noted.
+AGREE, FEW = 3, 6
+#: Rows of units that go to every executor, some 80 bytes each; more are joined by a shuffle.
+BROADCAST_UNITS = 500_000
 #: Signatures that a task remembers with their first bearer.
 SEEN_BITS = 20
 #: Words with their hashes held ready in a worker.
@@ -79,7 +86,7 @@ class Shingles:
 
 
 class Signatures:
-    """Keys of which two sets share one at least if they link, 100 * common >= percent * all."""
+    """Keys of which two sets share AGREE at least if they link, 100 * common >= percent * all."""
 
     def __init__(self, percent: int) -> None:
         if not 50 <= percent < 100:
@@ -87,7 +94,7 @@ class Signatures:
         self._p = percent
         self._starts = [1]
 
-    def _class(self, n: int) -> int:
+    def size_class(self, n: int) -> int:
         """Size classes: sets that link are in the same or in neighbouring ones."""
         while self._starts[-2 if len(self._starts) > 1 else -1] <= n or len(self._starts) < 3:
             # The first size that is too large to link with the class's first.
@@ -98,13 +105,14 @@ class Signatures:
         """Of group g, with the sets of classes g - 1 and g: the largest difference of two that link, and the number of parts."""
         largest = 2 * (self._starts[g + 1] - 1)
         differ = largest * (100 - self._p) // (100 + self._p)
-        return differ, differ + 2 + differ // 50
+        return differ, differ + AGREE + 4 + differ // 20
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        n = len(hashes)
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The keys, whose last bit tells the two groups apart, and for each group (even, odd) how many frequent keys can be spared."""
+        n, spare = len(hashes), [0, 0]
         if not n:
-            return np.zeros(0, _U)
-        own, found = self._class(n), []
+            return np.zeros(0, _U), spare
+        own, found = self.size_class(n), []
         top = hashes >> _U(32)
         mixed = _mix(hashes)
         for g in (own, own + 1):
@@ -115,12 +123,16 @@ class Signatures:
             heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             content = np.add.reduceat(mixed, heads)
             seed = _U((g << 32) + parts)
-            found.append(_mix((content ^ _mix(part[heads] + _U(1))) + seed))
-            if parts - differ <= parts - len(heads):
-                # So many empty parts that all equal ones may be empty: those count too.
+            keys = [_mix((content ^ _mix(part[heads] + _U(1))) + seed)]
+            # Of the equal parts so many at least are filled; AGREE of them must not be frequent.
+            spare[g & 1] = len(heads) - differ - AGREE
+            if spare[g & 1] < 0:
+                # Too few of the equal parts may be filled: empty ones count too.
                 empty = np.setdiff1d(np.arange(parts, dtype=_U), part[heads])
-                found.append(_mix(_mix(empty * _U(0xC2B2AE3D27D4EB4F) + _U(1)) + seed))
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, _U)
+                keys.append(_mix(_mix(empty * _U(0xC2B2AE3D27D4EB4F) + _U(1)) + seed))
+                spare[g & 1] = parts - differ - AGREE
+            found.append((np.concatenate(keys) & ~_U(1)) | _U(g & 1))
+        return (np.unique(np.concatenate(found)) if found else np.zeros(0, _U)), spare
 
 
 def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
@@ -217,8 +229,8 @@ def search_block(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-#: A document's row in the shuffle, beside its uid: whether it has a doc_id, that, the size and digest of its set.
-_DOC = np.dtype([("given", "u1"), ("doc_id", "<i8"), ("n", "<i8"), ("digest", "V16")])
+#: A document's row in the shuffle, beside its uid: whether it has a doc_id, that, and the size, size class, spare keys and digest of its set.
+_DOC = np.dtype([("given", "u1"), ("doc_id", "<i8"), ("n", "<i8"), ("kind", "<i8"), ("spare", "<i8", 2), ("digest", "V16")])
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -228,86 +240,117 @@ def _digest(shingles: np.ndarray) -> bytes:
 def _signed(words: int, percent: int):
     """Rows (key, uid, more) of each task's documents.
 
-    more is null for a signature, empty for a pair of documents (uid and key) that share one seen
-    before in this task, and else a document.
+    more is null for a signature and 8 bytes of signature for one that the task has often seen (key is
+    then the uid, so that rows of a frequent signature go to all tasks); else it is a document.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, signatures = Shingles(words), Signatures(percent)
-        seen, bearer = np.zeros(1 << SEEN_BITS, _U), np.full(1 << SEEN_BITS, -1, np.int64)
+        seen, times = np.zeros(1 << SEEN_BITS, _U), np.zeros(1 << SEEN_BITS, np.int8)
         for batch in batches:
-            keys, uids, more = [], [], []
+            uids, more = [], []
             sent_keys, sent_uids = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
             for uid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = shingles(text)
-                doc = np.array([(doc_id is not None, doc_id or 0, len(found), _digest(found))], _DOC)
-                keys.append(uid)
+                sent, spare = signatures(found)
                 uids.append(uid)
-                more.append(doc.tobytes())
-                sent = signatures(found)
+                more.append(np.array([(doc_id is not None, doc_id or 0, len(found), signatures.size_class(len(found)), spare, _digest(found))], _DOC).tobytes())
                 slot = (sent & _U((1 << SEEN_BITS) - 1)).astype(np.int64)
-                known = (seen[slot] == sent) & (bearer[slot] >= 0)
-                if known.any():
-                    for other in np.unique(bearer[slot[known]]).tolist():
-                        keys.append(other)
+                same = (seen[slot] == sent) & (times[slot] > 0)
+                # Only what more than FEW rows have been sent of, so that it counts as frequent where rows meet.
+                frequent = same & (times[slot] > FEW)
+                if frequent.any():
+                    for one in sent[frequent]:
                         uids.append(uid)
-                        more.append(b"")
-                    sent, slot = sent[~known], slot[~known]
-                seen[slot], bearer[slot] = sent, uid
+                        more.append(one.tobytes())
+                    sent, slot, same = sent[~frequent], slot[~frequent], same[~frequent]
+                times[slot] = np.where(same, times[slot] + 1, 1)
+                seen[slot] = sent
                 sent_keys.append(sent)
                 sent_uids.append(np.full(len(sent), uid, np.int64))
             sent = np.concatenate(sent_keys).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(uids, pa.int64()), pa.array(more, pa.binary())], ["key", "uid", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(uids, pa.int64()), pa.array(more, pa.binary())], ["key", "uid", "more"])
             yield pa.RecordBatch.from_arrays([pa.array(sent), pa.array(np.concatenate(sent_uids)), pa.nulls(len(sent), pa.binary())], ["key", "uid", "more"])
 
     return rows
 
 
+_MET = "what int, a long, b long, doc_id long, n long, kind long, even long, odd long, digest binary"
+_DOCUMENT, _PAIR, _FREQUENT = range(3)
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: pairs (a, b) of documents with a common signature, each with the first of its run; and documents."""
-    names = ["a", "b", "doc_id", "n", "digest"]
-    last_key, first_uid = None, 0
+    """From rows sorted by key: documents (a), pairs (a, b) of the few bearers of a signature, and bearers (a) of frequent signatures (b)."""
+    held_key, held = 0, []  # the last signature and its bearers so far
+    many = False  # whether it is frequent: its bearers have been given out
+
+    def some(what: int, rows: list[tuple[int, int]]) -> pa.RecordBatch:
+        n = len(rows)
+        a, b = (pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else ((), ())))
+        return pa.RecordBatch.from_arrays([pa.array([what] * n, pa.int32()), a, b, *(pa.nulls(n, pa.int64()) for _ in range(5)), pa.nulls(n, pa.binary())], names)
+
+    names = ["what", "a", "b", "doc_id", "n", "kind", "even", "odd", "digest"]
     for batch in batches:
         key, uid, more = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
         size = pc.fill_null(pc.binary_length(more), -1).to_numpy(zero_copy_only=False)
-        pairs = size == 0
-        a, b = [uid[pairs]], [key[pairs]]
+        known = np.flatnonzero(size == 8)
+        frequent = list(zip(uid[known].tolist(), np.frombuffer(b"".join(more.take(pa.array(known)).to_pylist()), "<i8").tolist(), strict=True)) if len(known) else []
+        pairs: list[tuple[int, int]] = []
         k, u = key[size < 0], uid[size < 0]
         if len(k):
-            heads = np.concatenate([[last_key is None or k[0] != last_key], k[1:] != k[:-1]])
-            lead = u.copy()
-            lead[0] = u[0] if heads[0] else first_uid
-            lead = lead[np.maximum.accumulate(np.where(heads, np.arange(len(k)), 0))]
-            last_key, first_uid = k[-1], lead[-1]
-            other = u != lead
-            a.append(u[other])
-            b.append(lead[other])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
-            n = len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
-        docs = np.flatnonzero(size > 0)
+            heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            ends = np.concatenate([heads[1:], [len(k)]])
+            # Of the runs only those of two and more, the first, which may go on, and the last, which may be gone on with.
+            chosen = np.unique(np.concatenate([[0], np.flatnonzero(ends - heads > 1), [len(heads) - 1]]))
+            for r in chosen.tolist():
+                run, this = u[heads[r] : ends[r]].tolist(), int(k[heads[r]])
+                if this != held_key:
+                    pairs += [(max(x, y), min(x, y)) for i, x in enumerate(held) for y in held[:i]]
+                    held_key, held, many = this, [], False
+                if not many:
+                    held += run
+                    if len(held) > FEW:
+                        many, run, held = True, held, []
+                if many:
+                    frequent += [(x, this) for x in run]
+        if pairs:
+            yield some(_PAIR, pairs)
+        if frequent:
+            yield some(_FREQUENT, frequent)
+        docs = np.flatnonzero(size > 8)
         if len(docs):
-            found = np.frombuffer(b"".join(more.take(pa.array(docs)).to_pylist()), _DOC)
+            found, n = np.frombuffer(b"".join(more.take(pa.array(docs)).to_pylist()), _DOC), len(docs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uid[docs]), pa.nulls(len(docs), pa.int64()), pa.array(found["doc_id"].copy(), mask=found["given"] == 0), pa.array(found["n"].copy()), pa.array([x.tobytes() for x in found["digest"]], pa.binary())], names
-            )
+                [
+                    pa.array([_DOCUMENT] * n, pa.int32()), pa.array(uid[docs]), pa.nulls(n, pa.int64()), pa.array(found["doc_id"].copy(), mask=found["given"] == 0), pa.array(found["n"].copy()), pa.array(found["kind"].copy()),
+                    pa.array(found["spare"][:, 0].copy()), pa.array(found["spare"][:, 1].copy()), pa.array([x.tobytes() for x in found["digest"]], pa.binary()),
+                ],
+                names,
+            )
+    yield some(_PAIR, [(max(x, y), min(x, y)) for i, x in enumerate(held) for y in held[:i]])
 
 
-def _sets_of(words: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
-        for batch in batches:
-            found = [shingles(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["digest", "shingles"])
+def _candidates(met: DataFrame) -> DataFrame:
+    """Edges (a, b) that hang all sets together that can link.
 
-    return rows
+    Pairs noted AGREE times; and of frequent signatures those bearers that have more of them than they
+    can spare. A set that can spare its frequent ones has AGREE others in common with each that it links with.
+    """
+    pairs = met.where(F.col("what") == _PAIR).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= AGREE).select("a", "b")
+    frequent = met.where(F.col("what") == _FREQUENT).select(F.col("a").alias("uid"), F.col("b").alias("key"), F.col("b").bitwiseAND(F.lit(1)).alias("side"))
+    spare = met.where(F.col("what") == _DOCUMENT).select(F.col("a").alias("uid"), "even", "odd")
+    counts = frequent.groupBy("uid", "side").agg(F.count(F.lit(1)).alias("has")).join(spare, "uid")
+    needy = counts.where(F.col("has") > F.when(F.col("side") == 0, F.col("even")).otherwise(F.col("odd"))).select("uid", "side")
+    bearers = frequent.join(needy, ["uid", "side"], "left_semi")
+    first = bearers.groupBy("key").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("bearers")).where("bearers > 1")
+    return pairs.unionByName(bearers.join(first, "key").select(F.col("uid").alias("a"), F.col("first").alias("b")).where("a != b").distinct())
 
 
-def _searched(percent: int):
+def _searched(words: int, percent: int):
     """Links found in each unit; rows of a unit come together, sorted by size."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
         unit, uids, sets = None, [], []
 
         def links() -> pa.RecordBatch:
@@ -315,13 +358,17 @@ def _searched(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([uids[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for block, i, j, uid, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (block, i, j) != unit:
-                    yield links()
-                    unit, uids, sets = (block, i, j), [], []
-                if not uids or uids[-1] != uid:  # a repeated row gives the same set again
+            for *own, _, uid, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != unit:
+                    if len(sets) > 1:
+                        yield links()
+                    unit, uids, sets = own, [], []
+                if uids and uids[-1] == uid:
+                    continue  # a repeated row gives the same set again
+                found = shingles(text)
+                if _digest(found) == digest:  # else another text of the same doc_id
                     uids.append(uid)
-                    sets.append(np.frombuffer(held, _U))
+                    sets.append(found)
         yield links()
 
     return rows
@@ -340,31 +387,40 @@ def link_table(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "
     if uid is None:
         uid = own_name(docs, "uid")
         docs = docs.select(doc_id, text, F.monotonically_increasing_id().alias(uid))
+    with scratch(docs.sparkSession):
+        return kept(_linked(docs, words, percent, text, doc_id, uid), "linked")
+
+
+def _linked(docs: DataFrame, words: int, percent: int, text: str, doc_id: str, uid: str) -> DataFrame:
     narrow = docs.select(F.col(uid).alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = mapped(narrow, _signed(words, percent), "key long, uid long, more binary").repartition("key").sortWithinPartitions("key")
-    met = written(mapped(signed, _met, "a long, b long, doc_id long, n long, digest binary"), "met")
-    every = met.where(F.col("b").isNull()).select(F.col("a").alias("uid"), "doc_id", "n", "digest")
+    met = written(mapped(signed, _met, _MET), "met")
+    # The signatures' shuffle isn't needed any more: files go when the driver collects its garbage.
+    del signed
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    every = met.where(F.col("what") == _DOCUMENT).select(F.col("a").alias("uid"), "doc_id", "n", "kind", "digest")
     # Equal sets: the least uid stands for all.
     first = every.where("n > 0").groupBy("digest").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copies = every.where("n > 0").join(first.where("copies > 1"), "digest").where("uid != rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
-    blocks = components(met.where(F.col("b").isNotNull()))
+    blocks = components(_candidates(met))
     members = every.join(first.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    members = members.join(blocks, F.col("uid") == F.col("node")).select("uid", "doc_id", "n", "digest", F.col("root").alias("block"))
-    sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("sum_n")).where("docs > 1")
+    members = members.join(blocks, F.col("uid") == F.col("node")).select("uid", "doc_id", "n", "digest", F.col("root").alias("block"), "kind")
+    # Sets that link are of one size class or of neighbouring ones: each goes to its own and the next.
+    members = members.withColumn("kind", F.explode(F.array(F.col("kind"), F.col("kind") + 1)))
+    sizes = members.groupBy("block", "kind").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("sum_n")).where("docs > 1")
     chunks = F.ceil(F.greatest(F.col("docs") / CHUNK_DOCS, F.col("sum_n") / CHUNK_SHINGLES))
-    members = members.join(sizes.select("block", chunks.alias("chunks")), "block").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")))
-    members = written(members.select("uid", "doc_id", "digest", "block", "chunks", "chunk"), "members")
-    wanted = members.select(F.col("doc_id").alias("wanted")).distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    arrow = mapped(narrow.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text"), _sets_of(words), "digest binary, shingles binary")
-    sets = written(arrow, "sets")
-    # One unit for a block of one chunk, else one for each pair of chunks.
+    members = members.join(sizes.select("block", "kind", chunks.alias("chunks")), ["block", "kind"]).withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")))
+    members = written(members.select("uid", "doc_id", "digest", "n", "block", "kind", "chunks", "chunk"), "members")
+    # One unit for a block of one chunk, else one for each pair of chunks. Texts travel, not sets: they are
+    # half as large, and the digest tells which row of a doc_id is meant.
     others = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: k != F.col("chunk"))))
-    units = members.select("uid", "digest", "block", "chunk", others.alias("other"))
-    units = units.join(sets, "digest").select("block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "uid", "shingles")
-    units = units.withColumn("n", F.octet_length("shingles")).repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "n", "uid").drop("n")
-    links = written(mapped(units, _searched(percent), "a long, b long"), "links")
+    units = members.select("uid", F.col("doc_id").alias("wanted"), "digest", "n", "block", "kind", "chunk", others.alias("other"))
+    units = units.select("block", "kind", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "n", "uid", "digest", "wanted")
+    if units.count() <= BROADCAST_UNITS:
+        units = F.broadcast(units)
+    units = narrow.select("doc_id", "text").join(units, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("block", "kind", "i", "j", "n", "uid", "digest", "text")
+    units = units.repartition("block", "kind", "i", "j").sortWithinPartitions("block", "kind", "i", "j", "n", "uid")
+    links = written(mapped(units, _searched(words, percent), "a long, b long"), "links")
     found = components(links.unionByName(copies))
     found = found.join(every.select("uid", "doc_id"), F.col("node") == F.col("uid")).select("node", "root", "doc_id")
     least = found.groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -377,8 +433,13 @@ def link_table(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each component of link_table(), with all columns of docs: that of the smallest doc_id, then any one of those."""
     held, uid = number_rows(docs)
-    found = written(link_table(held, words, percent, text, doc_id, uid), "linked")
+    with scratch(docs.sparkSession):
+        dropped = kept(_to_drop(link_table(held, words, percent, text, doc_id, uid)), "dropped")
+    return without_rows(held, uid, dropped, docs.columns)
+
+
+def _to_drop(found: DataFrame) -> DataFrame:
+    """uid of all rows of a component but the first."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")
     stays = found.groupBy("root").agg(first, F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root", F.col("first.uid").alias("stays"))
-    dropped = written(found.join(stays, "root").where("uid != stays").select("uid"), "dropped")
-    return without_rows(held, uid, dropped, docs.columns)
+    return found.join(stays, "root").where("uid != stays").select("uid")

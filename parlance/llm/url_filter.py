@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import LOWER, UPPER, ascii_lower, forget, written
+from parlance.llm.common import LOWER, UPPER, ascii_lower, forget, kept, scratch, written
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its path.
 Rule = tuple[str, str, str]
@@ -103,6 +103,11 @@ def judge(pages: DataFrame, rules: list[Rule], rounds: int = ROUNDS) -> DataFram
     html has no links; repeated rows give repeated rows; an empty table gives none. The rules are few
     enough to be part of the plan; masses are 0 for a host that nothing reaches.
     """
+    with scratch(pages.sparkSession):
+        return _judged(pages, rules, rounds)
+
+
+def _judged(pages: DataFrame, rules: list[Rule], rounds: int) -> DataFrame:
     host, path = url_parts("url")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), "html")
     by = rows.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules, _rule_name)).withColumn("by_rule", fitting_rule(F.col("host"), F.col("path"), rules, lambda r: r[0]))
@@ -110,7 +115,7 @@ def judge(pages: DataFrame, rules: list[Rule], rounds: int = ROUNDS) -> DataFram
     seeds = written(by.where("host != ''").groupBy("host").agg(count(ALLOW).alias("allowed"), count(BLOCK).alias("blocked")), "hosts")
     links = written(host_edges(rows), "links")
     hosts = seeds.select("host").union(links.select("dst")).distinct()
-    masses = written(propagate(links.union(_subdomain_edges(hosts)), seeds, rounds), "masses")
+    masses = kept(propagate(links.union(_subdomain_edges(hosts)), seeds, rounds), "masses")
     out = by.drop("html").join(masses, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0)), F.coalesce("distrust", F.lit(0))
     own = F.when((distrust > 0) & (distrust >= RATIO * trust), BLOCK).otherwise(ALLOW)

@@ -39,7 +39,7 @@ def near_copies(rnd, n_base, n_copies, length):
 
 
 @pytest.mark.parametrize("percent", [80, 90, 95])
-def test_signatures_meet_for_all_links(percent):
+def test_signatures_agree_for_all_links(percent):
     rnd = np.random.default_rng(percent)
     sig = jj.Signatures(percent)
     for n in [*range(3, 40), 60, 100, 150, 333, 800]:
@@ -51,7 +51,30 @@ def test_signatures_meet_for_all_links(percent):
             b = np.unique(np.concatenate([a[rnd.permutation(len(a))[out:]], rnd.integers(0, 1 << 63, int(rnd.integers(0, most + 1)), dtype=np.uint64)]))
             common = len(np.intersect1d(a, b))
             if len(a) != common and 100 * common >= percent * (len(a) + len(b) - common):
-                assert len(np.intersect1d(sig(a), sig(b)))
+                assert len(np.intersect1d(sig(a)[0], sig(b)[0])) >= jj.AGREE
+
+
+def test_frequent_keys_can_be_spared():
+    """Whatever keys are frequent, a set with no more of them than it can spare has AGREE others in common with what it links with."""
+    rnd = np.random.default_rng(9)
+    sig = jj.Signatures(80)
+    for _ in range(400):
+        n = int(rnd.integers(12, 300))
+        a = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        most = int(len(a) * 0.1)
+        b = np.unique(np.concatenate([a[most:], rnd.integers(0, 1 << 63, most, dtype=np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if 100 * common < 80 * (len(a) + len(b) - common):
+            continue
+        (ka, spare), (kb, _) = sig(a), sig(b)
+        both = np.intersect1d(ka, kb)
+        for side in (0, 1):
+            # the worst case: the frequent ones are among those in common
+            shared = both[(both & np.uint64(1)) == side]
+            if len(shared) and spare[side] >= 0:
+                g = max(sig.size_class(len(a)), sig.size_class(len(b)))
+                if g & 1 == side:
+                    assert len(shared) - spare[side] >= jj.AGREE
 
 
 def test_merge_skip():
