@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import mapped, number_rows, own_name, without_rows, written
+from parlance.llm.common import kept, mapped, number_rows, own_name, scratch, without_rows, written
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -59,7 +59,9 @@ def _rows(carried: list, ranks: pa.Array, task: pa.Array, first: pa.Array, last:
 
 def _named(rows: DataFrame) -> DataFrame:
     """rows (key binary and the carried columns) with the rank of key among all distinct keys as name, written out."""
-    ordered = rows.repartitionByRange("key", "uid", "pos").sortWithinPartitions("key")
+    # By two hashes first: the sample that ranges are made from goes to the driver, and whole blocks would grow with it.
+    ordered = rows.withColumns({"h1": F.xxhash64("key"), "h2": F.xxhash64("key", F.lit(1))})
+    ordered = ordered.repartitionByRange("h1", "h2", "uid", "pos").sortWithinPartitions("h1", "h2", "key")
     ordered = ordered.select("key", "uid", "pos", "blocks", "doc_id", "n_points", "text_sha256")
     ranked = written(mapped(ordered, _ranked, f"{_CARRIED}, rank long, task long, first binary, last binary"), "names")
     ends = ranked.where(F.col("uid").isNull()).select("task", F.col("rank").alias("n"), "first", "last")
@@ -128,18 +130,21 @@ def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     if uid is None:
         uid = own_name(docs, "uid")
         docs = docs.select(doc_id, text, F.monotonically_increasing_id().alias(uid))
-    named = name_texts(docs, uid, text, doc_id)
-    # Equal names meet after each task has summed up its own: no task gets the rows of a group.
-    best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("d"), F.bitwise_not("uid").alias("u"))).alias("best")
-    groups = named.groupBy("level", "name").agg(best, F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select("level", "name", "group_size", F.bitwise_not("best.d").alias("keep_id"), F.bitwise_not("best.u").alias("keep_uid"))
-    return named.join(groups, ["level", "name"]).select("uid", "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256")
+    with scratch(docs.sparkSession):
+        named = name_texts(docs, uid, text, doc_id)
+        # Equal names meet after each task has summed up its own: no task gets the rows of a group.
+        best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("d"), F.bitwise_not("uid").alias("u"))).alias("best")
+        groups = named.groupBy("level", "name").agg(best, F.count(F.lit(1)).alias("group_size"))
+        groups = groups.select("level", "name", "group_size", F.bitwise_not("best.d").alias("keep_id"), F.bitwise_not("best.u").alias("keep_uid"))
+        out = named.join(groups, ["level", "name"]).select("uid", "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256")
+        return kept(out, "duplicates")
 
 
 def without_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that duplicate_groups() keeps, with all their columns."""
     held, uid = number_rows(docs)
-    dropped = written(duplicate_groups(held, text, doc_id, uid).where(~F.col("kept")).select("uid"), "dropped")
+    with scratch(docs.sparkSession):
+        dropped = kept(duplicate_groups(held, text, doc_id, uid).where(~F.col("kept")).select("uid"), "dropped")
     return without_rows(held, uid, dropped, docs.columns)
 
 
