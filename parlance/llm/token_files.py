@@ -46,7 +46,7 @@ STORE = 600_000
 #: Longer words are not held.
 STORED_CHARS = 48
 
-_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_WORDS = re.compile(rf"[{pretokens.LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{pretokens.LETTERS}]+")
 
 
 def width(largest: int) -> int:
@@ -213,7 +213,7 @@ class WordTokenizer:
         if len(self._store) > STORE:
             self._store.clear()
         store = self._store
-        new = list(set().union(*(w for w in words if w)) - store.keys())
+        new = [w for w in set().union(*(w for w in words if w)) if w not in store]
         if new:
             ids = self._ids(" ".join(new))
             ends = (np.flatnonzero(self._ends[ids]) + 1) * 4
