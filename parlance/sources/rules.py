@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from parlance.functions.times import age_in_months
 from parlance.model import NORMS
