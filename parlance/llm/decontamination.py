@@ -2,7 +2,9 @@
 
 A text is read in two ways. As words: letters and numbers, lower-cased. As a template: numbers, names
 (runs of capitalised words) and units become typed slots, so a question asked again with other
-numbers and other people reads the same. Windows of WINDOW tokens of both readings are joined by hash
+numbers and other people reads the same. A run of names ends at punctuation and line ends; as a name
+can hold them too (Dr. Smith), a text with such runs is read as a template in a second way, in which
+they go on. Windows of WINDOW tokens of both readings are joined by hash
 with those of the benchmark. Windows that lie at the same distance in document and item are taken
 together, and the slots they cover must be filled consistently: equal in the item exactly where equal
 in the document. An item with enough windows matched is in the document.
@@ -39,6 +41,9 @@ UNITS = frozenset(
     meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters mph kph watt watts volt volts""".split()
 )
 
+#: Units in the plural with their singular: one value of a slot.
+SINGULAR = {w: w[:-1] for w in UNITS if w.endswith("s") and w[:-1] in UNITS} | {"inches": "inch", "feet": "foot"}
+
 # Words that begin sentences and are no names even when capitalised.
 STARTERS = frozenset(
     """a an the if when while how what which who where why in on at of for from by to with and or but as is are was were
@@ -47,32 +52,42 @@ STARTERS = frozenset(
     los las una cuando en de""".split()
 )
 
-_TOKENS = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
-_WORD, _NUMBER, _NAME, _UNIT = range(4)
+# Numbers, words, and what is between them but for blanks.
+_TOKENS = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[^\w ]+")
+_WORD, _NUMBER, _NAME, _UNIT, _BREAK, _JOINT = range(6)
+#: What names go on over: Anne-Marie, D'Arcy.
+_JOINTS = frozenset("-\u2010\u2011'\u2019\t\u00a0")
 _U = np.uint64
 _PRIME = _U(0x9E3779B185EBCA87)
 
 
 class _Tokens(dict):
-    """Words with their row in arrays of hashes and kinds."""
+    """Words with their row in arrays of hashes, slot values and kinds."""
 
     def __init__(self) -> None:
-        self.hashes, self.kinds = np.zeros(1024, _U), np.zeros(1024, np.int8)
+        self.hashes, self.slots, self.kinds = np.zeros(1024, _U), np.zeros(1024, _U), np.zeros(1024, np.int8)
 
     def __missing__(self, word: str) -> int:
         k = len(self)
         if k == len(self.hashes):
-            self.hashes, self.kinds = np.concatenate([self.hashes, np.zeros(k, _U)]), np.concatenate([self.kinds, np.zeros(k, np.int8)])
+            self.hashes, self.slots, self.kinds = (np.concatenate([x, np.zeros(k, x.dtype)]) for x in (self.hashes, self.slots, self.kinds))
+        self[word] = k
+        if not word[0].isalnum():
+            self.kinds[k] = _JOINT if _JOINTS.issuperset(word) else _BREAK
+            return k
         low = word.lower()
         self.hashes[k] = xxhash.xxh3_64_intdigest(low.encode())
+        self.slots[k] = xxhash.xxh3_64_intdigest(SINGULAR.get(low, low).encode())
         capital = len(word) > 1 and word[0].isupper() and word[1:].islower() and low not in STARTERS
         self.kinds[k] = _NUMBER if word[0].isdigit() else _NAME if capital else _UNIT if low in UNITS else _WORD
-        self[word] = k
         return k
 
 
 class Windows:
-    """The windows of a text: for each reading (hashes, first tokens, slot values by token)."""
+    """The windows of a text: for each reading (hashes, first tokens, slot values by token).
+
+    The readings: as words, as a template, and if that differs as one in which runs of names go on over punctuation.
+    """
 
     def __init__(self) -> None:
         self._tokens = _Tokens()
@@ -83,31 +98,44 @@ class Windows:
         known = self._tokens
         found = _TOKENS.findall(text or "")
         rows = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
-        hashes, kinds = known.hashes[rows], known.kinds[rows]
+        kinds = known.kinds[rows]
+        token = kinds < _BREAK
+        breaks = np.cumsum(kinds == _BREAK)[token]
+        rows, kinds = rows[token], kinds[token]
+        hashes, slots = known.hashes[rows], known.slots[rows]
         words = (_rolled(hashes), np.arange(max(0, len(hashes) - WINDOW + 1)), np.zeros(len(hashes), _U))
-        # A run of names is one name.
-        keep = np.ones(len(kinds), bool)
-        keep[1:] = ~((kinds[1:] == _NAME) & (kinds[:-1] == _NAME))
-        if not keep.all():
-            heads = np.flatnonzero(keep)
-            hashes = np.add.reduceat(hashes * (np.arange(len(hashes), dtype=_U) - heads[np.cumsum(keep) - 1].astype(_U) + _U(1)), heads) if len(heads) else hashes
-            kinds = kinds[heads]
-        slot = kinds != _WORD
-        values = np.where(slot, hashes * _PRIME + kinds.astype(_U), _U(0))
-        template = np.where(slot, kinds.astype(_U), hashes)
-        firsts = np.arange(max(0, len(kinds) - WINDOW + 1))
-        plain = np.concatenate([[0], np.cumsum(~slot)])
-        enough = plain[firsts + WINDOW] - plain[firsts] >= LEAST_WORDS if len(firsts) else np.zeros(0, bool)
-        return [words, (_rolled(template)[enough] ^ _U(0x5851F42D4C957F2D), firsts[enough], values)]
+        name = kinds == _NAME
+        goes_on = name[1:] & name[:-1]
+        broken = goes_on & (breaks[1:] != breaks[:-1])
+        if not broken.any():
+            return [words, _template(hashes, slots, kinds, goes_on)]
+        return [words, _template(hashes, slots, kinds, goes_on & ~broken), _template(hashes, slots, kinds, goes_on)]
+
+
+def _template(hashes: np.ndarray, slots: np.ndarray, kinds: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The template's windows; goes_on: which tokens from the second on are of one name with the one before."""
+    if goes_on.any():
+        keep = np.concatenate([[True], ~goes_on])
+        heads = np.flatnonzero(keep)
+        slots = np.add.reduceat(slots * (np.arange(len(slots), dtype=_U) - heads[np.cumsum(keep) - 1].astype(_U) + _U(1)), heads)
+        hashes, kinds = hashes[heads], kinds[heads]
+    slot = kinds != _WORD
+    values = np.where(slot, slots * _PRIME + kinds.astype(_U), _U(0))
+    template = np.where(slot, kinds.astype(_U), hashes)
+    firsts = np.arange(max(0, len(kinds) - WINDOW + 1))
+    plain = np.concatenate([[0], np.cumsum(~slot)])
+    enough = plain[firsts + WINDOW] - plain[firsts] >= LEAST_WORDS if len(firsts) else np.zeros(0, bool)
+    return _rolled(template)[enough] ^ _U(0x5851F42D4C957F2D), firsts[enough], values
 
 
 def _rolled(hashes: np.ndarray) -> np.ndarray:
     n = len(hashes) - WINDOW + 1
     if n < 1:
         return np.zeros(0, _U)
-    out = np.zeros(n, _U)
-    for k in range(WINDOW):
-        out = out * _PRIME + hashes[k : k + n]
+    out, power, width = hashes, _PRIME, 1
+    while width < WINDOW:  # a power of two
+        with np.errstate(over="ignore"):
+            out, power, width = out[:-width] * power + out[width:], power * power, 2 * width
     return (out ^ (out >> _U(32))) * _PRIME
 
 
@@ -188,16 +216,17 @@ def _matches(docs: DataFrame, benchmark: DataFrame, uid: str, text: str, doc_id:
     marks = spark.sparkContext.broadcast(_bitmap(sought))
     found = written(mapped(docs.select(F.col(uid).alias("uid"), F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text")), _cut(lambda: marks.value), _SCHEMA), "windows")
     every = found.where("h is null").select("uid", F.col("key").alias("doc_id"))
-    hits = found.where("h is not null").select("uid", "h", "reading", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
-    met = hits.join(sought, ["h", "reading"])
+    hits = found.where("h is not null").select("uid", "h", F.col("reading").alias("doc_reading"), F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
+    # Each template of the document with each of the item: the second is there only where it differs.
+    met = hits.join(sought, (hits.h == sought.h) & ((hits.doc_reading == 0) == (sought.reading == 0))).drop(sought.h)
     # Windows of one alignment: as many as the item has tokens at most.
     pairs = F.filter(F.arrays_zip(F.col("slots").alias("i"), F.col("doc_slots").alias("d")), lambda x: x.i != 0)
-    aligned = met.groupBy("uid", "item", "reading", "total", "n_items", "first_item", (F.col("doc_at") - F.col("at")).alias("shift"))
+    aligned = met.groupBy("uid", "item", "reading", "doc_reading", "total", "n_items", "first_item", (F.col("doc_at") - F.col("at")).alias("shift"))
     aligned = aligned.agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("p"))
     one_to_one = (F.size(F.array_distinct("p.i")) == F.size("p")) & (F.size(F.array_distinct("p.d")) == F.size("p"))
-    together = aligned.where(one_to_one | (F.col("reading") == 0)).groupBy("uid", "item", "reading", "total", "n_items", "first_item")
+    together = aligned.where(one_to_one | (F.col("reading") == 0)).groupBy("uid", "item", "reading", "doc_reading", "total", "n_items", "first_item")
     enough = together.agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("n")).where(F.col("n") >= F.least("total", F.lit(ENOUGH)))
-    # Both readings of an item count once.
+    # All readings of an item count once.
     by_item = enough.groupBy("uid", "first_item").agg(F.max("n_items").alias("n_items"))
     by_doc = by_item.groupBy("uid").agg(F.sum("n_items").alias("n_items"), F.min("first_item").alias("first_item"))
     return every.join(by_doc, "uid", "left").select("uid", "doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), "first_item")

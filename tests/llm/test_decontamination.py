@@ -102,3 +102,23 @@ def test_against_brute_force(spark):
     got = {r.doc_id: r.contaminated for r in dc.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = {d: any(contains(t, i) for _, i in items) for d, t in docs}
     assert got == want and 10 < sum(want.values()) < 110
+
+
+def test_names_at_borders_and_units(spark):
+    """Re-parameterised items that begin with a recurring name, behind a name in the text before; units in the plural."""
+    item = "Natalia sold 40 clips to her friends in the month of April. After Natalia sold half as many clips in May"
+    hours = "it took the slow train 1 hour to get to the next town and then 3 hours to get over the long bridge to the coast again"
+    titled = "Dr. Smith had 5 red pens on the table. After Dr. Smith lost 2 of the red pens he went on the way to the small shop by the river"
+    asked = item.replace("Natalia", "Joan").replace("40", "72")
+    docs = [
+        (1, f"Question: {asked}", True),
+        (2, f"He was born in Paris. {asked}", True),
+        (3, f"The capital is Paris\n{asked}", True),
+        (4, f"Question: {asked.replace('After Joan', 'After Mark')}", False),  # the slots of one name differ
+        (5, hours.replace("1 hour", "2 hours").replace("3 hours", "5 hours"), True),
+        (6, titled.replace("Dr. Smith", "Anna").replace("5", "9"), True),  # a name with a period in it is one name still
+        (7, item, True),
+    ]
+    bench = spark.createDataFrame([(1, item), (2, hours), (3, titled)], "item_id long, text string")
+    got = {r.doc_id: r.contaminated for r in dc.contamination(spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string"), bench).collect()}
+    assert got == {d: c for d, _, c in docs}
