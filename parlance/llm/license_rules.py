@@ -7,6 +7,7 @@ stands between a blank and a semicolon.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -39,16 +40,16 @@ gpl-1.0 | gpl 1 0 [only|or] [later] | gnu general public license|licence [versio
 gpl | gpl | gnu general public license|licence; gnu gpl license|licence; gpl license|licence | gnu org licenses gpl; gnu org copyleft gpl
 lgpl-3.0 | lgpl 3 0 [only|or] [later] | gnu lesser general public license|licence [version|v] 3|v3 [0]; lgplv3 license|licence | gnu org licenses lgpl 3 0
 lgpl-2.1 | lgpl 2 1 [only|or] [later] | gnu lesser general public license|licence [version|v] 2 1; lgpl license|licence 2 1 | gnu org licenses lgpl 2 1; gnu org licenses old licenses lgpl 2 1
-lgpl-2.0 | lgpl 2 0 [only|or] [later] | gnu library general public license|licence [version|v] 2 [0] | gnu org licenses old licenses lgpl 2 0
+lgpl-2.0 | lgpl 2 0 [only|or] [later] | gnu library general public license|licence [version|v] 2|v2 [0] | gnu org licenses old licenses lgpl 2 0
 lgpl | lgpl | gnu lesser general public license|licence; lesser general public license|licence; gnu library general public license|licence; lgpl license|licence | gnu org licenses lgpl; gnu org copyleft lesser
 agpl-3.0 | agpl 3 0 [only|or] [later] | gnu affero general public license|licence [version|v] 3|v3 [0]; affero general public license|licence; agplv3 license|licence | gnu org licenses agpl 3 0; gnu org licenses agpl
 fdl-1.3 | gfdl 1 3 [only|or] [later] | gnu free documentation license|licence [version|v] 1 3 | gnu org licenses fdl 1 3
 fdl | gfdl 1 2 [only|or] [later] | gnu free documentation license|licence; gfdl license|licence | gnu org licenses fdl; gnu org copyleft fdl
-mpl-2.0 | mpl 2 0 | mozilla public license|licence [version|v] 2 [0]; mpl license|licence 2 0 | mozilla org mpl 2 0; mozilla org en us mpl 2 0
+mpl-2.0 | mpl 2 0 | mozilla public license|licence [version|v] 2|v2 [0]; mpl license|licence 2 0 | mozilla org mpl 2 0; mozilla org en us mpl 2 0
 mpl-1.1 | mpl 1 1 | mozilla public license|licence [version|v] 1 1 | mozilla org mpl 1 1
 mpl | mpl 1 0 | mozilla public license|licence; mpl license|licence | mozilla org mpl
-epl-2.0 | epl 2 0 | eclipse public license|licence [version|v] 2 [0] | eclipse org legal epl 2 0; eclipse org legal epl v20
-epl-1.0 | epl 1 0 | eclipse public license|licence [version|v] 1 [0]; eclipse public license|licence | eclipse org legal epl v10
+epl-2.0 | epl 2 0 | eclipse public license|licence [version|v] 2|v2 [0] | eclipse org legal epl 2 0; eclipse org legal epl v20
+epl-1.0 | epl 1 0 | eclipse public license|licence [version|v] 1|v1 [0]; eclipse public license|licence | eclipse org legal epl v10
 edl | bsd 3 clause eclipse | eclipse distribution license|licence | eclipse org org documents edl v10
 cddl-1.0 | cddl 1 0 | common development and distribution license|licence; cddl license|licence | opensource org licenses|license cddl 1 0
 cddl-1.1 | cddl 1 1 | common development and distribution license|licence [version|v] 1 1 | glassfish java net public cddl
@@ -60,12 +61,12 @@ libpng | libpng 2 0 | libpng license|licence; png reference library license|lice
 bsl-1.0 | bsl 1 0 | boost software license|licence; boost license|licence | boost org license 1 0; opensource org licenses|license bsl 1 0
 unlicense | unlicense | the unlicense license|licence; unlicense license|licence | unlicense org; opensource org licenses|license unlicense
 wtfpl | wtfpl | wtfpl license|licence; do what the fuck you want to public license|licence | wtfpl net; sam zoy org wtfpl
-artistic-2.0 | artistic 2 0 | artistic license|licence [version|v] 2 [0] | opensource org licenses|license artistic 2 0
+artistic-2.0 | artistic 2 0 | artistic license|licence [version|v] 2|v2 [0] | opensource org licenses|license artistic 2 0
 artistic | artistic 1 0 [perl|cl8] | artistic license|licence; perl artistic license|licence | opensource org licenses|license artistic license; dev perl org licenses artistic
 eupl-1.2 | eupl 1 2 | european union public license|licence [version|v] 1 2 | joinup ec europa eu collection eupl
 eupl | eupl 1 1 | european union public license|licence; eupl license|licence | ec europa eu idabc eupl
-osl-3.0 | osl 3 0 | open software license|licence [version|v] 3 [0]; open software license|licence | opensource org licenses|license osl 3 0
-afl-3.0 | afl 3 0 | academic free license|licence [version|v] 3 [0]; academic free license|licence | opensource org licenses|license afl 3 0
+osl-3.0 | osl 3 0 | open software license|licence [version|v] 3|v3 [0]; open software license|licence | opensource org licenses|license osl 3 0
+afl-3.0 | afl 3 0 | academic free license|licence [version|v] 3|v3 [0]; academic free license|licence | opensource org licenses|license afl 3 0
 ms-pl | ms pl | microsoft public license|licence | opensource org licenses|license ms pl
 ms-rl | ms rl | microsoft reciprocal license|licence | opensource org licenses|license ms rl
 python-2.0 | python 2 0; psf 2 0 | python software foundation license|licence; psf license|licence | docs python org license; python org psf license
@@ -92,12 +93,12 @@ cc-pdm | cc pdm 1 0 | creative commons public domain mark | creativecommons org
 odbl-1.0 | odbl 1 0 | open database license|licence; odbl license|licence | opendatacommons org licenses odbl
 odc-by-1.0 | odc by 1 0 | open data commons attribution license|licence | opendatacommons org licenses by
 pddl-1.0 | pddl 1 0 | public domain dedication and license|licence; open data commons public domain dedication | opendatacommons org licenses pddl
-ogl-uk-3.0 | ogl uk 3 0 | open government license|licence [version|v] 3 [0]; open government license|licence | nationalarchives gov uk doc open government licence version 3
+ogl-uk-3.0 | ogl uk 3 0 | open government license|licence [version|v] 3|v3 [0]; open government license|licence | nationalarchives gov uk doc open government licence version 3
 etalab-2.0 | etalab 2 0 | etalab open license|licence; licence ouverte etalab | etalab gouv fr licence ouverte open licence
 dl-de-by-2.0 | dl de by 2 0 | datenlizenz deutschland namensnennung 2 0 | govdata de dl de by 2 0
 busl-1.1 | busl 1 1 | business source license|licence [version|v] 1 1; business source license|licence | mariadb com bsl11
 sspl-1.0 | sspl 1 0 | server side public license|licence | mongodb com licensing server side public license
-elastic-2.0 | elastic 2 0 | elastic license|licence 2 [0]; elastic license|licence | elastic co licensing elastic license
+elastic-2.0 | elastic 2 0 | elastic license|licence 2|v2 [0]; elastic license|licence | elastic co licensing elastic license
 bigscience-rail | bigscience bloom rail 1 0 | bigscience rail license|licence; responsible ai license|licence; openrail m license|licence | huggingface co spaces bigscience license
 vim | vim | vim license|licence | vimdoc sourceforge net htmldoc uganda
 ncsa | ncsa | university of illinois ncsa open source license|licence; ncsa open source license|licence | opensource org licenses|license ncsa
@@ -161,6 +162,9 @@ GATES = (
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
 
 
+_CLASS = re.compile(r"\[.-.\]")
+
+
 def compiled(pattern: str) -> str:
     """The regular expression of a pattern. It has no groups to capture and no look-around."""
     out = []
@@ -168,7 +172,8 @@ def compiled(pattern: str) -> str:
         if token[0] == "*":
             out.append(f"(?: [^;]+;){{0,{token[1:]}}}")
             continue
-        inner = token.strip("[]") if token[0] == "[" and token[-1] == "]" and "[0" not in token else token
+        # The first bracket must be closed by the last: 19[0-9][0-9] and [0-9][0-9] are words with classes.
+        inner = token[1:-1] if token[0] == "[" and token.find("]") == len(token) - 1 and not _CLASS.fullmatch(token) else token
         word = f" (?:{inner});" if "|" in inner else f" {inner};"
         out.append(f"(?:{word})?" if inner != token else word)
     return "".join(out)

@@ -78,3 +78,21 @@ def test_plan_has_no_python(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     plan = ls.license_table(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize(
+    "text,label",
+    [
+        ("GNU General Public License version 2", "gpl-2.0"), ("the GNU General Public License v3", "gpl-3.0"), ("GNU Lesser General Public License v3", "lgpl-3.0"),
+        ("GNU General Public License, version 2.0", "gpl-2.0"), ("Eclipse Public License v2", "epl-2.0"), ("Mozilla Public License version 2", "mpl-2.0"),
+        ("Copyright 2019", "copyright"), ("Copyright (c) 1987", "copyright"),
+    ],
+)
+def test_a_zero_may_be_missing(text, label):
+    labels = expected(text)[5].split(",")
+    assert label in labels and ("epl-1.0" not in labels or label == "epl-1.0")
+
+
+def test_optional_words_and_classes():
+    assert lr.compiled("version 2 [0]") == " version; 2;(?: 0;)?"
+    assert lr.compiled("[c] 19[0-9][0-9] [0-9] [0-9][0-9]") == "(?: c;)? 19[0-9][0-9]; [0-9]; [0-9][0-9];"
