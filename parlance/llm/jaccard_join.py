@@ -7,6 +7,8 @@
    documents have one, each pair of them is noted, and pairs noted fewer than AGREE times are left out.
    A frequent one, as a passage makes that texts share, joins only those of its bearers that have
    more frequent ones than parts to spare: any other shares AGREE rare ones with all it links with.
+   A set with few filled parts sends its empty ones too; what it links with may not, so it can spare
+   no frequent filled one.
    Tasks send what they have often seen to where its bearer goes, not to one place.
 3. What hangs together by signatures is a block; nothing links across blocks. Within a block each set
    is looked up among the smaller ones by T-occurrence search: the shingles' inverted lists are split
@@ -108,7 +110,7 @@ class Signatures:
         return differ, differ + AGREE + 4 + differ // 20
 
     def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, list[int]]:
-        """The keys, whose last bit tells the two groups apart, and for each group (even, odd) how many frequent keys can be spared."""
+        """The keys, whose last bit tells the two groups apart and the one before it empty parts, and for each group (even, odd) how many frequent keys can be spared."""
         n, spare = len(hashes), [0, 0]
         if not n:
             return np.zeros(0, _U), spare
@@ -123,15 +125,15 @@ class Signatures:
             heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             content = np.add.reduceat(mixed, heads)
             seed = _U((g << 32) + parts)
-            keys = [_mix((content ^ _mix(part[heads] + _U(1))) + seed)]
+            keys = [_mix((content ^ _mix(part[heads] + _U(1))) + seed) & ~_U(3)]
             # Of the equal parts so many at least are filled; AGREE of them must not be frequent.
             spare[g & 1] = len(heads) - differ - AGREE
             if spare[g & 1] < 0:
                 # Too few of the equal parts may be filled: empty ones count too.
                 empty = np.setdiff1d(np.arange(parts, dtype=_U), part[heads])
-                keys.append(_mix(_mix(empty * _U(0xC2B2AE3D27D4EB4F) + _U(1)) + seed))
+                keys.append(_mix(_mix(empty * _U(0xC2B2AE3D27D4EB4F) + _U(1)) + seed) & ~_U(3) | _U(2))
                 spare[g & 1] = parts - differ - AGREE
-            found.append((np.concatenate(keys) & ~_U(1)) | _U(g & 1))
+            found.append(np.concatenate(keys) | _U(g & 1))
         return (np.unique(np.concatenate(found)) if found else np.zeros(0, _U)), spare
 
 
@@ -253,6 +255,8 @@ def _signed(words: int, percent: int):
             for uid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = shingles(text)
                 sent, spare = signatures(found)
+                # Below 0 where empty parts are sent, which is read back in _candidates.
+                spare = [-1 - x if (sent & _U(3) == _U(side | 2)).any() else x for side, x in enumerate(spare)]
                 uids.append(uid)
                 more.append(np.array([(doc_id is not None, doc_id or 0, len(found), signatures.size_class(len(found)), spare, _digest(found))], _DOC).tobytes())
                 slot = (sent & _U((1 << SEEN_BITS) - 1)).astype(np.int64)
@@ -335,12 +339,14 @@ def _candidates(met: DataFrame) -> DataFrame:
 
     Pairs noted AGREE times; and of frequent signatures those bearers that have more of them than they
     can spare. A set that can spare its frequent ones has AGREE others in common with each that it links with.
+    Of a set that sends empty parts, some of these may not send theirs: all filled ones in common must be rare.
     """
     pairs = met.where(F.col("what") == _PAIR).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= AGREE).select("a", "b")
     frequent = met.where(F.col("what") == _FREQUENT).select(F.col("a").alias("uid"), F.col("b").alias("key"), F.col("b").bitwiseAND(F.lit(1)).alias("side"))
     spare = met.where(F.col("what") == _DOCUMENT).select(F.col("a").alias("uid"), "even", "odd")
-    counts = frequent.groupBy("uid", "side").agg(F.count(F.lit(1)).alias("has")).join(spare, "uid")
-    needy = counts.where(F.col("has") > F.when(F.col("side") == 0, F.col("even")).otherwise(F.col("odd"))).select("uid", "side")
+    counts = frequent.groupBy("uid", "side").agg(F.count(F.lit(1)).alias("has"), F.count(F.when(F.col("key").bitwiseAND(F.lit(2)) == 0, 1)).alias("filled")).join(spare, "uid")
+    can = F.when(F.col("side") == 0, F.col("even")).otherwise(F.col("odd"))
+    needy = counts.where(F.when(can < 0, (F.col("filled") > 0) | (F.col("has") > -1 - can)).otherwise(F.col("has") > can)).select("uid", "side")
     bearers = frequent.join(needy, ["uid", "side"], "left_semi")
     first = bearers.groupBy("key").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("bearers")).where("bearers > 1")
     return pairs.unionByName(bearers.join(first, "key").select(F.col("uid").alias("a"), F.col("first").alias("b")).where("a != b").distinct())

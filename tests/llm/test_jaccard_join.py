@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parlance.llm import jaccard_join as jj
@@ -127,3 +128,28 @@ def test_components(spark):
     clean = [x for x in links if None not in x and x[0] != x[1]]
     root = roots(200, clean)
     assert found == {k: root[k] for x in clean for k in x}
+
+
+def test_sets_with_and_without_empty_parts_meet_by_frequent_keys(spark):
+    """Of two that link one sends its empty parts and the other doesn't; all but two of the keys in common are frequent."""
+    make, sign = jj.Shingles(5), jj.Signatures(80)
+    found = None
+    for k in range(3000):
+        words = ["w%d" % (k * 100 + i) for i in range(12)]
+        texts = [" ".join(words), " ".join(words[:11])]
+        sets = [make(t) for t in texts]
+        g = max(sign.size_class(len(x)) for x in sets)
+        differ, parts = sign._split(g)
+        filled = [len(np.unique((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32))) for x in sets]
+        both = np.intersect1d(sign(sets[0])[0], sign(sets[1])[0])
+        both = both[both & np.uint64(1) == g & 1]
+        if min(filled) < differ + jj.AGREE <= max(filled) and 2 < len(both) - 1 <= parts - differ - jj.AGREE:
+            found = texts, both[2:].view(np.int64).tolist()
+            break
+    assert found
+    texts, frequent = found
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array(texts)], ["uid", "doc_id", "text"])
+    documents = [b for b in jj._signed(5, 80)(iter([batch])) if b.column(2).null_count == 0]
+    met = [tuple(r.values()) for b in jj._met(iter(documents)) for r in b.to_pylist()]
+    met += [(jj._FREQUENT, uid, key, None, None, None, None, None, None) for uid in (1, 2) for key in frequent]
+    assert {tuple(sorted(r)) for r in jj._candidates(spark.createDataFrame(met, jj._MET)).collect()} == {(1, 2)}
