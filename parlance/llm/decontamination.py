@@ -7,10 +7,13 @@ can hold them too (Dr. Smith), a text with such runs is read as a template in a
 they go on. Windows of WINDOW tokens of both readings are joined by hash
 with those of the benchmark. Windows that lie at the same distance in document and item are taken
 together, and the slots they cover must be filled consistently: equal in the item exactly where equal
-in the document. An item with enough windows matched is in the document.
+in the document. An item with enough windows matched is in the document. A reading of fewer than WINDOW
+tokens is one window of its own length. Scripts without spaces are read character by character.
 
 Only windows whose hash is marked in a bitmap of fixed size leave the scan, so the join moves little
 more than what matches; a benchmark too large for the bitmap makes it let more through, not less.
+An item that needs k windows has one at least outside of its k - 1 most common ones: only those lead
+to it, so a phrase that many items share doesn't join each of them with each document that has it.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import kept, mapped, number_rows, scratch, without_rows, written
@@ -32,6 +35,8 @@ WINDOW, LEAST_WORDS, ENOUGH = 8, 4, 6
 MARK_BITS = 26
 MARK_SLICES = 64
 STORE = 500_000
+#: Rows of windows or of classes of items that go to every executor, some 150 bytes each; more are joined by a shuffle.
+BROADCAST_WINDOWS = 100_000
 
 # Words that stand for units of measure, money and time.
 UNITS = frozenset(
@@ -52,8 +57,10 @@ STARTERS = frozenset(
     los las una cuando en de""".split()
 )
 
-# Numbers, words, and what is between them but for blanks.
-_TOKENS = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[^\w ]+")
+# Letters of scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = "\u0e01-\u0e4f\u0e81-\u0ecf\u1000-\u103f\u1780-\u17df\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+# Numbers, words, letters of those scripts, and what is between them but for blanks.
+_TOKENS = re.compile(rf"\d+(?:[.,]\d+)*|[^\W\d_{_UNSPACED}]+|[{_UNSPACED}]|[^\w ]+")
 _WORD, _NUMBER, _NAME, _UNIT, _BREAK, _JOINT = range(6)
 #: What names go on over: Anne-Marie, D'Arcy.
 _JOINTS = frozenset("-\u2010\u2011'\u2019\t\u00a0")
@@ -83,16 +90,21 @@ class _Tokens(dict):
         return k
 
 
+#: Of a reading: hashes and first tokens of its windows, their length, and slot values by token.
+Reading = tuple[np.ndarray, np.ndarray, int, np.ndarray]
+
+
 class Windows:
-    """The windows of a text: for each reading (hashes, first tokens, slot values by token).
+    """The windows of a text in each reading: as words, as a template, and if that differs as one in which runs of names go on over punctuation.
 
-    The readings: as words, as a template, and if that differs as one in which runs of names go on over punctuation.
+    lengths: of windows below WINDOW that are given too. As an item, a reading of fewer tokens than WINDOW
+    is one window of their number.
     """
 
-    def __init__(self) -> None:
-        self._tokens = _Tokens()
+    def __init__(self, lengths: tuple[int, ...] = ()) -> None:
+        self._tokens, self._lengths = _Tokens(), (*lengths, WINDOW)
 
-    def __call__(self, text: str | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def __call__(self, text: str | None, item: bool = False) -> list[tuple[int, Reading]]:
         if len(self._tokens) > STORE:
             self._tokens = _Tokens()
         known = self._tokens
@@ -103,68 +115,123 @@ class Windows:
         breaks = np.cumsum(kinds == _BREAK)[token]
         rows, kinds = rows[token], kinds[token]
         hashes, slots = known.hashes[rows], known.slots[rows]
-        words = (_rolled(hashes), np.arange(max(0, len(hashes) - WINDOW + 1)), np.zeros(len(hashes), _U))
+        read = [(hashes, np.zeros(len(hashes), _U))]
         name = kinds == _NAME
         goes_on = name[1:] & name[:-1]
         broken = goes_on & (breaks[1:] != breaks[:-1])
         if not broken.any():
-            return [words, _template(hashes, slots, kinds, goes_on)]
-        return [words, _template(hashes, slots, kinds, goes_on & ~broken), _template(hashes, slots, kinds, goes_on)]
+            read.append(_template(hashes, slots, kinds, goes_on))
+        else:
+            read += [_template(hashes, slots, kinds, goes_on & ~broken), _template(hashes, slots, kinds, goes_on)]
+        return [(k, w) for k, (own, values) in enumerate(read) for w in _windows(own, values, k > 0, (min(WINDOW, len(own)),) if item else self._lengths)]
 
 
-def _template(hashes: np.ndarray, slots: np.ndarray, kinds: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The template's windows; goes_on: which tokens from the second on are of one name with the one before."""
+def _template(hashes: np.ndarray, slots: np.ndarray, kinds: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The template's tokens and slot values; goes_on: which tokens from the second on are of one name with the one before."""
     if goes_on.any():
         keep = np.concatenate([[True], ~goes_on])
         heads = np.flatnonzero(keep)
         slots = np.add.reduceat(slots * (np.arange(len(slots), dtype=_U) - heads[np.cumsum(keep) - 1].astype(_U) + _U(1)), heads)
         hashes, kinds = hashes[heads], kinds[heads]
     slot = kinds != _WORD
-    values = np.where(slot, slots * _PRIME + kinds.astype(_U), _U(0))
-    template = np.where(slot, kinds.astype(_U), hashes)
-    firsts = np.arange(max(0, len(kinds) - WINDOW + 1))
-    plain = np.concatenate([[0], np.cumsum(~slot)])
-    enough = plain[firsts + WINDOW] - plain[firsts] >= LEAST_WORDS if len(firsts) else np.zeros(0, bool)
-    return _rolled(template)[enough] ^ _U(0x5851F42D4C957F2D), firsts[enough], values
+    return np.where(slot, kinds.astype(_U), hashes), np.where(slot, slots * _PRIME + kinds.astype(_U), _U(0))
 
 
-def _rolled(hashes: np.ndarray) -> np.ndarray:
-    n = len(hashes) - WINDOW + 1
-    if n < 1:
-        return np.zeros(0, _U)
-    out, power, width = hashes, _PRIME, 1
-    while width < WINDOW:  # a power of two
-        with np.errstate(over="ignore"):
-            out, power, width = out[:-width] * power + out[width:], power * power, 2 * width
-    return (out ^ (out >> _U(32))) * _PRIME
-
+def _windows(tokens: np.ndarray, values: np.ndarray, template: bool, lengths: tuple[int, ...]) -> Iterator[Reading]:
+    """Windows of each length; of a template those with enough words."""
+    plain = np.concatenate([[0], np.cumsum(values == 0)]) if template else None
+    for n in lengths:
+        if not 0 < n <= len(tokens):
+            continue
+        h, at = _rolled(tokens, n), np.arange(len(tokens) - n + 1)
+        if template:
+            enough = plain[at + n] - plain[at] >= LEAST_WORDS
+            h, at = h[enough] ^ _U(0x5851F42D4C957F2D), at[enough]
+        yield h, at, n, values
 
-_NAMES = ["uid", "key", "h", "reading", "at", "total", "slots"]
-_SCHEMA = "uid long, key long, h long, reading int, at long, total long, slots array<long>"
 
-
-def _cut(marks: Callable[[], np.ndarray] | None):
-    """A row for each text (h null) and one for each window that is marked; all windows, without marks."""
+def _rolled(hashes: np.ndarray, length: int = WINDOW) -> np.ndarray:
+    """A hash of each run of so many tokens; runs of different lengths have different hashes."""
+    n = len(hashes) - length + 1
+    if n < 1:
+        return np.zeros(0, _U)
+    with np.errstate(over="ignore"):
+        if length == WINDOW:  # a power of two: three steps
+            out, power, width = hashes, _PRIME, 1
+            while width < WINDOW:
+                out, power, width = out[:-width] * power + out[width:], power * power, 2 * width
+        else:
+            out = hashes[:n] + _U(length)
+            for k in range(1, length):
+                out = out * _PRIME + hashes[k : k + n]
+        return (out ^ (out >> _U(32))) * _PRIME
+
+
+def _kind(template: bool, reading: Reading) -> bytes:
+    """What is the same of two readings that match the same documents: windows, and where slots are equal."""
+    h, at, n, values = reading
+    if not template:
+        return xxhash.xxh3_128_digest(h.tobytes()) + b"w"
+    covered = np.zeros(len(values) + 1, np.int64)
+    np.add.at(covered, at, 1)
+    np.add.at(covered, at + n, -1)
+    held = np.where(np.cumsum(covered[:-1]) > 0, values, _U(0))
+    _, first, which = np.unique(held, return_index=True, return_inverse=True)
+    return xxhash.xxh3_128_digest(np.concatenate([h, at.astype(_U), np.where(held == 0, 0, first[which] + 1).astype(_U)]).tobytes()) + b"t"
+
+
+_NAMES = ["uid", "key", "h", "reading", "at", "total", "length", "kind", "slots"]
+_SCHEMA = "uid long, key long, h long, reading int, at long, total long, length int, kind binary, slots array<long>"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+#: Rows of windows that are given out at a time.
+_ROWS = 20_000
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], _NAMES)
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of each item."""
+    windows, out = Windows(), []
+    for batch in batches:
+        for uid, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for reading, found in windows(text, True):
+                (h, at, n, values), kind = found, _kind(reading > 0, found)
+                for k in range(len(h)):
+                    a = int(at[k])
+                    out.append((uid, key, int(h[k].view(np.int64)), reading, a, len(h), n, kind, values[a : a + n].view(np.int64).tolist() if reading else None))
+                    if len(out) == _ROWS:
+                        yield _batch(out)
+                        out = []
+    yield _batch(out)
+
+
+def _documents(marks: Callable[[], np.ndarray], lengths: tuple[int, ...]):
+    """A row for each text (h null) and one for each window that is marked; of words each hash once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows()
-        bits = None if marks is None else marks()
+        windows, bits, out = Windows(lengths), marks(), []
         for batch in batches:
-            out: list[tuple] = []
             for uid, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.append((uid, key, None, 0, 0, 0, None))
-                for reading, (h, at, values) in enumerate(windows(text)):
-                    if bits is not None and len(h):
-                        place = h >> _U(64 - MARK_BITS)
-                        chosen = np.flatnonzero(bits[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8) & 1)
-                    else:
-                        chosen = np.arange(len(h))
+                out.append((uid, key, None, 0, 0, 0, 0, None, None))
+                for reading, (h, at, n, values) in windows(text):
+                    if not len(h):
+                        continue
+                    place = h >> _U(64 - MARK_BITS)
+                    chosen = np.flatnonzero(bits[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8) & 1)
+                    if not reading:
+                        chosen = chosen[np.unique(h[chosen], return_index=True)[1]]
                     for k in chosen.tolist():
                         a = int(at[k])
-                        out.append((uid, key, int(h[k].view(np.int64)), reading, a, len(h), values[a : a + WINDOW].view(np.int64).tolist()))
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _NAMES)
+                        out.append((uid, key, int(h[k].view(np.int64)), reading, a, 0, n, None, values[a : a + n].view(np.int64).tolist() if reading else None))
+                        if len(out) == _ROWS:
+                            yield _batch(out)
+                            out = []
+            if out:
+                yield _batch(out)
+                out = []
 
     return rows
 
@@ -190,64 +257,87 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, uid: str, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """uid, doc_id, n_items and first_item of each row of docs: the items of the benchmark that are in it.
+def matches(docs: DataFrame, benchmark: DataFrame, uid: str, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", items: bool = True) -> DataFrame:
+    """uid, doc_id, contaminated, n_items and first_item of each row of docs: the rows of the benchmark that are in it.
 
-    Items with the same template and the same pattern of equal slots are searched for once. An item
-    with fewer than WINDOW tokens matches nothing, nor does a null or empty text on either side.
+    Items with the same windows and the same pattern of equal slots are searched for once. A null or
+    empty text on either side matches nothing; an item whose item_id is null is searched for like any
+    other. items: whether the items found are counted; without, n_items and first_item are null.
     """
     with scratch(docs.sparkSession):
-        return kept(_matches(docs, benchmark, uid, text, doc_id, item_id, item_text), "contaminated")
+        return kept(_matches(docs, benchmark, uid, text, doc_id, item_id, item_text, items), "contaminated")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_WINDOWS else df
 
 
-def _matches(docs: DataFrame, benchmark: DataFrame, uid: str, text: str, doc_id: str, item_id: str, item_text: str) -> DataFrame:
+def _matches(docs: DataFrame, benchmark: DataFrame, uid: str, text: str, doc_id: str, item_id: str, item_text: str, with_items: bool) -> DataFrame:
     spark = docs.sparkSession
     numbered = benchmark.select(F.monotonically_increasing_id().alias("uid"), F.col(item_id).cast("long").alias("key"), F.col(item_text).alias("text"))
-    items = written(mapped(numbered, _cut(None), _SCHEMA), "items").where("h is not null")
-    # What is searched for: windows by reading, each set of equal ones once.
-    pattern = F.array_position
-    ordered = F.sort_array(F.collect_list(F.struct("at", "h", "slots")))
-    whole = items.groupBy("uid", "key", "reading", "total").agg(ordered.alias("w"))
-    filled = F.flatten(F.transform("w", lambda x: x.slots))
-    equal = F.transform(filled, lambda v: F.when(v == 0, F.lit(0).cast("long")).otherwise(pattern(filled, v)))
-    whole = whole.withColumn("kind", F.sha2(F.to_json(F.struct("reading", "w.h", equal.alias("e"))), 256))
-    kinds = whole.groupBy("kind").agg(F.min("uid").alias("item"), F.count_distinct("key").alias("n_items"), F.min("key").alias("first_item"))
-    sought = written(whole.join(kinds, (whole.uid == kinds.item) & (whole.kind == kinds.kind)).select("item", "reading", "total", "n_items", "first_item", F.inline("w")), "sought")
+    items = written(mapped(numbered, _items, _SCHEMA), "items")
+    # Each set of equal windows once, as the first reading of the first item has them.
+    first = items.groupBy("kind").agg(F.min(F.struct("uid", "reading")).alias("first"))
+    own = items.join(first, "kind").where((F.col("uid") == F.col("first.uid")) & (F.col("reading") == F.col("first.reading")))
+    often = items.groupBy("h").agg(F.count(F.lit(1)).alias("times"))
+    need = F.least("total", F.lit(ENOUGH))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("times", "at"))
+    sought = own.join(often, "h").select("kind", "h", F.col("at").alias("item_at"), "length", need.alias("need"), (F.col("reading") == 0).alias("words"), F.col("slots").alias("item_slots"), (place <= F.col("total") - need + 1).alias("leads"))
+    sought = written(sought, "sought")
+    lengths = tuple(sorted(r.length for r in sought.where(F.col("length") < WINDOW).select("length").distinct().collect()))
     marks = spark.sparkContext.broadcast(_bitmap(sought))
-    found = written(mapped(docs.select(F.col(uid).alias("uid"), F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text")), _cut(lambda: marks.value), _SCHEMA), "windows")
+    read = docs.select(F.col(uid).alias("uid"), F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
+    found = written(mapped(read, _documents(lambda: marks.value, lengths), _SCHEMA), "windows")
+    hits = found.where("h is not null").select("uid", "h", (F.col("reading") == 0).alias("words"), "reading", "at", "slots")
+    # The windows that lead to an item, then for what they lead to the few others.
+    by_lead = hits.join(_few(sought.where("leads").drop("leads", "length")), ["h", "words"])
+    names = ["uid", "kind", "need", "words", "reading", "at", "slots", "item_at", "item_slots"]
+    by_lead = written(by_lead.select(*names), "leads")
+    others = by_lead.select("uid", "kind").distinct().join(_few(sought.where(~F.col("leads")).drop("leads", "length")), "kind")
+    met = written(by_lead.unionByName(others.join(hits, ["uid", "h", "words"]).select(*names)), "met")
+    in_words = met.where("words").groupBy("uid", "kind", "need").agg(F.count(F.lit(1)).alias("n"))
+    # Templates: windows of one alignment whose slots are filled one to one. Each template of the
+    # document with each of the item: the second is there only where it differs.
+    alignment = ["uid", "kind", "reading", "shift"]
+    aligned = met.where(~F.col("words")).withColumn("shift", F.col("at") - F.col("item_at"))
+    filled = aligned.select(*alignment, F.inline(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))).where("i != 0").distinct()
+    filled = filled.groupBy(*alignment).agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("i")).alias("of_i"), F.size(F.collect_set("d")).alias("of_d"))
+    conflicts = filled.where((F.col("of_i") < F.col("n")) | (F.col("of_d") < F.col("n")))
+    in_template = aligned.join(conflicts, alignment, "left_anti").groupBy("uid", "kind", "need", "reading").agg(F.count_distinct("item_at").alias("n"))
+    there = written(in_words.unionByName(in_template.drop("reading")).where("n >= need").select("uid", "kind").distinct(), "found")
     every = found.where("h is null").select("uid", F.col("key").alias("doc_id"))
-    hits = found.where("h is not null").select("uid", "h", F.col("reading").alias("doc_reading"), F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
-    # Each template of the document with each of the item: the second is there only where it differs.
-    met = hits.join(sought, (hits.h == sought.h) & ((hits.doc_reading == 0) == (sought.reading == 0))).drop(sought.h)
-    # Windows of one alignment: as many as the item has tokens at most.
-    pairs = F.filter(F.arrays_zip(F.col("slots").alias("i"), F.col("doc_slots").alias("d")), lambda x: x.i != 0)
-    aligned = met.groupBy("uid", "item", "reading", "doc_reading", "total", "n_items", "first_item", (F.col("doc_at") - F.col("at")).alias("shift"))
-    aligned = aligned.agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("p"))
-    one_to_one = (F.size(F.array_distinct("p.i")) == F.size("p")) & (F.size(F.array_distinct("p.d")) == F.size("p"))
-    together = aligned.where(one_to_one | (F.col("reading") == 0)).groupBy("uid", "item", "reading", "doc_reading", "total", "n_items", "first_item")
-    enough = together.agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("n")).where(F.col("n") >= F.least("total", F.lit(ENOUGH)))
-    # All readings of an item count once.
-    by_item = enough.groupBy("uid", "first_item").agg(F.max("n_items").alias("n_items"))
-    by_doc = by_item.groupBy("uid").agg(F.sum("n_items").alias("n_items"), F.min("first_item").alias("first_item"))
-    return every.join(by_doc, "uid", "left").select("uid", "doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), "first_item")
+    if not with_items:
+        of_doc = there.select("uid").distinct().select("uid", F.lit(True).alias("found"), F.lit(None).cast("long").alias("n_items"), F.lit(None).cast("long").alias("first_item"))
+        return every.join(of_doc, "uid", "left").select("uid", "doc_id", F.coalesce("found", F.lit(False)).alias("contaminated"), "n_items", "first_item")
+    # Items that are equal in all readings are one class; a document has each class once.
+    of_item = items.groupBy("uid", "key").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    classes = of_item.groupBy("kinds").agg(F.min("uid").alias("class"), F.count(F.lit(1)).alias("rows"), F.min("key").alias("least"))
+    classes = written(classes.select(F.explode("kinds").alias("kind"), "class", "rows", "least"), "classes")
+    by_class = there.join(_few(classes), "kind").select("uid", "class", "rows", "least").distinct()
+    by_doc = by_class.groupBy("uid").agg(F.sum("rows").alias("n_items"), F.min("least").alias("first_item"))
+    n = F.coalesce("n_items", F.lit(0))
+    return every.join(by_doc, "uid", "left").select("uid", "doc_id", (n > 0).alias("contaminated"), n.alias("n_items"), "first_item")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, contaminated, n_items and first_item of each row of docs.
 
-    n_items: benchmark items found in the text (those with equal templates and slot patterns together);
-    first_item: the smallest item_id of them, null if there are none. A null or empty text and a row of
-    few words is not contaminated; repeated rows give repeated rows; a null doc_id stays null. With an
-    empty benchmark nothing is contaminated.
+    n_items: rows of the benchmark found in the text, in one reading or another, each once; first_item:
+    the smallest item_id of them, null if there are none or all are null. A null or empty text is not
+    contaminated; an item of fewer than WINDOW tokens is found as a whole, so that one of a single word
+    is in every text with that word. Repeated rows give repeated rows; a null doc_id stays null. With
+    an empty benchmark nothing is contaminated.
     """
-    narrow = docs.select(doc_id, text).withColumn("row_uid", F.monotonically_increasing_id())
-    out = matches(narrow, benchmark, "row_uid", text, doc_id)
-    return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "first_item")
+    narrow = docs.select(doc_id, text)
+    held, uid = number_rows(narrow)
+    out = matches(held, benchmark, uid, text, doc_id)
+    return out.select("doc_id", "contaminated", "n_items", "first_item")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that no benchmark item is in, with all their columns."""
     held, uid = number_rows(docs)
     with scratch(docs.sparkSession):
-        found = kept(matches(held, benchmark, uid, text, doc_id).where("n_items > 0").select("uid"), "dropped")
+        found = kept(matches(held, benchmark, uid, text, doc_id, items=False).where("contaminated").select("uid"), "dropped")
     return without_rows(held, uid, found, docs.columns)

@@ -23,12 +23,14 @@ def readings(text):
 
 def contains(doc, item):
     for reading, (d, i) in enumerate(zip(readings(doc), readings(item), strict=True)):
-        n = dc.WINDOW
+        n = min(dc.WINDOW, len(i))
 
         def windows(x):
             cut = [(k, tuple(t for t, _ in x[k : k + n])) for k in range(len(x) - n + 1)]
             return [(k, w) for k, w in cut if reading == 0 or sum(not t.startswith("<") for t in w) >= dc.LEAST_WORDS]
 
+        if not n:
+            continue
         own, ats = windows(i), set()
         shifts = {}
         for k, w in windows(d):
@@ -65,7 +67,8 @@ def test_cases(spark):
         (15, None, False),
         (16, "", False),
         (16, "", False),
-        (17, "too short to count", False),
+        (17, "too short to count", True),  # a short item is looked for as a whole
+        (19, "it was too short, to be sure, to count", False),
         (None, ITEMS[1][1], True),
         (18, ("filler words without meaning here " * 300) + ITEMS[1][1] + (" more filler" * 200), True),
     ]
@@ -81,7 +84,7 @@ def test_cases(spark):
     assert dc.contamination(given.limit(0), bench).count() == 0
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rnd = random.Random(11)
     words = "red blue green house tree river stone cloud walks runs sees finds over under with".split()
     names, units = ["Tom", "Ann", "Mary Ann", "Joe"], ["km", "hours", "kg"]
@@ -90,7 +93,8 @@ def test_against_brute_force(spark):
         r = rnd.random()
         return rnd.choice(names) if r < 0.15 else str(rnd.randint(1, 3)) if r < 0.25 else rnd.choice(units) if r < 0.3 else rnd.choice(words)
 
-    items = [(k, " ".join(token() for _ in range(rnd.choice([6, 8, 9, 14, 25])))) for k in range(12)]
+    items = [(k, " ".join(token() for _ in range(rnd.choice([1, 3, 5, 6, 7, 8, 9, 14, 25])))) for k in range(24)]
+    items += [(None, items[3][1]), (None, " ".join(token() for _ in range(20))), (3, items[5][1])]
     docs = []
     for k in range(120):
         parts = [token() for _ in range(rnd.randint(0, 30))]
@@ -99,9 +103,17 @@ def test_against_brute_force(spark):
         swap = dict(zip(names[:2] + ["1", "2", "km"], rnd.choice([["Ann", "Tom", "2", "1", "kg"], ["Bob", "Bob", "7", "8", "mm"], ["Tom", "Ann", "1", "2", "km"]]), strict=True))
         parts[len(parts) // 2 : len(parts) // 2] = [swap.get(w, w) for w in item[lo:]]
         docs.append((k, " ".join(parts)))
-    got = {r.doc_id: r.contaminated for r in dc.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = {d: any(contains(t, i) for _, i in items) for d, t in docs}
-    assert got == want and 10 < sum(want.values()) < 110
+    docs = [d for d in docs if not contains(d[1], items[0][1]) or d[0] % 9 == 0]  # an item of one word is nearly everywhere
+    given, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for broadcast in (dc.BROADCAST_WINDOWS, 0):
+        monkeypatch.setattr(dc, "BROADCAST_WINDOWS", broadcast)
+        got = {r.doc_id: tuple(r)[1:] for r in dc.contamination(given, bench).collect()}
+        want = {}
+        for d, t in docs:
+            inside = [k for k, i in items if contains(t, i)]
+            want[d] = (bool(inside), len(inside), min((k for k in inside if k is not None), default=None))
+        assert got == want and 10 < sum(w[0] for w in want.values()) < len(docs) - 5
+    assert dc.without_contaminated(given, bench).count() == sum(not w[0] for w in want.values())
 
 
 def test_names_at_borders_and_units(spark):
@@ -122,3 +134,26 @@ def test_names_at_borders_and_units(spark):
     bench = spark.createDataFrame([(1, item), (2, hours), (3, titled)], "item_id long, text string")
     got = {r.doc_id: r.contaminated for r in dc.contamination(spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string"), bench).collect()}
     assert got == {d: c for d, _, c in docs}
+
+
+def test_items_of_one_prompt(spark):
+    """Thousands of items begin with one long prompt, or are one template: all that a document has are counted."""
+    prompt = "read the following short story with great care and then choose the best of the four answers that are given below it"
+    phrase = "which one of these is the right answer here"
+    bench = [(k, f"{prompt} q{'abcdefghij'[k % 10]}{k // 10:x}z ends") for k in range(3000)]
+    bench += [(10_000 + k, f"the old miller sold {k} bags of flour to the baker of the town and kept {k + 1} more for the winter") for k in range(2000)]
+    bench += [(20_000 + k, f"{phrase} " + " ".join(f"w{'abcdefghij'[(k + j) % 10]}x{'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}" for j in range(9))) for k in range(1000)]
+    docs = [(1, prompt.upper()), (2, "the old miller sold 7 bags of flour to the baker of the town and kept 99 more for the winter"), (3, phrase), (4, bench[-1][1]), (5, "nothing of it")] + [(100 + k, f"x{k} {prompt}") for k in range(10)]
+    got = {r.doc_id: tuple(r)[1:] for r in dc.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = {1: (True, 3000, 0), 2: (True, 2000, 10_000), 3: (False, 0, None), 4: (True, 1, 20_999), 5: (False, 0, None)}
+    assert got == want | {100 + k: want[1] for k in range(10)}
+
+
+def test_long_items_and_scripts_without_spaces(spark):
+    rnd = random.Random(5)
+    long = " ".join(rnd.choice(["Tom", "12", "7", "km", "red", "blue", "tree"]) for _ in range(60_000))
+    han = "\u4e2d\u6587\u6ca1\u6709\u7a7a\u683c\u7684\u95ee\u9898\u5e94\u8be5\u4e5f\u88ab\u627e\u5230"
+    docs = [(1, long), (2, f"\u6211\u8bf4{han}\u5417"), (3, han[:5]), (4, "red blue tree")]
+    bench = spark.createDataFrame([(1, long), (2, han)], "item_id long, text string")
+    got = {r.doc_id: (r.n_items, r.first_item) for r in dc.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (0, None), 4: (0, None)}
