@@ -17,9 +17,16 @@
    known to be connected with the sought one are taken off the lists first.
 4. The links' connected components are the result.
 
-A block is searched by neighbouring size classes, one task for each two. Where they have more
-documents or shingles than a task should hold they are dealt out in chunks, and each pair of chunks
-is searched by one task.
+A block is searched by neighbouring size classes, a group for each two; what fits one task is one unit. A
+larger group is dealt out in chunks, each searched with the same PIVOTS of the group beside its own: what is
+near one of them hangs together over all chunks. Where sets are left that don't, the pairs between
+what hangs together so far and the rest are made out by inverted lists of prefixes: in any one order of
+shingles two sets that link share one of the first few, and with those that many hold put last, few
+others do. Only what meets there in units is searched again; its most numerous label isn't
+compared with itself.
+
+Shingles are 64-bit hashes: of two sets of n shingles a pair collides with probability n^2 / 2^64, and such a
+collision counts one shingle too many in common.
 """
 
 from __future__ import annotations
@@ -33,17 +40,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import kept, mapped, number_rows, own_name, scratch, without_rows, written
+from parlance.llm.common import kept, mapped, number_rows, scratch, without_rows, written
 from parlance.llm.components import components
 
 #: Chunks of a block hold about so many shingles and documents at most.
 CHUNK_SHINGLES, CHUNK_DOCS = 1_500_000, 3000
 #: Signatures that sets which link have in common at least; bearers of one up to which pairs are noted.
 AGREE, FEW = 3, 6
-#: Rows of units that go to every executor, some 80 bytes each; more are joined by a shuffle.
+#: Sets of a group of several chunks that each of its chunks is searched with.
+PIVOTS = 64
+#: Shingles of a chunk that are put last, most common last, and documents that hold one of them at least.
+COMMON, COMMON_DOCS = 8192, 16
+#: Rows of units that go to every executor, some 40 bytes each; more are joined by a shuffle.
 BROADCAST_UNITS = 500_000
 #: Signatures that a task remembers with their first bearer.
 SEEN_BITS = 20
@@ -163,8 +174,11 @@ def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
     return out
 
 
-def search_block(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links (as positions in sets) that connect the same sets as all links among them do; sets are sorted by size."""
+def search_block(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (as positions in sets) that connect the same sets as all links among them do; sets are sorted by size.
+
+    label: the same number for sets known to be connected.
+    """
     n = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, n)
     values = np.concatenate(sets)
@@ -174,7 +188,7 @@ def search_block(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     shingles, begins = np.unique(values, return_index=True)
     list_of = np.cumsum(np.concatenate([[0], (values[1:] != values[:-1]).astype(np.int64)])) if len(values) else np.zeros(0, np.int64)
     keys = list_of * n + holders  # sorted by list, then document
-    label, links = np.arange(n), []
+    label, links = np.arange(n) if label is None else label.copy(), []
     recent: list[int] = []
 
     def join(q: int, c: int) -> None:
@@ -352,30 +366,89 @@ def _candidates(met: DataFrame) -> DataFrame:
     return pairs.unionByName(bearers.join(first, "key").select(F.col("uid").alias("a"), F.col("first").alias("b")).where("a != b").distinct())
 
 
+_UNIT = ["block", "kind", "i", "j"]
+_FOUND = "large boolean, a long, b long, block long, kind long, common binary"
+
+
+def _units(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[tuple, list[list]]]:
+    """(unit, columns of its rows from at on); rows of a unit come together."""
+    unit, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:at] != unit:
+                if held:
+                    yield unit, held
+                unit, held = row[:at], []
+            held.append(row[at:])
+    if held:
+        yield unit, held
+
+
 def _searched(words: int, percent: int):
-    """Links found in each unit; rows of a unit come together, sorted by size."""
+    """Links found in each unit, and of the first chunk of a large group its common shingles; rows of a unit are sorted by size."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
-        unit, uids, sets = None, [], []
+        for (block, kind, i, _), held in _units(batches, 4):
+            uids, labels, large = [r[1] for r in held], np.array([r[2] for r in held]), held[0][3]
+            sets = [shingles(r[4]) for r in held]
+            found = search_block(sets, percent, np.unique(labels, return_inverse=True)[1]) if len(sets) > 1 else []
+            n = len(found)
+            more = [pa.array([x], k) for x, k in zip((True, None, None, block, kind, _common(sets)), _KINDS, strict=True)] if large and not i else [pa.array([], k) for k in _KINDS]
+            links = [pa.array([large] * n, pa.bool_()), *(pa.array([uids[x[k]] for x in found], pa.int64()) for k in (0, 1)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(links, more, strict=True)], ["large", "a", "b", "block", "kind", "common"])
+
+    return rows
+
+
+_KINDS = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def _common(sets: list[np.ndarray]) -> bytes:
+    """The shingles that most sets hold, in ascending order of their number."""
+    found, times = np.unique(np.concatenate(sets), return_counts=True)
+    chosen = np.flatnonzero(times >= COMMON_DOCS)
+    return found[chosen[np.argsort(times[chosen], kind="stable")]][-COMMON:].tobytes()
+
+
+def prefixes(found: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, and how many of them are enough to be met by.
 
-        def links() -> pa.RecordBatch:
-            found = search_block(sets, percent) if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([uids[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    Shingles are ordered by their place among the common ones (others before), then by value. Two sets that
+    link share one of the first ones of the larger and of the ones enough of the smaller.
+    """
+    n = len(found)
+    by_value = np.argsort(common)
+    at = np.searchsorted(common, found, sorter=by_value)
+    at = by_value[np.minimum(at, len(common) - 1)] if len(common) else at
+    place = np.where(common[at] == found, at + 1, 0) if len(common) else np.zeros(n, np.int64)
+    ordered = found[np.lexsort((found, place))]
+    smallest = -(-percent * n // 100)
+    least = -(-percent * (n + smallest) // (100 + percent))
+    as_smaller = -(-percent * 2 * n // (100 + percent))
+    return ordered[: n - least + 1], n - as_smaller + 1
+
+
+def _prefixed(words: int, percent: int):
+    """(block, kind, shingle, uid, label, enough) for the prefix of each set of a unit; the unit's first row has the common shingles."""
+    names = ["block", "kind", "shingle", "uid", "label", "enough"]
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, unit, common = Shingles(words), None, np.zeros(0, _U)
         for batch in batches:
-            for *own, _, uid, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[list] = [[np.zeros(0, np.int64)] for _ in names]
+            for *own, uid, label, blob, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != unit:
-                    if len(sets) > 1:
-                        yield links()
-                    unit, uids, sets = own, [], []
-                if uids and uids[-1] == uid:
-                    continue  # a repeated row gives the same set again
-                found = shingles(text)
-                if _digest(found) == digest:  # else another text of the same doc_id
-                    uids.append(uid)
-                    sets.append(found)
-        yield links()
+                    unit, common = own, np.zeros(0, _U)
+                if blob is not None:
+                    common = np.frombuffer(blob, _U)
+                    continue
+                first, enough = prefixes(shingles(text), common, percent)
+                n = len(first)
+                for column, values in zip(out, (*(np.full(n, x, np.int64) for x in own[:2]), first.view(np.int64), *(np.full(n, x, np.int64) for x in (uid, label)), np.arange(n) < enough), strict=True):
+                    column.append(values)
+            columns = [np.concatenate(x) for x in out]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:-1]), pa.array(columns[-1].astype(bool))], names)
 
     return rows
 
@@ -387,46 +460,72 @@ def link_table(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "
     many words; with fewer words the whole as one. Two link when 100 * common >= percent * all. component_id
     is the smallest doc_id that links reach (null only if all there are null). A null text, an empty
     one or one without words has no shingles and links with nothing, its own doc_id is its component;
-    repeated rows link with each other. Rows of one component have the same root. An empty table gives no rows. uid: a column that tells rows
-    apart, if there is one.
+    rows, not doc_ids, are compared: repeated rows link with each other, and rows of one doc_id only if their
+    texts do. Rows of one component have the same root. An empty table gives no rows. uid: a column
+    that tells rows apart and is the same whenever docs is read, if there is one.
     """
     if uid is None:
-        uid = own_name(docs, "uid")
-        docs = docs.select(doc_id, text, F.monotonically_increasing_id().alias(uid))
+        docs, uid = number_rows(docs.select(doc_id, text))
     with scratch(docs.sparkSession):
         return kept(_linked(docs, words, percent, text, doc_id, uid), "linked")
 
 
+def _with_texts(narrow: DataFrame, units: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of units (by uid) with their texts, and in how many tasks each has a chunk's shingles on average."""
+    units = written(units, "units")
+    rows, shingles = units.agg(F.count(F.lit(1)), F.sum("n")).first()
+    tasks = max(int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((shingles or 0) / CHUNK_SHINGLES))
+    return narrow.select("uid", "text").join(F.broadcast(units) if rows <= BROADCAST_UNITS else units, "uid"), tasks
+
+
+def _search(narrow: DataFrame, units: DataFrame, words: int, percent: int) -> DataFrame:
+    """What is found in units: rows of _UNIT, n, uid, label, large."""
+    held, tasks = _with_texts(narrow, units)
+    held = held.select(*_UNIT, "n", "uid", "label", "large", "text").repartition(tasks, *_UNIT).sortWithinPartitions(*_UNIT, "n", "uid")
+    return written(mapped(held, _searched(words, percent), _FOUND), "links")
+
+
+def _chunk(by: str) -> Column:
+    return F.pmod(F.xxhash64("uid"), F.col(by))
+
+
+def _chunks(docs: str, shingles: str) -> Column:
+    return F.ceil(F.greatest(F.col(docs) / CHUNK_DOCS, F.col(shingles) / CHUNK_SHINGLES))
+
+
+def _each(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+
+
 def _linked(docs: DataFrame, words: int, percent: int, text: str, doc_id: str, uid: str) -> DataFrame:
     narrow = docs.select(F.col(uid).alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = mapped(narrow, _signed(words, percent), "key long, uid long, more binary").repartition("key").sortWithinPartitions("key")
     met = written(mapped(signed, _met, _MET), "met")
-    # The signatures' shuffle isn't needed any more: files go when the driver collects its garbage.
-    del signed
-    docs.sparkSession.sparkContext._jvm.System.gc()
     every = met.where(F.col("what") == _DOCUMENT).select(F.col("a").alias("uid"), "doc_id", "n", "kind", "digest")
     # Equal sets: the least uid stands for all.
     first = every.where("n > 0").groupBy("digest").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copies = every.where("n > 0").join(first.where("copies > 1"), "digest").where("uid != rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
     blocks = components(_candidates(met))
     members = every.join(first.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    members = members.join(blocks, F.col("uid") == F.col("node")).select("uid", "doc_id", "n", "digest", F.col("root").alias("block"), "kind")
+    members = members.join(blocks, F.col("uid") == F.col("node")).select("uid", "n", F.col("root").alias("block"), "kind")
     # Sets that link are of one size class or of neighbouring ones: each goes to its own and the next.
     members = members.withColumn("kind", F.explode(F.array(F.col("kind"), F.col("kind") + 1)))
-    sizes = members.groupBy("block", "kind").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("sum_n")).where("docs > 1")
-    chunks = F.ceil(F.greatest(F.col("docs") / CHUNK_DOCS, F.col("sum_n") / CHUNK_SHINGLES))
-    members = members.join(sizes.select("block", "kind", chunks.alias("chunks")), ["block", "kind"]).withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")))
-    members = written(members.select("uid", "doc_id", "digest", "n", "block", "kind", "chunks", "chunk"), "members")
-    # One unit for a block of one chunk, else one for each pair of chunks. Texts travel, not sets: they are
-    # half as large, and the digest tells which row of a doc_id is meant.
-    others = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: k != F.col("chunk"))))
-    units = members.select("uid", F.col("doc_id").alias("wanted"), "digest", "n", "block", "kind", "chunk", others.alias("other"))
-    units = units.select("block", "kind", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "n", "uid", "digest", "wanted")
-    if units.count() <= BROADCAST_UNITS:
-        units = F.broadcast(units)
-    units = narrow.select("doc_id", "text").join(units, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("block", "kind", "i", "j", "n", "uid", "digest", "text")
-    units = units.repartition("block", "kind", "i", "j").sortWithinPartitions("block", "kind", "i", "j", "n", "uid")
-    links = written(mapped(units, _searched(words, percent), "a long, b long"), "links")
+    sizes = members.groupBy("block", "kind").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
+    sizes = sizes.select("block", "kind", _chunks("docs", "shingles").alias("chunks"))
+    members = written(members.join(sizes, ["block", "kind"]).withColumn("i", _chunk("chunks")), "members")
+    large = members.where("chunks > 1")
+    any_large = bool(large.limit(1).count())
+    # Texts travel, not sets: they are half as large.
+    chunk = members.select("block", "kind", "i", F.col("i").alias("j"), "n", "uid", F.col("uid").alias("label"), (F.col("chunks") > 1).alias("large"))
+    if any_large:
+        order = Window.partitionBy("block", "kind").orderBy(F.xxhash64("uid", F.lit(1)), "uid")
+        pivots = large.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
+        pivots = pivots.withColumn("to", F.explode(_each(F.col("chunks")))).where("to != i")
+        chunk = chunk.unionByName(pivots.select("block", "kind", F.col("to").alias("i"), F.col("to").alias("j"), "n", "uid", F.col("uid").alias("label"), F.lit(True).alias("large")))
+    found = _search(narrow, chunk, words, percent)
+    links = found.where("a is not null").select("a", "b")
+    if any_large:
+        links = links.unionByName(_between_chunks(narrow, large, found, words, percent))
     found = components(links.unionByName(copies))
     found = found.join(every.select("uid", "doc_id"), F.col("node") == F.col("uid")).select("node", "root", "doc_id")
     least = found.groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -436,6 +535,40 @@ def _linked(docs: DataFrame, words: int, percent: int, text: str, doc_id: str, u
     return out.select("uid", F.coalesce("root", "uid").alias("root"), "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _between_chunks(narrow: DataFrame, large: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links that are still missing in groups of several chunks: between sets not yet connected."""
+    labels = components(found.where("large and a is not null").select("a", "b"))
+    held = large.join(labels, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "uid")).drop("node", "root")
+    open_groups = held.groupBy("block", "kind").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("block", "kind")
+    held = written(held.join(open_groups, ["block", "kind"], "left_semi"), "open")
+    # Sets by their prefixes, those of a chunk after the common shingles of its group.
+    common = found.where("common is not null").join(held.select("block", "kind", "i").distinct(), ["block", "kind"])
+    sets, tasks = _with_texts(narrow, held.select("block", "kind", "i", "n", "uid", "label"))
+    null = lambda kind: F.lit(None).cast(kind)
+    first = common.select("block", "kind", "i", null("long").alias("uid"), null("long").alias("label"), "common", null("string").alias("text"))
+    sets = first.unionByName(sets.select("block", "kind", "i", "uid", "label", null("binary").alias("common"), "text"))
+    sets = sets.repartition(tasks, "block", "kind", "i").sortWithinPartitions("block", "kind", "i", F.col("uid").asc_nulls_first())
+    rows = written(mapped(sets, _prefixed(words, percent), "block long, kind long, shingle long, uid long, label long, enough boolean"), "prefixes")
+    at = ["block", "kind", "shingle"]
+    meet = rows.groupBy(*at).agg(F.min("uid").alias("first"), F.max("enough").alias("any"), (F.min("label") < F.max("label")).alias("differ")).where("any and differ")
+    near = components(rows.join(meet, at).select(F.col("uid").alias("a"), F.col("first").alias("b")).distinct())
+    again = near.join(held.select("uid", "n", "label").distinct(), F.col("node") == F.col("uid")).select(F.col("root").alias("block"), "uid", "n", "label")
+    by_label = again.groupBy("block", "label").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    most = by_label.groupBy("block").agg(F.max(F.struct("docs", "label", "shingles")).alias("m"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"))
+    most = most.where("docs > m.docs").select("block", F.col("m.label").alias("most"), F.col("m.docs").alias("m_docs"), F.col("m.shingles").alias("m_shingles"), "docs", "shingles")
+    most = most.select("block", "most", _chunks("docs", "shingles").alias("all"), _chunks("m_docs", "m_shingles").alias("own"), F.greatest(F.lit(1), F.ceil(F.greatest((F.col("docs") - F.col("m_docs")) / CHUNK_DOCS, (F.col("shingles") - F.col("m_shingles")) / CHUNK_SHINGLES))).alias("rest"))
+    again = again.join(most, "block").withColumn("is_most", F.col("label") == F.col("most"))
+    # kind 0: all of a block; 1: two chunks of the rest; 2: a chunk of the rest and one of the most numerous label.
+    unit = lambda kind, i, j: F.struct(F.lit(kind).cast("long").alias("kind"), i.alias("i"), j.alias("j"))
+    zero, rest, own = F.lit(0).cast("long"), _chunk("rest"), _chunk("own")
+    among = F.transform(_each(F.col("rest")), lambda k: unit(1, F.least(rest, k), F.greatest(rest, k)))
+    across = F.transform(_each(F.col("own")), lambda k: unit(2, rest, k))
+    with_rest = F.transform(_each(F.col("rest")), lambda k: unit(2, k, own))
+    to = F.when(F.col("all") == 1, F.array(unit(0, zero, zero))).when(F.col("is_most"), with_rest).otherwise(F.concat(among, across))
+    units = again.select("block", F.explode(to).alias("u"), "n", "uid", "label").select("block", "u.kind", "u.i", "u.j", "n", "uid", "label", F.lit(False).alias("large"))
+    return _search(narrow, units, words, percent).select("a", "b")
+
+
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each component of link_table(), with all columns of docs: that of the smallest doc_id, then any one of those."""
     held, uid = number_rows(docs)

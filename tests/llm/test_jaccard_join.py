@@ -100,27 +100,84 @@ def test_search_connects_what_all_pairs_connect(percent):
         assert roots(len(sets), got) == roots(len(sets), want), trial
 
 
+def expected(rows, words, percent):
+    """doc_id, set size and component_id of each row (doc_id, text), from all pairs."""
+    sets = [shingle_set(t, words) for _, t in rows]
+    links = [(a, b) for a, b in combinations(range(len(rows)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    root = roots(len(rows), links)
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least[root[k]] = min((x for x in (least.get(root[k]), d) if x is not None), default=None)
+    return sorted(((d, len(sets[k]), least[root[k]]) for k, (d, _) in enumerate(rows)), key=str), len(set(root))
+
+
+def found(docs, words, percent):
+    return sorted(map(tuple, jj.link_table(docs, words, percent).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+
+
 @pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
 def test_table_against_all_pairs(spark, monkeypatch, words, percent):
     monkeypatch.setattr(jj, "CHUNK_DOCS", 9)  # several chunks for the larger blocks
+    monkeypatch.setattr(jj, "PIVOTS", 2)
+    monkeypatch.setattr(jj, "COMMON_DOCS", 3)
     rnd = random.Random(words)
     texts = near_copies(rnd, 25, 14, [2, 3, 8, 30, 70, 200]) + [None, "", " \n\t", "a", "A", "a b", "É x y z", "é x y z"] + ["same text in many rows " * 9] * 40
     rows = [(k * 3 % 1009, t) for k, t in enumerate(texts)] + [(5, "lone row of this kind"), (5, "lone row of this kind"), (None, texts[0])]
     docs = spark.createDataFrame([(d, t, "q") for d, t in rows], "doc_id long, text string, uid string").repartition(5)
-    sets = [shingle_set(t, words) for _, t in rows]
-    links = [(a, b) for a, b in combinations(range(len(rows)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    root = roots(len(rows), links)
-    least = {}
-    for k, (d, _) in enumerate(rows):
-        least[root[k]] = min((x for x in (least.get(root[k]), d) if x is not None), default=None)
-    want = sorted(((d, len(sets[k]), least[root[k]]) for k, (d, _) in enumerate(rows)), key=str)
-    got = jj.link_table(docs, words, percent).select("doc_id", "n_shingles", "component_id").collect()
-    assert sorted(map(tuple, got), key=str) == want
+    want, n_kept = expected(rows, words, percent)
+    assert found(docs, words, percent) == want
     kept = jj.without_near_duplicates(docs, words, percent)
-    assert kept.columns == docs.columns and kept.count() == len(set(root))
+    assert kept.columns == docs.columns and kept.count() == n_kept
     assert jj.link_table(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_large_groups_against_all_pairs(spark, monkeypatch, broadcast):
+    """Groups of many chunks: near copies, chains of them, and texts most of which is one passage; doc_ids null or the same."""
+    monkeypatch.setattr(jj, "CHUNK_DOCS", 12)
+    monkeypatch.setattr(jj, "PIVOTS", 2)
+    monkeypatch.setattr(jj, "COMMON_DOCS", 3)
+    if not broadcast:
+        monkeypatch.setattr(jj, "BROADCAST_UNITS", 0)
+    rnd = random.Random(17)
+    word = lambda: "w%d" % rnd.randrange(10**6)
+    base = [word() for _ in range(100)]
+    texts = []
+    for _ in range(60):  # each near the base, not all near each other
+        copy = list(base)
+        for k in rnd.sample(range(100), rnd.choice([1, 1, 2])):
+            copy[k] = word()
+        texts.append(" ".join(copy))
+    chain = [word() for _ in range(80)]
+    for k in range(70):  # each near the next ones only
+        chain = chain[1:] + [word()]
+        texts.append(" ".join(chain))
+    passage = [word() for _ in range(90)]
+    texts += [" ".join([word() for _ in range(rnd.randint(2, 14))] + passage + [word() for _ in range(rnd.randint(2, 14))]) for _ in range(80)]
+    ends = [word() for _ in range(14)]
+    texts += [" ".join([*passage, *ends[:k], word(), *ends[k + 1 :]]) for k in range(0, 14, 2)]
+    rows = [(rnd.choice([None, 7, k]), t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for words, percent in ((5, 80), (3, 90)):
+        assert found(docs, words, percent) == expected(rows, words, percent)[0]
+
+
+def test_prefixes_meet():
+    rnd = np.random.default_rng(3)
+    for percent in (80, 90):
+        for _ in range(400):
+            a = np.unique(rnd.integers(0, 1 << 63, int(rnd.integers(1, 80)), dtype=np.uint64))
+            b = np.unique(np.concatenate([a[rnd.permutation(len(a))[int(rnd.integers(0, len(a) // 5 + 1)) :]], rnd.integers(0, 1 << 63, int(rnd.integers(0, 9)), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both < percent * (len(a) + len(b) - both):
+                continue
+            common = rnd.permutation(np.concatenate([a, b]))[:30]
+            common = np.array(list(dict.fromkeys(common.tolist())), np.uint64)
+            small, large = sorted((a, b), key=len)
+            first, enough = jj.prefixes(small, common, percent)
+            assert len(np.intersect1d(first[:enough], jj.prefixes(large, common, percent)[0]))
+
+
 def test_components(spark):
     rnd = random.Random(2)
     links = [(k, k + 1) for k in range(0, 60)] + [(rnd.randrange(100, 160), rnd.randrange(100, 160)) for _ in range(40)] + [(7, 7), (None, 3)]
