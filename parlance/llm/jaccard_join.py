@@ -13,7 +13,8 @@
 3. What hangs together by signatures is a block; nothing links across blocks. Within a block each set
    is looked up among the smaller ones by T-occurrence search: the shingles' inverted lists are split
    by length, the short ones are merged with a heap that leaps over documents found too rarely, and
-   the candidates left are probed for in the long ones by binary search (DivideSkip). Documents already
+   the candidates left are probed for in all, the rarest first, by binary search (DivideSkip). Short
+   lists hold a document only by the first of its own shingles in order of length. Documents already
    known to be connected with the sought one are taken off the lists first.
 4. The links' connected components are the result.
 
@@ -50,6 +51,8 @@ from parlance.llm.components import components
 CHUNK_SHINGLES, CHUNK_DOCS = 1_500_000, 3000
 #: Signatures that sets which link have in common at least; bearers of one up to which pairs are noted.
 AGREE, FEW = 3, 6
+#: Short lists that a document is found in at least.
+SHARED = 3
 #: Sets of a group of several chunks that each of its chunks is searched with.
 PIVOTS = 64
 #: Shingles of a chunk that are put last, most common last, and documents that hold one of them at least.
@@ -185,9 +188,18 @@ def search_block(sets: list[np.ndarray], percent: int, label: np.ndarray | None
     holders = np.repeat(np.arange(n), sizes)
     order = np.lexsort((holders, values))
     values, holders = values[order], holders[order]
-    shingles, begins = np.unique(values, return_index=True)
-    list_of = np.cumsum(np.concatenate([[0], (values[1:] != values[:-1]).astype(np.int64)])) if len(values) else np.zeros(0, np.int64)
+    shingles, list_of, lengths = np.unique(values, return_inverse=True, return_counts=True)
     keys = list_of * n + holders  # sorted by list, then document
+    # Lists in order of length. What two sets that link have in common first of all is, the SHARED first ones
+    # of it, among the first of both in this order: lists of prefixes hold documents by those alone.
+    rank = np.empty(len(shingles), np.int64)
+    rank[np.argsort(lengths, kind="stable")] = np.arange(len(shingles))
+    by_doc = np.lexsort((rank[list_of], holders))
+    place = np.empty(len(values), np.int64)
+    place[by_doc] = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    own_size = sizes[holders]
+    in_prefix = place < own_size + (-percent * 2 * own_size) // (100 + percent) + SHARED
+    prefix_keys, prefix_holders = keys[in_prefix], holders[in_prefix]
     label, links = np.arange(n) if label is None else label.copy(), []
     recent: list[int] = []
 
@@ -199,8 +211,7 @@ def search_block(sets: list[np.ndarray], percent: int, label: np.ndarray | None
 
     for q in range(1, n):
         size = int(sizes[q])
-        smallest = -(-percent * size // 100)
-        low = int(np.searchsorted(sizes, smallest))
+        low = int(np.searchsorted(sizes, -(-percent * size // 100)))
         if low >= q:
             recent.append(q)
             continue
@@ -208,40 +219,36 @@ def search_block(sets: list[np.ndarray], percent: int, label: np.ndarray | None
             if p >= low and (100 + percent) * len(np.intersect1d(sets[p], sets[q], assume_unique=True)) >= percent * (size + int(sizes[p])):
                 join(q, p)
                 break
-        others = label[low:q] != label[q]
-        if not others.any():
+        recent.append(q)
+        if (label[low:q] == label[q]).all():
             continue
+        t = -(-percent * (size + int(sizes[low])) // (100 + percent))
+        shared = min(SHARED, t)
         own = np.searchsorted(shingles, sets[q])
-        first = np.searchsorted(keys, own * n + low)
-        last = np.searchsorted(keys, own * n + q)
-        there = last > first
-        first, last = first[there], last[there]
-        t = -(-percent * (size + smallest) // (100 + percent))
-        if len(first) >= t:
-            by_length = np.argsort(last - first, kind="stable")
-            longest = int(last[by_length[-1]] - first[by_length[-1]])
-            n_long = min(t - 1, int(t / (0.0085 * math.log2(longest + 1) + 1)))
-            short, long = by_length[: len(first) - n_long], by_length[len(first) - n_long :]
-            # Documents already connected with q need not be found again.
-            lists = [x[label[x] != label[q]].tolist() for x in (holders[first[k] : last[k]] for k in short)]
-            found = merge_skip(lists, t - n_long)
-            if found:
-                docs = np.array([d for d, _ in found])
-                counts = np.array([k for _, k in found])
-                need = -(-percent * (size + sizes[docs]) // (100 + percent))
-                for left, k in zip(range(len(long), 0, -1), long[::-1].tolist(), strict=True):
-                    may = counts + left >= need
-                    if not may.all():
-                        docs, counts, need = docs[may], counts[may], need[may]
-                        if not len(docs):
-                            break
-                    held = holders[first[k] : last[k]]
-                    at = np.minimum(np.searchsorted(held, docs), len(held) - 1)
-                    counts = counts + (held[at] == docs)
-                for d in docs[counts >= need].tolist():
-                    if label[d] != label[q]:
-                        join(q, d)
-        recent.append(q)
+        own = own[np.argsort(rank[own])]
+        # The t - shared longest lists are probed; of the others, documents in so few as SHARED are found by heap.
+        short = own[: size - t + shared]
+        first, last = np.searchsorted(prefix_keys, short * n + low), np.searchsorted(prefix_keys, short * n + q)
+        # Documents already connected with q need not be found again.
+        lists = [x[label[x] != label[q]].tolist() for x in (prefix_holders[i:j] for i, j in zip(first.tolist(), last.tolist(), strict=True) if j > i)]
+        docs = np.array([d for d, _ in merge_skip([x for x in lists if x], shared)], np.int64)
+        if not len(docs):
+            continue
+        need = -(-percent * (size + sizes[docs]) // (100 + percent))
+        counts = np.zeros(len(docs), np.int64)
+        first, last = np.searchsorted(keys, own * n + low), np.searchsorted(keys, own * n + q)
+        for left, i, j in zip(range(size, 0, -1), first.tolist(), last.tolist(), strict=True):
+            may = counts + left >= need
+            if not may.all():
+                docs, counts, need = docs[may], counts[may], need[may]
+                if not len(docs):
+                    break
+            if j > i:
+                held = holders[i:j]
+                counts += held[np.minimum(np.searchsorted(held, docs), j - i - 1)] == docs
+        for d in docs[counts >= need].tolist():
+            if label[d] != label[q]:
+                join(q, d)
     return links
 
 
@@ -411,11 +418,12 @@ def _common(sets: list[np.ndarray]) -> bytes:
     return found[chosen[np.argsort(times[chosen], kind="stable")]][-COMMON:].tobytes()
 
 
-def prefixes(found: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+def prefixes(found: np.ndarray, common: np.ndarray, percent: int, smallest: int = 0) -> tuple[np.ndarray, int]:
     """The first shingles of a set, and how many of them are enough to be met by.
 
     Shingles are ordered by their place among the common ones (others before), then by value. Two sets that
-    link share one of the first ones of the larger and of the ones enough of the smaller.
+    link share one of the first ones of the larger and of the ones enough of the smaller. smallest: the
+    size of the smallest set there is.
     """
     n = len(found)
     by_value = np.argsort(common)
@@ -423,7 +431,7 @@ def prefixes(found: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.nd
     at = by_value[np.minimum(at, len(common) - 1)] if len(common) else at
     place = np.where(common[at] == found, at + 1, 0) if len(common) else np.zeros(n, np.int64)
     ordered = found[np.lexsort((found, place))]
-    smallest = -(-percent * n // 100)
+    smallest = max(smallest, -(-percent * n // 100))
     least = -(-percent * (n + smallest) // (100 + percent))
     as_smaller = -(-percent * 2 * n // (100 + percent))
     return ordered[: n - least + 1], n - as_smaller + 1
@@ -434,16 +442,16 @@ def _prefixed(words: int, percent: int):
     names = ["block", "kind", "shingle", "uid", "label", "enough"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, unit, common = Shingles(words), None, np.zeros(0, _U)
+        shingles, unit, common, least = Shingles(words), None, np.zeros(0, _U), 0
         for batch in batches:
             out: list[list] = [[np.zeros(0, np.int64)] for _ in names]
             for *own, uid, label, blob, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != unit:
-                    unit, common = own, np.zeros(0, _U)
+                    unit, common, least = own, np.zeros(0, _U), 0
                 if blob is not None:
-                    common = np.frombuffer(blob, _U)
+                    common, least = np.frombuffer(blob, _U), label
                     continue
-                first, enough = prefixes(shingles(text), common, percent)
+                first, enough = prefixes(shingles(text), common, percent, least)
                 n = len(first)
                 for column, values in zip(out, (*(np.full(n, x, np.int64) for x in own[:2]), first.view(np.int64), *(np.full(n, x, np.int64) for x in (uid, label)), np.arange(n) < enough), strict=True):
                     column.append(values)
@@ -539,13 +547,13 @@ def _between_chunks(narrow: DataFrame, large: DataFrame, found: DataFrame, words
     """The links that are still missing in groups of several chunks: between sets not yet connected."""
     labels = components(found.where("large and a is not null").select("a", "b"))
     held = large.join(labels, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "uid")).drop("node", "root")
-    open_groups = held.groupBy("block", "kind").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("block", "kind")
-    held = written(held.join(open_groups, ["block", "kind"], "left_semi"), "open")
-    # Sets by their prefixes, those of a chunk after the common shingles of its group.
-    common = found.where("common is not null").join(held.select("block", "kind", "i").distinct(), ["block", "kind"])
+    open_groups = held.groupBy("block", "kind").agg((F.min("label") < F.max("label")).alias("open"), F.min("n").alias("least")).where("open")
+    held = written(held.join(open_groups, ["block", "kind"]), "open")
+    # Sets by their prefixes, those of a chunk after the common shingles and the least size of its group.
+    common = found.where("common is not null").select("block", "kind", "common").join(held.select("block", "kind", "i", "least").distinct(), ["block", "kind"])
     sets, tasks = _with_texts(narrow, held.select("block", "kind", "i", "n", "uid", "label"))
     null = lambda kind: F.lit(None).cast(kind)
-    first = common.select("block", "kind", "i", null("long").alias("uid"), null("long").alias("label"), "common", null("string").alias("text"))
+    first = common.select("block", "kind", "i", null("long").alias("uid"), F.col("least").alias("label"), "common", null("string").alias("text"))
     sets = first.unionByName(sets.select("block", "kind", "i", "uid", "label", null("binary").alias("common"), "text"))
     sets = sets.repartition(tasks, "block", "kind", "i").sortWithinPartitions("block", "kind", "i", F.col("uid").asc_nulls_first())
     rows = written(mapped(sets, _prefixed(words, percent), "block long, kind long, shingle long, uid long, label long, enough boolean"), "prefixes")
