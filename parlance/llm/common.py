@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +18,8 @@ from pyspark.sql import types as T
 #: Upper-case and lower-case ASCII letters, for translate(): only these are folded.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: An Arrow batch ends at so many rows or bytes, so very long texts fit beside a second worker.
-ARROW_ROWS, ARROW_BYTES = 20_000, 4 << 20
+#: Functions get Arrow batches of some so many bytes, so that what they make of one fits beside a second worker.
+ARROW_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -48,6 +50,15 @@ class _Open(threading.local):
 
 
 _OPEN = _Open()
+#: Tables outside of any scope: results that are read after their operator has ended. They go with the driver.
+_LEFT: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _delete_left() -> None:
+    while _LEFT:
+        with suppress(Exception):  # the session may have ended before
+            _delete(*_LEFT.pop())
 
 
 @contextmanager
@@ -76,6 +87,8 @@ def _written(df: DataFrame, tag: str, scope: int) -> DataFrame:
     path = new_path(spark, tag)
     if len(_OPEN.scopes) >= -scope:
         _OPEN.scopes[scope].append(path)
+    else:
+        _LEFT.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -93,12 +106,16 @@ def forget(df: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = max(1, batch.num_rows * ARROW_BYTES // max(batch.nbytes, ARROW_BYTES))
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)
+
+
 def mapped(df: DataFrame, rows: Callable, schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow with batches of bounded size."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    return df.mapInArrow(rows, schema)
+    """df.mapInArrow with batches cut to some ARROW_BYTES, or one row. Spark's own batches end at spark.sql.execution.arrow.maxBytesPerBatch."""
+    return df.mapInArrow(lambda batches: rows(_sliced(batches)), schema)
 
 
 def ascii_lower(text: Column | str) -> Column:

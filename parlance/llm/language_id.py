@@ -8,10 +8,10 @@ dictionaries say little, and the text is rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,12 +20,12 @@ from pyspark.sql import types as T
 from parlance.llm.common import mapped, own_name
 
 UNKNOWN = "und"
-#: The sample that is learned from: so many documents of each language (least hash of doc_id first),
-#: so many leading characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 500
-#: All dictionaries together, and one; what is broadcast never exceeds the first.
-ALL_BYTES, ONE_BYTES = 32 << 20, 112 << 10
-MOST_LANGUAGES = 4096
+#: The sample that is learned from: the whole texts of so many documents of each language, those of least hash of doc_id.
+SAMPLE_DOCS = 300
+#: The sample's letters are cut into pieces of so many characters; a dictionary holds those of least hash, up to so many bytes.
+PIECE, DICTIONARY_BYTES = 200, 112 << 10
+#: More languages are an error: what is broadcast is at most this times the size of a dictionary.
+MOST_LANGUAGES = 1000
 #: Bytes of text compressed at a time. Short blocks profit from the dictionary and not from each other.
 BLOCK = 1024
 #: zstandard's settings: matches from four bytes on, as most of what marks a language is that short.
@@ -33,8 +33,8 @@ SETTINGS = {"compression_level": 3, "strategy": zstandard.STRATEGY_DFAST, "min_m
 #: Least difference of the second smallest to the smallest size, as a share of the former.
 MARGIN = 0.001
 
-_WORDS = re.compile(r"[^\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]").search
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_LETTER = regex.compile(r"\p{L}").search
 
 
 def has_letter(text: str | None) -> bool:
@@ -54,21 +54,30 @@ def held_out(doc_id: Column | str) -> Column:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
     """One dictionary for each language of the labelled rows.
 
-    Rows without text, language, key or any letter are passed over. At most SAMPLE_DOCS x SAMPLE_CHARS
-    characters of a language are moved, whatever the size of the table: each task keeps its own least
-    hashes before the shuffle. More than MOST_LANGUAGES languages are an error.
+    Rows without text, language, key or any letter are passed over. The languages' numbers of rows tell
+    from what hash on a row can't be among the SAMPLE_DOCS least ones, so that some twice as many are moved
+    in all, whatever the size of the table; rows of one key count as one. The driver gets DICTIONARY_BYTES
+    of a language. More than MOST_LANGUAGES languages are an error.
     """
-    rows = labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("part"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("part").rlike(r"\p{L}") & labelled[key].isNotNull())
-    order = Window.partitionBy("lang").orderBy("h", "part")
-    sample = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
-    found: dict[str, list[str]] = {}
-    for r in sample.orderBy("lang", "k").toLocalIterator():
-        found.setdefault(r.lang, []).append(r.part)
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"{len(found)} languages; at most {MOST_LANGUAGES} can be told apart")
-    most = min(ONE_BYTES, ALL_BYTES // max(1, len(found)))
-    return {k: b" ".join(map(folded, v))[-most:] for k, v in found.items()}
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("lang is not null and key is not null and text is not null")
+    numbers = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    share = F.shiftrightunsigned(F.xxhash64("key"), 11) / F.lit(float(1 << 53))
+    chosen = rows.join(F.broadcast(numbers.limit(MOST_LANGUAGES + 1)), "lang").where(share * F.col("rows") < 2 * SAMPLE_DOCS)
+    chosen = chosen.where(F.col("text").rlike(r"\p{L}")).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
+    chosen = chosen.withColumn("k", first).where(F.col("k") <= SAMPLE_DOCS)
+    # A lambda over a one-element array, so that the letters are taken out once for a row.
+    letters = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0)), " ")
+    cut = F.transform(F.array(letters), lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.char_length(x) - 1) / PIECE).cast("int")), lambda k: F.substring(x, k * PIECE + 1, F.lit(PIECE))))[0]
+    pieces = chosen.select("lang", "key", F.posexplode(cut).alias("at", "piece"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key", "at"), "key", "at"))
+    pieces = pieces.withColumn("k", place).where(F.col("k") <= DICTIONARY_BYTES // PIECE).select("lang", "k", "piece")
+    found: dict[str, list[bytes]] = {}
+    for r in pieces.orderBy("lang", "k").toLocalIterator():
+        found.setdefault(r.lang, []).append(r.piece.encode("utf-8", "replace"))
+        if len(found) > MOST_LANGUAGES:
+            raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    return {k: b" ".join(v)[:DICTIONARY_BYTES] for k, v in found.items()}
 
 
 class Classifier:

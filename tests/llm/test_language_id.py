@@ -68,3 +68,22 @@ def test_too_many_languages(spark, monkeypatch):
     monkeypatch.setattr(li, "MOST_LANGUAGES", 2)
     with pytest.raises(ValueError, match="languages"):
         li.learn(table(spark)[1])
+
+
+def test_letters_are_letters_only(spark):
+    docs = spark.createDataFrame([(1, "\u00bd \u00b2 \u2461 12 _"), (2, "\u00bd das haus"), (3, "\u0e01\u0e33")], "doc_id long, text string").selectExpr("*", "cast(null as string) lang")
+    learned = {k: li.folded(text(k, 300, random.Random(2))) for k in WORDS}
+    got = {r.doc_id: r.lang_pred for r in li.predict(docs, learned).collect()}
+    assert got[1] == "und" and got[2] == "de" and got[3] != "und"
+    assert not li.has_letter("\u00bd \u00b2 \u2461") and li.folded("A\u00bdb_\u00b2 c") == b"a b c"
+
+
+def test_whole_texts_are_learned_from(spark, monkeypatch):
+    """Words far behind the beginning, a key with a third of the rows, and a bound on rows."""
+    monkeypatch.setattr(li, "SAMPLE_DOCS", 20)
+    rnd = random.Random(8)
+    rows = [(k, "1234567890 " * 400 + text(lang, 60, rnd) + f" late{'abcdefghij'[k % 10]}", lang) for k in range(200) for lang in ("en", "de")]
+    rows = [(k * 2 + i, t, lang) for i in (0, 1) for k, t, lang in rows[i::2]] + [(7, "zzz " * 50, "en")] * 300
+    learned = li.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8))
+    assert set(learned) == {"en", "de"} and all(b"late" in v for v in learned.values())
+    assert learned["en"].count(b"zzz") <= 50 and all(1000 < len(v) < 20 * 600 for v in learned.values())
