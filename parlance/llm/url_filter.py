@@ -5,12 +5,17 @@ trust, blocked ones distrust. Trust flows along links (personalised PageRank), d
 as a host that links to bad hosts is worse than one that bad hosts link to. A host and the host it
 is a subdomain of are linked both ways. Urls without a rule get their host's verdict.
 
-Masses are whole numbers of 10^-12, divided without remainder, so a result doesn't depend on the order
-in which partitions are summed up.
+Masses are whole numbers, WHOLE for each page that seeds, and what a link passes on is rounded down once, after
+multiplying: a result doesn't depend on the order in which partitions are summed up, and small shares of
+large hosts aren't lost. What reaches a host without links goes on to the seeds. Each round passes on
+PASSED percent, so ROUNDS, the least number that leaves less than UNSETTLED of the mass still on its way, doesn't
+depend on the graph.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +24,15 @@ from parlance.llm.common import LOWER, UPPER, ascii_lower, forget, kept, scratch
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its path.
 Rule = tuple[str, str, str]
 ALLOW, BLOCK = "allow", "block"
-#: Rounds of propagation, the share that is passed on in percent, and the mass of all seeds.
-ROUNDS, PASSED, WHOLE = 10, 85, 10**12
-#: A host is blocked from so many times as much distrust as trust on.
-RATIO = 2
-_SHARE = 10**6
+#: The share that is passed on in percent, and what may be unsettled of the mass in the end.
+PASSED, UNSETTLED = 85, 0.01
+ROUNDS = math.ceil(math.log(UNSETTLED) / math.log(PASSED / 100))
+#: Rounds between two that are written out.
+TOGETHER = 3
+#: The mass of a page that seeds. Products stay below 10^38 for up to 10^12 pages.
+WHOLE = 10**12
+#: A host is blocked from so many times as much distrust as trust on; parts of all trust that are told in the result.
+RATIO, PARTS = 2, 10**9
 _LINKS = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
@@ -69,36 +78,53 @@ def _subdomain_edges(hosts: DataFrame) -> DataFrame:
     return steps.select(F.col("low").alias("src"), F.col("high").alias("dst")).union(steps.select("high", "low")).withColumn("weight", F.lit(1).cast("long"))
 
 
+def _whole(product: Column, by: Column) -> Column:
+    """product / by, both whole numbers, rounded down exactly."""
+    product, by = product.cast("decimal(38,0)"), by.cast("decimal(38,0)")
+    return ((product - product % by) / by).cast("decimal(38,0)")
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust and distrust. edges: src, dst, weight; seeds: host, allowed, blocked (numbers of pages).
+    """host, trust, distrust, and all_trust and all_distrust, the pages that seed. edges: src, dst, weight; seeds: host, allowed, blocked (numbers of pages).
 
-    Each round is written out: lineage stays short, and only sums by host and edge are moved.
+    Some rounds at a time are written out: lineage stays short, and only sums by host and edge are moved.
     """
     ways = edges.select(F.lit(ALLOW).alias("kind"), "src", "dst", "weight").union(edges.select(F.lit(BLOCK), "dst", "src", "weight"))
-    ways = ways.groupBy("kind", "src", "dst").agg(F.sum("weight").alias("weight"))
-    sums = ways.groupBy("kind", "src").agg(F.sum("weight").alias("out_weight"))
-    ways = written(ways.join(sums, ["kind", "src"]).select("kind", "src", "dst", F.expr(f"weight * {_SHARE} div out_weight").alias("share")), "ways")
+    ways = written(ways.groupBy("kind", "src", "dst").agg(F.sum("weight").alias("weight")), "sums")
     given = seeds.select(F.lit(ALLOW).alias("kind"), "host", F.col("allowed").alias("pages")).union(seeds.select(F.lit(BLOCK), "host", "blocked")).where("pages > 0")
     total = given.groupBy("kind").agg(F.sum("pages").alias("total"))
-    given = written(given.join(F.broadcast(total), "kind").select("kind", "host", F.expr(f"cast(pages as decimal(20, 0)) * {WHOLE} div total").alias("seed")), "seeds")
-    now = given.select("kind", "host", F.col("seed").alias("mass"))
-    for k in range(rounds):
-        sent = now.withColumnRenamed("host", "src").join(ways, ["kind", "src"])
-        sent = sent.select("kind", F.col("dst").alias("host"), F.expr(f"mass * share div {_SHARE} * {PASSED} div 100").alias("mass"))
-        kept = given.select("kind", "host", F.expr(f"seed * {100 - PASSED} div 100").alias("mass"))
-        then = written(sent.union(kept).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "masses")
-        if k:
-            forget(now)
-        now = then
-    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0))
-    return now.groupBy("host").agg(of(ALLOW).alias("trust"), of(BLOCK).alias("distrust"))
+    given = written(given.join(F.broadcast(total), "kind"), "seeds")
+    # What has no link passes its mass to the host named '', which is none.
+    sources = ways.groupBy("kind", "src").agg(F.sum("weight").alias("out_weight"))
+    loose = given.select("kind", F.col("host").alias("src")).union(ways.select("kind", "dst")).distinct().join(sources, ["kind", "src"], "left_anti")
+    one = F.lit(1).cast("long")
+    ways = written(ways.join(sources, ["kind", "src"]).select("kind", "src", "dst", "weight", "out_weight").union(loose.select("kind", "src", F.lit(""), one, one)), "ways")
+    mass = F.col("mass")
+    now = given.select("kind", "host", (F.col("pages") * F.lit(WHOLE).cast("decimal(38,0)")).cast("decimal(38,0)").alias("mass"))
+    start = given.select("kind", "host", _whole(F.col("pages").cast("decimal(20,0)") * F.lit(WHOLE // 100 * (100 - PASSED)), one).alias("mass"))
+    stored = None
+    for k in range(1, rounds + 1):
+        sent = now.where("host != ''").withColumnRenamed("host", "src").join(ways, ["kind", "src"])
+        sent = sent.select("kind", F.col("dst").alias("host"), _whole(mass * F.col("weight") * PASSED, F.col("out_weight").cast("decimal(38,0)") * 100).alias("mass"))
+        back = given.join(F.broadcast(now.where("host = ''").select("kind", "mass")), "kind").select("kind", "host", _whole(mass * F.col("pages") * PASSED, F.col("total").cast("decimal(38,0)") * 100).alias("mass"))
+        now = sent.union(start).union(back).groupBy("kind", "host").agg(F.sum("mass").cast("decimal(38,0)").alias("mass"))
+        if k % TOGETHER == 0 or k == rounds:
+            now = written(now, "masses")
+            if stored is not None:
+                forget(stored)
+            stored = now
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, mass)), F.lit(0)).cast("decimal(38,0)")
+    pages = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("total"))), F.lit(0)).cast("long")
+    totals = total.agg(pages(ALLOW).alias("all_trust"), pages(BLOCK).alias("all_distrust"))
+    return now.where("host != ''").groupBy("host").agg(of(ALLOW).alias("trust"), of(BLOCK).alias("distrust")).crossJoin(F.broadcast(totals))
 
 
 def judge(pages: DataFrame, rules: list[Rule], rounds: int = ROUNDS) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of each page (page_id, url, html).
 
     rule: host and path of the longest rule that fits, else null; verdict: its own, else the host's:
-    block where distrust is there and at least RATIO times the trust, else allow. A url that is null or
+    block where its share of all distrust is above 0 and at least RATIO times that of all trust, else allow. trust and
+    distrust: those shares in PARTS. A url that is null or
     without :// has an empty host and path, fits no rule but one of an empty host, and is allowed. Null
     html has no links; repeated rows give repeated rows; an empty table gives none. The rules are few
     enough to be part of the plan; masses are 0 for a host that nothing reaches.
@@ -117,9 +143,11 @@ def _judged(pages: DataFrame, rules: list[Rule], rounds: int) -> DataFrame:
     hosts = seeds.select("host").union(links.select("dst")).distinct()
     masses = kept(propagate(links.union(_subdomain_edges(hosts)), seeds, rounds), "masses")
     out = by.drop("html").join(masses, "host", "left")
-    trust, distrust = F.coalesce("trust", F.lit(0)), F.coalesce("distrust", F.lit(0))
-    own = F.when((distrust > 0) & (distrust >= RATIO * trust), BLOCK).otherwise(ALLOW)
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    trust, distrust, all_trust, all_distrust = F.coalesce("trust", zero), F.coalesce("distrust", zero), F.col("all_trust"), F.col("all_distrust")
+    own = F.when((distrust > 0) & (distrust * all_trust >= trust * (all_distrust * RATIO)), BLOCK).otherwise(ALLOW)
+    parts = lambda mass, pages: F.coalesce(F.when(pages > 0, _whole(mass, F.greatest(pages, F.lit(1)).cast("decimal(38,0)") * (WHOLE // PARTS))).cast("long"), F.lit(0).cast("long"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), parts(trust, all_trust).alias("trust"), parts(distrust, all_distrust).alias("distrust"))
 
 
 def oracle(rules: list[Rule], rounds: int = ROUNDS) -> str:
@@ -133,9 +161,10 @@ def oracle(rules: list[Rule], rounds: int = ROUNDS) -> str:
     steps = []
     for k in range(1, rounds + 1):
         steps.append(f"""m{k} AS MATERIALIZED (
-  SELECT kind, host, CAST(sum(mass) AS BIGINT) AS mass FROM (
-    SELECT w.kind, w.dst AS host, CAST(m.mass * w.share // {_SHARE} * {PASSED} // 100 AS BIGINT) AS mass FROM m{k - 1} m JOIN ways w ON w.kind = m.kind AND w.src = m.host
-    UNION ALL SELECT kind, host, CAST(mass * {100 - PASSED} // 100 AS BIGINT) FROM m0) GROUP BY kind, host)""")
+  SELECT kind, host, CAST(sum(mass) AS HUGEINT) AS mass FROM (
+    SELECT w.kind, w.dst AS host, m.mass * w.weight * {PASSED} // (w.out_weight * 100) AS mass FROM m{k - 1} m JOIN ways w ON w.kind = m.kind AND w.src = m.host WHERE m.host != ''
+    UNION ALL SELECT kind, host, pages * CAST({WHOLE // 100 * (100 - PASSED)} AS HUGEINT) FROM given
+    UNION ALL SELECT g.kind, g.host, m.mass * g.pages * {PASSED} // (g.total * 100) FROM given g JOIN m{k - 1} m ON m.kind = g.kind WHERE m.host = '') GROUP BY kind, host)""")
     rounds_sql = ",\n".join(steps)
     return f"""
 WITH cut AS (
@@ -156,14 +185,19 @@ edges AS (SELECT src, dst, weight FROM links UNION ALL SELECT low, high, 1 FROM
 both_ways AS (
   SELECT kind, src, dst, sum(weight) AS weight FROM (
     SELECT '{ALLOW}' AS kind, src, dst, weight FROM edges UNION ALL SELECT '{BLOCK}', dst, src, weight FROM edges) GROUP BY kind, src, dst),
-ways AS MATERIALIZED (SELECT kind, src, dst, CAST(weight * {_SHARE} // sum(weight) OVER (PARTITION BY kind, src) AS BIGINT) AS share FROM both_ways),
-given AS (SELECT '{ALLOW}' AS kind, host, allowed AS pages FROM seeds WHERE allowed > 0 UNION ALL SELECT '{BLOCK}', host, blocked FROM seeds WHERE blocked > 0),
-m0 AS MATERIALIZED (SELECT kind, host, CAST(CAST(pages AS HUGEINT) * {WHOLE} // sum(pages) OVER (PARTITION BY kind) AS BIGINT) AS mass FROM given),
+given AS MATERIALIZED (
+  SELECT kind, host, pages, sum(pages) OVER (PARTITION BY kind) AS total FROM (
+    SELECT '{ALLOW}' AS kind, host, allowed AS pages FROM seeds WHERE allowed > 0 UNION ALL SELECT '{BLOCK}', host, blocked FROM seeds WHERE blocked > 0)),
+ways AS MATERIALIZED (
+  SELECT kind, src, dst, weight, sum(weight) OVER (PARTITION BY kind, src) AS out_weight FROM both_ways
+  UNION ALL SELECT kind, host, '', 1, 1 FROM (SELECT kind, host FROM given UNION SELECT kind, dst FROM both_ways) n WHERE NOT EXISTS (SELECT 1 FROM both_ways b WHERE b.kind = n.kind AND b.src = n.host)),
+m0 AS MATERIALIZED (SELECT kind, host, pages * CAST({WHOLE} AS HUGEINT) AS mass FROM given),
 {rounds_sql},
 masses AS (
-  SELECT host, coalesce(sum(mass) FILTER (kind = '{ALLOW}'), 0) AS trust, coalesce(sum(mass) FILTER (kind = '{BLOCK}'), 0) AS distrust FROM m{rounds} GROUP BY host)
+  SELECT host, coalesce(sum(mass) FILTER (kind = '{ALLOW}'), 0) AS trust, coalesce(sum(mass) FILTER (kind = '{BLOCK}'), 0) AS distrust FROM m{rounds} WHERE host != '' GROUP BY host),
+totals AS (SELECT coalesce(sum(pages) FILTER (kind = '{ALLOW}'), 0) AS all_trust, coalesce(sum(pages) FILTER (kind = '{BLOCK}'), 0) AS all_distrust FROM given)
 SELECT CAST(page_id AS BIGINT) AS page_id, j.host AS host, path, rule,
-  coalesce(by_rule, CASE WHEN coalesce(distrust, 0) > 0 AND distrust >= {RATIO} * trust THEN '{BLOCK}' ELSE '{ALLOW}' END) AS verdict,
-  CAST(coalesce(trust, 0) AS BIGINT) AS trust, CAST(coalesce(distrust, 0) AS BIGINT) AS distrust
-FROM judged j LEFT JOIN masses m ON m.host = j.host
+  coalesce(by_rule, CASE WHEN coalesce(distrust, 0) > 0 AND distrust * all_trust >= {RATIO} * trust * all_distrust THEN '{BLOCK}' ELSE '{ALLOW}' END) AS verdict,
+  CAST(coalesce(trust // (greatest(all_trust, 1) * {WHOLE // PARTS}), 0) AS BIGINT) AS trust, CAST(coalesce(distrust // (greatest(all_distrust, 1) * {WHOLE // PARTS}), 0) AS BIGINT) AS distrust
+FROM judged j CROSS JOIN totals LEFT JOIN masses m ON m.host = j.host
 """

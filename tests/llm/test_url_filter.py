@@ -47,28 +47,40 @@ def test_rules_and_oracle(spark):
 
 
 def plain(edges, seeds, rounds):
+    """Masses after some rounds; a host without links passes on to one that links to the seeds."""
     total = sum(seeds.values())
-    first = {h: n * uf.WHOLE // total for h, n in seeds.items()}
     out = {}
     for s, d, w in edges:
         out.setdefault(s, {}).setdefault(d, 0)
         out[s][d] += w
-    now = dict(first)
+    now, loose = {h: n * uf.WHOLE for h, n in seeds.items()}, 0
     for _ in range(rounds):
-        then = {h: m * 15 // 100 for h, m in first.items()}
+        then = {h: n * uf.WHOLE // 100 * 15 + loose * n * 85 // (total * 100) for h, n in seeds.items()}
+        loose = 0
         for s, m in now.items():
             for d, w in out.get(s, {}).items():
-                then[d] = then.get(d, 0) + m * (w * 10**6 // sum(out[s].values())) // 10**6 * 85 // 100
+                then[d] = then.get(d, 0) + m * w * 85 // (sum(out[s].values()) * 100)
+            loose += 0 if s in out else m * 85 // 100
         now = then
-    return now
+    return now, loose
 
 
-@pytest.mark.parametrize("rounds", [1, 6])
+@pytest.mark.parametrize("rounds", [1, 7])
 def test_propagation(spark, rounds):
     edges = [("good", "a", 3), ("a", "b", 1), ("a", "good", 2), ("c", "bad", 5), ("d", "c", 1), ("bad", "good", 1)]
-    seeds = [("good", 4, 0), ("bad", 0, 2), ("a", 1, 1)]
+    seeds = [("good", 4, 0), ("bad", 0, 2), ("a", 1, 1), ("lone", 0, 3)]
     got = {r.host: (r.trust, r.distrust) for r in uf.propagate(spark.createDataFrame(edges, "src string, dst string, weight long"), spark.createDataFrame(seeds, "host string, allowed long, blocked long"), rounds).collect()}
-    trust = plain(edges, {h: a for h, a, _ in seeds if a}, rounds)
-    distrust = plain([(d, s, w) for s, d, w in edges], {h: b for h, _, b in seeds if b}, rounds)
+    trust, on_its_way = plain(edges, {h: a for h, a, _ in seeds if a}, rounds)
+    distrust, _ = plain([(d, s, w) for s, d, w in edges], {h: b for h, _, b in seeds if b}, rounds)
     assert got == {h: (trust.get(h, 0), distrust.get(h, 0)) for h in {*trust, *distrust}}
+    assert 5 * uf.WHOLE - 100 < sum(trust.values()) + on_its_way <= 5 * uf.WHOLE  # nothing is lost but what is rounded down
     assert rounds < 2 or (got["d"][1] > 0 and got["d"][0] == 0 and got["b"][0] > 0)
+
+
+def test_large_hosts_pass_on_small_shares(spark):
+    """Links of small weight from a host of large weight, seeds that are many, and hosts many links away."""
+    edges = [("hub", "small", 1), ("hub", "large", 5 * 10**9), ("small", "next", 1)] + [(f"f{k}", f"f{k + 1}", 1) for k in range(20)]
+    seeds = [("hub", 3, 0), ("elsewhere", 10**11, 0), ("f0", 1, 0)]
+    got = {r.host: r.trust for r in uf.propagate(spark.createDataFrame(edges, "src string, dst string, weight long"), spark.createDataFrame(seeds, "host string, allowed long, blocked long")).collect()}
+    assert got["small"] > 0 and got["next"] > 0 and got["f20"] > 0
+    assert got == plain(edges, {h: a for h, a, _ in seeds}, uf.ROUNDS)[0]
