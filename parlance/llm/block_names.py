@@ -5,9 +5,10 @@ block gets its rank as its name, a whole number. Adjacent names of a text are th
 sorted and named in the same way, and so on until each text has one name. Two texts with the same
 number of rounds have the same last name exactly if they are equal: no hash takes part.
 
-Sorting is by range over (block, row), so the rows of one block, however many, spread over as many
-tasks as their share asks for; what a task knows of a block that goes on in the next one is settled
-by comparing only the first and last block of each task.
+Blocks are sorted by a hash, then by themselves, and dealt out by range over (hash, row), so the rows of
+one block, however many, spread over as many tasks as their share asks for. A task ranks the blocks it
+has; those of its first and its last hash, which other tasks may have too, are ranked among all tasks'
+by comparing the blocks themselves.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import kept, mapped, number_rows, own_name, scratch, without_rows, written
+from parlance.llm.common import forget, kept, mapped, number_rows, scratch, without_rows, written
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -31,47 +32,92 @@ SPACES = r"[\x20\x09-\x0D]+"
 _CARRIED = "uid long, pos long, blocks long, doc_id long, n_points long, text_sha256 string"
 
 
+_RANKED = f"{_CARRIED}, rank long, task long, h long, key binary, is_first boolean"
+#: Tasks whose offsets go to every executor, some 100 bytes each; more are joined by a shuffle.
+BROADCAST_TASKS = 200_000
+
+
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranks of the sorted blocks of one task, and last a row with the number of ranks and the outermost blocks."""
-    task = TaskContext.get().partitionId()
-    rank, first, last = -1, None, None
+    """Ranks of the blocks of one task, sorted by (hash, block); last a row for each block of its first and last hash."""
+    task, rank = TaskContext.get().partitionId(), -1
+    first_h, first, h, of_h = None, [], None, []  # of_h: (rank, block) of the hash at hand
+    last_key = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column(0)
-        new = pc.cast(pc.not_equal(key[1:], key[:-1]), pa.int64())
-        begins = 1 if last is None or key[0].as_py() != last else 0
-        steps = pc.cumulative_sum(pa.concat_arrays([pa.array([begins], pa.int64()), new]))
-        ranks = pc.add(steps, rank)
-        first = key[0].as_py() if first is None else first
-        last, rank = key[-1].as_py(), ranks[-1].as_py()
-        n = batch.num_rows
-        yield _rows(batch.columns[1:], ranks, pa.repeat(task, n), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), batch.schema.names[1:])
-    if last is not None:
-        kinds = [pa.int64()] * 5 + [pa.string()]
-        names = ["uid", "pos", "blocks", "doc_id", "n_points", "text_sha256"]
-        yield _rows([pa.nulls(1, k) for k in kinds], pa.array([rank + 1], pa.int64()), pa.array([task], pa.int64()), pa.array([first], pa.binary()), pa.array([last], pa.binary()), names)
-
-
-def _rows(carried: list, ranks: pa.Array, task: pa.Array, first: pa.Array, last: pa.Array, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*carried, ranks, pc.cast(task, pa.int64()), first, last], [*names, "rank", "task", "first", "last"])
+        hashes, keys, n = batch.column(0), batch.column(1), batch.num_rows
+        new_h = pc.not_equal(hashes[1:], hashes[:-1])
+        new = pc.cast(pc.or_(new_h, pc.not_equal(keys[1:], keys[:-1])), pa.int64())
+        begins = 0 if hashes[0].as_py() == h and keys[0].as_py() == last_key else 1
+        ranks = pc.add(pc.cumulative_sum(pa.concat_arrays([pa.array([begins], pa.int64()), new])), rank)
+        # Only the blocks of the hash that was at hand before, of the batch's first and of its last are looked at.
+        where = pc.indices_nonzero(pc.fill_null(new_h, False)).to_pylist()
+        runs = [(0, where[0] + 1), (where[-1] + 1, n)] if where else [(0, n)]
+        for a, b in runs:
+            here = hashes[a].as_py()
+            if here != h:
+                if h is not None and h == first_h:
+                    first = of_h
+                h, of_h, last_key = here, [], None
+                first_h = here if first_h is None else first_h
+            begun = pc.indices_nonzero(new[a : b - 1]).to_pylist() if b - a > 1 else []
+            for k in [a, *(a + x + 1 for x in begun)]:
+                if keys[k].as_py() != last_key:
+                    last_key = keys[k].as_py()
+                    of_h.append((ranks[k].as_py(), last_key))
+        rank = ranks[-1].as_py()
+        yield _rows(batch.columns[2:], ranks, [task] * n, None)
+    if h is not None:
+        ends = [(r, first_h, k, True) for r, k in (of_h if h == first_h else first)] + [(r, h, k, False) for r, k in (of_h if h != first_h else [])]
+        # The last row has the number of ranks.
+        yield _rows(None, pa.array([r for r, *_ in ends] + [rank + 1], pa.int64()), [task] * (len(ends) + 1), [*(x[1:] for x in ends), (None, None, None)])
+
+
+def _rows(carried: list | None, ranks: pa.Array, task: list[int], ends: list | None) -> pa.RecordBatch:
+    kinds, names = [pa.int64()] * 5 + [pa.string()], ["uid", "pos", "blocks", "doc_id", "n_points", "text_sha256"]
+    n = len(ranks)
+    carried = carried or [pa.nulls(n, k) for k in kinds]
+    more = [pa.array(x, k) for x, k in zip(zip(*ends, strict=True) if ends else [[None] * n] * 3, (pa.int64(), pa.binary(), pa.bool_()), strict=True)]
+    return pa.RecordBatch.from_arrays([*carried, ranks, pa.array(task, pa.int64()), *more], [*names, "rank", "task", "h", "key", "is_first"])
+
+
+def _hash(key: str) -> Column:
+    """What blocks are sorted by first; equal hashes of different blocks cost time, no more."""
+    return F.xxhash64(key)
 
 
 def _named(rows: DataFrame) -> DataFrame:
-    """rows (key binary and the carried columns) with the rank of key among all distinct keys as name, written out."""
-    # By two hashes first: the sample that ranges are made from goes to the driver, and whole blocks would grow with it.
-    ordered = rows.withColumns({"h1": F.xxhash64("key"), "h2": F.xxhash64("key", F.lit(1))})
-    ordered = ordered.repartitionByRange("h1", "h2", "uid", "pos").sortWithinPartitions("h1", "h2", "key")
-    ordered = ordered.select("key", "uid", "pos", "blocks", "doc_id", "n_points", "text_sha256")
-    ranked = written(mapped(ordered, _ranked, f"{_CARRIED}, rank long, task long, first binary, last binary"), "names")
-    ends = ranked.where(F.col("uid").isNull()).select("task", F.col("rank").alias("n"), "first", "last")
-    # One row for each task: its block may go on from the task before.
-    by_task = Window.orderBy("task")
-    ends = ends.withColumn("same", F.coalesce((F.lag("last").over(by_task) == F.col("first")).cast("long"), F.lit(0)))
-    before = by_task.rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.col("n") - F.col("same")).over(before), F.lit(0)) - F.col("same")
-    offsets = ends.select("task", offset.alias("offset"))
-    return ranked.where(F.col("uid").isNotNull()).join(F.broadcast(offsets), "task").withColumn("name", F.col("rank") + F.col("offset")).drop("rank", "task", "first", "last", "offset")
+    """rows (key binary and the carried columns) with the rank of (hash, key) among all distinct ones as name, written out."""
+    # Written once: the ranges are made from a sample, for which all would be computed twice.
+    held = written(rows.select(_hash("key").alias("h"), "key", "uid", "pos", "blocks", "doc_id", "n_points", "text_sha256"), "blocks")
+    ordered = held.repartitionByRange("h", "uid", "pos").sortWithinPartitions("h", "key")
+    ranked = written(mapped(ordered, _ranked, _RANKED), "names")
+    forget(held)
+    ends = ranked.where("uid is null and h is not null").select("task", "rank", "h", "key", "is_first")
+    inner = ranked.where("uid is null and h is null").select("task", F.col("rank").alias("n"))
+    by_task = ends.groupBy("task").agg(F.count(F.when(F.col("is_first"), 1)).alias("n_first"), F.count(F.when(~F.col("is_first"), 1)).alias("n_last"), F.min(F.when(F.col("is_first"), F.col("h"))).alias("h"))
+    by_task = inner.join(by_task, "task").withColumn("own", F.col("n") - F.col("n_first") - F.col("n_last"))
+    # In order of hashes: the blocks of a border's hash, then what is within the task that begins with it.
+    of_border = ends.select("h", "key").distinct().withColumn("at", F.row_number().over(Window.partitionBy("h").orderBy("key")) - 1)
+    null = F.lit(None).cast("long")
+    steps = of_border.groupBy("h").agg(F.count(F.lit(1)).alias("own")).select("h", F.lit(0).alias("kind"), null.alias("task"), "own")
+    steps = steps.union(by_task.select("h", F.lit(1), "task", "own"))
+    before = Window.orderBy("h", "kind", "task").rowsBetween(Window.unboundedPreceding, -1)
+    steps = written(steps.withColumn("offset", F.coalesce(F.sum("own").over(before), F.lit(0))), "offsets")
+    borders = steps.where("kind = 0").select("h", "offset")
+    of_end = ends.join(of_border, ["h", "key"]).join(borders, "h").select("task", "is_first", "rank", (F.col("offset") + F.col("at")).alias("name"))
+    of_end = of_end.groupBy("task").agg(*(F.transform(F.filter(listed_of, lambda x: x["name"].isNotNull()), lambda x: x["name"]).alias(c) for c, listed_of in (("first", _listed("is_first")), ("last", _listed("not is_first")))))
+    offsets = by_task.select("task", "n", "n_first", "n_last").join(steps.where("kind = 1").select("task", "offset"), "task").join(of_end, "task")
+    offsets = written(offsets, "tasks")
+    offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_TASKS else offsets
+    r, from_last = F.col("rank"), F.col("rank") - F.col("n") + F.col("n_last")
+    name = F.when(r < F.col("n_first"), F.get("first", r.cast("int"))).when(from_last >= 0, F.get("last", from_last.cast("int"))).otherwise(F.col("offset") + r - F.col("n_first"))
+    return ranked.where("uid is not null").join(offsets, "task").select("uid", "pos", "blocks", "doc_id", "n_points", "text_sha256", name.alias("name"))
+
+
+def _listed(which: str) -> Column:
+    """Names in order of rank; those of other rows as null."""
+    return F.sort_array(F.collect_list(F.struct("rank", F.when(F.expr(which), F.col("name")).alias("name"))))
 
 
 def _eight(number: Column) -> Column:
@@ -128,8 +174,7 @@ def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     rows apart, if there is one.
     """
     if uid is None:
-        uid = own_name(docs, "uid")
-        docs = docs.select(doc_id, text, F.monotonically_increasing_id().alias(uid))
+        docs, uid = number_rows(docs.select(doc_id, text))
     with scratch(docs.sparkSession):
         named = name_texts(docs, uid, text, doc_id)
         # Equal names meet after each task has summed up its own: no task gets the rows of a group.

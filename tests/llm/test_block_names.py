@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import block_names as bn
 
@@ -55,3 +56,24 @@ def test_kept_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
     assert sorted(map(tuple, bn.without_duplicates(docs).collect())) == [(1, "a b", "x"), (3, None, None), (5, "q", "z")]
     assert bn.without_duplicates(docs.limit(0)).count() == 0
+
+
+def test_colliding_hashes(spark, monkeypatch):
+    """Hashes of three values, or of one, over many tasks: blocks are still told apart and equal ones have one name."""
+    monkeypatch.setattr(bn, "BLOCK", 8)
+    rnd = random.Random(3)
+    rows = [(k, rnd.choice(["".join(rnd.choices("ab", k=rnd.randint(0, 60))), "hot text that is in many rows"])) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want, _ = expected(rows)
+    for n in (1, 3):
+        monkeypatch.setattr(bn, "_hash", lambda key, n=n: F.pmod(F.xxhash64(key), F.lit(n)))
+        got = bn.duplicate_groups(docs).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == want
+
+
+def test_long_texts(spark):
+    rnd = random.Random(4)
+    long = "".join(rnd.choices("abcdefgh \n", k=3_000_000))
+    rows = [(1, long), (2, long.replace(" ", "")), (3, long[:-1] + "x"), (4, "x" + long)]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in bn.duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 1)}
