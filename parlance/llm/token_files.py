@@ -23,6 +23,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +34,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import pretokens
-from parlance.llm.common import mapped, new_path, written
+from parlance.llm.common import mapped, new_path, number_rows, written
 
 MAGIC, END = b"PTOK1\0", b"PTOKEND\0"
 HEAD, TAIL = struct.Struct("<6sBBI"), struct.Struct("<QQQ8s")
 #: Ids in a block: a multiple of 64, so that each block is whole 64-bit words.
 BLOCK = 1 << 16
-#: Ids after which a new file is begun (at the next document).
-FILE_IDS = 1 << 28
+#: Ids, and documents, after which a new file is begun (at the next document).
+FILE_IDS, FILE_DOCS = 1 << 28, 1 << 22
+#: Characters by which texts of one doc_id are ordered first.
+ORDER_CHARS = 32
 #: Words held ready with their ids in a worker; when full, the store starts anew.
 STORE = 600_000
 #: Longer words are not held.
@@ -97,9 +100,8 @@ class Writer:
         self._held: list[np.ndarray] = []
         self._held_n = 0
         self.n_ids, self._at, self._offsets = 0, HEAD.size, [HEAD.size]
-        self._docs: list[int] = []
+        self._docs, self._first = array("q"), array("Q", [0])
         self._null = bytearray()
-        self._first = [0]
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self._docs.append(doc_id or 0)
@@ -121,6 +123,10 @@ class Writer:
         self._at += len(data)
         self._offsets.append(self._at)
 
+    @property
+    def n_docs(self) -> int:
+        return len(self._docs)
+
     def close(self) -> int:
         """Ends the file; the number of its documents."""
         if self._held_n:
@@ -217,8 +223,8 @@ class WordTokenizer:
         if new:
             ids = self._ids(" ".join(new))
             ends = (np.flatnonzero(self._ends[ids]) + 1) * 4
-            if len(ends) != len(new):
-                raise ValueError("the library cut a word in two")
+            if len(ends) != len(new):  # a word was cut in two: the library has the texts whole
+                return [self._ids(text) for text in texts]
             held, at = ids.tobytes(), 0
             for word, end in zip(new, ends.tolist(), strict=True):
                 store[word] = held[at:end]
@@ -246,13 +252,15 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
 
     vocabulary: path of a tokenizers JSON file. folder: one that all executors share (a new one in
     spark.checkpoint.dir if not given). A null text counts as empty and gives the end id alone; a null
-    doc_id goes first; rows of one doc_id go in order of their texts; an empty table gives no files.
+    doc_id goes first; rows of one doc_id go in order of their texts' first ORDER_CHARS characters, then of a
+    hash, so that they are spread over tasks however many they are; an empty table gives no files.
     The list has shard, part, path, n_docs, n_ids and start, the number of ids in all files before.
     A task that runs again writes under another name; only files in the list count.
     """
     spark = docs.sparkSession
     folder = (folder or new_path(spark, "tokens")).rstrip("/")
     spec = spark.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
+    file_ids, file_docs = FILE_IDS, FILE_DOCS
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(spec.value)
@@ -265,7 +273,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
                     path = f"{folder}/tokens-{shard:06d}-{len(listed):04d}-{uuid.uuid4().hex}.bin"
                     out = Writer(path, bits)
                 out.add(doc_id, np.concatenate([ids, last]))
-                if out.n_ids >= FILE_IDS:
+                if out.n_ids >= file_ids or out.n_docs >= file_docs:
                     listed.append((shard, len(listed), path, out.close(), out.n_ids))
                     out = None
         if out is not None:
@@ -273,7 +281,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         if listed:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*listed, strict=True)], ["shard", "part", "path", "n_docs", "n_ids"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    held, uid = number_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    order = ["doc_id", "head", "hash", "uid"]
+    held = held.select("doc_id", "text", F.substring("text", 1, ORDER_CHARS).alias("head"), F.xxhash64("text").alias("hash"), F.col(uid).alias("uid"))
+    ordered = held.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     files = written(mapped(ordered, rows, "shard long, part long, path string, n_docs long, n_ids long"), "token-files")
     before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -300,7 +311,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     yield _table(out)
 
     n = min(files.count(), 10_000)
-    listed = files.select("path", "start").repartition(max(1, n), "path")
+    listed = files.select("path", "start").repartitionByRange(max(1, n), "start")
     return mapped(listed, rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -61,3 +61,29 @@ def test_files_of_a_table(spark):
         start += len(ids)
     assert sorted(got, key=lambda r: r[1]) == want
     assert tf.read_token_files(tf.write_token_files(docs.limit(0), PATH, 2)).count() == 0
+
+
+def test_many_empty_texts_and_null_ids(spark, monkeypatch):
+    """Files end by documents too, and rows of one doc_id, or of one row repeated, are spread over tasks."""
+    monkeypatch.setattr(tf, "FILE_DOCS", 2000)
+    docs = spark.range(0, 30_000, 1, 6).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as doc_id", "if(id % 2 = 0, '', concat('w', id % 5000)) as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = tf.write_token_files(docs, PATH, 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    listed = files.collect()
+    assert sum(r.n_docs for r in listed) == 30_000 and max(r.n_docs for r in listed) <= 2000
+    by_shard = {}
+    for r in listed:
+        by_shard[r.shard] = by_shard.get(r.shard, 0) + r.n_docs
+    assert max(by_shard.values()) < 15_000
+    got = sorted(map(tuple, tf.read_token_files(files).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((r.doc_id for r in docs.collect()), key=lambda d: (d is not None, d or 0))
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+
+
+def test_words_that_the_library_cuts(monkeypatch):
+    own, library = tf.WordTokenizer(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH)
+    own._ends[:] = True  # as if every token ended a word
+    assert [x.tolist() for x in own.encode_batch(["unbelievable things", "x"])] == [library.encode(t, add_special_tokens=False).ids for t in ("unbelievable things", "x")]
