@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.chat_template import BEGIN, END, compile_template, escaper, unescaper
+from parlance.llm.chat_template import BEGIN, END, compile_template, escaper, streams, unescaper
 from parlance.llm.common import mapped
 
 #: Marks of a turn, in order, and all strings that texts must not say by themselves.
@@ -39,14 +39,14 @@ _LOSS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _formatted(template: str, controls: tuple[str, ...]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = compile_template(template, {"escape": escaper(controls)})
+        render, one_by_one = compile_template(template, {"escape": escaper(controls)}), streams(template, "messages")
         turns = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         held: list[tuple] = []
         size = 0
         for conv_id, own in groupby(turns, key=itemgetter(0)):
-            messages = ({"role": role or "", "text": text or "", "turn": turn} for _, turn, role, text in own)
+            messages = ({"role": role or "", "text": text or "", "content": text or "", "turn": turn} for _, turn, role, text in own)
             part, texts, loss, at, since, begun = 0, [], [], 0, 0, None
-            for piece in render({"messages": messages}):
+            for piece in render({"messages": messages if one_by_one else list(messages)}):
                 if piece is BEGIN:
                     begun = at
                 elif piece is END:
@@ -87,7 +87,9 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, controls: t
 
     text: the rendered conversation, in parts of about PART characters, mostly one; loss: spans of
     characters of the whole text that are generated. Turns go by turn, then role and text, nulls first;
-    a null role or text counts as empty, a null conv_id is a conversation of its own. No rows, no text.
+    a null role or text counts as empty, rows without conv_id are one conversation. No rows, no text. A
+    conversation goes through one task, a message at a time; whole in memory only for a template that does more
+    with messages than loop over them once.
     """
     narrow = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     dealt = narrow.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

@@ -1,18 +1,22 @@
 """A small template language for conversations, compiled to Python closures.
 
     {{ expression }}   {% if a %} {% elif b %} {% else %} {% endif %}   {% for m in messages %} {% endfor %}
-    {% set x = expression %}   {% generation %} {% endgeneration %}   {# comment #}
-
-Expressions: strings, whole numbers, true, false, none; names; m.key and m['key'], which look up keys of
-dictionaries and nothing else; + ~ == != < <= > >= in, and, or, not; a if c else b; parentheses; filters
-after |. There are no calls, no attributes of Python objects and no loops but over the lists given, so
-a template can only read what it is handed. A template is parsed into a tree, constant parts are
-folded, and each node becomes a closure. Rendering is lazy: pieces come out as messages go in, so a
-conversation of any length is formatted in the memory of one message.
+    {% set x = expression %}   {% set ns.x = expression %}   {% generation %} {% endgeneration %}   {# comment #}
+
+A - at the inner side of a tag takes the white space next to it away.
+Expressions: strings, whole numbers, true, false, none, lists; names; m.key, m['key'], m[0], m[1:], which look up
+keys and places of dictionaries, lists and strings; + - ~ * / // % == != < <= > >= in, not in, is defined and other
+tests, and, or, not; a if c else b; parentheses; filters after |; the methods of strings in METHODS;
+namespace(x=1), raise_exception('what'). There are no other calls, no attributes of Python objects and no loops but
+over the lists given, so a template can only read what it is handed. A template is parsed into a tree, constant
+parts are folded, and each node becomes a closure. Rendering is lazy: pieces come out as messages go in, so a
+conversation of any length is formatted in the memory of one message, if the template only loops over
+its messages; streams() tells.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from enum import Enum
@@ -56,30 +60,47 @@ FILTERS: dict[str, Callable] = {
     "replace": lambda x, a, b: str(x).replace(a, b),
 }
 
-_PARTS = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.DOTALL)
-_LEXEMES = re.compile(r"""\s*(?:("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(\d+)|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+~<>|.,()\[\]=]))""", re.DOTALL)
+FILTERS["tojson"] = lambda x: json.dumps(x, ensure_ascii=False)
+FILTERS["first"] = lambda x: x[0] if x else None
+FILTERS["last"] = lambda x: x[-1] if x else None
+FILTERS["join"] = lambda x, by="": str(by).join(map(_shown, x))
+
+#: What can be called on strings, and get and items on dictionaries.
+METHODS: dict[str, Callable] = {
+    **{name: getattr(str, name) for name in ("strip", "lstrip", "rstrip", "split", "startswith", "endswith", "upper", "lower", "title", "capitalize", "replace")},
+    "get": lambda x, key, other=None: dict.get(x, key, other),
+    "items": lambda x: [list(pair) for pair in dict.items(x)],
+}
+
+#: Tests after is.
+TESTS: dict[str, Callable[[object], bool]] = {
+    "none": lambda x: x is None,
+    "string": lambda x: isinstance(x, str),
+    "mapping": lambda x: isinstance(x, dict),
+    "iterable": lambda x: isinstance(x, (str, list, tuple, dict)),
+    "sequence": lambda x: isinstance(x, (str, list, tuple)),
+    "number": lambda x: isinstance(x, (int, float)) and not isinstance(x, bool),
+    "boolean": lambda x: isinstance(x, bool),
+    "true": lambda x: x is True,
+    "false": lambda x: x is False,
+    "odd": lambda x: x % 2 == 1,
+    "even": lambda x: x % 2 == 0,
+}
+
+_LEXEMES = re.compile(r"""\s*(?:("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(\d+)|([A-Za-z_]\w*)|(==|!=|<=|>=|//|[-+~*/%<>|.,:()\[\]=]))""", re.DOTALL)
+_OPENER = re.compile(r"\{([{%#])(-?)")
+_CLOSER = {"{": re.compile(r"\s*(-?)\}\}"), "%": re.compile(r"\s*(-?)%\}"), "#": re.compile(r"(-?)#\}")}
 _BACK = {"n": "\n", "t": "\t", "r": "\r"}
 
 
 class _Lexer:
-    def __init__(self, text: str) -> None:
-        self.items: list[tuple[str, object]] = []
-        at, text = 0, text.rstrip()
-        while at < len(text):
-            m = _LEXEMES.match(text, at)
-            if not m:
-                raise TemplateError(f"not understood: {text[at:at + 20]!r}")
-            at = m.end()
-            if m[1] is not None:
-                self.items.append(("text", re.sub(r"\\(.)", lambda x: _BACK.get(x[1], x[1]), m[1][1:-1], flags=re.DOTALL)))
-            elif m[2] is not None:
-                self.items.append(("number", int(m[2])))
-            else:
-                self.items.append(("name", m[3]) if m[3] is not None else ("sign", m[4]))
-        self.at = 0
+    """The items of one tag."""
 
-    def peek(self) -> tuple[str, object]:
-        return self.items[self.at] if self.at < len(self.items) else ("end", None)
+    def __init__(self, items: list[tuple[str, object]]) -> None:
+        self.items, self.at = items, 0
+
+    def peek(self, ahead: int = 0) -> tuple[str, object]:
+        return self.items[self.at + ahead] if self.at + ahead < len(self.items) else ("end", None)
 
     def take(self, *wanted: object) -> object | None:
         """The next item's value, if it is a sign or name among those wanted."""
@@ -105,8 +126,46 @@ class _Lexer:
             raise TemplateError(f"more than was expected: {self.peek()[1]!r}")
 
 
-# Nodes of expressions: ("const", value) ("name", n) ("get", e, key) ("op", sign, a, b) ("not", e)
-# ("if", test, a, b) ("filter", name, e, args).
+def _tags(source: str, trimmed: bool) -> list[tuple[str, object]]:
+    """Texts, and the tags' lexers by "{" or "%". A tag ends where its closing sign stands outside of strings."""
+    out: list[tuple[str, object]] = []
+    at, strip = 0, False
+    while m := _OPENER.search(source, at):
+        text, sign = source[at : m.start()], m[1]
+        text = text.lstrip() if strip else text
+        if m[2]:
+            text = text.rstrip()
+        elif trimmed and sign != "{":
+            text = re.sub(r"(^|\n)[ \t]+$" if source[max(0, at - 1) : at] in ("", "\n") else r"(\n)[ \t]+$", r"\1", text)
+        out.append(("text", text))
+        at, items, closer = m.end(), [], _CLOSER[sign]
+        if sign == "#":
+            end = closer.search(source, at)
+            if not end:
+                raise TemplateError("a comment without end")
+        else:
+            while not (end := closer.match(source, at)):
+                x = _LEXEMES.match(source, at)
+                if not x:
+                    raise TemplateError(f"not understood: {source[at:at + 20]!r}")
+                at = x.end()
+                if x[1] is not None:
+                    items.append(("text", re.sub(r"\\(.)", lambda y: _BACK.get(y[1], y[1]), x[1][1:-1], flags=re.DOTALL)))
+                elif x[2] is not None:
+                    items.append(("number", int(x[2])))
+                else:
+                    items.append(("name", x[3]) if x[3] is not None else ("sign", x[4]))
+            out.append((sign, _Lexer(items)))
+        at, strip = end.end(), bool(end[1])
+        if trimmed and sign != "{" and source.startswith("\n", at):
+            at += 1
+    out.append(("text", source[at:].lstrip() if strip else source[at:]))
+    return [x for x in out if x != ("text", "")]
+
+
+# Nodes of expressions: ("const", value) ("name", n) ("get", e, key) ("slice", e, from, to, step) ("op", sign, a, b) ("not", e)
+# ("if", test, a, b) ("filter", name, e, args) ("call", method, e, args...) ("test", name, e) ("defined", e) ("list", items...)
+# ("namespace", "names", values...) ("raise", e).
 _OPERATORS: dict[str, Callable] = {
     "+": lambda a, b: a + b,
     "-": lambda a, b: a - b,
@@ -118,6 +177,10 @@ _OPERATORS: dict[str, Callable] = {
     ">": lambda a, b: a > b,
     ">=": lambda a, b: a >= b,
     "in": lambda a, b: a in b,
+    "*": lambda a, b: a * b,
+    "/": lambda a, b: a / b,
+    "//": lambda a, b: a // b,
+    "%": lambda a, b: a % b,
 }
 
 
@@ -154,26 +217,54 @@ def _negated(lex: _Lexer) -> tuple:
 
 def _compared(lex: _Lexer) -> tuple:
     out = _summed(lex)
-    while sign := lex.take("==", "!=", "<", "<=", ">", ">=", "in"):
-        out = ("op", sign, out, _summed(lex))
-    return out
+    while True:
+        if sign := lex.take("==", "!=", "<", "<=", ">", ">=", "in"):
+            out = ("op", sign, out, _summed(lex))
+        elif lex.peek() == ("name", "not") and lex.peek(1) == ("name", "in"):
+            lex.at += 2
+            out = ("not", ("op", "in", out, _summed(lex)))
+        elif lex.take("is"):
+            negated, name = lex.take("not"), lex.name()
+            if name in ("defined", "undefined"):
+                out = ("defined", out) if name == "defined" else ("not", ("defined", out))
+            elif name in TESTS:
+                out = ("test", name, out)
+            else:
+                raise TemplateError(f"unknown test {name!r}")
+            out = ("not", out) if negated else out
+        else:
+            return out
 
 
 def _summed(lex: _Lexer) -> tuple:
-    out = _filtered(lex)
+    out = _product(lex)
     while sign := lex.take("+", "-", "~"):
+        out = ("op", sign, out, _product(lex))
+    return out
+
+
+def _product(lex: _Lexer) -> tuple:
+    out = _filtered(lex)
+    while sign := lex.take("*", "/", "//", "%"):
         out = ("op", sign, out, _filtered(lex))
     return out
 
 
+def _listed(lex: _Lexer, closer: str) -> list[tuple]:
+    """Expressions up to the closing sign, commas between them."""
+    out: list[tuple] = []
+    while not lex.take(closer):
+        if out:
+            lex.need(",")
+        out.append(_expression(lex))
+    return out
+
+
 def _filtered(lex: _Lexer) -> tuple:
     out = _value(lex)
     while lex.take("|"):
-        name, args = lex.name(), []
-        if lex.take("("):
-            while not lex.take(")"):
-                args.append(_expression(lex))
-                lex.take(",")
+        name = lex.name()
+        args = _listed(lex, ")") if lex.take("(") else []
         out = ("filter", name, out, tuple(args))
     return out
 
@@ -183,58 +274,117 @@ def _value(lex: _Lexer) -> tuple:
     if lex.take("("):
         out = _expression(lex)
         lex.need(")")
+    elif lex.take("["):
+        out = ("list", *_listed(lex, "]"))
+    elif lex.take("-"):
+        return ("op", "-", ("const", 0), _value(lex))
     elif kind in ("text", "number"):
         lex.at += 1
         out = ("const", value)
     elif kind == "name":
-        constants = {"true": True, "false": False, "none": None}
+        constants = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
         name = lex.name()
-        out = ("const", constants[name]) if name in constants else ("name", name)
+        if name == "namespace" and lex.take("("):
+            names, values = [], []
+            while not lex.take(")"):
+                if names:
+                    lex.need(",")
+                names.append(lex.name())
+                lex.need("=")
+                values.append(_expression(lex))
+            out = ("namespace", ",".join(names), *values)
+        elif name == "raise_exception" and lex.take("("):
+            out = ("raise", _expression(lex))
+            lex.need(")")
+        else:
+            out = ("const", constants[name]) if name in constants else ("name", name)
     else:
         raise TemplateError(f"a value expected, found {value!r}")
     while True:
         if lex.take("."):
-            out = ("get", out, ("const", lex.name()))
+            name = lex.name()
+            if lex.take("("):
+                if name not in METHODS:
+                    raise TemplateError(f"unknown method {name!r}")
+                out = ("call", name, out, *_listed(lex, ")"))
+            else:
+                out = ("get", out, ("const", name))
         elif lex.take("["):
-            out = ("get", out, _expression(lex))
-            lex.need("]")
+            out = _place(lex, out)
         else:
             return out
 
 
-# Nodes of the body: ("text", s) ("out", e) ("branch", ((test, body), ...), else) ("for", name, e, body) ("set", name, e) ("generation", body).
+def _place(lex: _Lexer, of: tuple) -> tuple:
+    """What stands in brackets: a key, a place or a slice."""
+    ends: list[tuple] = [("const", None)] * 3
+    k = 0
+    while not lex.take("]"):
+        if lex.take(":"):
+            k += 1
+            if k > 2:
+                raise TemplateError("a slice has two colons at most")
+        else:
+            ends[k] = _expression(lex)
+            if lex.peek() not in (("sign", ":"), ("sign", "]")):
+                raise TemplateError(f"] expected, found {lex.peek()[1]!r}")
+    if not k and ends[0] == ("const", None):
+        raise TemplateError("nothing in brackets")
+    return ("slice", of, *ends) if k else ("get", of, ends[0])
+
+
+# Nodes of the body: ("text", s) ("out", e) ("branch", ((test, body), ...), else) ("for", name, e, body) ("set", name, e) ("put", name, key, e) ("generation", body).
 _CLOSERS = {"elif", "else", "endif", "endfor", "endgeneration"}
 
 
-def parse(source: str) -> tuple:
-    """The tree of a template: a tuple of body nodes."""
-    parts = [p for p in _PARTS.split(source) if p]
-    body, at, closer = _body(parts, 0)
+def parse(source: str, trimmed: bool = False) -> tuple:
+    """The tree of a template: a tuple of body nodes. trimmed: a line feed behind {% %} and blanks before it on its line go."""
+    tags = _tags(source, trimmed)
+    body, at, closer = _body(tags, 0)
     if closer:
         raise TemplateError(f"{closer[0]} without its beginning")
     return body
 
 
-def _body(parts: list[str], at: int) -> tuple[tuple, int, tuple[str, _Lexer] | None]:
+def streams(source: str, name: str, trimmed: bool = False) -> bool:
+    """Whether a template uses a name for nothing but loops over it that aren't within another loop, and once at most."""
+    uses: list[bool] = []
+
+    def look(node: object, inside: bool, loops: bool) -> None:
+        if node == ("name", name):
+            uses.append(inside and not loops)
+        elif isinstance(node, tuple):
+            if node[:1] == ("for",):
+                look(node[2], True, loops)
+                look(node[3], False, True)
+            else:
+                for x in node:
+                    look(x, False, loops)
+
+    look(parse(source, trimmed), False, False)
+    return len(uses) <= 1 and all(uses)
+
+
+def _body(parts: list[tuple[str, object]], at: int) -> tuple[tuple, int, tuple[str, _Lexer] | None]:
     out: list[tuple] = []
     while at < len(parts):
-        part = parts[at]
+        kind, lex = parts[at]
         at += 1
-        if part.startswith("{#"):
-            continue
-        if part.startswith("{{"):
-            lex = _Lexer(part[2:-2])
+        if kind == "{":
             out.append(("out", _expression(lex)))
             lex.end()
-        elif part.startswith("{%"):
-            lex = _Lexer(part[2:-2])
+        elif kind == "%":
             word = lex.name()
             if word in _CLOSERS:
+                if word != "elif":
+                    lex.end()
                 return tuple(out), at, (word, lex)
             if word == "set":
                 name = lex.name()
+                key = lex.name() if lex.take(".") else None
                 lex.need("=")
-                out.append(("set", name, _expression(lex)))
+                value = _expression(lex)
+                out.append(("set", name, value) if key is None else ("put", name, key, value))
                 lex.end()
             elif word == "for":
                 name = lex.name()
@@ -266,11 +416,11 @@ def _body(parts: list[str], at: int) -> tuple[tuple, int, tuple[str, _Lexer] | N
             else:
                 raise TemplateError(f"unknown statement {word!r}")
         else:
-            out.append(("text", part))
+            out.append(("text", lex))
     return tuple(out), at, None
 
 
-def _until(parts: list[str], at: int, word: str) -> tuple[tuple, int]:
+def _until(parts: list[tuple[str, object]], at: int, word: str) -> tuple[tuple, int]:
     body, at, closer = _body(parts, at)
     if closer is None or closer[0] != word:
         raise TemplateError(f"{word} is missing")
@@ -295,7 +445,7 @@ def fold(node: tuple, filters: dict[str, Callable]) -> tuple:
         return parts[1] if parts[0][1] else parts[2]
     if kind in ("and", "or") and parts[0][0] == "const":
         return parts[1] if bool(parts[0][1]) == (kind == "and") else parts[0]
-    if all(v[0] == "const" for v in values):
+    if kind not in ("namespace", "raise", "list") and all(v[0] == "const" for v in values):
         return ("const", _value_of((kind, *parts), filters)({}))
     return (kind, *parts)
 
@@ -310,6 +460,8 @@ def fold_body(body: tuple, filters: dict[str, Callable]) -> tuple:
             new = [("text", _shown(e[1]))] if e[0] == "const" else [("out", e)]
         elif kind == "set":
             new = [("set", node[1], fold(node[2], filters))]
+        elif kind == "put":
+            new = [("put", node[1], node[2], fold(node[3], filters))]
         elif kind == "for":
             new = [("for", node[1], fold(node[2], filters), fold_body(node[3], filters))]
         elif kind == "generation":
@@ -346,10 +498,46 @@ def _value_of(node: tuple, filters: dict[str, Callable]) -> Callable[[dict], obj
     if kind == "filter":
         apply, inner, args = filters[node[1]], _value_of(node[2], filters), [_value_of(a, filters) for a in node[3]]
         return lambda env: apply(inner(env), *(a(env) for a in args))
+    if kind == "defined":
+        return _defined(node[1], filters)
     parts = [_value_of(x, filters) for x in node[1:] if isinstance(x, tuple)]
     if kind == "get":
         a, b = parts
-        return lambda env: v.get(b(env)) if isinstance(v := a(env), dict) else None
+        return lambda env: _found(a(env), b(env))[1]
+    if kind == "slice":
+        a, *ends = parts
+
+        def cut(env: dict) -> object:
+            of = a(env)
+            if not isinstance(of, (str, list, tuple)):
+                raise TemplateError("a slice of what is no list or text")
+            return of[slice(*(e(env) for e in ends))]
+
+        return cut
+    if kind == "call":
+        name, apply = node[1], METHODS[node[1]]
+
+        def call(env: dict) -> object:
+            of, *args = (p(env) for p in parts)
+            if not isinstance(of, dict if name in ("get", "items") else str):
+                raise TemplateError(f"{name}: not a text or dictionary")
+            return apply(of, *args)
+
+        return call
+    if kind == "test":
+        test = TESTS[node[1]]
+        return lambda env: test(parts[0](env))
+    if kind == "list":
+        return lambda env: [p(env) for p in parts]
+    if kind == "namespace":
+        names = node[1].split(",") if node[1] else []
+        return lambda env: dict(zip(names, (p(env) for p in parts), strict=True))
+    if kind == "raise":
+
+        def fail(env: dict) -> object:
+            raise TemplateError(_shown(parts[0](env)))
+
+        return fail
     if kind == "not":
         (a,) = parts
         return lambda env: not a(env)
@@ -367,6 +555,24 @@ def _value_of(node: tuple, filters: dict[str, Callable]) -> Callable[[dict], obj
     return lambda env: operate(a(env), b(env))
 
 
+def _found(of: object, key: object) -> tuple[bool, object]:
+    """Whether of has key, and what it has there."""
+    if isinstance(of, dict):
+        return key in of, of.get(key)
+    if isinstance(of, (str, list, tuple)) and isinstance(key, int) and -len(of) <= key < len(of):
+        return True, of[key]
+    return False, None
+
+
+def _defined(node: tuple, filters: dict[str, Callable]) -> Callable[[dict], bool]:
+    if node[0] == "name":
+        return lambda env: node[1] in env
+    if node[0] == "get":
+        a, b = (_value_of(x, filters) for x in node[1:])
+        return lambda env: _found(a(env), b(env))[0]
+    return lambda env: True
+
+
 def _pieces_of(body: tuple, filters: dict[str, Callable]) -> Callable[[dict], Iterator]:
     """The closure of a body: from variables to its pieces, one by one."""
     steps = [_step(node, filters) for node in body]
@@ -394,6 +600,16 @@ def _step(node: tuple, filters: dict[str, Callable]) -> Callable[[dict], Iterabl
             return ()
 
         return assign
+    if kind == "put":
+        name, key, value = node[1], node[2], _value_of(node[3], filters)
+
+        def put(env: dict) -> tuple:
+            if not isinstance(env.get(name), dict):
+                raise TemplateError(f"{name}: no namespace")
+            env[name][key] = value(env)
+            return ()
+
+        return put
     if kind == "generation":
         inner = _pieces_of(node[1], filters)
 
@@ -432,8 +648,14 @@ def _step(node: tuple, filters: dict[str, Callable]) -> Callable[[dict], Iterabl
     return repeat
 
 
-def compile_template(source: str, filters: dict[str, Callable] | None = None) -> Callable[[dict], Iterator]:
-    """A function from variables to the pieces of the rendered text: strings, and BEGIN and END around generated parts."""
+def compile_template(source: str, filters: dict[str, Callable] | None = None, trimmed: bool = False) -> Callable[[dict], Iterator]:
+    """A function from variables to the pieces of the rendered text: strings, and BEGIN and END around generated parts.
+
+    Anything that goes wrong within the template, or that it raises itself, is a TemplateError.
+    """
     filters = FILTERS | (filters or {})
-    pieces = _pieces_of(fold_body(parse(source), filters), filters)
+    try:
+        pieces = _pieces_of(fold_body(parse(source, trimmed), filters), filters)
+    except (TypeError, AttributeError, ZeroDivisionError) as wrong:
+        raise TemplateError(str(wrong)) from wrong
     return lambda variables: iter(pieces(dict(variables)))

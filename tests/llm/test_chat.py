@@ -23,6 +23,13 @@ def rendered(source, **variables):
         ("{% if 1 < 2 %}yes{% else %}{{ x }}{% endif %}{{ 'a\\n' | trim }}", "yesa"),
         ("{{ (x == 'x') and 'T' or 'F' }}{{ x | replace('x', '}') }}", "T}"),
         ("", ""),
+        ("{{ '}}' }}{{ '%}' }}{# {{ #}{% if '{%' in '{%}' %}!{% endif %}", "}}%}!"),
+        ("a  {{- 'b' -}}  c\n {%- if true -%} d {%- endif %} e", "abcd e"),
+        ("{{ 'q' not in 'xyz' }}{{ u is defined }}{{ x is defined }}{{ ms[0].role is defined }}{{ ms[9] is not defined }}{{ u is none }}", "truefalsetruetruetruetrue"),
+        ("{{ ms[1:][0].role }}{{ ms[-1]['role'] }}{{ 'abc'[::-1] }}{{ 'abcd'[1:3] }}{{ [1, 2] | length }}{{ 7 % 4 * 2 }}", "vvcbabc26"),
+        ("{{ ' a,b '.strip().split(',') | join('+') }}{{ x.startswith('x') }}{{ ms[0].get('k', 'd') }}", "a+btrued"),
+        ("{% set ns = namespace(n=0, last='') %}{% for m in ms %}{% set ns.n = ns.n + 1 %}{% set ns.last = m.role %}{% endfor %}{{ ns.n }}{{ ns.last }}", "2v"),
+        ("{{ ms | tojson }}", '[{"role": "u"}, {"role": "v"}]'),
     ],
 )
 def test_language(source, want):
@@ -34,7 +41,7 @@ def test_constants_are_folded():
     assert tree == (("text", "ab1c"), ("out", ("name", "x")))
 
 
-@pytest.mark.parametrize("source", ["{% if x %}", "{% for a in b %}{% endif %}", "{{ a b }}", "{{ f(x) }}", "{{ x | nope }}", "{% import os %}", "{{ }}", "{% endif %}", "{{ 'a }}", "{{ x ** 2 }}"])
+@pytest.mark.parametrize("source", ["{% if x %}", "{% for a in b %}{% endif %}", "{{ a b }}", "{{ f(x) }}", "{{ x | nope }}", "{% import os %}", "{{ }}", "{% endif %}", "{{ 'a }}", "{{ x ** 2 }}", "{% if x %}{% else y %}{% endif %}", "{% if x %}{% endif y %}", "{{ x.format('a') }}", "{{ x is odd_one }}", "{# a", "{{ x[] }}", "{{ x.__class__() }}", "{{ 1 + 'a' }}"])
 def test_errors(source):
     with pytest.raises(ct.TemplateError):
         ct.compile_template(source)
@@ -99,3 +106,54 @@ def test_pieces_and_spans():
     pieces = list(render({"messages": [{"role": "user", "text": "a"}, {"role": "assistant", "text": "b</s>"}]}))
     assert "".join(p for p in pieces if isinstance(p, str)) == "<|turn|>user<|text|>a<|end|>\n<|turn|>assistant<|text|>b<\\/s><|end|>\n"
     assert pieces[pieces.index(ct.BEGIN) + 1 : pieces.index(ct.END)] == ["b<\\/s>"]
+
+
+# Templates in the style of published ones.
+MARKED = """{% for message in messages %}
+    {%- if loop.first and message['role'] != 'system' %}{{ '<|im_start|>system\nBe brief.<|im_end|>\n' }}{% endif -%}
+    {{ '<|im_start|>' + message['role'] + '\n' }}{% if message.role == 'assistant' %}{% generation %}{{ message['content'] | trim + '<|im_end|>' }}{% endgeneration %}{{ '\n' }}{% else %}{{ message['content'] + '<|im_end|>' + '\n' }}{% endif %}
+{%- endfor %}
+{%- if add_generation_prompt is defined and add_generation_prompt %}{{ '<|im_start|>assistant\n' }}{% endif %}"""
+BRACKETED = """{%- if messages[0]['role'] == 'system' -%}
+    {%- set system = messages[0]['content'] -%}{%- set rest = messages[1:] -%}
+{%- else -%}
+    {%- set system = none -%}{%- set rest = messages -%}
+{%- endif -%}
+{%- for m in rest -%}
+    {%- if (m.role == 'user') != (loop.index0 % 2 == 0) -%}{{ raise_exception('Roles must alternate') }}{%- endif -%}
+    {%- set content = '<<SYS>>\n' ~ system ~ '\n<</SYS>>\n\n' ~ m.content if loop.index0 == 0 and system is not none else m.content -%}
+    {%- if m.role == 'user' -%}{{ '<s>' + '[INST] ' + content.strip() + ' [/INST]' }}{%- else -%}{% generation %}{{ ' ' + content.strip() + ' ' + '</s>' }}{% endgeneration %}{%- endif -%}
+{%- endfor -%}"""
+HEADED = """{% set ns = namespace(turns=0) %}
+{% for m in messages %}
+    {% set ns.turns = ns.turns + 1 %}
+    {% set head = '<|start|>' ~ m['role'] ~ '<|end|>\n\n' %}
+    {% if m.role not in ['assistant', 'tool'] %}
+{{ head ~ (m.content | trim) ~ '<|eot|>' }}
+    {% else %}
+{{ head }}{% generation %}{{ (m.content | trim) ~ '<|eot|>' }}{% endgeneration %}
+
+    {% endif %}
+{% endfor %}
+{{ ns.turns }}"""
+
+
+def test_published_styles():
+    turns = [{"role": "user", "content": " hi "}, {"role": "assistant", "content": "ho "}]
+    assert rendered(MARKED, messages=turns, add_generation_prompt=True) == (
+        "<|im_start|>system\nBe brief.<|im_end|>\n<|im_start|>user\n hi <|im_end|>\n<|im_start|>assistant\n<<ho<|im_end|>>>\n<|im_start|>assistant\n"
+    )
+    system = [{"role": "system", "content": "S"}]
+    assert rendered(BRACKETED, messages=system + turns) == "<s>[INST] <<SYS>>\nS\n<</SYS>>\n\n hi [/INST]<< ho </s>>>"
+    assert rendered(BRACKETED, messages=turns) == "<s>[INST] hi [/INST]<< ho </s>>>"
+    with pytest.raises(ct.TemplateError, match="alternate"):
+        rendered(BRACKETED, messages=turns[1:])
+    got = "".join({ct.BEGIN: "<<", ct.END: ">>"}.get(p, p) for p in ct.compile_template(HEADED, trimmed=True)({"messages": turns}))
+    assert got == "<|start|>user<|end|>\n\nhi<|eot|>\n<|start|>assistant<|end|>\n\n<<ho<|eot|>>>\n2"
+    assert ct.streams(MARKED, "messages") and not ct.streams(BRACKETED, "messages") and ct.streams(cf.TEMPLATE, "messages")
+
+
+def test_a_template_that_looks_back_at_messages(spark):
+    turns = spark.createDataFrame([(1, 0, "system", "S", 1), (1, 1, "user", "u", 1), (1, 2, "assistant", "a", 1)], "conv_id long, turn long, role string, text string, loss int")
+    (r,) = cf.format_conversations(turns, BRACKETED).collect()
+    assert r.text == "<s>[INST] <<SYS>>\nS\n<</SYS>>\n\nu [/INST] a </s>" and [r.text[x.start : x.end] for x in r.loss] == [" a </s>"]
