@@ -149,6 +149,59 @@ eula | 3 | license | end user license agreement
 license-notice | 4 | license | see [the] license|copying [file] for [the] license [details|terms]
 license-notice | 4 | license | this file is part of *4 license
 license-notice | 4 | licensed | dual|multi licensed under
+mit | 1 | permission | to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons
+mit | 2 | software | the software is provided as is without warranty of any kind express or implied
+ncsa | 1 | software | to deal with the software without restriction including without limitation
+x11 | 1 | advertising | except as contained in this notice the name *8 shall not be used in advertising or otherwise to promote
+json | 1 | software | the software shall be used for good not evil
+isc | 2 | copyright | provided that the above copyright notice and this permission notice appear in all copies
+0bsd | 1 | permission | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software
+postgresql | 1 | permission | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+hpnd | 2 | permission | permission to use copy modify and distribute this software and its documentation for any purpose
+bsd | 2 | copyright | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd | 2 | copyright | redistributions in binary form must reproduce the above copyright notice this list of conditions
+bsd | 2 | copyright | this software is provided by the copyright holders|owners|authors [and] [contributors] as is and any express or implied warranties
+apache-2.0 | 2 | license | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2.0 | 1 | license | terms and conditions for use reproduction and distribution *4 definitions license shall mean
+apache-2.0 | 2 | license | licensed to the apache software foundation asf under one or more contributor license agreements
+gpl | 2 | license | you should have received a copy of the gnu general public license along with this|the program|software|file
+lgpl | 2 | license | you should have received a copy of the gnu lesser|library general public license along with this|the library|program
+agpl-3.0 | 2 | license | you should have received a copy of the gnu affero general public license along with this program
+gpl | 2 | warranty | this|the program|software is distributed in the hope that it will be useful but without any warranty
+gpl | 1 | license | the gnu general public license is a free copyleft license for software and other kinds of works
+agpl-3.0 | 1 | license | the gnu affero general public license is a free copyleft license for software and other kinds of works
+gpl-2.0 | 1 | license | the licenses for most software are designed to take away your freedom to share and change it
+license-text | 3 | license | everyone is permitted to copy and distribute verbatim copies of this license document
+fdl | 1 | permission | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+mpl-1.1 | 1 | license | the contents of this file are subject to the mozilla public license version 1 1
+mpl-2.0 | 2 | license | if a copy of the mpl was not distributed with this file you can obtain one at *4 mozilla org
+epl-1.0 | 2 | license | made available under the terms of the eclipse public license v1|version 1 0 which accompanies
+epl-2.0 | 2 | license | made available under the terms of the eclipse public license 2 0 which is available
+epl-2.0 | 1 | license | the accompanying program is provided under the terms of this eclipse public license agreement
+cddl-1.0 | 2 | license | the contents of this file are subject to the terms of the common development and distribution license
+cpl-1.0 | 1 | license | the accompanying program is provided under the terms of this common public license agreement
+artistic-2.0 | 2 | license | you are always permitted to make arbitrary changes to your copy of the package *4 license
+openssl | 2 | software | this product includes software developed by the openssl project
+php-3.01 | 2 | software | this product includes php software freely available from
+python-2.0 | 1 | license | psf hereby grants licensee a nonexclusive royalty free world wide license
+ofl-1.1 | 2 | software | this font software is licensed under the sil open font license
+ofl-1.1 | 1 | licenses | the goals of the open font license ofl are to stimulate worldwide development
+ms-pl | 1 | license | this license governs use of the accompanying software if you use the software you accept this license
+upl-1.0 | 1 | software | subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software
+eupl | 2 | licence | licensed under the eupl [version] [1] [2]
+busl-1.1 | 1 | licensed | make non production use of the licensed work
+sspl-1.0 | 1 | software | make the functionality of the program or a modified version available to third parties as a service *40 software
+cc-by-4.0 | 1 | licensed | by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution 4 0
+cc | 2 | licensed | by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions
+cc | 2 | license | this work is licensed under a creative commons *8 license
+cc0-1.0 | 1 | copyright | waived all copyright and related or neighboring|neighbouring rights to this work|document
+cc-pdm | 2 | copyright | this work has been identified as being free of known restrictions under copyright law
+odbl-1.0 | 2 | license | made available under the open database license
+odbl-1.0 | 2 | license | any rights in individual contents of the database are licensed under
+lppl-1.3c | 2 | license | this work may be distributed and or modified under the conditions of the latex project public license
+mulan-psl-2.0 | 2 | software | you can use this software according to the terms and conditions of the mulan psl
+cc-by | 4 | cc | cc by
+gpl | 4 | public | general public license
 """.strip()
 
 #: Every match of a rule has one of these in its text, lower-cased (or cc and by, see license_scan): only such texts are looked at closely.

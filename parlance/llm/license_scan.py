@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import LOWER, UPPER, ascii_lower
+from parlance.llm.common import LOWER, UPPER, ascii_lower, own_name
 from parlance.llm.license_rules import BASE, GATES, SCORES, Rule, all_rules, compiled
 
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -66,8 +66,9 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", c
 
     It is a struct of base (array of s, e, label) and found (array of s, longer, p, k, label: first word,
     minus the word behind the last, priority and number of the rule, its label). A null or empty text
-    fails the gate. Every row gives one row; its other columns stay.
+    fails the gate. Every row gives one row; its other columns stay, and underscores tell the new one's name from theirs.
     """
+    column = own_name(docs, column)
     rules = all_rules() if rules is None else rules
     given = F.coalesce(F.col(text), F.lit(""))
 

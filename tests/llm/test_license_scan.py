@@ -64,7 +64,9 @@ def rows():
 
 
 def test_table_and_oracle(spark, rows):
-    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, License_Scan string").drop("License_Scan").repartition(3)
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, License_Scan string").repartition(3)
+    scanned = ls.scan(docs)
+    assert scanned.columns == [*docs.columns, "license_scan_"] and scanned.where("License_Scan = 'x'").count() == len(rows)
     got = sorted(map(tuple, ls.license_table(docs).collect()), key=str)
     want = sorted(((d, *expected(t)) for d, t in rows), key=str)
     assert got == want
@@ -96,3 +98,14 @@ def test_a_zero_may_be_missing(text, label):
 def test_optional_words_and_classes():
     assert lr.compiled("version 2 [0]") == " version; 2;(?: 0;)?"
     assert lr.compiled("[c] 19[0-9][0-9] [0-9] [0-9][0-9]") == "(?: c;)? 19[0-9][0-9]; [0-9]; [0-9][0-9];"
+
+
+@pytest.mark.parametrize("text", ["cc by", "under the general public license", "ALL rights reserved"])
+def test_base_phrases_have_a_score(text):
+    assert expected(text)[6] >= 0.5
+
+
+def test_very_long_texts(spark):
+    text = "word " * 400_000 + "Released under the MIT License. " + "all rights reserved " * 500
+    (r,) = ls.license_table(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert tuple(r)[1:] == expected(text)
