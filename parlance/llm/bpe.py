@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.llm import pretokens
-from parlance.llm.common import mapped
+from parlance.llm.common import mapped, own_name
 
 #: Words held ready with their ids in a worker; when full, the store starts anew.
 STORE = 300_000
@@ -32,11 +32,28 @@ STORED_CHARS = 48
 _LAST = 1 << 62
 
 
+def _refuse_unsupported(doc: dict) -> None:
+    """An error for a tokenizer that does something else than this module: it would be encoded wrongly without a word."""
+    model, before = doc["model"], doc.get("pre_tokenizer") or {}
+    wrong = [
+        ("model", model.get("type", "BPE") != "BPE"),
+        ("normalizer", doc.get("normalizer") is not None),
+        ("pre_tokenizer", before.get("type") != "ByteLevel" or before.get("add_prefix_space", False) or not before.get("use_regex", True)),
+        ("decoder", (doc.get("decoder") or {}).get("type") != "ByteLevel"),
+        *((name, bool(model.get(name))) for name in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")),
+        *((f"added token {t['content']!r}: {name}", True) for t in doc["added_tokens"] for name in ("lstrip", "rstrip", "single_word") if t.get(name)),
+    ]
+    found = [name for name, is_wrong in wrong if is_wrong]
+    if found:
+        raise ValueError(f"not supported in this tokenizer: {', '.join(found)}")
+
+
 class Encoder:
     """Encodes and decodes text with a byte-level BPE vocabulary in the tokenizers JSON format."""
 
     def __init__(self, spec: str) -> None:
         doc = json.loads(spec)
+        _refuse_unsupported(doc)
         self.ids: dict[str, int] = doc["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in doc["added_tokens"]}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -120,6 +137,8 @@ class Encoder:
         out, at = [], len(spelled)
         while at:
             token = last[at]
+            if token < 0:
+                raise ValueError(f"no encoding of {spelled[:at]!r}")
             out.append(token)
             at -= length[token]
         return tuple(reversed(out))
@@ -174,9 +193,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids:
 
     vocabulary: path of a tokenizers JSON file with a byte-level BPE model, read on the driver (about
     1.5 MB, sent once to each executor). A null text counts as empty: no ids. Every row gives one
-    row; other columns stay.
+    row; other columns stay, and underscores tell the new ones' names from theirs.
     """
     spec = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
+    ids, decoded = own_name(docs, ids), decoded and own_name(docs, decoded)
     at = docs.columns.index(text)
     more_fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
     schema = T.StructType([*docs.schema.fields, *more_fields])

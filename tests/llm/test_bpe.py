@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -40,3 +41,21 @@ def test_rows_nulls_and_extra_columns(spark, both):
     full = bpe.encode_documents(docs, PATH, decoded="back").collect()
     assert all(r.back == (r.text or "") and r.ids == own.encode(r.text or "") for r in full)
     assert bpe.encode_digests(docs.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"ignore_merges": True}}, {"added_tokens": {"lstrip": True}}])
+def test_other_tokenizers_are_refused(change):
+    doc = json.loads(open(PATH, encoding="utf-8").read())
+    for key, value in change.items():
+        if key == "added_tokens":
+            doc[key][0] |= value
+        else:
+            doc[key] = doc[key] | value if key == "model" else value
+    with pytest.raises(ValueError, match="not supported"):
+        bpe.Encoder(json.dumps(doc))
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "the cat", "x")], "doc_id long, text string, IDS string")
+    out = bpe.encode_documents(docs, PATH)
+    assert out.columns == ["doc_id", "text", "IDS", "ids_"] and out.first().IDS == "x"
