@@ -85,13 +85,13 @@ def item_matches(word: Column, pattern: str) -> Column:
     return pos.startswith(pattern) | feature(pattern)
 
 
-def any_item_matches(mor: Column | str, pattern: str) -> Column:
-    """Whether any main word or clitic matches."""
-    return F.exists(all_words(mor), lambda w: item_matches(w, pattern))
+def any_item_matches(words: Column, pattern: str) -> Column:
+    """Whether any of all_words() matches."""
+    return F.exists(words, lambda w: item_matches(w, pattern))
 
 
-def any_pos_starts(mor: Column | str, prefixes: tuple[str, ...]) -> Column:
-    return F.exists(all_words(mor), lambda w: reduce(lambda a, b: a | b, [w["pos"].startswith(p) for p in prefixes]))
+def any_pos_starts(words: Column, prefixes: tuple[str, ...]) -> Column:
+    return F.exists(words, lambda w: reduce(lambda a, b: a | b, [w["pos"].startswith(p) for p in prefixes]))
 
 
 def is_verb(pos: Column) -> Column:

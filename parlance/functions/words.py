@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once for a row, however often then uses it: a lambda over an array of one element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def split_words(text: Column | str) -> Column:
     """Words of plain text: cut at white space, without punctuation at their edges."""
     return F.filter(F.transform(F.split(col(text), r"\s+"), lambda x: F.regexp_replace(x, _EDGES, "")), lambda x: x != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.words import folded, matches, matches_any
+from parlance.functions.words import folded, matches, matches_any, once
 
 
 def positions(turns: DataFrame, second: bool = False) -> DataFrame:
@@ -25,8 +25,7 @@ def positions(turns: DataFrame, second: bool = False) -> DataFrame:
 
 def clusters(turns: DataFrame, size: int = 2) -> DataFrame:
     """Counts of runs of so many words within an utterance, joined by blanks."""
-    words = folded("cw")
-    runs = F.when(F.size("cw") >= size, F.transform(F.sequence(F.lit(1), F.size("cw") - size + 1), lambda i: F.array_join(F.slice(words, i, size), " ")))
+    runs = F.when(F.size("cw") >= size, once(folded("cw"), lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))))
     return turns.select(F.explode(runs).alias("cluster")).groupBy("cluster").agg(F.count(F.lit(1)).alias("count"))
 
 

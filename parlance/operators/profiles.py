@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.morphology import CLASSES, all_words, any_item_matches, any_pos_starts, base_relation, classify, feature_morphemes, inflections, is_verb, item_matches
-from parlance.functions.words import folded, ratio
+from parlance.functions.words import folded, once, ratio
 
 # Categories of developmental sentence scoring, their patterns and points.
 DSS_RULES = (
@@ -35,15 +35,32 @@ class Syntax(NamedTuple):
 
 
 # Rules of the index of productive syntax.
-IPSYN_RULES = tuple(
-    Syntax(name, tuple(include.split("+")))
-    for name, include in (x.split(" ") for x in "N1 n|;N2 det|+n|;N3 adj|+n|;N4 n|+POSS;N5 pro:sub|;N6 pro:obj|;V1 v|;V2 v|+PAST;V3 cop|;V4 aux|;V5 mod|;Q1 pro:wh|;Q2 adv:wh|;S1 pro:sub|+v|;S2 neg|;S3 conj:coo|;S4 conj:sub|;S5 prep|".split(";"))
+IPSYN_RULES = (
+    Syntax("N1", ("n|",)),
+    Syntax("N2", ("det|", "n|")),
+    Syntax("N3", ("adj|", "n|")),
+    Syntax("N4", ("n|", "POSS")),
+    Syntax("N5", ("pro:sub|",)),
+    Syntax("N6", ("pro:obj|",)),
+    Syntax("V1", ("v|",)),
+    Syntax("V2", ("v|", "PAST")),
+    Syntax("V3", ("cop|",)),
+    Syntax("V4", ("aux|",)),
+    Syntax("V5", ("mod|",)),
+    Syntax("Q1", ("pro:wh|",)),
+    Syntax("Q2", ("adv:wh|",)),
+    Syntax("S1", ("pro:sub|", "v|")),
+    Syntax("S2", ("neg|",)),
+    Syntax("S3", ("conj:coo|",)),
+    Syntax("S4", ("conj:sub|",)),
+    Syntax("S5", ("prep|",)),
 )
 # Relations that make an utterance complex, those of both styles and of the older one alone.
 COMPLEX_UD, COMPLEX_BOTH = ("CCOMP", "XCOMP", "ACL", "ADVCL", "APPOS", "EXPL"), ("CSUBJ",)
 COMPLEX_LEGACY = ("COMP", "CPRED", "CPOBJ", "COBJ", "CJCT", "XJCT", "NJCT", "CMOD", "XMOD")
 # Relations that make a clause subordinate.
 SUBORDINATE = ("CSUBJ", "CPRED", "CPOBJ", "COBJ", "CJCT", "XJCT", "CMOD", "XMOD", "COMP")
+INFLECTIONS = ("plurals", "past", "present_participle", "past_participle")
 OPEN_CLASSES, CLOSED_CLASSES = ("noun", "verb", "adj", "adv"), ("aux", "mod", "prep", "conj", "det", "pron")
 
 
@@ -56,12 +73,14 @@ def first_utterances(turns: DataFrame, most: int) -> DataFrame:
 def sentence_scores(turns: DataFrame, rules=DSS_RULES, most: int = 50) -> DataFrame:
     """Of each speaker: utterances, points by category, points of complete sentences, and the mean score."""
     rows = first_utterances(turns, most)
-    columns = {}
-    for name, patterns, points in rules:
-        fits = reduce(lambda a, b: a | b, [any_item_matches("mor", p) for p in patterns])
-        columns[name] = F.when(fits, points).otherwise(0)
-    columns["sentence_points"] = F.when(any_pos_starts("mor", SUBJECTS) & any_pos_starts("mor", VERBS), 1).otherwise(0)
-    rows = rows.select("speaker", *(c.alias(k) for k, c in columns.items()))
+
+    def points_of(words: Column) -> Column:
+        found = [F.when(reduce(lambda a, b: a | b, [any_item_matches(words, p) for p in patterns]), points).otherwise(0).alias(name) for name, patterns, points in rules]
+        whole = F.when(any_pos_starts(words, SUBJECTS) & any_pos_starts(words, VERBS), 1).otherwise(0).alias("sentence_points")
+        return F.struct(*found, whole)
+
+    columns = [*(name for name, _, _ in rules), "sentence_points"]
+    rows = rows.select("speaker", once(all_words("mor"), points_of).alias("p")).select("speaker", "p.*")
     out = rows.groupBy("speaker").agg(F.count(F.lit(1)).alias("utterances"), *(F.sum(k).alias(k) for k in columns))
     total = reduce(lambda a, b: a + b, [F.col(k) for k in columns])
     return out.withColumn("score", F.round(total / F.col("utterances"), 6))
@@ -71,13 +90,13 @@ def syntax_index(turns: DataFrame, rules=IPSYN_RULES, most: int = 100) -> DataFr
     """Of each speaker: utterances and, for each rule, how many utterances show it, 2 at most; sums by kind (first letter) and in all."""
     rows = first_utterances(turns, most)
 
-    def shown(rule: Syntax) -> Column:
-        out = reduce(lambda a, b: a & b, [any_item_matches("mor", p) for p in rule.include])
+    def shown(words: Column, rule: Syntax) -> Column:
+        out = reduce(lambda a, b: a & b, [any_item_matches(words, p) for p in rule.include])
         for p in rule.exclude:
-            out = out & ~any_item_matches("mor", p)
+            out = out & ~any_item_matches(words, p)
         return out
 
-    rows = rows.select("speaker", *(shown(r).alias(r.name) for r in rules))
+    rows = rows.select("speaker", once(all_words("mor"), lambda words: F.struct(*(shown(words, r).alias(r.name) for r in rules))).alias("r")).select("speaker", "r.*")
     out = rows.groupBy("speaker").agg(F.count(F.lit(1)).alias("utterances"), *(F.least(F.lit(2), F.count(F.when(F.col(r.name), 1))).cast("long").alias(r.name) for r in rules))
     kinds = sorted({r.name[0] for r in rules})
     total = lambda names: reduce(lambda a, b: a + b, [F.col(n) for n in names])
@@ -86,13 +105,17 @@ def syntax_index(turns: DataFrame, rules=IPSYN_RULES, most: int = 100) -> DataFr
 
 def evaluation(turns: DataFrame, by: tuple[str, ...] = ("speaker",)) -> DataFrame:
     """One wide row for each speaker: utterances, words, different words and their ratio, mean lengths, parts of speech, inflections, errors and the ratio of open to closed classes."""
-    words = all_words("mor")
     classes = [c for c, _, _ in CLASSES]
-    counts = {f"n_{c}": _class_count(words, c) for c in classes}
-    counts |= {k: _inflection_count(words, k) for k in ("plurals", "past", "present_participle", "past_participle")}
     errors = F.col("n_err") if "n_err" in turns.columns else F.lit(0)
-    each = turns.where(F.size("cw") > 0).select(*by, F.size("cw").cast("long").alias("w"), F.coalesce(feature_morphemes("mor"), F.lit(0)).alias("m"), errors.alias("errors"), *(F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in counts.items()))
-    sums = each.groupBy(*by).agg(F.count(F.lit(1)).alias("utterances"), F.sum("w").alias("words"), F.sum("m").alias("morphemes"), F.sum("errors").cast("long").alias("word_errors"), *(F.sum(k).alias(k) for k in counts))
+    # One row for each word of the mor tier, and for an utterance without any; the first one stands for the utterance.
+    each = turns.where(F.size("cw") > 0).select(*by, F.size("cw").cast("long").alias("w"), errors.cast("long").alias("errors"), F.posexplode_outer(all_words("mor")).alias("k", "x"))
+    has = inflections(F.col("x.features"))
+    each = each.select(*by, "w", "errors", (F.coalesce("k", F.lit(0)) == 0).alias("first"), classify(F.col("x.pos")).alias("class"), F.when(F.col("k").isNotNull(), 1 + F.size("x.features")).alias("m"), *(has[k].alias(k) for k in INFLECTIONS))
+    first = lambda c: F.sum(F.when(F.col("first"), F.col(c)))
+    sums = each.groupBy(*by).agg(
+        F.count(F.when(F.col("first"), 1)).alias("utterances"), first("w").alias("words"), F.coalesce(F.sum("m"), F.lit(0)).alias("morphemes"), F.coalesce(first("errors"), F.lit(0)).alias("word_errors"),
+        *(F.count(F.when(F.col("class") == c, 1)).alias(f"n_{c}") for c in classes), *(F.count(F.when(F.col(k), 1)).alias(k) for k in INFLECTIONS),
+    )
     types = turns.select(*by, F.explode(folded("cw")).alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.count(F.lit(1)).alias("different_words"))
     add = lambda names: reduce(lambda a, b: a + b, [F.col(f"n_{n}") for n in names])
     return sums.join(types, list(by)).withColumns(
@@ -105,14 +128,6 @@ def evaluation(turns: DataFrame, by: tuple[str, ...] = ("speaker",)) -> DataFram
     )
 
 
-def _class_count(words: Column, name: str) -> Column:
-    return F.size(F.filter(words, lambda w: F.coalesce(classify(w["pos"]) == name, F.lit(False))))
-
-
-def _inflection_count(words: Column, name: str) -> Column:
-    return F.size(F.filter(words, lambda w: inflections(w["features"])[name]))
-
-
 def child_evaluation(turns: DataFrame) -> DataFrame:
     """Evaluation, sentence scores, syntax index and an estimate of D for each speaker: n ttr^2 / (1 - ttr), 0 to 120, 0 for fewer than 50 words."""
     base = evaluation(turns).select("speaker", "utterances", "words", "different_words", "ttr", "words_per_utterance", "morphemes_per_utterance")
@@ -168,31 +183,43 @@ def morpheme_table(turns: DataFrame, rules: list[tuple[str, str, tuple[str, ...]
     return rows.groupBy("speaker", "label").agg(F.count(F.lit(1)).alias("count"))
 
 
-def fluency(turns: DataFrame, words: str = "all_words") -> DataFrame:
+def fluency(turns: DataFrame, words: str = "words") -> DataFrame:
     """Of each speaker: words, prolongations, broken words, repeated words, phrase repetitions, revisions, fillers and fragments, and both rates per 100 words.
 
     words: an array of word structs (raw, category, retrace_kind), those in retraces too. A word repeats
     the one before it in its utterance if they are equal in lower case and without lengthening.
     """
-    bare = lambda w: F.lower(F.translate(w["raw"], ":", ""))
-    x = F.col(words)
-    count = lambda test: F.size(F.filter(x, test)).cast("long")
-    pairs = F.when(F.size(x) > 1, F.size(F.filter(F.sequence(F.lit(2), F.size(x)), lambda i: bare(F.element_at(x, i)) == bare(F.element_at(x, i - 1))))).otherwise(0)
-    groups = lambda kind: F.size(F.array_distinct(F.transform(F.filter(x, lambda w: F.coalesce(w["retrace_kind"] == kind, F.lit(False))), lambda w: w["retrace_no"]))).cast("long")
-    rows = turns.select(
-        "speaker", F.size(x).cast("long").alias("words"),
-        count(lambda w: F.contains(w["raw"], F.lit(":"))).alias("prolongations"), count(lambda w: F.contains(w["raw"], F.lit("^"))).alias("broken"),
-        pairs.cast("long").alias("repetitions"), groups("partial").alias("phrase_repetitions"), groups("full").alias("revisions"),
-        count(lambda w: F.coalesce(w["category"] == "filler", F.lit(False))).alias("fillers"), count(lambda w: F.coalesce(w["category"] == "fragment", F.lit(False))).alias("fragments"),
-    )
+    names = ("words", "prolongations", "broken", "repetitions", "phrase_repetitions", "revisions", "fillers", "fragments")
+
+    def counts(x: Column) -> Column:
+        count = lambda test: F.size(F.filter(x, test)).cast("long")
+        of = lambda name: count(lambda w: F.coalesce(w["category"] == name, F.lit(False)))
+        bare = F.transform(x, lambda w: F.lower(F.translate(w["raw"], ":", "")))
+        kinds = F.transform(x, lambda w: F.coalesce(w["retrace_kind"], F.lit("")))
+        # Adjacent words in retraces of one kind are one retrace.
+        runs = lambda name: once(kinds, lambda k: F.size(F.filter(_places(k), lambda i: (F.get(k, i) == name) & ~F.get(k, i - 1).eqNullSafe(F.lit(name)))))
+        found = (
+            F.size(x), count(lambda w: F.contains(w["raw"], F.lit(":"))), count(lambda w: F.contains(w["raw"], F.lit("^"))), _repeated(bare),
+            runs("partial"), runs("full"), of("filler"), of("fragment"),
+        )
+        return F.struct(*(c.cast("long").alias(n) for c, n in zip(found, names, strict=True)))
+
+    rows = turns.select("speaker", once(F.col(words), counts).alias("c")).select("speaker", "c.*")
     out = rows.groupBy("speaker").agg(*(F.sum(c).alias(c) for c in rows.columns[1:]))
     per = lambda names: F.round(100 * ratio(reduce(lambda a, b: a + b, [F.col(n) for n in names]), F.col("words")), 6)
     return out.withColumns({"stuttering_rate": per(["prolongations", "broken", "repetitions"]), "typical_rate": per(["phrase_repetitions", "revisions", "fillers", "fragments"])})
 
 
+def _places(x: Column) -> Column:
+    return F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _repeated(words: Column) -> Column:
+    """How many words are equal to the one before them."""
+    return once(words, lambda w: F.size(F.filter(_places(w), lambda i: F.coalesce(F.get(w, i) == F.get(w, i - 1), F.lit(False)))))
+
+
 def repeated_words(turns: DataFrame) -> DataFrame:
     """Of each speaker: words and words equal to the one before them in their utterance, for turns that have only cw."""
-    w = folded("cw")
-    pairs = F.when(F.size(w) > 1, F.size(F.filter(F.sequence(F.lit(2), F.size(w)), lambda i: F.element_at(w, i) == F.element_at(w, i - 1)))).otherwise(0)
-    rows = turns.select("speaker", F.size("cw").cast("long").alias("n"), pairs.cast("long").alias("r"))
+    rows = turns.select("speaker", F.size("cw").cast("long").alias("n"), _repeated(folded("cw")).cast("long").alias("r"))
     return rows.groupBy("speaker").agg(F.sum("n").alias("words"), F.sum("r").alias("repetitions")).withColumn("rate", F.round(100 * ratio("repetitions", "words"), 6))

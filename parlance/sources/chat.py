@@ -127,7 +127,7 @@ def parse(text: str) -> dict:
             if kind == "ID":
                 fields = (value.split("|") + [""] * 10)[:10]
                 ids.append(dict(zip(_ID_FIELDS, fields, strict=True)) | {"id_raw": value, "line_no": n})
-            if kind in ("Bg", "G"):
+            if kind == "Bg":  # an @G is a mark only: nothing ends it
                 gems.append(value)
             elif kind == "Eg" and value.lower() in [g.lower() for g in gems]:
                 del gems[len(gems) - 1 - [g.lower() for g in reversed(gems)].index(value.lower())]
@@ -197,14 +197,6 @@ def problems(files: DataFrame) -> DataFrame:
     return parsed(files).select("file", "p.problem").where("problem is not null")
 
 
-def fluency_words(turn_rows: DataFrame) -> DataFrame:
-    """Adds all_words, with retraces numbered within their utterance, as the fluency profile wants them."""
-    numbered = F.transform("words", lambda w, i: w.withField("retrace_no", F.when(w["in_retrace"], i)))
-    # A run of retraced words of one kind is one retrace: its number is that of its first word.
-    first = F.transform(numbered, lambda w, i: w.withField("retrace_no", F.when(w["in_retrace"], F.size(F.filter(F.slice(numbered, 1, i + 1), lambda x: F.coalesce(~x["in_retrace"] | (x["retrace_kind"] != w["retrace_kind"]), F.lit(True)))))))
-    return turn_rows.withColumn("all_words", first)
-
-
 def normalised(text: str) -> str:
     """A file's text as it would be written after reading: lines unfolded, one tab behind labels, single blanks."""
     text = re.sub(r"\n+\t", " ", text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n"))

@@ -60,7 +60,7 @@ def test_checks(spark):
 
 
 def test_fluency(spark):
-    (r, m) = profiles.fluency(chat.fluency_words(chat.turns(files(spark)))).orderBy("speaker").collect()
+    (r, m) = profiles.fluency(chat.turns(files(spark))).orderBy("speaker").collect()
     assert (r.phrase_repetitions, r.fillers) == (1, 1)
     assert (m.prolongations, m.broken, m.revisions, m.fragments) == (1, 1, 1, 1)
 
