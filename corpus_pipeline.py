@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm import block_names, bpe, decontamination, jaccard_join, language_id
-from parlance.llm.common import read, written
+from parlance.llm.common import forget, kept, read, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -51,8 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """The last stage's result over the table documents."""
-    docs = read(spark, folder, "documents")
+    """The last stage's result over the table documents. What a stage leaves in the shared folder goes when the next one is written."""
+    docs, before = read(spark, folder, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, folder), f"stage-{name}")
+        with scratch(spark):
+            docs = kept(stage(spark, docs, folder), f"stage-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, folder)
