@@ -10,29 +10,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm import block_names, bpe, decontamination, jaccard_join, language_id
-from parlance.llm.common import forget, kept, read, scratch
+from parlance.llm.common import configured, forget, kept, read, scratch
 
 
+@configured
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language is told; what has no letter or too narrow a margin goes."""
     return language_id.without_rejected(docs)
 
 
+@configured
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One of each group of texts that are equal without white space: the longest as given, then the smallest doc_id."""
     return block_names.without_duplicates(docs)
 
 
+@configured
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One of each component of documents linked by a Jaccard similarity of 0.8 or more of five-word shingles: the smallest doc_id."""
     return jaccard_join.without_near_duplicates(docs, words=5, percent=80)
 
 
+@configured
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
     return decontamination.without_contaminated(docs, read(spark, folder, "benchmark"))
 
 
+@configured
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text they give back."""
     return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
