@@ -8,6 +8,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -113,6 +114,23 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, rows)
 
 
+#: Arrow settings that an application should give its session: Spark's own batches of 64 MB stand several times beside each worker.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "20000", "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
+
+
+def configured(query: Callable) -> Callable:
+    """A query or stage (spark, ...) of this application: SETTINGS that the session doesn't have yet are set. Operators never set any."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *more):
+        for key, value in SETTINGS.items():
+            if spark.conf.get(key, None) is None:
+                spark.conf.set(key, value)
+        return query(spark, *more)
+
+    return run
+
+
 def mapped(df: DataFrame, rows: Callable, schema: T.StructType | str) -> DataFrame:
     """df.mapInArrow with batches cut to some ARROW_BYTES, or one row. Spark's own batches end at spark.sql.execution.arrow.maxBytesPerBatch."""
     return df.mapInArrow(lambda batches: rows(_sliced(batches)), schema)

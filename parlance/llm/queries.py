@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import block_names, bpe, chat_format, decontamination, jaccard_join, language_id, license_scan, token_counts, token_files, url_filter
-from parlance.llm.common import read
+from parlance.llm.common import configured, read
 
 
 def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_ALL = {
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
     "op3_bpe": op3_bpe,
@@ -73,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
 }
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: configured(query) for name, query in _ALL.items()}
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.oracle(),
     "op2_url_filter": url_filter.oracle(URL_RULES),
