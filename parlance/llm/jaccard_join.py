@@ -20,9 +20,9 @@
 
 A block is searched by neighbouring size classes, a group for each two; what fits one task is one unit. A
 larger group is dealt out in chunks, each searched with the same PIVOTS of the group beside its own: what is
-near one of them hangs together over all chunks. Where sets are left that don't, the pairs between
-what hangs together so far and the rest are made out by inverted lists of prefixes: in any one order of
-shingles two sets that link share one of the first few, and with those that many hold put last, few
+near one of them hangs together over all chunks. Where sets are left that don't, noted pairs are
+compared as such. Those that only frequent signatures lead to are made out by inverted lists of prefixes:
+in any one order of shingles two sets that link share one of the first few, and with those that many hold put last, few
 others do. Only what meets there in units is searched again; its most numerous label isn't
 compared with itself.
 
@@ -48,7 +48,7 @@ from parlance.llm.common import kept, mapped, number_rows, scratch, without_rows
 from parlance.llm.components import components
 
 #: Chunks of a block hold about so many shingles and documents at most.
-CHUNK_SHINGLES, CHUNK_DOCS = 1_500_000, 3000
+CHUNK_SHINGLES, CHUNK_DOCS = 750_000, 3000
 #: Signatures that sets which link have in common at least; bearers of one up to which pairs are noted.
 AGREE, FEW = 3, 6
 #: Short lists that a document is found in at least.
@@ -56,13 +56,13 @@ SHARED = 3
 #: Sets of a group of several chunks that each of its chunks is searched with.
 PIVOTS = 64
 #: Shingles of a chunk that are put last, most common last, and documents that hold one of them at least.
-COMMON, COMMON_DOCS = 8192, 16
+COMMON, COMMON_DOCS = 32_768, 4
 #: Rows of units that go to every executor, some 40 bytes each; more are joined by a shuffle.
 BROADCAST_UNITS = 500_000
 #: Signatures that a task remembers with their first bearer.
 SEEN_BITS = 20
 #: Words with their hashes held ready in a worker.
-STORE = 600_000
+STORE = 300_000
 _U = np.uint64
 
 
@@ -188,18 +188,25 @@ def search_block(sets: list[np.ndarray], percent: int, label: np.ndarray | None
     holders = np.repeat(np.arange(n), sizes)
     order = np.lexsort((holders, values))
     values, holders = values[order], holders[order]
-    shingles, list_of, lengths = np.unique(values, return_inverse=True, return_counts=True)
+    del order
+    heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    shingles, lengths = values[heads], np.diff(heads, append=len(values))
+    list_of = np.repeat(np.arange(len(heads)), lengths)
+    del values, heads
     keys = list_of * n + holders  # sorted by list, then document
     # Lists in order of length. What two sets that link have in common first of all is, the SHARED first ones
     # of it, among the first of both in this order: lists of prefixes hold documents by those alone.
     rank = np.empty(len(shingles), np.int64)
     rank[np.argsort(lengths, kind="stable")] = np.arange(len(shingles))
-    by_doc = np.lexsort((rank[list_of], holders))
-    place = np.empty(len(values), np.int64)
-    place[by_doc] = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    by_doc = np.argsort(holders * len(shingles) + rank[list_of])
+    del list_of
+    place = np.empty(len(holders), np.int64)
+    place[by_doc] = np.arange(len(holders)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    del by_doc
     own_size = sizes[holders]
     in_prefix = place < own_size + (-percent * 2 * own_size) // (100 + percent) + SHARED
     prefix_keys, prefix_holders = keys[in_prefix], holders[in_prefix]
+    del place, own_size, in_prefix
     label, links = np.arange(n) if label is None else label.copy(), []
     recent: list[int] = []
 
@@ -355,11 +362,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield some(_PAIR, [(max(x, y), min(x, y)) for i, x in enumerate(held) for y in held[:i]])
 
 
-def _candidates(met: DataFrame) -> DataFrame:
-    """Edges (a, b) that hang all sets together that can link.
+def _candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) noted AGREE times, and edges (a, b) that hang together by frequent signatures: both together all sets that can link.
 
-    Pairs noted AGREE times; and of frequent signatures those bearers that have more of them than they
-    can spare. A set that can spare its frequent ones has AGREE others in common with each that it links with.
+    Of frequent signatures those bearers that have more of them than they can spare. A set that can spare
+    its frequent ones has AGREE others in common with each that it links with. So of two that link and aren't a pair both
+    are needy, that is in the second table.
     Of a set that sends empty parts, some of these may not send theirs: all filled ones in common must be rare.
     """
     pairs = met.where(F.col("what") == _PAIR).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= AGREE).select("a", "b")
@@ -370,23 +378,23 @@ def _candidates(met: DataFrame) -> DataFrame:
     needy = counts.where(F.when(can < 0, (F.col("filled") > 0) | (F.col("has") > -1 - can)).otherwise(F.col("has") > can)).select("uid", "side")
     bearers = frequent.join(needy, ["uid", "side"], "left_semi")
     first = bearers.groupBy("key").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("bearers")).where("bearers > 1")
-    return pairs.unionByName(bearers.join(first, "key").select(F.col("uid").alias("a"), F.col("first").alias("b")).where("a != b").distinct())
+    return pairs, bearers.join(first, "key").select(F.col("uid").alias("a"), F.col("first").alias("b")).distinct()
 
 
 _UNIT = ["block", "kind", "i", "j"]
 _FOUND = "large boolean, a long, b long, block long, kind long, common binary"
 
 
-def _units(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[tuple, list[list]]]:
-    """(unit, columns of its rows from at on); rows of a unit come together."""
+def _units(batches: Iterator[pa.RecordBatch], shingles: Shingles) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(unit, (uid, label, large, set) of its rows); rows of a unit come together, with their texts last."""
     unit, held = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:at] != unit:
+        for *own, _, uid, label, large, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != unit:
                 if held:
                     yield unit, held
-                unit, held = row[:at], []
-            held.append(row[at:])
+                unit, held = own, []
+            held.append((uid, label, large, shingles(text)))
     if held:
         yield unit, held
 
@@ -396,9 +404,8 @@ def _searched(words: int, percent: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
-        for (block, kind, i, _), held in _units(batches, 4):
-            uids, labels, large = [r[1] for r in held], np.array([r[2] for r in held]), held[0][3]
-            sets = [shingles(r[4]) for r in held]
+        for (block, kind, i, _), held in _units(batches, shingles):
+            uids, labels, sets, large = [r[0] for r in held], np.array([r[1] for r in held]), [r[3] for r in held], held[0][2]
             found = search_block(sets, percent, np.unique(labels, return_inverse=True)[1]) if len(sets) > 1 else []
             n = len(found)
             more = [pa.array([x], k) for x, k in zip((True, None, None, block, kind, _common(sets)), _KINDS, strict=True)] if large and not i else [pa.array([], k) for k in _KINDS]
@@ -497,8 +504,8 @@ def _chunk(by: str) -> Column:
     return F.pmod(F.xxhash64("uid"), F.col(by))
 
 
-def _chunks(docs: str, shingles: str) -> Column:
-    return F.ceil(F.greatest(F.col(docs) / CHUNK_DOCS, F.col(shingles) / CHUNK_SHINGLES))
+def _chunks(docs: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(docs / CHUNK_DOCS, shingles / CHUNK_SHINGLES))
 
 
 def _each(n: Column) -> Column:
@@ -513,13 +520,14 @@ def _linked(docs: DataFrame, words: int, percent: int, text: str, doc_id: str, u
     # Equal sets: the least uid stands for all.
     first = every.where("n > 0").groupBy("digest").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copies = every.where("n > 0").join(first.where("copies > 1"), "digest").where("uid != rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
-    blocks = components(_candidates(met))
+    pairs, stars = (written(x, "candidates") for x in _candidates(met))
+    blocks = components(pairs.unionByName(stars))
     members = every.join(first.select(F.col("rep").alias("uid")), "uid", "left_semi")
     members = members.join(blocks, F.col("uid") == F.col("node")).select("uid", "n", F.col("root").alias("block"), "kind")
     # Sets that link are of one size class or of neighbouring ones: each goes to its own and the next.
     members = members.withColumn("kind", F.explode(F.array(F.col("kind"), F.col("kind") + 1)))
     sizes = members.groupBy("block", "kind").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
-    sizes = sizes.select("block", "kind", _chunks("docs", "shingles").alias("chunks"))
+    sizes = sizes.select("block", "kind", _chunks(F.col("docs"), F.col("shingles")).alias("chunks"))
     members = written(members.join(sizes, ["block", "kind"]).withColumn("i", _chunk("chunks")), "members")
     large = members.where("chunks > 1")
     any_large = bool(large.limit(1).count())
@@ -533,7 +541,7 @@ def _linked(docs: DataFrame, words: int, percent: int, text: str, doc_id: str, u
     found = _search(narrow, chunk, words, percent)
     links = found.where("a is not null").select("a", "b")
     if any_large:
-        links = links.unionByName(_between_chunks(narrow, large, found, words, percent))
+        links = links.unionByName(_between_chunks(narrow, large, found, pairs, stars, words, percent))
     found = components(links.unionByName(copies))
     found = found.join(every.select("uid", "doc_id"), F.col("node") == F.col("uid")).select("node", "root", "doc_id")
     least = found.groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -543,10 +551,21 @@ def _linked(docs: DataFrame, words: int, percent: int, text: str, doc_id: str, u
     return out.select("uid", F.coalesce("root", "uid").alias("root"), "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _between_chunks(narrow: DataFrame, large: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+def _between_chunks(narrow: DataFrame, large: DataFrame, found: DataFrame, pairs: DataFrame, stars: DataFrame, words: int, percent: int) -> DataFrame:
     """The links that are still missing in groups of several chunks: between sets not yet connected."""
     labels = components(found.where("large and a is not null").select("a", "b"))
     held = large.join(labels, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "uid")).drop("node", "root")
+    held = written(held, "labelled")
+    zero = F.lit(0).cast("long")
+    # Pairs noted as such: each set with those it is to be compared with. They are few, as rare signatures have few bearers.
+    of = held.select("uid", "n", "label").distinct()
+    side = lambda x: of.select(F.col("uid").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"))
+    apart = written(pairs.join(side("a"), "a").join(side("b"), "b").where("label_a != label_b"), "apart")
+    noted = apart.select(F.col("a").alias("block"), F.col("n_b").alias("n"), F.col("b").alias("uid"), F.col("label_b").alias("label")).unionByName(apart.select(F.col("a").alias("block"), F.col("n_a").alias("n"), F.col("a").alias("uid"), F.col("label_a").alias("label")).distinct())
+    noted = noted.select("block", F.lit(3).cast("long").alias("kind"), zero.alias("i"), zero.alias("j"), "n", "uid", "label", F.lit(False).alias("large"))
+    # All others are needy.
+    needy = stars.select(F.col("a").alias("uid")).distinct()
+    held = held.join(needy, "uid", "left_semi")
     open_groups = held.groupBy("block", "kind").agg((F.min("label") < F.max("label")).alias("open"), F.min("n").alias("least")).where("open")
     held = written(held.join(open_groups, ["block", "kind"]), "open")
     # Sets by their prefixes, those of a chunk after the common shingles and the least size of its group.
@@ -560,21 +579,22 @@ def _between_chunks(narrow: DataFrame, large: DataFrame, found: DataFrame, words
     at = ["block", "kind", "shingle"]
     meet = rows.groupBy(*at).agg(F.min("uid").alias("first"), F.max("enough").alias("any"), (F.min("label") < F.max("label")).alias("differ")).where("any and differ")
     near = components(rows.join(meet, at).select(F.col("uid").alias("a"), F.col("first").alias("b")).distinct())
-    again = near.join(held.select("uid", "n", "label").distinct(), F.col("node") == F.col("uid")).select(F.col("root").alias("block"), "uid", "n", "label")
-    by_label = again.groupBy("block", "label").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    most = by_label.groupBy("block").agg(F.max(F.struct("docs", "label", "shingles")).alias("m"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"))
-    most = most.where("docs > m.docs").select("block", F.col("m.label").alias("most"), F.col("m.docs").alias("m_docs"), F.col("m.shingles").alias("m_shingles"), "docs", "shingles")
-    most = most.select("block", "most", _chunks("docs", "shingles").alias("all"), _chunks("m_docs", "m_shingles").alias("own"), F.greatest(F.lit(1), F.ceil(F.greatest((F.col("docs") - F.col("m_docs")) / CHUNK_DOCS, (F.col("shingles") - F.col("m_shingles")) / CHUNK_SHINGLES))).alias("rest"))
-    again = again.join(most, "block").withColumn("is_most", F.col("label") == F.col("most"))
-    # kind 0: all of a block; 1: two chunks of the rest; 2: a chunk of the rest and one of the most numerous label.
-    unit = lambda kind, i, j: F.struct(F.lit(kind).cast("long").alias("kind"), i.alias("i"), j.alias("j"))
-    zero, rest, own = F.lit(0).cast("long"), _chunk("rest"), _chunk("own")
+    again = near.join(held.select("kind", "uid", "n", "label"), F.col("node") == F.col("uid")).select(F.col("root").alias("block"), "kind", "uid", "n", "label")
+    group = ["block", "kind"]
+    by_label = again.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    most = by_label.groupBy(*group).agg(F.max(F.struct("docs", "label", "shingles")).alias("m"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles")).where("docs > m.docs")
+    rest_of = lambda c: F.col(c) - F.col(f"m.{c}")
+    most = most.select(*group, F.col("m.label").alias("most"), _chunks(F.col("docs"), F.col("shingles")).alias("all"), _chunks(F.col("m.docs"), F.col("m.shingles")).alias("own"), _chunks(rest_of("docs"), rest_of("shingles")).alias("rest"))
+    again = again.join(most, group).withColumn("is_most", F.col("label") == F.col("most"))
+    # Units of each group: 0, all of it; 1, two chunks of the rest; 2, a chunk of the rest and one of the most numerous label.
+    unit = lambda what, i, j: F.struct((F.col("kind") * 4 + what).alias("kind"), i.alias("i"), j.alias("j"))
+    rest, own = _chunk("rest"), _chunk("own")
     among = F.transform(_each(F.col("rest")), lambda k: unit(1, F.least(rest, k), F.greatest(rest, k)))
     across = F.transform(_each(F.col("own")), lambda k: unit(2, rest, k))
     with_rest = F.transform(_each(F.col("rest")), lambda k: unit(2, k, own))
     to = F.when(F.col("all") == 1, F.array(unit(0, zero, zero))).when(F.col("is_most"), with_rest).otherwise(F.concat(among, across))
     units = again.select("block", F.explode(to).alias("u"), "n", "uid", "label").select("block", "u.kind", "u.i", "u.j", "n", "uid", "label", F.lit(False).alias("large"))
-    return _search(narrow, units, words, percent).select("a", "b")
+    return _search(narrow, units.unionByName(noted), words, percent).select("a", "b")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
