@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import forget, kept, mapped, number_rows, scratch, without_rows, written
+from parlance.llm.common import forget, kept, mapped, number_rows, scratch, small, without_rows, written
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -96,7 +96,7 @@ def _named(rows: DataFrame) -> DataFrame:
     ends = ranked.where("uid is null and h is not null").select("task", "rank", "h", "key", "is_first")
     inner = ranked.where("uid is null and h is null").select("task", F.col("rank").alias("n"))
     by_task = ends.groupBy("task").agg(F.count(F.when(F.col("is_first"), 1)).alias("n_first"), F.count(F.when(~F.col("is_first"), 1)).alias("n_last"), F.min(F.when(F.col("is_first"), F.col("h"))).alias("h"))
-    by_task = inner.join(by_task, "task").withColumn("own", F.col("n") - F.col("n_first") - F.col("n_last"))
+    by_task = inner.join(small(by_task), "task").withColumn("own", F.col("n") - F.col("n_first") - F.col("n_last"))
     # In order of hashes: the blocks of a border's hash, then what is within the task that begins with it.
     of_border = ends.select("h", "key").distinct().withColumn("at", F.row_number().over(Window.partitionBy("h").orderBy("key")) - 1)
     null = F.lit(None).cast("long")
@@ -105,9 +105,9 @@ def _named(rows: DataFrame) -> DataFrame:
     before = Window.orderBy("h", "kind", "task").rowsBetween(Window.unboundedPreceding, -1)
     steps = written(steps.withColumn("offset", F.coalesce(F.sum("own").over(before), F.lit(0))), "offsets")
     borders = steps.where("kind = 0").select("h", "offset")
-    of_end = ends.join(of_border, ["h", "key"]).join(borders, "h").select("task", "is_first", "rank", (F.col("offset") + F.col("at")).alias("name"))
+    of_end = ends.join(small(of_border), ["h", "key"]).join(small(borders), "h").select("task", "is_first", "rank", (F.col("offset") + F.col("at")).alias("name"))
     of_end = of_end.groupBy("task").agg(*(F.transform(F.filter(listed_of, lambda x: x["name"].isNotNull()), lambda x: x["name"]).alias(c) for c, listed_of in (("first", _listed("is_first")), ("last", _listed("not is_first")))))
-    offsets = by_task.select("task", "n", "n_first", "n_last").join(steps.where("kind = 1").select("task", "offset"), "task").join(of_end, "task")
+    offsets = by_task.select("task", "n", "n_first", "n_last").join(small(steps.where("kind = 1").select("task", "offset")), "task").join(small(of_end), "task")
     offsets = written(offsets, "tasks")
     offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_TASKS else offsets
     r, from_last = F.col("rank"), F.col("rank") - F.col("n") + F.col("n_last")

@@ -149,6 +149,11 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, joined by sorting even where Spark would rather broadcast it: a broadcast by several columns takes a page of some 32 MB on each executor until the driver collects it."""
+    return df.hint("merge")
+
+
 #: Rows to drop whose numbers go to every executor, 8 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Paths of files that go to every executor, some 200 bytes each.

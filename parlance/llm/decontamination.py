@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import kept, mapped, number_rows, scratch, without_rows, written
+from parlance.llm.common import kept, mapped, number_rows, scratch, small, without_rows, written
 
 #: Tokens in a window, words among them at least, and windows that make a match (all, if an item has fewer).
 WINDOW, LEAST_WORDS, ENOUGH = 8, 4, 6
@@ -279,16 +279,17 @@ def _matches(docs: DataFrame, benchmark: DataFrame, uid: str, text: str, doc_id:
     items = written(mapped(numbered, _items, _SCHEMA), "items")
     # Each set of equal windows once, as the first reading of the first item has them.
     first = items.groupBy("kind").agg(F.min(F.struct("uid", "reading")).alias("first"))
-    own = items.join(first, "kind").where((F.col("uid") == F.col("first.uid")) & (F.col("reading") == F.col("first.reading")))
+    own = items.join(small(first), "kind").where((F.col("uid") == F.col("first.uid")) & (F.col("reading") == F.col("first.reading")))
     often = items.groupBy("h").agg(F.count(F.lit(1)).alias("times"))
     need = F.least("total", F.lit(ENOUGH))
     place = F.row_number().over(Window.partitionBy("kind").orderBy("times", "at"))
-    sought = own.join(often, "h").select("kind", "h", F.col("at").alias("item_at"), "length", need.alias("need"), (F.col("reading") == 0).alias("words"), F.col("slots").alias("item_slots"), (place <= F.col("total") - need + 1).alias("leads"))
+    sought = own.join(small(often), "h").select("kind", "h", F.col("at").alias("item_at"), "length", need.alias("need"), (F.col("reading") == 0).alias("words"), F.col("slots").alias("item_slots"), (place <= F.col("total") - need + 1).alias("leads"))
     sought = written(sought, "sought")
     lengths = tuple(sorted(r.length for r in sought.where(F.col("length") < WINDOW).select("length").distinct().collect()))
     marks = spark.sparkContext.broadcast(_bitmap(sought))
     read = docs.select(F.col(uid).alias("uid"), F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
     found = written(mapped(read, _documents(lambda: marks.value, lengths), _SCHEMA), "windows")
+    marks.unpersist()
     hits = found.where("h is not null").select("uid", "h", (F.col("reading") == 0).alias("words"), "reading", "at", "slots")
     # The windows that lead to an item, then for what they lead to the few others.
     by_lead = hits.join(_few(sought.where("leads").drop("leads", "length")), ["h", "words"])
@@ -304,7 +305,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, uid: str, text: str, doc_id:
     filled = aligned.select(*alignment, F.inline(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))).where("i != 0").distinct()
     filled = filled.groupBy(*alignment).agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("i")).alias("of_i"), F.size(F.collect_set("d")).alias("of_d"))
     conflicts = filled.where((F.col("of_i") < F.col("n")) | (F.col("of_d") < F.col("n")))
-    in_template = aligned.join(conflicts, alignment, "left_anti").groupBy("uid", "kind", "need", "reading").agg(F.count_distinct("item_at").alias("n"))
+    in_template = aligned.join(small(conflicts), alignment, "left_anti").groupBy("uid", "kind", "need", "reading").agg(F.count_distinct("item_at").alias("n"))
     there = written(in_words.unionByName(in_template.drop("reading")).where("n >= need").select("uid", "kind").distinct(), "found")
     every = found.where("h is null").select("uid", F.col("key").alias("doc_id"))
     if not with_items:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import kept, mapped, number_rows, scratch, without_rows, written
+from parlance.llm.common import kept, mapped, number_rows, scratch, small, without_rows, written
 from parlance.llm.components import components
 
 #: Chunks of a block hold about so many shingles and documents at most.
@@ -528,7 +528,7 @@ def _linked(docs: DataFrame, words: int, percent: int, text: str, doc_id: str, u
     members = members.withColumn("kind", F.explode(F.array(F.col("kind"), F.col("kind") + 1)))
     sizes = members.groupBy("block", "kind").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
     sizes = sizes.select("block", "kind", _chunks(F.col("docs"), F.col("shingles")).alias("chunks"))
-    members = written(members.join(sizes, ["block", "kind"]).withColumn("i", _chunk("chunks")), "members")
+    members = written(members.join(small(sizes), ["block", "kind"]).withColumn("i", _chunk("chunks")), "members")
     large = members.where("chunks > 1")
     any_large = bool(large.limit(1).count())
     # Texts travel, not sets: they are half as large.
@@ -567,9 +567,9 @@ def _between_chunks(narrow: DataFrame, large: DataFrame, found: DataFrame, pairs
     needy = stars.select(F.col("a").alias("uid")).distinct()
     held = held.join(needy, "uid", "left_semi")
     open_groups = held.groupBy("block", "kind").agg((F.min("label") < F.max("label")).alias("open"), F.min("n").alias("least")).where("open")
-    held = written(held.join(open_groups, ["block", "kind"]), "open")
+    held = written(held.join(small(open_groups), ["block", "kind"]), "open")
     # Sets by their prefixes, those of a chunk after the common shingles and the least size of its group.
-    common = found.where("common is not null").select("block", "kind", "common").join(held.select("block", "kind", "i", "least").distinct(), ["block", "kind"])
+    common = found.where("common is not null").select("block", "kind", "common").join(small(held.select("block", "kind", "i", "least").distinct()), ["block", "kind"])
     sets, tasks = _with_texts(narrow, held.select("block", "kind", "i", "n", "uid", "label"))
     null = lambda kind: F.lit(None).cast(kind)
     first = common.select("block", "kind", "i", null("long").alias("uid"), F.col("least").alias("label"), "common", null("string").alias("text"))
@@ -578,14 +578,14 @@ def _between_chunks(narrow: DataFrame, large: DataFrame, found: DataFrame, pairs
     rows = written(mapped(sets, _prefixed(words, percent), "block long, kind long, shingle long, uid long, label long, enough boolean"), "prefixes")
     at = ["block", "kind", "shingle"]
     meet = rows.groupBy(*at).agg(F.min("uid").alias("first"), F.max("enough").alias("any"), (F.min("label") < F.max("label")).alias("differ")).where("any and differ")
-    near = components(rows.join(meet, at).select(F.col("uid").alias("a"), F.col("first").alias("b")).distinct())
+    near = components(rows.join(small(meet), at).select(F.col("uid").alias("a"), F.col("first").alias("b")).distinct())
     again = near.join(held.select("kind", "uid", "n", "label"), F.col("node") == F.col("uid")).select(F.col("root").alias("block"), "kind", "uid", "n", "label")
     group = ["block", "kind"]
     by_label = again.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     most = by_label.groupBy(*group).agg(F.max(F.struct("docs", "label", "shingles")).alias("m"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles")).where("docs > m.docs")
     rest_of = lambda c: F.col(c) - F.col(f"m.{c}")
     most = most.select(*group, F.col("m.label").alias("most"), _chunks(F.col("docs"), F.col("shingles")).alias("all"), _chunks(F.col("m.docs"), F.col("m.shingles")).alias("own"), _chunks(rest_of("docs"), rest_of("shingles")).alias("rest"))
-    again = again.join(most, group).withColumn("is_most", F.col("label") == F.col("most"))
+    again = again.join(small(most), group).withColumn("is_most", F.col("label") == F.col("most"))
     # Units of each group: 0, all of it; 1, two chunks of the rest; 2, a chunk of the rest and one of the most numerous label.
     unit = lambda what, i, j: F.struct((F.col("kind") * 4 + what).alias("kind"), i.alias("i"), j.alias("j"))
     rest, own = _chunk("rest"), _chunk("own")
