@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import threading
 import uuid
@@ -114,6 +116,14 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, rows)
 
 
+def _give_back() -> None:
+    """Memory that was freed goes back to the system: workers wait for the next task beside those at work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Arrow settings that an application should give its session: Spark's own batches of 64 MB stand several times beside each worker.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "20000", "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
 
@@ -133,7 +143,14 @@ def configured(query: Callable) -> Callable:
 
 def mapped(df: DataFrame, rows: Callable, schema: T.StructType | str) -> DataFrame:
     """df.mapInArrow with batches cut to some ARROW_BYTES, or one row. Spark's own batches end at spark.sql.execution.arrow.maxBytesPerBatch."""
-    return df.mapInArrow(lambda batches: rows(_sliced(batches)), schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(_sliced(batches))
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def ascii_lower(text: Column | str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from parlance.llm.common import forget, mapped, written
 
 #: Nodes that a task holds at a time, some 300 bytes each.
-HELD = 100_000
+HELD = 50_000
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,7 +48,7 @@ from parlance.llm.common import kept, mapped, number_rows, scratch, small, witho
 from parlance.llm.components import components
 
 #: Chunks of a block hold about so many shingles and documents at most.
-CHUNK_SHINGLES, CHUNK_DOCS = 750_000, 3000
+CHUNK_SHINGLES, CHUNK_DOCS = 600_000, 3000
 #: Signatures that sets which link have in common at least; bearers of one up to which pairs are noted.
 AGREE, FEW = 3, 6
 #: Short lists that a document is found in at least.
