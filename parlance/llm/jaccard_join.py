@@ -48,7 +48,7 @@ from parlance.llm.common import kept, mapped, number_rows, scratch, small, witho
 from parlance.llm.components import components
 
 #: Chunks of a block hold about so many shingles and documents at most.
-CHUNK_SHINGLES, CHUNK_DOCS = 600_000, 3000
+CHUNK_SHINGLES, CHUNK_DOCS = 750_000, 3000
 #: Signatures that sets which link have in common at least; bearers of one up to which pairs are noted.
 AGREE, FEW = 3, 6
 #: Short lists that a document is found in at least.
@@ -497,7 +497,7 @@ def _search(narrow: DataFrame, units: DataFrame, words: int, percent: int) -> Da
     """What is found in units: rows of _UNIT, n, uid, label, large."""
     held, tasks = _with_texts(narrow, units)
     held = held.select(*_UNIT, "n", "uid", "label", "large", "text").repartition(tasks, *_UNIT).sortWithinPartitions(*_UNIT, "n", "uid")
-    return written(mapped(held, _searched(words, percent), _FOUND), "links")
+    return mapped(held, _searched(words, percent), _FOUND)
 
 
 def _chunk(by: str) -> Column:
@@ -539,6 +539,8 @@ def _linked(docs: DataFrame, words: int, percent: int, text: str, doc_id: str, u
         pivots = pivots.withColumn("to", F.explode(_each(F.col("chunks")))).where("to != i")
         chunk = chunk.unionByName(pivots.select("block", "kind", F.col("to").alias("i"), F.col("to").alias("j"), "n", "uid", F.col("uid").alias("label"), F.lit(True).alias("large")))
     found = _search(narrow, chunk, words, percent)
+    if any_large:  # read several times
+        found = written(found, "links")
     links = found.where("a is not null").select("a", "b")
     if any_large:
         links = links.unionByName(_between_chunks(narrow, large, found, pairs, stars, words, percent))
