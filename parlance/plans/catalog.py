@@ -209,7 +209,17 @@ s AS (SELECT file, count(*) AS blocks, max(n) AS longest FROM b GROUP BY file)
 SELECT p.file AS file, count(*) FILTER (link = '++') AS other_completion, count(*) FILTER (link = '+,') AS self_completion, count(*) FILTER (link = '+<') AS lazy_overlap, count(*) FILTER (link = '+"') AS quotation, 0 AS quick_uptake, 0 AS latching, 0 AS tcu,
   count(*) FILTER (link = '++' AND pt = '+...' AND ps <> speaker) AS other_completion_fits, count(*) FILTER (link = '+,' AND own IN ('+...', '+/.')) AS self_completion_fits, count(*) FILTER (link = '+"' AND pt = '+"/.') AS quotation_fits,
   coalesce(any_value(blocks), 0) AS blocks, coalesce(any_value(longest), 0) AS longest FROM p LEFT JOIN s ON s.file = p.file GROUP BY p.file"""))
-_add("overlap_audit", lambda t: interaction.overlap_audit(t.withColumn("text", F.concat(F.element_at(F.array(F.lit("⌈"), F.lit("⌊"), F.lit("")), (F.col("utt_idx") % 3 + 1).cast("int")), "text"))))
+_add("overlap_audit", lambda t: interaction.overlap_audit(t.withColumn("text", F.concat(F.element_at(F.array(F.lit("⌈"), F.lit("⌊"), F.lit("")), (F.col("utt_idx") % 3 + 1).cast("int")), "text"))), _with(_UTT, r"""
+, l AS (SELECT file, utt_idx, speaker, ['⌈', '⌊', ''][utt_idx % 3 + 1] || text AS text FROM utt),
+t AS (SELECT *, regexp_extract_all(text, '⌈([2-9]?)', 1) AS tops, regexp_extract_all(text, '⌊([2-9]?)', 1) AS bottoms FROM l),
+m AS (SELECT file, utt_idx, speaker, 'top' AS kind, unnest(tops) AS idx, unnest(range(len(tops))) AS k FROM t UNION ALL SELECT file, utt_idx, speaker, 'bottom', unnest(bottoms), unnest(range(len(bottoms))) FROM t),
+p AS (SELECT *, last_value(CASE WHEN kind = 'top' THEN {'u': utt_idx, 'k': k, 's': speaker} END IGNORE NULLS) OVER (PARTITION BY file, idx ORDER BY utt_idx, kind DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM m),
+f AS (SELECT *, coalesce(kind = 'bottom' AND top IS NOT NULL AND top.s <> speaker, false) AS fits FROM p),
+c AS (SELECT file, count(*) FILTER (kind = 'top') AS tops, count(*) FILTER (kind = 'bottom') AS bottoms, count(DISTINCT CASE WHEN fits THEN {'i': idx, 'u': top.u, 'k': top.k} END) AS groups, count(*) FILTER (kind = 'bottom' AND NOT fits) AS orphan_bottoms FROM f GROUP BY file),
+q AS (SELECT *, tops - groups + orphan_bottoms AS alone FROM c)
+SELECT u.file AS file, coalesce(tops, 0) AS tops, coalesce(bottoms, 0) AS bottoms, coalesce(groups, 0) AS groups, coalesce(orphan_bottoms, 0) AS orphan_bottoms, CAST(0 AS BIGINT) AS timed, CAST(0 AS BIGINT) AS consistent, coalesce(tops - groups, 0) AS orphan_tops,
+  CASE WHEN alone IS NULL THEN 'none' WHEN alone = 0 THEN 'fully_paired' WHEN alone / greatest(1, groups + alone) > 0.8 THEN 'open_only' ELSE 'mixed' END AS quality
+FROM (SELECT DISTINCT file FROM utt) u LEFT JOIN q ON q.file = u.file"""))
 
 # Comparisons.
 def _coded(parity: int):
