@@ -409,7 +409,10 @@ ORACLES["tr_makemod_all"] = _with(_TOK, "SELECT file, utt_idx, string_agg(CASE u
 QUERIES["tr_ort"] = lambda s, d: word_forms.respelled(_turns(s, d), s.createDataFrame([("the", "THE"), ("of", "uv")], "word string, spelling string"))
 ORACLES["tr_ort"] = _with(_TOK, "SELECT file, utt_idx, string_agg(CASE lower(word) WHEN 'the' THEN 'THE' WHEN 'of' THEN 'uv' ELSE word END, ' ' ORDER BY pos) AS words, CASE WHEN bool_or(lower(word) IN ('the', 'of')) THEN string_agg(word, ' ' ORDER BY pos) END AS ort FROM tok GROUP BY ALL")
 _add("tr_gem", lambda t: tier_forms.in_gem(t.select("file", F.col("utt_idx").alias("line_no"), F.when(F.col("utt_idx") == 1, "header").otherwise("line").alias("kind"), F.lit("Play").alias("label"), F.when(F.col("utt_idx") == 3, 1).when(F.col("utt_idx") == 5, -1).otherwise(0).alias("step")), ["play"]).select("file", "line_no"), _with(_UTT, "SELECT file, utt_idx AS line_no FROM utt WHERE utt_idx IN (1, 3, 4)"))
-_add("tr_fixbullets", lambda t: tier_forms.shifted(t, 5), None, _events)
+_add("tr_fixbullets", lambda t: tier_forms.shifted(t, 5), f"""WITH {_EV},
+o AS (SELECT file, utt_idx, start_ms + 5 AS s, end_ms + 5 AS e, row_number() OVER (PARTITION BY file ORDER BY utt_idx) AS i FROM ev WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL),
+l AS (SELECT *, 2 * i + greatest(-1, max(greatest(e, s + 1) - 2 * i) OVER (PARTITION BY file ORDER BY i)) AS last FROM o)
+SELECT file, utt_idx, greatest(s, coalesce(lag(last) OVER (PARTITION BY file ORDER BY i), -1) + 1) AS start_ms, last AS end_ms FROM l""", _events)
 _add("tr_postmortem", lambda t: t.select("file", "utt_idx", word_forms.postmortem(F.lower(F.array_join("cw", " ")), [("of the", "of_the"), ("the * of", "the $- uv")]).alias("mor")))
 _add("tr_quotes", lambda t: tier_forms.no_quote_postcode(t.withColumn("postcodes", F.array(F.lit("x")))).select("file", "utt_idx"), _with(_UTT, "SELECT file, utt_idx FROM utt"))
 _add("tr_indent", lambda t: tier_forms.indented(t.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("utt_idx", F.concat(F.lit("*"), "speaker", F.lit(":\t"), F.element_at(F.array(F.lit("ab ⌈cd⌉"), F.lit("⌊ef⌋"), F.lit("gh")), (F.col("utt_idx") % 3 + 1).cast("int"))).alias("line")))), lambda x: x["line"]), "\n").alias("text"))))

@@ -99,22 +99,17 @@ def no_quote_postcode(turns: DataFrame) -> DataFrame:
 def shifted(turns: DataFrame, offset: int = 0) -> DataFrame:
     """Times moved by an offset (an error below 0), and then forward past the end of what goes before: a start is at least the adjusted end before plus 1, and an utterance lasts 1 ms at least.
 
-    A utterance's end depends on the one before it, so each file is gone through in order; the rows of a
-    file are folded in an array of its times.
+    An adjusted end is the largest of the own end, the own start plus 1 and the end before plus 2; so it is a
+    running maximum over the file, once 2 ms for each utterance so far are taken off.
     """
-    timed = turns.where("start_ms is not null and end_ms is not null")
-    rows = timed.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("utt_idx", (F.col("start_ms") + offset).alias("s"), (F.col("end_ms") + offset).alias("e")))).alias("t"))
-    empty = F.array().cast("array<struct<utt_idx:bigint,s:bigint,e:bigint>>")
-    start = F.struct(F.lit(-1).cast("long").alias("last"), empty.alias("out"))
-
-    def step(state: Column, t: Column) -> Column:
-        s = F.greatest(t["s"], state["last"] + 1)
-        e = F.greatest(t["e"], s + 1)
-        return F.struct(e.alias("last"), F.concat(state["out"], F.array(F.struct(t["utt_idx"].alias("utt_idx"), s.alias("s"), e.alias("e")))).alias("out"))
-
-    moved = rows.withColumn("t", F.aggregate("t", start, step, lambda x: x["out"]))
-    moved = moved.select("file", F.inline("t")).select("file", "utt_idx", F.when(F.col("s") < 0, F.raise_error(F.lit("a time below 0"))).otherwise(F.col("s")).alias("start_ms"), F.col("e").alias("end_ms"))
-    return moved
+    timed = turns.where("start_ms is not null and end_ms is not null").select("file", "utt_idx", (F.col("start_ms") + offset).alias("s"), (F.col("end_ms") + offset).alias("e"))
+    order = Window.partitionBy("file").orderBy("utt_idx", "s", "e")
+    own = F.greatest("e", F.col("s") + 1) - 2 * F.col("place")
+    rows = timed.withColumn("place", F.row_number().over(order))
+    rows = rows.withColumn("last", F.greatest(F.lit(-1), F.max(own).over(order.rowsBetween(Window.unboundedPreceding, 0))) + 2 * F.col("place"))
+    start = F.greatest("s", F.lag("last", 1, -1).over(order) + 1)
+    start = F.when(F.least("s", "e") < 0, F.raise_error(F.lit("a time below 0")).cast("long")).otherwise(start)
+    return rows.select("file", "utt_idx", start.alias("start_ms"), F.col("last").alias("end_ms"))
 
 
 def aligned_overlaps(text: str) -> str:

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from parlance import render
@@ -128,6 +131,23 @@ def test_postmortem_and_times(spark):
     assert tiers.aligned_overlaps("*A:\tab ⌈cd⌉\n*B:\t⌊ef⌋").split("\n")[1].index("⌊") == "*A:\tab ⌈cd⌉".index("⌈")
 
 
+def test_shifted_times_are_those_of_a_plain_fold(spark):
+    rng = random.Random(3)
+    rows = [(str(f), k, s := rng.randrange(400), s + rng.randrange(-3, 40)) for f in range(5) for k in range(60)] + [(None, 1, None, 5)]
+    rows = [(f, k, s, e if e is None or e > 0 else 1) for f, k, s, e in rows]
+    expected, last = [], {}
+    for f, k, s, e in rows:
+        if s is not None:
+            s = max(s + 7, last.get(f, -1) + 1)
+            last[f] = max(e + 7, s + 1)
+            expected.append((f, k, s, last[f]))
+    t = spark.createDataFrame(rows, "file string, utt_idx long, start_ms long, end_ms long")
+    assert sorted(map(tuple, tiers.shifted(t, 7).collect())) == sorted(expected)
+    assert tiers.shifted(t.limit(0)).count() == 0
+    with pytest.raises(Exception, match="a time below 0"):
+        tiers.shifted(t, -300).collect()
+
+
 def test_render(spark):
     df = spark.createDataFrame([("a,b", 1, 0.5), ("c", 22, None)], "w string, n long, r double")
     assert render.render(df).split("\n")[0].split() == ["w", "n", "r"]
