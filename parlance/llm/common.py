@@ -171,6 +171,26 @@ def small(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Keys whose rows go to every executor at most, where one key may have a large part of all rows.
+HOT_KEYS = 20_000
+
+
+def joined_to_one(many: DataFrame, one: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """Rows of many with the row of one that has their keys; one has each key once, and in the column rows how many rows of many have it.
+
+    Keys with more than a HOT_KEYS-th of those, at most HOT_KEYS of them, go to every executor, so their rows stay where they are;
+    all others are joined by a shuffle, in which no key has more. Both tables are read twice: they should be written ones.
+    """
+    total = own_name(one, "total")
+    marked = one.crossJoin(F.broadcast(one.agg(F.sum(rows).alias(total))))
+    hot = F.col(rows) * HOT_KEYS > F.col(total)
+    names = [c for c in one.columns if c != rows]
+    often, seldom = marked.where(hot).select(*names), marked.where(~hot).select(*names)
+    near = many.join(F.broadcast(often), keys)
+    far = many.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(small(seldom), keys)
+    return near.unionByName(far)
+
+
 #: Rows to drop whose numbers go to every executor, 8 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Paths of files that go to every executor, some 200 bytes each.

@@ -14,7 +14,7 @@ from parlance.llm.common import forget, mapped, written
 HELD = 50_000
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (u, v) that hang together what a task's edges do: each node with the least of its own."""
     up: dict[int, int] = {}
 
@@ -26,7 +26,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up[x], x = top, up[x]
         return top
 
-    def stars() -> pa.RecordBatch:
+    def contracted() -> pa.RecordBatch:
         found = [(x, r) for x in up if (r := root(x)) != x]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ((), ()))], ["u", "v"])
 
@@ -36,9 +36,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if u != v:
                 up[max(u, v)] = min(u, v)
         if len(up) > HELD:
-            yield stars()
+            yield contracted()
             up.clear()
-    yield stars()
+    yield contracted()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -51,7 +51,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     a checksum. Nulls and loops are passed over; no edges give no rows.
     """
     ends = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now = written(mapped(ends, _stars, "u long, v long"), "edges")
+    now = written(mapped(ends, stars, "u long, v long"), "edges")
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -59,7 +59,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         above = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = above.groupBy("u").agg(F.min("v").alias("m"))
         below = above.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        then = written(mapped(below.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), _stars, "u long, v long"), "edges")
+        then = written(mapped(below.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), stars, "u long, v long"), "edges")
         before, state = state, _state(then)
         forget(now)
         now = then

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import block_names, bpe, chat_format, decontamination, jaccard_join, language_id, license_scan, token_counts, token_files, url_filter
+from parlance.llm import block_names, bpe, chat_format, decontamination, jaccard_join, language_id, license_scan, periodic_runs, simhash, token_alignment, token_counts, token_files, url_filter
 from parlance.llm.common import configured, read
 
 
@@ -61,6 +61,18 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.run_digests(read(spark, folder, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.alignment_digests(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_table(read(spark, folder, "documents"))
+
+
 _ALL = {
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
@@ -72,6 +84,9 @@ _ALL = {
     "op8_block_names": op8_block_names,
     "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_simhash": op13_simhash,
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: configured(query) for name, query in _ALL.items()}
 ORACLES: dict[str, str] = {
