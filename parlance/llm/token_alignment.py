@@ -27,55 +27,76 @@ from parlance.llm.common import kept, mapped, scratch, written
 HOT = 100_000
 _TEXT = "groups string, n_a long, n_b long, n_groups long, n_links long, pairs array<struct<a:int,b:int,n:int>>"
 
-#: A tokenizer: ids of a text and the bytes of each.
-Tokens = Callable[[str], tuple[list[int], list[bytes]]]
+#: Pairs of ids that a worker keeps written out; when full, the store starts anew.
+STORE = 500_000
 
 
-def byte_level(spec: str) -> Tokens:
-    """space + text by a byte-level BPE vocabulary (tokenizers JSON); strings of special tokens are plain text."""
-    encoder = bpe.encoder_of(spec)
+class Tokens:
+    """A tokenizer: ids of a text, and the bytes of each id."""
 
-    def tokens(text: str) -> tuple[list[int], list[bytes]]:
-        ids = encoder._plain(" " + text)
-        return ids, list(map(encoder._bytes.__getitem__, ids))
+    def __init__(self, encode: Callable[[str], list[int]], spelled: list[bytes]) -> None:
+        self.encode, self.spelled = encode, spelled
+        self.lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
 
-    return tokens
+    def __call__(self, text: str, whole: bytes) -> np.ndarray | None:
+        """The ids of text; None if they don't spell whole."""
+        ids = self.encode(text)
+        return np.array(ids, np.int64) if b"".join(map(self.spelled.__getitem__, ids)) == whole else None
 
+    def ends(self, ids: np.ndarray) -> list[int]:
+        """Where each token ends, in bytes."""
+        sizes = self.lengths[ids]
+        if not sizes.all():
+            raise ValueError("a token without bytes")
+        return np.cumsum(sizes).tolist()
 
-_MODELS: dict[str, tuple[sentencepiece.SentencePieceProcessor, list[bytes]]] = {}
-
-
-def pieces(model: bytes) -> Tokens:
-    """text by a sentencepiece model, which puts a space before it."""
-    key = hashlib.sha256(model).hexdigest()
-    if key not in _MODELS:
-        _MODELS.clear()
-        one = sentencepiece.SentencePieceProcessor(model_proto=model)
-        names = [one.id_to_piece(k) for k in range(one.get_piece_size())]
-        _MODELS[key] = one, [bytes([int(x[3:5], 16)]) if one.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(names)]
-    processor, spelled = _MODELS[key]
-
-    def tokens(text: str) -> tuple[list[int], list[bytes]]:
-        ids = processor.encode([text], num_threads=1)[0]
-        return ids, list(map(spelled.__getitem__, ids))
-
-    return tokens
 
+_READY: dict[tuple[str, str], tuple[Tokens, Tokens]] = {}
 
-def merge(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """Numbers of tokens of both sides up to each place where both end; ends are ascending."""
-    out, i, j, n, m = [], 0, 0, len(ends_a), len(ends_b)
-    while i < n and j < m:
-        x, y = ends_a[i], ends_b[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            out.append((i, j))
-    return out
 
+def tokenizers_of(spec: str, model: bytes) -> tuple[Tokens, Tokens]:
+    """Of space + text by a byte-level BPE vocabulary (tokenizers JSON), and of text by a sentencepiece model, which puts a space before it; built once per worker.
 
-def _sums(tokens: list[bytes]) -> list[int]:
-    return np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))).tolist()
+    Strings of special tokens are plain text to both.
+    """
+    key = (hashlib.sha256(spec.encode()).hexdigest(), hashlib.sha256(model).hexdigest())
+    if key not in _READY:
+        _READY.clear()
+        encoder = bpe.encoder_of(spec)
+        processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        names = [processor.id_to_piece(k) for k in range(processor.get_piece_size())]
+        spelled = [bytes([int(x[3:5], 16)]) if processor.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(names)]
+        _READY[key] = Tokens(lambda text: encoder._plain(" " + text), encoder._bytes), Tokens(lambda text: processor.encode([text], num_threads=1)[0], spelled)
+    return _READY[key]
+
+
+def merge(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+    """Numbers of tokens of either side up to each place where both end; ends are ascending."""
+    at_a: list[int] = []
+    at_b: list[int] = []
+    if ends_a and ends_b:
+        ends_b = [*ends_b, ends_a[-1] + 1]
+        j, y = 0, ends_b[0]
+        for i, x in enumerate(ends_a, 1):
+            while y < x:
+                j += 1
+                y = ends_b[j]
+            if y == x:
+                at_a.append(i)
+                at_b.append(j + 1)
+    return at_a, at_b
+
+
+class _Written(dict):
+    def __missing__(self, pair: int) -> str:
+        if len(self) >= STORE:
+            self.clear()
+        out = self[pair] = f"{pair >> 32}|{pair & 0xFFFFFFFF}"
+        return out
+
+
+_WRITTEN = _Written()
+_NONE = np.zeros(0, np.int64)
 
 
 class Aligned:
@@ -85,35 +106,29 @@ class Aligned:
     """
 
     def __init__(self, text: str | None, first: Tokens, second: Tokens) -> None:
-        self.a: list[int] = []
-        self.b: list[int] = []
-        self.ends: list[tuple[int, int]] = []
+        self.a = self.b = self.at_a = self.at_b = self.linked = _NONE
         if not text:
             return
-        want = (" " + text).encode("utf-8", "surrogatepass")
-        a, bytes_a = first(text)
-        b, bytes_b = second(text)
-        if b"".join(bytes_b) != want or b"".join(bytes_a) != want:
+        whole = (" " + text).encode("utf-8", "surrogatepass")
+        a, b = first(text, whole), second(text, whole)
+        if a is None or b is None:
             return
-        if b"" in bytes_a or b"" in bytes_b:
-            raise ValueError("a token without bytes")
-        self.a, self.b, self.ends = a, b, merge(_sums(bytes_a), _sums(bytes_b))
+        self.a, self.b = a, b
+        self.at_a, self.at_b = (np.array(x, np.int64) for x in merge(first.ends(a), second.ends(b)))
+        self.linked = a[self.at_a - 1] << 32 | b[self.at_b - 1]
 
     def groups(self) -> str:
         """a1,a2|b1;a3|b2,b3: the ids of each group."""
-        a, b, out, i, j = list(map(str, self.a)), list(map(str, self.b)), [], 0, 0
-        for to_i, to_j in self.ends:
-            out.append(f"{a[i]}|{b[j]}" if to_i == i + 1 and to_j == j + 1 else ",".join(a[i:to_i]) + "|" + ",".join(b[j:to_j]))
-            i, j = to_i, to_j
+        out = list(map(_WRITTEN.__getitem__, self.linked.tolist()))
+        first_a, first_b = (np.concatenate([[0], x[:-1]]).astype(np.int64) for x in (self.at_a, self.at_b))
+        for k in np.flatnonzero((self.at_a - first_a > 1) | (self.at_b - first_b > 1)).tolist():
+            a, b = self.a[first_a[k] : self.at_a[k]].tolist(), self.b[first_b[k] : self.at_b[k]].tolist()
+            out[k] = ",".join(map(str, a)) + "|" + ",".join(map(str, b))
         return ";".join(out)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each pair of ids that is linked, and how often."""
-        if not self.ends:
-            return (np.zeros(0, np.int64),) * 3
-        at = np.array(self.ends) - 1
-        linked = np.array(self.a)[at[:, 0]] << 32 | np.array(self.b)[at[:, 1]]
-        found, times = np.unique(linked, return_counts=True)
+        found, times = np.unique(self.linked, return_counts=True)
         return found >> 32, found & 0xFFFFFFFF, times
 
 
@@ -136,14 +151,14 @@ def aligned(docs: DataFrame, byte_vocabulary: str, piece_model: str, digest: boo
     model = context.broadcast(open(piece_model, "rb").read())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = byte_level(spec.value), pieces(model.value)
+        first, second = tokenizers_of(spec.value, model.value)
         for batch in batches:
             groups, counts, parts = [], [], []
             for value in batch.column(1).to_pylist():
                 one = Aligned(value, first, second)
                 found = one.groups()
                 groups.append(hashlib.sha256(found.encode()).hexdigest() if digest and found else found)
-                counts.append((len(one.a), len(one.b), len(one.ends), len(one.ends)))
+                counts.append((len(one.a), len(one.b), len(one.linked), len(one.linked)))
                 parts.append(one.pairs())
             numbers = [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, pa.string()), *numbers, _array(parts)], ["doc_id", "groups", "n_a", "n_b", "n_groups", "n_links", "pairs"])

@@ -94,9 +94,10 @@ def test_groups_as_text(spark):
 
 
 def test_merge_of_ends():
-    assert ta.merge([1, 4, 6, 9], [2, 4, 9]) == [(2, 2), (4, 3)]
-    assert ta.merge([], [1]) == []
-    assert ta.merge([3], [1, 2, 3]) == [(1, 3)]
+    assert ta.merge([1, 4, 6, 9], [2, 4, 9]) == ([2, 4], [2, 3])
+    assert ta.merge([], [1]) == ta.merge([1], []) == ([], [])
+    assert ta.merge([3], [1, 2, 3]) == ([1], [3])
+    assert ta.merge([1, 2, 5], [1, 3]) == ([1], [1])
 
 
 def test_very_long_text(spark, libraries):
