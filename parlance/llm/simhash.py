@@ -32,6 +32,8 @@ from parlance.llm.components import components, stars
 HELD, SHARE = 2000, 20_000
 #: Nodes whose rows are made at a time, and pairs that are compared at a time.
 NODES, PAIRS = 10_000, 2_000_000
+#: Nodes whose rows a task makes.
+TASK_NODES = 20_000
 _U = np.uint64
 _LONGER = 1 << 60
 
@@ -202,10 +204,13 @@ def links(nodes: DataFrame, most: int = 3) -> DataFrame:
     ring, spark = Ring(most), nodes.sparkSession
     nodes = nodes.toDF("node")
     held = mapped(nodes, _held_keys(ring), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    least = max(HELD, nodes.count() // SHARE)
+    count = nodes.count()
+    least = max(HELD, count // SHARE)
     # Each node holds one key for each segment: at most segments * SHARE of them are so common.
     keys = np.array([r.key for r in held.where(F.col("n") > least).select("key").collect()], np.int64)
     common = spark.sparkContext.broadcast(_neighbours(ring, keys))
+    # A node makes some seventy rows: tasks get so many nodes, not so many bytes of them.
+    nodes = nodes.repartition(-(-count // TASK_NODES) or 1, "node")
     met = mapped(nodes, _sent(ring, common), "key long, asked boolean, node long").repartition("key").sortWithinPartitions("key", "asked")
     return mapped(met, _met(ring), "u long, v long")
 

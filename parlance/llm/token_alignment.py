@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import bpe
-from parlance.llm.common import kept, mapped, scratch, written
+from parlance.llm.common import kept, mapped, scratch, small, written
 
 #: Pairs of ids that go to every executor at most, some 100 bytes each.
 HOT = 100_000
@@ -184,17 +184,19 @@ def with_counts(found: DataFrame, pairs: DataFrame) -> DataFrame:
     n_best_b: links whose pair has the largest count of its b, ties included; n_best_a likewise; count_sum: the
     counts of all links. 0 for rows without links.
     """
-    each = found.select("uid", F.explode("pairs").alias("p")).select("uid", "p.*")
+    one = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32) + F.col(b)
+    each = found.select("uid", F.explode("pairs").alias("p")).select("uid", one("p.a", "p.b").alias("pair"), "p.n")
     total = pairs.agg(F.sum("texts").alias("total"))
     # At most HOT pairs are in more than a HOT-th of all rows of each.
-    marked = written(pairs.crossJoin(F.broadcast(total)).select("a", "b", "links", (F.col("texts") * HOT > F.col("total")).alias("hot"), (F.col("links") == F.col("most_a")).alias("best_a"), (F.col("links") == F.col("most_b")).alias("best_b")), "marked")
+    marks = [(F.col("texts") * HOT > F.col("total")).alias("hot"), (F.col("links") == F.col("most_a")).alias("best_a"), (F.col("links") == F.col("most_b")).alias("best_b")]
+    marked = written(pairs.crossJoin(F.broadcast(total)).select(one("a", "b").alias("pair"), "links", *marks), "marked")
     hot, cold = marked.where("hot"), marked.where("not hot")
     times = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0))
     sums: list[Column] = [times("best_a").alias("n_best_a"), times("best_b").alias("n_best_b"), F.sum(F.col("n") * F.col("links")).alias("count_sum")]
     # Each task sums up the rows of a text as they come: one is sent.
-    counted = each.join(F.broadcast(hot), ["a", "b"]).groupBy("uid").agg(*sums)
+    counted = each.join(F.broadcast(hot), "pair").groupBy("uid").agg(*sums)
     if cold.limit(1).count():
-        left = each.join(F.broadcast(hot.select("a", "b")), ["a", "b"], "left_anti").join(cold.hint("merge"), ["a", "b"])
+        left = each.join(F.broadcast(hot.select("pair")), "pair", "left_anti").join(small(cold), "pair")
         counted = counted.unionByName(left.groupBy("uid").agg(*sums)).groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("n_best_a", "n_best_b", "count_sum")))
     out = found.drop("pairs").join(counted, "uid", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_best_a", "n_best_b", "count_sum")})
