@@ -1,19 +1,26 @@
 """Transcript files: text to headers, @ID rows and turns, and back.
 
-Files are read whole, one row for each, and parsed by mapInArrow-like UDF calls that give one nested
-row for a file; everything after that is DataFrame work. A file that can't be parsed gives a row in
-which problem says why, and no turns.
+A file is read whole and parsed once, where it lies: scan() gives a row for each of its lines of interest, of all kinds
+or of those asked for. Main tiers are read by a pushdown automaton: groups nest, and a mark in square brackets
+belongs to the word or group before it. Written by kind (store()), a scan is read again without parsing,
+and a query of headers doesn't touch the turns. What can't be parsed gives rows of the kind problem.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from parlance.functions.words import countable
 from parlance.model import WORD
+from parlance.storage import exists
 
 # Linkers, terminators (longest first), and what marks a word as not understood.
 LINKERS = ('+"', "+^", "+<", "+,", "++", "+≈", "+≋")
@@ -23,6 +30,11 @@ UNTRANSCRIBED = {"xxx": "unintelligible", "xx": "unintelligible", "yyy": "phonet
 RETRACES = {"[/]": "partial", "[//]": "full", "[///]": "multiple", "[/-]": "reformulation", "[/?]": "uncertain"}
 _CATEGORIES = (("&-", "filler"), ("&+", "fragment"), ("&~", "nonword"), ("0", "omission"))
 _TOKEN = re.compile(r"\x15(\d+)_(\d+)\x15|(\[[^\]]*\])|(<)|(>)|([“”])|((?:\+\S*)?[^\s<>\[\]“”\x15]+)")
+#: Characters that mean something in a main tier, and what stands for each in a word that has it: private ones, from U+E001 on.
+SPECIAL = "<>[]()@:^~+&“”ˈˌ⌈⌉⌊⌋↑↓→↗↘°∆∇\x15"
+PRIVATE = "".join(chr(0xE001 + k) for k in range(len(SPECIAL)))
+#: Stands before a word that would be read as a mark as a whole.
+PLAIN = "\ue000"
 _ID_FIELDS = ("language", "corpus", "speaker", "age", "sex", "grp", "ses", "role", "education", "custom")
 
 
@@ -40,47 +52,75 @@ def _word(raw: str) -> dict | None:
     return {"raw": raw, "cleaned": cleaned, "category": category, "untranscribed": UNTRANSCRIBED.get(cleaned.lower()), "in_retrace": False, "retrace_kind": None, "replaced": False, "replacement": False, "n_err": 0}
 
 
+class MainTier:
+    """A main tier read token by token; what is open stands on a stack."""
+
+    def __init__(self, text: str) -> None:
+        self.words: list[dict] = []
+        self.linkers: list[str] = []
+        self.postcodes: list[str] = []
+        self.terminator: str | None = None
+        self.times: tuple[int, int] | None = None
+        self.problems: list[str] = []
+        self._open: list[int] = []  # where the words of each open group begin
+        self._last: tuple[int, int] | None = None  # words of the unit that a mark belongs to
+        for m in _TOKEN.finditer(text):
+            if m[1]:
+                self.times = int(m[1]), int(m[2])
+            elif m[3]:
+                self._mark(m[3])
+            elif m[4]:
+                self._open.append(len(self.words))
+            elif m[5]:
+                if self._open:
+                    self._last = self._open.pop(), len(self.words)
+                else:
+                    self.problems.append("> without <")
+            elif m[7]:
+                self._token(m[7])
+        if self._open:
+            self.problems.append("< without >")
+
+    def _token(self, token: str) -> None:
+        if token in TERMINATORS:
+            self.terminator = token
+        elif token in LINKERS and not self.words:
+            self.linkers.append(token)
+        elif word := _word(token):
+            self.words.append(word)
+            self._last = len(self.words) - 1, len(self.words)
+
+    def _mark(self, mark: str) -> None:
+        if mark.startswith("[+ "):
+            self.postcodes.append(mark[3:-1].strip())
+            return
+        kind = RETRACES.get(mark)
+        if not (kind or mark.startswith(("[:", "[*"))):
+            return
+        if self._last is None:
+            self.problems.append(f"{mark} without a word before it")
+            return
+        first, end = self._last
+        if kind:
+            for w in self.words[first:end]:
+                w["in_retrace"], w["retrace_kind"] = True, w["retrace_kind"] or kind
+        elif mark.startswith("[*"):
+            for w in self.words[first : min(end, first + 1)]:
+                w["n_err"] += 1
+        else:
+            for w in self.words[first:end]:
+                w["replaced"] = True
+            self.words += [w | {"replacement": True} for w in map(_word, mark.lstrip("[: ").rstrip("]").split()) if w]
+            self._last = first, len(self.words)
+
+    def fields(self) -> dict:
+        start, end = self.times or (None, None)
+        return {"linkers": self.linkers, "postcodes": self.postcodes, "terminator": self.terminator, "start_ms": start, "end_ms": end, "words": self.words}
+
+
 def parse_main(text: str) -> dict:
     """Words, linkers, terminator, postcodes and times of a main tier."""
-    out = {"linkers": [], "postcodes": [], "terminator": None, "start_ms": None, "end_ms": None}
-    words: list[dict] = []
-    starts: list[int] = []  # of open groups
-    last = (0, 0)  # what an annotation belongs to
-    for m in _TOKEN.finditer(text):
-        if m[1]:
-            out["start_ms"], out["end_ms"] = int(m[1]), int(m[2])
-        elif m[3]:
-            note = m[3]
-            if note in RETRACES:
-                for w in words[slice(*last)]:
-                    w["in_retrace"], w["retrace_kind"] = True, w["retrace_kind"] or RETRACES[note]
-            elif note.startswith("[+ "):
-                out["postcodes"].append(note[3:-1].strip())
-            elif note.startswith("[:"):
-                for w in words[slice(*last)]:
-                    w["replaced"] = True
-                begin = len(words)
-                for raw in note.lstrip("[: ").rstrip("]").split():
-                    if w := _word(raw):
-                        words.append(w | {"replacement": True})
-                last = (last[0], max(begin, len(words)))
-            elif note.startswith("[*"):
-                for w in words[slice(*last)][:1]:
-                    w["n_err"] += 1
-        elif m[4]:
-            starts.append(len(words))
-        elif m[5]:
-            last = (starts.pop() if starts else 0, len(words))
-        elif m[7]:
-            token = m[7]
-            if token in TERMINATORS:
-                out["terminator"] = token
-            elif token in LINKERS and not words:
-                out["linkers"].append(token)
-            elif w := _word(token):
-                words.append(w)
-                last = (len(words) - 1, len(words))
-    return out | {"words": words}
+    return MainTier(text).fields()
 
 
 def parse_mor(text: str) -> list[dict]:
@@ -108,100 +148,219 @@ def _codes(text: str) -> list[str]:
     return [x for x in text.split() if x != "." and not re.fullmatch(r"<.*>", x)]
 
 
-def parse(text: str) -> dict:
-    """headers, ids and turns of a file's text."""
-    text = re.sub(r"\n+\t", " ", text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n"))
-    headers, ids, turns, gems = [], [], [], []
-    for n, line in enumerate(text.split("\n"), 1):
-        head, _, value = line.partition(":")
+def unfolded(text: str) -> str:
+    """text with lines that go on after a tab joined."""
+    return re.sub(r"\n+\t", " ", text.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n"))
+
+
+KINDS = ("header", "id", "turn", "line", "problem")
+#: Tiers with a reader; turns have a column for each.
+READERS = {"mor": parse_mor, "gra": parse_gra, "cod": _codes, "pho": str.split, "mod": str.split}
+_OLD_LABELS = {"trn": "mor", "grt": "gra"}
+
+
+def parse_lines(text: str, kinds: Iterable[str] = KINDS) -> Iterator[tuple[int, str, dict]]:
+    """(line number, kind, fields) of a file's text.
+
+    header, id and turn; line: every line as it is, with the kind of thing it is (@, *, % or ?), for checks; problem: what
+    can't be read. Numbers are those of lines after unfolding. A turn comes after its tiers, which it has.
+    """
+    kinds = set(kinds)
+    if not text.strip():
+        if "problem" in kinds:
+            yield 0, "problem", {"value": "empty"}
+        return
+    gems: list[str] = []
+    turn: dict | None = None
+    at, n_turns = 0, 0
+    for n, line in enumerate(unfolded(text).split("\n"), 1):
+        head, colon, value = line.partition(":")
         value = value.strip()
-        if line.startswith("@"):
-            kind = head[1:].strip()
-            participant = None
-            if kind.startswith("Birth of "):
-                kind, participant = "Birth", kind[9:].strip()
-            if kind == "Participants":
-                for k, part in enumerate(value.split(",")):
-                    if code := part.split():
-                        headers.append({"line_no": n, "kind": "Participant", "participant": code[0], "value": " ".join(code[1:])})
-            if kind == "ID":
+        sign = line[:1] if line[:1] in ("@", "*", "%") else "?"
+        if "line" in kinds and line.strip():
+            yield n, "line", {"kind": sign, "label": head[1:].strip() if sign != "?" else "", "value": value if sign != "?" else line, "colon": bool(colon), "utt_idx": n_turns + (sign == "*")}
+        if sign != "%" and turn is not None:
+            yield at, "turn", turn
+            turn = None
+        if sign == "@":
+            label, participant = head[1:].strip(), None
+            if label.startswith("Birth of "):
+                label, participant = "Birth", label[9:].strip()
+            if label == "Participants" and "header" in kinds:
+                for code in filter(None, map(str.split, value.split(","))):
+                    yield n, "header", {"kind": "Participant", "participant": code[0], "value": " ".join(code[1:])}
+            if label == "ID" and "id" in kinds:
                 fields = (value.split("|") + [""] * 10)[:10]
-                ids.append(dict(zip(_ID_FIELDS, fields, strict=True)) | {"id_raw": value, "line_no": n})
-            if kind == "Bg":  # an @G is a mark only: nothing ends it
+                yield n, "id", dict(zip(_ID_FIELDS, fields, strict=True)) | {"id_raw": value}
+            if label == "Bg":  # an @G is a mark only: nothing ends it
                 gems.append(value)
-            elif kind == "Eg" and value.lower() in [g.lower() for g in gems]:
+            elif label == "Eg" and value.lower() in [g.lower() for g in gems]:
                 del gems[len(gems) - 1 - [g.lower() for g in reversed(gems)].index(value.lower())]
-            headers.append({"line_no": n, "kind": kind, "participant": participant, "value": value})
-        elif line.startswith("*"):
-            turns.append({"utt_idx": len(turns) + 1, "line_no": n, "speaker": head[1:].strip(), "text": value, "active_gems": list(gems), "tiers": [], "mor": None, "gra": None, "cod": None, "pho": None, "mod": None} | parse_main(value))
-        elif line.startswith("%") and turns:
-            label = {"trn": "mor", "grt": "gra"}.get(head[1:].strip(), head[1:].strip())
-            turns[-1]["tiers"].append({"label": label, "content": value})
-            reader = {"mor": parse_mor, "gra": parse_gra, "cod": _codes, "pho": str.split, "mod": str.split}.get(label)
-            if reader and turns[-1][label] is None:
-                turns[-1][label] = reader(value)
-    return {"problem": None if text.strip() else "empty", "headers": headers, "ids": ids, "turns": turns}
+            if "header" in kinds:
+                yield n, "header", {"kind": label, "participant": participant, "value": value}
+        elif sign == "*":
+            n_turns, at = n_turns + 1, n
+            if kinds & {"turn", "problem"}:
+                main = MainTier(value)
+                if "problem" in kinds:
+                    for problem in main.problems:
+                        yield n, "problem", {"value": problem}
+                if "turn" in kinds:
+                    turn = {"utt_idx": n_turns, "speaker": head[1:].strip(), "text": value, "active_gems": list(gems), "tiers": []} | main.fields()
+        elif sign == "%" and turn is not None:
+            label = _OLD_LABELS.get(head[1:].strip(), head[1:].strip())
+            turn["tiers"].append({"label": label, "content": value})
+            if label in READERS and turn.get(label) is None:
+                turn[label] = READERS[label](value)
+    if turn is not None:
+        yield at, "turn", turn
 
 
 _MORPH = "struct<pos:string,lemma:string,features:array<string>>"
-_TURN = f"""struct<utt_idx:bigint,line_no:int,speaker:string,text:string,active_gems:array<string>,tiers:array<struct<label:string,content:string>>,
+_FIELDS = {
+    "header": "kind:string,participant:string,value:string",
+    "id": ",".join(f"{f}:string" for f in _ID_FIELDS) + ",id_raw:string",
+    "turn": f"""utt_idx:bigint,speaker:string,text:string,active_gems:array<string>,tiers:array<struct<label:string,content:string>>,
     mor:array<struct<main:{_MORPH},post_clitics:array<{_MORPH}>>>,gra:array<struct<idx:int,head:int,relation:string>>,cod:array<string>,pho:array<string>,mod:array<string>,
-    linkers:array<string>,postcodes:array<string>,terminator:string,start_ms:bigint,end_ms:bigint,words:array<{WORD}>>"""
-_ID = "struct<" + ",".join(f"{f}:string" for f in _ID_FIELDS) + ",id_raw:string,line_no:int>"
-_FILE = f"struct<problem:string,headers:array<struct<line_no:int,kind:string,participant:string,value:string>>,ids:array<{_ID}>,turns:array<{_TURN}>>"
+    linkers:array<string>,postcodes:array<string>,terminator:string,start_ms:bigint,end_ms:bigint,words:array<{WORD}>""",
+    "line": "kind:string,label:string,value:string,colon:boolean,utt_idx:bigint",
+    "problem": "value:string",
+}
+#: Rows that go to the JVM at a time.
+ROWS = 2000
+
+
+def scan(files: DataFrame, kinds: Iterable[str] = KINDS) -> DataFrame:
+    """Rows (file, line_no, kind, and a struct for each of kinds, null but for the row's own) of files (file, text).
+
+    Only what kinds need is parsed: headers cost no reading of words. A file is one row, so it must fit in a task; files
+    are as many tasks as the table of files has partitions. A file that fails gives one row of the kind problem.
+    """
+    kinds = [k for k in KINDS if k in set(kinds)]
+    schema = T._parse_datatype_string("file string, line_no int, kind string, " + ", ".join(f"`{k}` struct<{_FIELDS[k]}>" for k in kinds))
+    arrow = to_arrow_schema(schema)
+
+    def of(file: str | None, text: str | None) -> list[dict]:
+        try:
+            return [{"file": file, "line_no": n, "kind": kind, kind: row} for n, kind, row in parse_lines(text or "", kinds)]
+        except (ValueError, IndexError, KeyError) as problem:
+            return [{"file": file, "line_no": 0, "kind": "problem", "problem": {"value": repr(problem)}}] if "problem" in kinds else []
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[dict] = []
+            for file, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held += of(file, text)
+                while len(held) >= ROWS:
+                    yield pa.RecordBatch.from_pylist(held[:ROWS], arrow)
+                    del held[:ROWS]
+            yield pa.RecordBatch.from_pylist(held, arrow)
+
+    return files.select("file", "text").mapInArrow(rows, schema)
+
 
+def store(files: DataFrame, path: str, kinds: Iterable[str] = KINDS) -> None:
+    """A scan() as Parquet, by kind: files are parsed once, and a query reads the kinds it needs."""
+    scan(files, kinds).write.partitionBy("kind").parquet(path)
 
-def _safe(text: str | None) -> dict:
-    try:
-        return parse(text or "")
-    except (ValueError, IndexError, KeyError) as problem:
-        return {"problem": repr(problem), "headers": [], "ids": [], "turns": []}
 
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
-def parsed(files: DataFrame) -> DataFrame:
-    """file and its parse, of files (file, text)."""
-    return files.select("file", F.udf(_safe, _FILE)("text").alias("p"))
 
+def _rows(files: DataFrame, kind: str) -> DataFrame:
+    """Rows of a kind, of a table of files or of a scan of them."""
+    lines = files if "line_no" in files.columns else scan(files, [kind])
+    return lines.where(F.col("kind") == kind).select("file", "line_no", f"{kind}.*")
 
-def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file and text of transcript files; folders are gone through for *.cha, single files may have any name."""
+
+def _read(spark: SparkSession, paths: str | list[str], only: str | None, **more) -> DataFrame:
+    found = spark.read.text(paths, wholetext=True, **more)
+    if only:  # of names alone, so other files aren't opened
+        found = found.where(F.col("_metadata.file_name").rlike(only))
+    return found.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+
+
+def _sorted_out(spark: SparkSession, paths: str | list[str]) -> tuple[list[str], list[str]]:
+    """Paths that are there, and those that aren't; a leading + or - is an error, as it is meant for an option."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if bad := [p for p in paths if p[:1] in "+-" and p != "-"]:
+    if bad := [p for p in paths if p[:1] in ("+", "-") and p != "-"]:
         raise ValueError(f"not a path: {bad[0]}")
-    single = [p for p in paths if re.search(r"\.\w+$", p)]
-    folders = [p for p in paths if p not in single]
-    read = lambda p, **more: spark.read.text(p, wholetext=True, **more).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    out = read(folders, recursiveFileLookup=True, pathGlobFilter="*.cha") if folders else None
-    if single:
-        out = read(single) if out is None else out.unionByName(read(single))
+    there = [p for p in paths if exists(spark, p)]
+    return there, [p for p in paths if p not in there]
+
+
+def discovered(spark: SparkSession, paths: str | list[str], pattern: str = "*.cha", only: str | None = None) -> DataFrame:
+    """file, name, bytes, status and reason of all there is under paths: read, or skipped because it is missing, named otherwise or not asked for.
+
+    Nothing is opened; only: a regular expression that names of files must hold.
+    """
+    there, missing = _sorted_out(spark, paths)
+    out = spark.createDataFrame([(p, p.rstrip("/").rpartition("/")[2], None, "skipped", "missing") for p in missing], "file string, name string, bytes long, status string, reason string")
+    if there:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(there).select(F.col("path").alias("file"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("bytes"))
+        named = F.lit(True) if not pattern else F.col("name").rlike("^" + re.escape(pattern).replace(r"\*", ".*").replace(r"\?", ".") + "$")
+        reason = F.when(~named, "name").when(~F.col("name").rlike(only) if only else F.lit(False), "not asked for")
+        out = out.unionByName(files.select("*", F.when(reason.isNull(), "read").otherwise("skipped").alias("status"), reason.alias("reason")))
     return out
 
 
+def read_files(spark: SparkSession, paths: str | list[str], pattern: str = "*.cha", only: str | None = None) -> DataFrame:
+    """file and text of transcript files: folders are gone through for what fits pattern, files that are named themselves may have any name.
+
+    Missing paths are passed over; discovered() lists them. only: a regular expression for names of files.
+    """
+    there, _ = _sorted_out(spark, paths)
+    out = spark.createDataFrame([], "file string, text string")
+    folders: list[str] = []
+    for path in there:
+        try:
+            spark.read.text(f"{path.rstrip('/')}/*")
+            folders.append(path)
+        except AnalysisException:  # a file has nothing under it
+            out = out.unionByName(_read(spark, path, only))
+    return out.unionByName(_read(spark, folders, only, recursiveFileLookup=True, pathGlobFilter=pattern)) if folders else out
+
+
+def protected(word: Column) -> Column:
+    """A word (with a letter or digit) so that a main tier with it is read back as that very word: characters with a meaning by private ones."""
+    whole = F.lower(word).isin(*UNTRANSCRIBED) | word.startswith("0")
+    return F.concat(F.when(whole, F.lit(PLAIN)).otherwise(F.lit("")), F.translate(word, SPECIAL, PRIVATE))
+
+
+def unprotected(words: Column | str) -> Column:
+    """Words as they were before protected()."""
+    return F.transform(words, lambda w: F.translate(w, PRIVATE + PLAIN, SPECIAL))
+
+
 def turns(files: DataFrame, retraced: bool = False, originals: bool = False, restored: tuple[str, ...] = ()) -> DataFrame:
-    """Turns with their counted words (cw), and whether words weren't understood (unclear)."""
-    rows = parsed(files).select("file", F.inline("p.turns"))
+    """Turns of files or of a scan, with their counted words (cw), and whether words weren't understood (unclear)."""
     unclear = F.exists("words", lambda w: w["untranscribed"].isin("unintelligible", "phonetic"))
     errors = F.aggregate("words", F.lit(0), lambda a, w: a + w["n_err"])
-    return rows.withColumns({"cw": countable("words", retraced, originals, restored), "unclear": unclear, "n_err": errors})
+    return _rows(files, "turn").withColumns({"cw": countable("words", retraced, originals, restored), "unclear": unclear, "n_err": errors})
 
 
 def headers(files: DataFrame) -> DataFrame:
-    return parsed(files).select("file", F.inline("p.headers"))
+    return _rows(files, "header")
 
 
 def ids(files: DataFrame) -> DataFrame:
-    return parsed(files).select("file", F.inline("p.ids"))
+    return _rows(files, "id")
+
+
+def lines(files: DataFrame) -> DataFrame:
+    return _rows(files, "line")
 
 
 def problems(files: DataFrame) -> DataFrame:
-    return parsed(files).select("file", "p.problem").where("problem is not null")
+    """file, line_no and problem of what can't be read."""
+    return _rows(files, "problem").withColumnRenamed("value", "problem")
 
 
 def normalised(text: str) -> str:
     """A file's text as it would be written after reading: lines unfolded, one tab behind labels, single blanks."""
-    text = re.sub(r"\n+\t", " ", text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n"))
     out = []
-    for line in filter(str.strip, text.split("\n")):
+    for line in filter(str.strip, unfolded(text).split("\n")):
         head, colon, value = line.partition(":")
         labelled = colon and re.fullmatch(r"[@*%][\w ]+", head)
         out.append(f"{head}:\t{' '.join(value.split())}" if labelled else " ".join(line.split()))
@@ -210,4 +369,10 @@ def normalised(text: str) -> str:
 
 def fixed(files: DataFrame) -> DataFrame:
     """normalised() of each file."""
-    return files.select("file", F.udf(normalised, "string")("text").alias("text"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([normalised(x or "") for x in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["file", "text"])
+
+    return files.select("file", "text").mapInArrow(rows, "file string, text string")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.words import split_words
+from parlance.sources.chat import protected
 
 #: Derived parts of speech by length of the word, and relations.
 POS = ("n", "v", "pro:sub", "det:art", "cop", "conj:coo", "neg", "adj", "aux", "pro:wh")
@@ -74,3 +75,20 @@ def with_tiers(turns: DataFrame) -> DataFrame:
             "mod": F.transform(low, lambda w: F.translate(w, "aeiou", "eioua")),
         }
     )
+
+
+def marked_turns(turns: DataFrame) -> DataFrame:
+    """Turns with a main tier as text, made of cw: some words said twice, some after a filler, some corrected, and before long turns a retrace in a retrace.
+
+    What counts in it are the words of cw.
+    """
+    n = F.char_length
+    word = lambda w: (
+        F.when(n(w) % 7 == 0, F.concat(protected(w), F.lit(" [/] "), protected(w)))
+        .when(n(w) % 5 == 0, F.concat(F.lit("&-um "), protected(w)))
+        .when(n(w) % 11 == 0, F.concat(F.lit("zz [: "), protected(w), F.lit("] [*]")))
+        .otherwise(protected(w))
+    )
+    at = lambda k: protected(F.col("cw")[k])
+    again = F.when(F.size("cw") >= 6, F.concat(F.lit("<"), at(0), F.lit(" <"), at(1), F.lit("> [/] "), at(2), F.lit("> [//] "))).otherwise(F.lit(""))
+    return turns.withColumn("text", F.concat(again, F.array_join(F.transform("cw", word), " ")))
