@@ -178,7 +178,7 @@ def parse_lines(text: str, kinds: Iterable[str] = KINDS) -> Iterator[tuple[int,
         value = value.strip()
         sign = line[:1] if line[:1] in ("@", "*", "%") else "?"
         if "line" in kinds and line.strip():
-            yield n, "line", {"kind": sign, "label": head[1:].strip() if sign != "?" else "", "value": value if sign != "?" else line, "colon": bool(colon), "utt_idx": n_turns + (sign == "*")}
+            yield n, "line", {"sign": sign, "label": head[1:].strip() if sign != "?" else "", "value": value, "raw": line, "colon": bool(colon), "utt_idx": n_turns + (sign == "*")}
         if sign != "%" and turn is not None:
             yield at, "turn", turn
             turn = None
@@ -223,7 +223,7 @@ _FIELDS = {
     "turn": f"""utt_idx:bigint,speaker:string,text:string,active_gems:array<string>,tiers:array<struct<label:string,content:string>>,
     mor:array<struct<main:{_MORPH},post_clitics:array<{_MORPH}>>>,gra:array<struct<idx:int,head:int,relation:string>>,cod:array<string>,pho:array<string>,mod:array<string>,
     linkers:array<string>,postcodes:array<string>,terminator:string,start_ms:bigint,end_ms:bigint,words:array<{WORD}>""",
-    "line": "kind:string,label:string,value:string,colon:boolean,utt_idx:bigint",
+    "line": "sign:string,label:string,value:string,raw:string,colon:boolean,utt_idx:bigint",
     "problem": "value:string",
 }
 #: Rows that go to the JVM at a time.
