@@ -166,33 +166,6 @@ def core_lexicon(turns: DataFrame, least: int = 3) -> DataFrame:
     return out.withColumn("core", F.col("frequency") >= least)
 
 
-def expected_types(frequencies: list[int], n: int) -> float:
-    """Types expected among n words drawn without putting back."""
-    total, out = sum(frequencies), 0.0
-    for f in frequencies:
-        missed = 1.0
-        for i in range(n):
-            missed *= max(0, total - f - i) / (total - i)
-        out += 1 - missed
-    return out
-
-
-def fitted_d(points: list[tuple[int, float]]) -> float:
-    """D of the curve T = D/N (sqrt(1 + 2N/D) - 1) nearest to the points (N, T), to a thousandth."""
-
-    def off(d: float) -> float:
-        return sum((t - d / n * (math.sqrt(1 + 2 * n / d) - 1)) ** 2 for n, t in points)
-
-    low, high = 1e-3, 1e4
-    golden = (math.sqrt(5) - 1) / 2
-    for _ in range(200):
-        a, b = high - golden * (high - low), low + golden * (high - low)
-        low, high = (low, b) if off(a) < off(b) else (a, high)
-        if high - low < 1e-4:
-            break
-    return (low + high) / 2
-
-
 SAMPLES = tuple(range(35, 51))
 
 
@@ -205,29 +178,3 @@ def diversity_curve(turns: DataFrame, sizes: tuple[int, ...] = SAMPLES, by: tupl
     missed = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(1.0), lambda a, i: a * F.greatest(F.lit(0.0), (F.col("t") - F.col("count") - i).cast("double")) / (F.col("t") - i).cast("double"))
     out = rows.groupBy(*by, "n").agg(F.sum(F.col("words") * (1 - missed)).alias("types"))
     return out.select(*by, "n", F.round(F.col("types") / F.col("n"), 6).alias("ttr"))
-
-
-def vocd(turns: DataFrame, by: tuple[str, ...] = ("speaker",)) -> DataFrame:
-    """D of each group's expected curve; groups of fewer than 50 words have none. The curve has 16 points a group."""
-    curve = diversity_curve(turns, by=by)
-    out = curve.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("n", "ttr"))).alias("points"))
-    fit = F.udf(lambda points: round(fitted_d([(p["n"], p["ttr"]) for p in points]), 3), "double")
-    return out.select(*by, fit("points").alias("d"))
-
-
-def vocd_sampled(turns: DataFrame, by: tuple[str, ...] = ("speaker",), draws: int = 100, trials: int = 3, seed: int = 0) -> DataFrame:
-    """D from random samples, as a mean of trials. Drawn from each group's frequencies, so a group is as large as its vocabulary."""
-    import numpy as np
-
-    counts = frequency(turns, by)
-    groups = counts.groupBy(*by).agg(F.sort_array(F.collect_list("count")).alias("f")).where(F.aggregate("f", F.lit(0).cast("long"), lambda a, x: a + x) >= max(SAMPLES))
-
-    def drawn(frequencies: list[int]) -> float:
-        rng, f = np.random.default_rng(seed), np.array(frequencies)
-        found = []
-        for _ in range(trials):
-            points = [(n, float(np.mean([(rng.multivariate_hypergeometric(f, n, method="marginals") > 0).sum() / n for _ in range(draws)]))) for n in SAMPLES]
-            found.append(fitted_d(points))
-        return float(sum(found) / trials)
-
-    return groups.select(*by, F.udf(drawn, "double")("f").alias("d"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators import linkers
-from parlance.plans.catalog import _UTT, _with
+from parlance.operators import diversity, linkers
+from parlance.plans.catalog import _TOK, _UTT, _with, ORACLES as _CATALOG
 from parlance.sources.tables import conversation_turns, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,45 @@ k AS (SELECT file, utt_idx, speaker, unnest(['++', '+,', '+"']) AS linker, l FRO
 b AS (SELECT k.file, k.linker, k.utt_idx, max(a.utt_idx) AS back FROM (SELECT * FROM k WHERE list_contains(l, linker)) k LEFT JOIN a ON a.file = k.file AND a.linker = k.linker AND a.utt_idx < k.utt_idx AND (a.speaker <> k.speaker) = (k.linker = '++') GROUP BY ALL),
 p AS (SELECT file, linker, CASE WHEN utt_idx = min(utt_idx) OVER (PARTITION BY file, linker, back) THEN back END AS announced_at, utt_idx AS taken_up_at FROM b)
 SELECT * FROM p UNION ALL SELECT file, linker, utt_idx, NULL FROM a WHERE linker IS NOT NULL AND (file, linker, utt_idx) NOT IN (SELECT (file, linker, announced_at) FROM p WHERE announced_at IS NOT NULL)""")
+
+
+def _turns(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_turns(read(spark, folder, "conversations"))
+
+
+_P = diversity.P
+# The same draws step by step, and places looked up among the words.
+_DRAWN = _TOK.replace("utt AS (", "RECURSIVE utt AS (", 1) + f""",
+c AS (SELECT speaker, word, count(*) AS count, substr(md5(word), 1, 2) AS bucket FROM tok GROUP BY ALL),
+w AS (SELECT speaker, word, sum(count) OVER (PARTITION BY speaker ORDER BY bucket, word) - count AS low, sum(count) OVER (PARTITION BY speaker ORDER BY bucket, word) AS high FROM c),
+t AS (SELECT speaker, sum(count)::BIGINT AS t FROM c GROUP BY speaker HAVING sum(count) >= 50),
+d AS (
+  SELECT speaker, t, trial, n, sample, 0::BIGINT AS k, []::BIGINT[] AS chosen FROM t, range(1, 4) a(trial), range(35, 51) b(n), range(1, 101) e(sample)
+  UNION ALL
+  SELECT speaker, t, trial, n, sample, k + 1, list_append(chosen, CASE WHEN list_contains(chosen, 1 + y % (t - n + k + 1)) THEN t - n + k + 1 ELSE 1 + y % (t - n + k + 1) END)
+  FROM (SELECT *, (x * 16807 + x * x % {_P}) % {_P} AS y FROM (SELECT *, (v * 40692 + v * v % {_P}) % {_P} AS x FROM (SELECT *, ((((trial * 64 + n) * 128 + sample) * 64 + k + 1) * 48271 + 12345) % {_P} AS v FROM d WHERE k < n)))),
+places AS (SELECT speaker, trial, n, sample, unnest(chosen) - 1 AS at_place FROM d WHERE k = n),
+types AS (SELECT p.speaker, trial, n, sample, count(DISTINCT word) AS types FROM places p JOIN w ON w.speaker = p.speaker AND at_place >= low AND at_place < high GROUP BY ALL),
+sums AS (SELECT speaker, trial, n, sum(types) AS s, sum(types * types) AS q FROM types GROUP BY ALL),
+ratios AS (SELECT speaker, trial, n, s / 100 AS types, s / (n * 100) AS ttr, sqrt(greatest(0, q / 100 - (s / 100) * (s / 100))) / n AS sd FROM sums),
+each AS (SELECT *, CASE WHEN ttr < 1 THEN 0.5::DOUBLE * n * ttr * ttr / (1 - ttr) ELSE 0 END AS d FROM ratios),
+mean AS (SELECT speaker, trial, avg(d) AS d_average, stddev_pop(d) AS d_sd FROM each GROUP BY ALL),
+tried AS (SELECT speaker, trial, d_average, d_sd, unnest(range(1 - CAST(ceil(d_average * 1000) AS BIGINT), CAST(ceil(d_average * 1000) AS BIGINT))) AS k FROM mean),
+off AS (SELECT m.speaker, m.trial, k, sum(power(ttr - (d_average + k / 1000) / n * (sqrt(1 + 2 * n / (d_average + k / 1000)) - 1), 2)) AS error FROM tried m JOIN each USING (speaker, trial) GROUP BY ALL),
+best AS (SELECT speaker, trial, min(error) AS error, arg_min(k, error) AS k FROM off GROUP BY ALL)"""
+QUERIES["vocd_ratios"] = lambda spark, folder: diversity.sampled_ratios(_turns(spark, folder)).withColumns({c: F.round(c, 6) for c in ("types", "ttr", "sd", "d")})
+ORACLES["vocd_ratios"] = _with(_DRAWN, "SELECT speaker, trial, n, round(types, 6) AS types, round(ttr, 6) AS ttr, round(sd, 6) AS sd, round(d, 6) AS d FROM each")
+QUERIES["vocd_trials"] = lambda spark, folder: diversity.sampled_trials(diversity.sampled_ratios(_turns(spark, folder))).withColumns({c: F.round(c, 6) for c in ("d_average", "d_sd", "d_optimum", "error")})
+ORACLES["vocd_trials"] = _with(_DRAWN, "SELECT speaker, trial, round(d_average, 6) AS d_average, round(d_sd, 6) AS d_sd, round(d_average + k / 1000, 6) AS d_optimum, round(error, 6) AS error FROM mean JOIN best USING (speaker, trial)")
+QUERIES["vocd_sampled"] = lambda spark, folder: diversity.sampled_diversity(_turns(spark, folder))
+ORACLES["vocd_sampled"] = _with(_DRAWN, "SELECT speaker, round(avg(d_average + k / 1000), 3) AS d FROM mean JOIN best USING (speaker, trial) GROUP BY speaker")
+
+# The expected curve's D: tenths first, then thousandths around the best of them.
+QUERIES["vocd_expected"] = lambda spark, folder: diversity.vocd(_turns(spark, folder))
+_CURVE = _CATALOG["vocd_curve"].removeprefix("WITH ").replace("(VALUES (35), (50)) v(n)", "range(35, 51) v(n)").replace("SELECT speaker, n, round", ", curve AS (SELECT speaker, n, round").rstrip() + ")"
+ORACLES["vocd_expected"] = f"""WITH {_CURVE},
+coarse AS (SELECT speaker, k, sum(power(ttr - k / 10 / n * (sqrt(1 + 2 * n / (k / 10)) - 1), 2)) AS e FROM curve, range(1, 20001) r(k) GROUP BY ALL),
+near AS (SELECT speaker, arg_min(k, e) AS k FROM coarse GROUP BY speaker),
+fine AS (SELECT speaker, unnest(range(greatest(1, k * 100 - 200), k * 100 + 201)) AS k FROM near),
+e AS (SELECT fine.speaker, k, sum(power(ttr - k / 1000 / n * (sqrt(1 + 2 * n / (k / 1000)) - 1), 2)) AS e FROM fine JOIN curve USING (speaker) GROUP BY ALL)
+SELECT speaker, arg_min(k, e) / 1000 AS d FROM e GROUP BY speaker"""

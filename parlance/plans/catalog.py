@@ -114,8 +114,6 @@ _add("vocd_curve", lambda t: frequency.diversity_curve(t, (35, 50)), _with(_TOK,
 , c AS (SELECT speaker, word, count(*) AS f FROM tok GROUP BY ALL), s AS (SELECT speaker, f, count(*) AS k, sum(f * count(*)) OVER (PARTITION BY speaker) AS t FROM c GROUP BY speaker, f),
 m AS (SELECT speaker, f, k, t, n, list_product(list_transform(range(n), lambda i: greatest(0.0, CAST(t - f - i AS DOUBLE)) / CAST(t - i AS DOUBLE))) AS missed FROM s, (VALUES (35), (50)) v(n) WHERE t >= 50)
 SELECT speaker, n, round(sum(k * (1 - missed)) / n, 6) AS ttr FROM m GROUP BY speaker, n"""))
-_add("vocd_expected", frequency.vocd)
-_add("vocd_sampled", frequency.vocd_sampled)
 
 # Lengths and times.
 _add("mlu_words", lengths.mean_length, _with(_UTT, """

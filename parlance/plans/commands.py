@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from parlance.operators import frequency, interaction, lengths, places, profiles
+from parlance.operators import diversity, frequency, interaction, lengths, places, profiles
 from parlance.operators.filters import Filters
 
 #: Commands that compare case unless told otherwise.
@@ -23,7 +23,7 @@ NEEDED = {"keymap": "keywords", "kwal": "keywords", "combo": "expressions", "mor
 COMMANDS: dict[str, Callable[..., DataFrame]] = {
     "freq": frequency.frequency, "gemfreq": frequency.frequency, "mlu": lengths.mean_length, "mlt": lengths.turn_lengths, "wdlen": lengths.length_histograms, "wdsize": lengths.word_sizes,
     "maxwd": lengths.longest_words, "freqpos": places.positions, "timedur": lengths.durations, "kwal": places.keyword_lines, "combo": places.combinations, "cooccur": places.clusters,
-    "dist": places.distances, "chip": interaction.echo_counts, "vocd": frequency.vocd, "codes": interaction.codes, "chains": interaction.chains, "complexity": profiles.complexity,
+    "dist": places.distances, "chip": interaction.echo_counts, "vocd": diversity.vocd, "codes": interaction.codes, "chains": interaction.chains, "complexity": profiles.complexity,
     "corelex": frequency.core_lexicon, "dss": profiles.sentence_scores, "ipsyn": profiles.syntax_index, "eval": profiles.evaluation, "eval-d": profiles.evaluation, "kideval": profiles.child_evaluation,
     "flucalc": profiles.fluency, "gemlist": interaction.gems, "keymap": interaction.contingencies, "mortable": profiles.morpheme_table, "sugar": profiles.sampling_profile,
     "linker_audit": interaction.linker_audit, "overlap_audit": interaction.overlap_audit,
