@@ -12,15 +12,18 @@ of them, go to every executor; the others are joined by a shuffle, in which no k
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe
+from parlance.llm import bpe, pretokens
 from parlance.llm.common import kept, mapped, scratch, small, written
 
 #: Pairs of ids that go to every executor at most, some 100 bytes each.
@@ -51,22 +54,53 @@ class Tokens:
         return np.cumsum(sizes).tolist()
 
 
-_READY: dict[tuple[str, str], tuple[Tokens, Tokens]] = {}
+#: So much white space in a row is more than tiktoken's patterns can take.
+_LONG_GAP = re.compile(r"\s{1000}")
 
 
-def tokenizers_of(spec: str, model: bytes) -> tuple[Tokens, Tokens]:
-    """Of space + text by a byte-level BPE vocabulary (tokenizers JSON), and of text by a sentencepiece model, which puts a space before it; built once per worker.
+def _byte_level(spec: str) -> Tokens:
+    """space + text by a byte-level BPE vocabulary in the tokenizers JSON format; strings of special tokens are plain text.
 
-    Strings of special tokens are plain text to both.
+    tiktoken merges what has the smallest id; where the merges aren't in the order of ids, and for texts with
+    white space that it can't take, op3's encoder gives the ids.
     """
+    doc = json.loads(spec)
+    bpe._refuse_unsupported(doc)
+    added = {t["content"] for t in doc["added_tokens"]}
+    ids: dict[str, int] = doc["model"]["vocab"]
+    ranks = {bytes(map(pretokens.BYTE_OF.__getitem__, x)): k for x, k in ids.items() if x not in added}
+    made = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in doc["model"]["merges"]]
+    single = {k for x, k in ids.items() if len(x) == 1}
+    in_order = made == sorted(set(made)) and len(single) == 256 and max(single) < made[0] and len(ranks) == len(made) + 256
+    quick = tiktoken.Encoding("own", pat_str=pretokens.GENERAL.pattern, mergeable_ranks=ranks, special_tokens={}) if in_order else None
+
+    def encode(text: str) -> list[int]:
+        text = " " + text
+        return bpe.encoder_of(spec)._plain(text) if quick is None or _LONG_GAP.search(text) else quick.encode_ordinary(text)
+
+    spelled = [b""] * (max(ranks.values()) + 1)
+    for x, k in ranks.items():
+        spelled[k] = x
+    return Tokens(encode, spelled)
+
+
+def _pieces(model: bytes) -> Tokens:
+    """text by a sentencepiece model, which puts a space before it."""
+    processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+    names = [processor.id_to_piece(k) for k in range(processor.get_piece_size())]
+    spelled = [bytes([int(x[3:5], 16)]) if processor.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(names)]
+    return Tokens(lambda text: processor.encode([text], num_threads=1)[0], spelled)
+
+
+_READY: dict[tuple[str, str], tuple[Tokens, Tokens]] = {}
+
+
+def tokenizers_of(spec: str, model: bytes) -> tuple[Tokens, Tokens]:
+    """Both tokenizers, built once per worker."""
     key = (hashlib.sha256(spec.encode()).hexdigest(), hashlib.sha256(model).hexdigest())
     if key not in _READY:
         _READY.clear()
-        encoder = bpe.encoder_of(spec)
-        processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        names = [processor.id_to_piece(k) for k in range(processor.get_piece_size())]
-        spelled = [bytes([int(x[3:5], 16)]) if processor.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(names)]
-        _READY[key] = Tokens(lambda text: encoder._plain(" " + text), encoder._bytes), Tokens(lambda text: processor.encode([text], num_threads=1)[0], spelled)
+        _READY[key] = _byte_level(spec), _pieces(model)
     return _READY[key]
 
 

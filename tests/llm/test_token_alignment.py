@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 from collections import Counter
 
@@ -63,7 +64,7 @@ def some_rows():
     rnd = random.Random(4)
     pools = ["abcdefghij aeiou ", "the and ing tion .,'s 0123456789\n\t", "éèüßñçœ日本語🙂  ́ ", "aaaaa  bb", "<|endoftext|> <s> </s> <0x41> <unk>"]
     rows = [(k, "".join(rnd.choices(p, k=rnd.randint(1, 150)))) for k, p in enumerate(pools * 12)]
-    rows += [(None, "the cat"), (None, None), (3, ""), (3, " "), (3, "  x"), (3, "a\r\nb"), (4, "x▁y"), (4, "ﬁ ½"), (4, "\x00a"), (5, "the cat"), (5, "the cat"), (6, "the " * 400), (7, "é"), (8, "x" * 3000)]
+    rows += [(None, "the cat"), (None, None), (3, ""), (3, " "), (3, "  x"), (3, "a\r\nb"), (4, "x▁y"), (4, "ﬁ ½"), (4, "\x00a"), (5, "the cat"), (5, "the cat"), (6, "the " * 400), (7, "é"), (8, "x" * 3000), (9, "a" + "\n " * 2000 + "b")]
     return rows
 
 
@@ -106,3 +107,16 @@ def test_very_long_text(spark, libraries):
     row = ta.alignment_digests(spark.createDataFrame([(1, text)], "doc_id long, text string"), A, B).first()
     assert (row.n_a, row.n_b) == (len(first.encode(" " + text, add_special_tokens=False).ids), len(second.encode(text)))
     assert 0 < row.n_links <= row.n_a and row.count_sum > row.n_links
+
+
+def test_both_ways_to_byte_level_ids():
+    """Merges out of the order of ids go by the other encoder; ids are the same but for their names."""
+    spec = json.loads(open(A, encoding="utf-8").read())
+    plain = ta._byte_level(json.dumps(spec))
+    vocabulary = spec["model"]["vocab"]
+    top = max(vocabulary.values())
+    spec["model"]["vocab"] = {k: top - v for k, v in vocabulary.items()}
+    spec["added_tokens"] = []
+    other = ta._byte_level(json.dumps(spec))
+    for text in ["the cat", "<|endoftext|>x", "", "Ünï 日本 \n\n x", " " * 5000 + "z"]:
+        assert [top - x for x in other.encode(text)] == plain.encode(text)
