@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators import diversity, linkers
-from parlance.plans.catalog import _TOK, _UTT, _with, ORACLES as _CATALOG
-from parlance.sources.tables import conversation_turns, read
+from parlance.operators import diversity, linkers, norms, profiles
+from parlance.plans.catalog import _CLASS, _MOR, _TOK, _UTT, _with, ORACLES as _CATALOG
+from parlance.sources.tables import conversation_turns, read, with_tiers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,37 @@ near AS (SELECT speaker, arg_min(k, e) AS k FROM coarse GROUP BY speaker),
 fine AS (SELECT speaker, unnest(range(greatest(1, k * 100 - 200), k * 100 + 201)) AS k FROM near),
 e AS (SELECT fine.speaker, k, sum(power(ttr - k / 1000 / n * (sqrt(1 + 2 * n / (k / 1000)) - 1), 2)) AS e FROM fine JOIN curve USING (speaker) GROUP BY ALL)
 SELECT speaker, arg_min(k, e) / 1000 AS d FROM e GROUP BY speaker"""
+
+
+# Norms: of two conversations in three the evaluations are the norms, the others are held against them; languages and ages go by number.
+def _who(rows: DataFrame) -> DataFrame:
+    c = F.col("file").cast("long")
+    return rows.select("file", "speaker", F.when(c % 10 == 7, "xyz").when(c % 2 == 0, "ENG").otherwise("deu").alias("language"), F.when(c % 11 != 0, 24 + c * 7 % 90).cast("int").alias("age_months"))
+
+
+def _eval_norms(spark: SparkSession, folder: str) -> DataFrame:
+    found = profiles.evaluation(with_tiers(_turns(spark, folder)).where("file is not null and speaker is not null"), ("file", "speaker"))
+    is_norm = (F.col("file").cast("long") % 3 > 0) & (F.col("file").cast("long") % 10 != 7)
+    entries = norms.as_norms(found.where(is_norm)).join(_who(found), ["file", "speaker"])
+    rest = found.where(~is_norm)
+    return norms.against_norms(rest, _who(rest), entries, widths=(2, 5), least=4)
+
+
+_FIELDS = [(m.label, m.field) for m in norms.EVAL]
+QUERIES["eval_norms"] = _eval_norms
+# Cohorts by comparing each speaker with every norm.
+ORACLES["eval_norms"] = _with(_MOR, f"""
+, c AS (SELECT file, speaker, feat, {_CLASS} AS k FROM each), ut AS (SELECT file, speaker, count(*) AS utterances, sum(len(cw)) AS words FROM utt WHERE len(cw) > 0 GROUP BY ALL), ty AS (SELECT file, speaker, count(DISTINCT lower(word)) AS different_words FROM tok GROUP BY ALL),
+e0 AS (SELECT file, speaker, any_value(utterances) AS utterances, any_value(words) AS words, CAST(count(*) + count(feat) AS BIGINT) AS morphemes, 0 AS word_errors,
+  {', '.join(f"count(*) FILTER (k = '{k}') AS n_{k}" for k in ('noun', 'aux', 'verb', 'mod', 'prep', 'adj', 'adv', 'conj', 'det', 'pron'))},
+  count(*) FILTER (feat = 'PL') AS plurals, count(*) FILTER (feat = 'PAST') AS past, count(*) FILTER (feat = 'PRESP') AS present_participle, 0 AS past_participle, any_value(different_words) AS different_words
+  FROM c JOIN ut USING (file, speaker) JOIN ty USING (file, speaker) GROUP BY ALL),
+e1 AS (SELECT *, round(words / utterances, 6) AS words_per_utterance, round(morphemes / utterances, 6) AS morphemes_per_utterance, CAST(file AS BIGINT) AS c FROM e0),
+long AS (SELECT file, speaker, c, CASE WHEN c % 10 = 7 THEN 'xyz' WHEN c % 2 = 0 THEN 'eng' ELSE 'deu' END AS language, CASE WHEN c % 11 <> 0 THEN CAST(24 + c * 7 % 90 AS INTEGER) END AS age, c % 3 > 0 AND c % 10 <> 7 AS norm,
+  unnest([{', '.join(f"{{'label': '{label}', 'score': CAST({field} AS DOUBLE)}}" for label, field in _FIELDS)}], recursive := true) FROM e1),
+pairs AS (SELECT s.file, s.speaker, s.language, s.age, s.label, s.score, w.width, n.score AS other FROM (SELECT * FROM long WHERE NOT norm) s JOIN (SELECT * FROM long WHERE norm) n ON s.language = n.language AND s.label = n.label
+  JOIN (VALUES (2), (5), (9999)) w(width) ON w.width = 9999 OR abs(s.age - n.age) <= w.width),
+sums AS (SELECT file, speaker, label, width, count(*) AS n, avg(other) AS mean, coalesce(stddev_samp(other), 0) AS sd FROM pairs GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY file, speaker, label ORDER BY width) AS place FROM sums WHERE n >= 4 OR width = 9999)
+SELECT s.file AS file, s.speaker AS speaker, language, age AS age_months, s.label AS label, round(score, 6) AS score, width, n AS entries, round(mean, 6) AS mean, round(sd, 6) AS sd, coalesce(n, 0) AS n, CASE WHEN round(sd, 9) > 0 THEN round((score - mean) / sd, 6) END AS z
+FROM (SELECT * FROM long WHERE NOT norm) s LEFT JOIN (SELECT * FROM best WHERE place = 1) b ON b.file = s.file AND b.speaker = s.speaker AND b.label = s.label""")
