@@ -1,4 +1,7 @@
-"""Queries of audits and of lexical diversity by samples, over conversations with terminators and linkers by rule; and the same in SQL."""
+"""Queries of audits, of lexical diversity by samples, of norms and of many patterns at once, and the same in SQL.
+
+Terminators, linkers, languages and ages, which no table has, go by rule.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators import diversity, linkers, norms, profiles
+from parlance.operators import diversity, linkers, norms, patterns, profiles
 from parlance.plans.catalog import _CLASS, _MOR, _TOK, _UTT, _with, ORACLES as _CATALOG
 from parlance.sources.tables import conversation_turns, read, with_tiers
 
@@ -149,3 +152,24 @@ sums AS (SELECT file, speaker, label, width, count(*) AS n, avg(other) AS mean,
 best AS (SELECT *, row_number() OVER (PARTITION BY file, speaker, label ORDER BY width) AS place FROM sums WHERE n >= 4 OR width = 9999)
 SELECT s.file AS file, s.speaker AS speaker, language, age AS age_months, s.label AS label, round(score, 6) AS score, width, n AS entries, round(mean, 6) AS mean, round(sd, 6) AS sd, coalesce(n, 0) AS n, CASE WHEN round(sd, 9) > 0 THEN round((score - mean) / sd, 6) END AS z
 FROM (SELECT * FROM long WHERE NOT norm) s LEFT JOIN (SELECT * FROM best WHERE place = 1) b ON b.file = s.file AND b.speaker = s.speaker AND b.label = s.label""")
+
+
+# Every beginning of two and three letters and every ending of two: near to nineteen thousand patterns.
+_ABC = "abcdefghijklmnopqrstuvwxyz"
+_TWO = [a + b for a in _ABC for b in _ABC]
+QUERIES["patterns_many"] = lambda spark, folder: patterns.pattern_counts(_turns(spark, folder), [f"{x}*" for x in _TWO] + [f"*{x}" for x in _TWO] + [f"{x}{c}*" for x in _TWO for c in _ABC])
+ORACLES["patterns_many"] = _with(_TOK, """
+, l AS (SELECT speaker, lower(word) AS w FROM tok)
+SELECT speaker, left(w, 2) || '*' AS pattern, count(*) AS count FROM l WHERE regexp_matches(w, '^[a-z]{2}') GROUP BY ALL
+UNION ALL SELECT speaker, '*' || right(w, 2), count(*) FROM l WHERE regexp_matches(w, '[a-z]{2}$') GROUP BY ALL
+UNION ALL SELECT speaker, left(w, 3) || '*', count(*) FROM l WHERE regexp_matches(w, '^[a-z]{3}') GROUP BY ALL""")
+# Groups of different first letters: their matches never overlap, so SQL needs no recursion.
+QUERIES["patterns_groups"] = lambda spark, folder: patterns.group_counts(_turns(spark, folder), [f"{a}* {b}*" for a in _ABC for b in _ABC if a != b] + [f"{a}* {b}* {c}*" for a in _ABC for b in _ABC for c in _ABC if len({a, b, c}) == 3])
+ORACLES["patterns_groups"] = _with(_TOK, """
+, l AS (SELECT speaker, left(lower(word), 1) AS a, left(lower(lead(word) OVER o), 1) AS b, left(lower(lead(word, 2) OVER o), 1) AS c FROM tok WINDOW o AS (PARTITION BY file, utt_idx ORDER BY pos)),
+g AS (SELECT * FROM l WHERE regexp_matches(a, '^[a-z]') AND regexp_matches(b, '^[a-z]') AND a <> b)
+SELECT speaker, a || '* ' || b || '*' AS "group", count(*) AS count FROM g GROUP BY ALL UNION ALL SELECT speaker, a || '* ' || b || '* ' || c || '*', count(*) FROM g WHERE regexp_matches(c, '^[a-z]') AND c <> a AND c <> b GROUP BY ALL""")
+QUERIES["freq_with_groups"] = lambda spark, folder: patterns.frequency_with_groups(_turns(spark, folder), ["of the", "the w*"])
+ORACLES["freq_with_groups"] = _with(_TOK, """
+, l AS (SELECT speaker, lower(word) AS w, lower(lead(word) OVER (PARTITION BY file, utt_idx ORDER BY pos)) AS n FROM tok)
+SELECT speaker, w AS word, count(*) AS count FROM l GROUP BY ALL UNION ALL SELECT speaker, 'of the', count(*) FROM l WHERE w = 'of' AND n = 'the' GROUP BY ALL UNION ALL SELECT speaker, 'the w*', count(*) FROM l WHERE w = 'the' AND n LIKE 'w%' GROUP BY ALL""")
