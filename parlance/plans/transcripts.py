@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance import sinks
 from parlance.converters import export
 from parlance.operators import frequency, lengths
-from parlance.plans.catalog import _TOK, _UTT, _with
+from parlance.plans.catalog import _TOK, _UTT, ORACLES as _CATALOG, _with
 from parlance.sources import chat
 from parlance.sources.tables import conversation_turns, marked_turns, read
 from parlance.storage import new_path, read_texts, write_texts
@@ -93,3 +94,40 @@ def _discovered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _add("cha_discovered", _discovered, _with(_GIVEN, "SELECT DISTINCT file, 'read' AS status, CAST(NULL AS VARCHAR) AS reason, true AS filled FROM given UNION ALL SELECT 'none', 'skipped', 'missing', NULL"))
+
+
+def _sheets(spark: SparkSession, folder: str, made: DataFrame) -> DataFrame:
+    """The rows of workbooks that were written and read back."""
+    path = new_path(spark, "sheets")
+    sinks.write_workbooks(made, path)
+    return sinks.read_workbooks(spark, path).where("cells[0] <> 'File' and size(cells) > 1")
+
+
+def _conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_turns(read(spark, folder, "conversations")).where("file is not null and speaker is not null")
+
+
+def _flat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _sheets(spark, folder, sinks.flat_sheet(_conversations(spark, folder)))
+    return rows.select("book", F.col("cells")[1].alias("speaker"), F.col("cells")[2].alias("word"), F.col("cells")[3].cast("long").alias("count"))
+
+
+_add("sheet_flat", _flat, _with(_TOK, "SELECT file AS book, speaker, word, count(*) AS count FROM tok WHERE speaker IS NOT NULL GROUP BY ALL"))
+
+
+def _wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each row: how many word columns there are, how many hold nothing, the words' counts by place, and the sums behind them."""
+    rows = _sheets(spark, folder, sinks.wide_sheet(_conversations(spark, folder), mattr=25))
+    cell = lambda k: F.element_at("cells", k)
+    words = F.transform(F.slice("cells", 3, F.size("cells") - 6), lambda x: x.cast("long"))
+    rows = rows.select("book", F.col("cells")[1].alias("speaker"), words.alias("w"), cell(-4).cast("long").alias("types"), cell(-3).cast("long").alias("tokens"), cell(-2).alias("ttr"), cell(-1).alias("mattr"))
+    places = F.aggregate(F.transform("w", lambda x, k: x * (k + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("book", "speaker", F.size("w").alias("columns"), F.size(F.filter("w", lambda x: x == 0)).alias("empty"), places.alias("places"), "types", "tokens", "ttr", "mattr")
+
+
+_add("sheet_wide", _wide, _with(_CATALOG["mattr"].removeprefix("WITH ").rpartition("SELECT file, speaker, max(t)")[0].rstrip() + ",", """
+m AS (SELECT file, speaker, CASE WHEN max(t) >= 25 THEN round(sum(greatest(0, least(i, t - 24) - greatest(i - 24, p + 1, 1) + 1)) / (25 * (max(t) - 24)), 6) END AS mattr FROM p GROUP BY file, speaker),
+c AS (SELECT file, speaker, word, count(*) AS count FROM tok WHERE speaker IS NOT NULL GROUP BY ALL), v AS (SELECT file, word, row_number() OVER (PARTITION BY file ORDER BY word) AS k FROM (SELECT DISTINCT file, word FROM c)),
+s AS (SELECT file, speaker, count(*) AS types, sum(count) AS tokens FROM c GROUP BY ALL)
+SELECT s.file AS book, s.speaker AS speaker, count(*) AS columns, count(*) FILTER (c.count IS NULL) AS empty, sum(coalesce(c.count, 0) * k) AS places, any_value(types) AS types, any_value(tokens) AS tokens, format('{:.3f}', round(any_value(types / tokens), 3)) AS ttr, coalesce(format('{:.3f}', round(any_value(mattr), 3)), '.') AS mattr
+FROM s JOIN v ON v.file = s.file LEFT JOIN c ON c.file = s.file AND c.speaker = s.speaker AND c.word = v.word JOIN m ON m.file = s.file AND m.speaker = s.speaker GROUP BY s.file, s.speaker"""))

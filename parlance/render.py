@@ -44,8 +44,10 @@ def as_csv(df: DataFrame) -> str:
 
 
 def as_json(df: DataFrame) -> str:
-    _rows(df.limit(0))
-    return json.dumps([r.asDict(recursive=True) for r in df.collect()], ensure_ascii=False, default=str)
+    rows = df.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows: write the DataFrame as a table instead")
+    return json.dumps([r.asDict(recursive=True) for r in rows], ensure_ascii=False, default=str)
 
 
 def banner(command: str, when: str, version: str, scope: str, source: str) -> str:
