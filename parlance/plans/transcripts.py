@@ -11,6 +11,7 @@ from parlance import sinks
 from parlance.converters import export
 from parlance.operators import frequency, lengths
 from parlance.plans.catalog import _TOK, _UTT, ORACLES as _CATALOG, _with
+from parlance.plans.requests import run_line
 from parlance.sources import chat
 from parlance.sources.tables import conversation_turns, marked_turns, read
 from parlance.storage import new_path, read_texts, write_texts
@@ -131,3 +132,16 @@ c AS (SELECT file, speaker, word, count(*) AS count FROM tok WHERE speaker IS NO
 s AS (SELECT file, speaker, count(*) AS types, sum(count) AS tokens FROM c GROUP BY ALL)
 SELECT s.file AS book, s.speaker AS speaker, count(*) AS columns, count(*) FILTER (c.count IS NULL) AS empty, sum(coalesce(c.count, 0) * k) AS places, any_value(types) AS types, any_value(tokens) AS tokens, format('{:.3f}', round(any_value(types / tokens), 3)) AS ttr, coalesce(format('{:.3f}', round(any_value(mattr), 3)), '.') AS mattr
 FROM s JOIN v ON v.file = s.file LEFT JOIN c ON c.file = s.file AND c.speaker = s.speaker AND c.word = v.word JOIN m ON m.file = s.file AND m.speaker = s.speaker GROUP BY s.file, s.speaker"""))
+
+
+def _line(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A command line over the transcripts."""
+    return lambda spark, folder: run_line(spark, text, read_texts(spark, _written(spark, folder)))
+
+
+_add("request_freq", _line("freq +tuser -sthe +k"), _with(_TOK, "SELECT speaker, lower(word) AS word, count(*) AS count FROM tok WHERE speaker = 'user' AND lower(word) <> 'the' GROUP BY ALL"))
+_add("request_groups", _line("freq '+sof the' '+sthe w*' +k"), _with(_TOK, """
+, l AS (SELECT speaker, lower(word) AS w, lower(lead(word) OVER (PARTITION BY file, utt_idx ORDER BY pos)) AS n FROM tok)
+SELECT speaker, 'of the' AS word, count(*) AS count FROM l WHERE w = 'of' AND n = 'the' GROUP BY ALL UNION ALL SELECT speaker, 'the w*', count(*) FROM l WHERE w = 'the' AND n LIKE 'w%' GROUP BY ALL"""))
+_add("request_mlu", _line("mlu -t%mor +tassistant +z1-3"), _with(_GIVEN, """
+SELECT speaker, count(*) AS utterances, sum(len(cw)) AS total, round(avg(len(cw)), 6) AS mean, CASE WHEN count(*) > 1 THEN round(stddev_pop(len(cw)), 6) END AS sd, min(len(cw)) AS least, max(len(cw)) AS most FROM numbered WHERE len(cw) > 0 AND speaker = 'assistant' AND n <= 3 GROUP BY speaker"""))
