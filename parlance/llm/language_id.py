@@ -54,16 +54,23 @@ def held_out(doc_id: Column | str) -> Column:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
     """One dictionary for each language of the labelled rows.
 
-    Rows without text, language, key or any letter are passed over. The languages' numbers of rows tell
-    from what hash on a row can't be among the SAMPLE_DOCS least ones, so that some twice as many are moved
-    in all, whatever the size of the table; rows of one key count as one. The driver gets DICTIONARY_BYTES
+    Rows without text, language, key or any letter are passed over. Of what is left the languages' numbers of different keys,
+    counted to some five in a hundred, tell from what hash on a key can't be among the SAMPLE_DOCS least ones, so that
+    some twice as many are moved in all, whatever the size of the table; rows of one key count as one, however many there are.
+    Every language of a row that isn't passed over is learned. The driver gets the numbers and DICTIONARY_BYTES
     of a language. More than MOST_LANGUAGES languages are an error.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("lang is not null and key is not null and text is not null")
-    numbers = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))
+    numbers = rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.05).alias("keys")).limit(MOST_LANGUAGES + 1).collect()
+    if len(numbers) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not numbers:
+        return {}
     share = F.shiftrightunsigned(F.xxhash64("key"), 11) / F.lit(float(1 << 53))
-    chosen = rows.join(F.broadcast(numbers.limit(MOST_LANGUAGES + 1)), "lang").where(share * F.col("rows") < 2 * SAMPLE_DOCS)
-    chosen = chosen.where(F.col("text").rlike(r"\p{L}")).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    sizes = labelled.sparkSession.createDataFrame([(r.lang, r["keys"]) for r in numbers], "lang string, keys long")
+    chosen = rows.join(F.broadcast(sizes), "lang").where(share * F.col("keys") < 2 * SAMPLE_DOCS)
+    chosen = chosen.groupBy("lang", "key").agg(F.min("text").alias("text"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
     chosen = chosen.withColumn("k", first).where(F.col("k") <= SAMPLE_DOCS)
     # A lambda over a one-element array, so that the letters are taken out once for a row.
@@ -75,8 +82,6 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     found: dict[str, list[bytes]] = {}
     for r in pieces.orderBy("lang", "k").toLocalIterator():
         found.setdefault(r.lang, []).append(r.piece.encode("utf-8", "replace"))
-        if len(found) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
     return {k: b" ".join(v)[:DICTIONARY_BYTES] for k, v in found.items()}
 
 

@@ -87,3 +87,22 @@ def test_whole_texts_are_learned_from(spark, monkeypatch):
     learned = li.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8))
     assert set(learned) == {"en", "de"} and all(b"late" in v for v in learned.values())
     assert learned["en"].count(b"zzz") <= 50 and all(1000 < len(v) < 20 * 600 for v in learned.values())
+
+
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    """Languages of two keys with many rows each, and one that nearly only has rows without letters."""
+    monkeypatch.setattr(li, "SAMPLE_DOCS", 20)
+    rows = [(10 * k + n % 2, f"text{chr(97 + k)} word", f"l{k}") for k in range(10) for n in range(600)]
+    rows += [(1000 + n, "12 34", "cc") for n in range(6000)] + [(9000 + n, f"letters {n}", "cc") for n in range(5)] + [(None, "x", "none"), (1, "5", "digits"), (1, None, "empty")]
+    learned = li.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8))
+    assert set(learned) == {f"l{k}" for k in range(10)} | {"cc"}
+    assert learned["cc"].count(b"letters") == 5 and all(learned[f"l{k}"].count(b"word") == 2 for k in range(10))
+
+
+def test_a_text_of_megabytes(spark):
+    rnd = random.Random(3)
+    rows = [(1, text("en", 400_000, rnd), "en"), (2, text("de", 400, rnd), "de"), (3, text("de", 300_000, rnd), "de"), (4, text("en", 500, rnd), "en")]
+    learned = li.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(learned) == {"en", "de"} and all(len(v) <= li.DICTIONARY_BYTES for v in learned.values())
+    got = {r.doc_id: r.lang_pred for r in li.predict(spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string"), learned).collect()}
+    assert got == {1: "en", 2: "de", 3: "de", 4: "en"}
