@@ -19,7 +19,7 @@
 4. The links' connected components are the result.
 
 A block is searched by neighbouring size classes, a group for each two; what fits one task is one unit. A
-larger group is dealt out in chunks, each searched with the same PIVOTS of the group beside its own: what is
+larger group is dealt out in chunks, each searched with the same PIVOTS of the group beside its own, as many as hold PIVOT_SHINGLES: what is
 near one of them hangs together over all chunks. Where sets are left that don't, noted pairs are
 compared as such. Those that only frequent signatures lead to are made out by inverted lists of prefixes:
 in any one order of shingles two sets that link share one of the first few, and with those that many hold put last, few
@@ -43,6 +43,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from parlance.llm.common import kept, mapped, number_rows, scratch, small, without_rows, written
 from parlance.llm.components import components
@@ -53,8 +54,8 @@ CHUNK_SHINGLES, CHUNK_DOCS = 750_000, 3000
 AGREE, FEW = 3, 6
 #: Short lists that a document is found in at least.
 SHARED = 3
-#: Sets of a group of several chunks that each of its chunks is searched with.
-PIVOTS = 64
+#: Sets of a group of several chunks that each of its chunks is searched with, and their shingles in all: a task holds no more than a chunk and these.
+PIVOTS, PIVOT_SHINGLES = 64, 250_000
 #: Shingles of a chunk that are put last, most common last, and documents that hold one of them at least.
 COMMON, COMMON_DOCS = 32_768, 4
 #: Rows of units that go to every executor, some 40 bytes each; more are joined by a shuffle.
@@ -508,6 +509,12 @@ def _chunks(docs: Column, shingles: Column) -> Column:
     return F.ceil(F.greatest(docs / CHUNK_DOCS, shingles / CHUNK_SHINGLES))
 
 
+def _pivots(large: DataFrame, order: WindowSpec) -> DataFrame:
+    """The first sets of each group, as many as hold PIVOT_SHINGLES shingles together: where sets are so large that there is none, all is left to what comes after."""
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return large.withColumns({"place": F.row_number().over(order), "upto": upto}).where((F.col("place") <= PIVOTS) & (F.col("upto") <= PIVOT_SHINGLES)).drop("upto")
+
+
 def _each(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
 
@@ -535,7 +542,7 @@ def _linked(docs: DataFrame, words: int, percent: int, text: str, doc_id: str, u
     chunk = members.select("block", "kind", "i", F.col("i").alias("j"), "n", "uid", F.col("uid").alias("label"), (F.col("chunks") > 1).alias("large"))
     if any_large:
         order = Window.partitionBy("block", "kind").orderBy(F.xxhash64("uid", F.lit(1)), "uid")
-        pivots = large.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
+        pivots = _pivots(large, order)
         pivots = pivots.withColumn("to", F.explode(_each(F.col("chunks")))).where("to != i")
         chunk = chunk.unionByName(pivots.select("block", "kind", F.col("to").alias("i"), F.col("to").alias("j"), "n", "uid", F.col("uid").alias("label"), F.lit(True).alias("large")))
     found = _search(narrow, chunk, words, percent)

@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import jaccard_join as jj
 from parlance.llm.components import components
@@ -211,3 +212,33 @@ def test_sets_with_and_without_empty_parts_meet_by_frequent_keys(spark):
     met += [(jj._FREQUENT, uid, key, None, None, None, None, None, None) for uid in (1, 2) for key in frequent]
     pairs, stars = jj._candidates(spark.createDataFrame(met, jj._MET))
     assert {tuple(sorted(r)) for r in pairs.unionByName(stars).where("a != b").collect()} == {(1, 2)}
+
+
+def test_a_task_holds_a_chunk_and_bounded_pivots(spark, monkeypatch):
+    """Near copies of long texts: what a unit is searched with stays within the bounds, and the result is that of all pairs, with few pivots or none."""
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(600)]
+    texts = []
+    for k in range(64):
+        copy = list(base)
+        copy[rnd.randrange(len(copy))] = f"own{k}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = expected(rows, 5, 80)[0]
+    held = []
+    search = jj._search
+
+    def watched(narrow, units, words, percent):
+        units = units.cache()
+        held.append(units.groupBy("block", "kind", "i", "j").agg(F.sum("n").alias("n"), F.max("n").alias("largest")).collect())
+        return search(narrow, units, words, percent)
+
+    monkeypatch.setattr(jj, "_search", watched)
+    monkeypatch.setattr(jj, "CHUNK_SHINGLES", 6000)
+    for bound in (3000, 100):
+        monkeypatch.setattr(jj, "PIVOT_SHINGLES", bound)
+        held.clear()
+        assert found(docs, 5, 80) == want
+        # Sets are dealt out by a hash, so a chunk may have some more than its share.
+        assert len(held[0]) > 4 and all(r.n <= 2 * 6000 + bound + r.largest for r in held[0])
