@@ -134,3 +134,15 @@ def overlap_audit(turns: DataFrame, tolerance: int = 2000, only_open: float = 0.
     share = (orphans + F.col("orphan_bottoms")) / F.greatest(F.lit(1), F.col("groups") + orphans + F.col("orphan_bottoms"))
     quality = F.when((orphans + F.col("orphan_bottoms")) == 0, "fully_paired").when((share > only_open), "open_only").otherwise("mixed")
     return base.select("file").distinct().join(sums.withColumn("orphan_tops", orphans).withColumn("quality", quality), "file", "left").na.fill(0).na.fill("none", ["quality"])
+
+
+def overlap_summary(audited: DataFrame) -> DataFrame:
+    """overlap_audit() over all files: their sums, files with overlaps, files of each quality, and the shares of tops that are paired and of timed pairs that are consistent."""
+    sums = ("tops", "bottoms", "groups", "orphan_tops", "orphan_bottoms", "timed", "consistent")
+    count = lambda test: F.count(F.when(test, 1))
+    out = audited.agg(
+        F.count(F.lit(1)).alias("files"), count(F.col("tops") + F.col("bottoms") > 0).alias("files_with_overlaps"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums),
+        *(count(F.col("quality") == q).alias(q) for q in ("fully_paired", "open_only", "mixed")),
+    )
+    share = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)), 6)
+    return out.withColumns({"paired_share": share("groups", "tops"), "consistent_share": share("consistent", "timed")})

@@ -105,6 +105,13 @@ def longest_words(turns: DataFrame, limit: int = 20, unique_lengths: bool = Fals
     return words.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def word_lengths(turns: DataFrame) -> DataFrame:
+    """Of each speaker: words, the greatest length, and the mean length over all words said."""
+    counts = turns.select("speaker", F.explode(folded("cw")).alias("word")).groupBy("speaker", "word").agg(F.count(F.lit(1)).alias("count"))
+    size = F.char_length("word")
+    return counts.groupBy("speaker").agg(F.sum("count").alias("words"), F.max(size).cast("long").alias("longest"), F.round(F.sum(size * F.col("count")) / F.sum("count"), 6).alias("mean"))
+
+
 def longest_places(turns: DataFrame) -> DataFrame:
     """Where the longest words of all are first said (+ and ' don't count): word, length, file, utt_idx."""
     rows = turns.select("file", "utt_idx", F.explode(folded("cw")).alias("word")).withColumn("length", length_without("word", "+'"))
@@ -119,6 +126,12 @@ def durations(turns: DataFrame, by: tuple[str, ...] = ("speaker",)) -> DataFrame
     return out.withColumn("mean", F.expr("total div timed"))
 
 
+def durations_of_all(turns: DataFrame, by: tuple[str, ...] = ("speaker",)) -> DataFrame:
+    """durations() of every speaker that is seen, with all their utterances; those without a timed one have 0 of them and no lengths."""
+    seen = turns.groupBy(*by).agg(F.count(F.lit(1)).alias("utterances"))
+    return seen.join(durations(turns, by), list(by), "left").na.fill(0, ["timed", "total"])
+
+
 def span(turns: DataFrame) -> DataFrame:
     """Timed utterances, sum of lengths, and the time from the first start to the last end."""
     rows = turns.where("start_ms is not null and end_ms is not null")

@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators import diversity, linkers, norms, patterns, profiles
-from parlance.plans.catalog import _CLASS, _MOR, _TOK, _UTT, _with, ORACLES as _CATALOG
-from parlance.sources.tables import conversation_turns, read, with_tiers
+from parlance.operators import diversity, interaction, lengths, linkers, norms, patterns, profiles
+from parlance.plans.catalog import _CLASS, _EV, _MOR, _TOK, _UTT, _with, ORACLES as _CATALOG
+from parlance.sources.tables import conversation_turns, event_turns, read, with_tiers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,3 +173,41 @@ QUERIES["freq_with_groups"] = lambda spark, folder: patterns.frequency_with_grou
 ORACLES["freq_with_groups"] = _with(_TOK, """
 , l AS (SELECT speaker, lower(word) AS w, lower(lead(word) OVER (PARTITION BY file, utt_idx ORDER BY pos)) AS n FROM tok)
 SELECT speaker, w AS word, count(*) AS count FROM l GROUP BY ALL UNION ALL SELECT speaker, 'of the', count(*) FROM l WHERE w = 'of' AND n = 'the' GROUP BY ALL UNION ALL SELECT speaker, 'the w*', count(*) FROM l WHERE w = 'the' AND n LIKE 'w%' GROUP BY ALL""")
+
+QUERIES["maxwd_lengths"] = lambda spark, folder: lengths.word_lengths(_turns(spark, folder))
+ORACLES["maxwd_lengths"] = _with(_TOK, "SELECT speaker, count(*) AS words, max(length(lower(word))) AS longest, round(avg(length(lower(word))), 6) AS mean FROM tok GROUP BY speaker")
+
+
+def _half_timed(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as turns, of which one speaker has no times and others lack some."""
+    turns = event_turns(read(spark, folder, "events"))
+    timed = (F.col("speaker") != "U3") & (F.col("utt_idx") % 4 > 0)
+    return turns.withColumns({c: F.when(timed, F.col(c)) for c in ("start_ms", "end_ms")})
+
+
+QUERIES["timedur_all"] = lambda spark, folder: lengths.durations_of_all(_half_timed(spark, folder))
+ORACLES["timedur_all"] = _with(_EV, """
+, d AS (SELECT speaker, CASE WHEN speaker <> 'U3' AND utt_idx % 4 > 0 THEN greatest(end_ms - start_ms, 0) END AS ms FROM ev)
+SELECT speaker, count(*) AS utterances, count(ms) AS timed, coalesce(sum(ms), 0) AS total, min(ms) AS least, max(ms) AS most, CASE WHEN count(ms) > 0 THEN sum(ms) // count(ms) END AS mean FROM d GROUP BY speaker""")
+
+
+def _overlapped(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations with a top, a bottom or nothing by number, and times for some."""
+    i = F.col("utt_idx")
+    marked = F.concat(F.element_at(F.array(F.lit("⌈"), F.lit("⌊"), F.lit("")), (i % 3 + 1).cast("int")), F.lit("word"))
+    return _turns(spark, folder).withColumns({"text": marked, "start_ms": F.when(i % 5 > 0, i * 1500), "end_ms": F.when(i % 5 > 0, i * 1500 + 700)})
+
+
+QUERIES["overlap_summary"] = lambda spark, folder: interaction.overlap_summary(interaction.overlap_audit(_overlapped(spark, folder), tolerance=1000))
+# Each bottom with the last top before it, looked up one by one; it fits if somebody else said that.
+ORACLES["overlap_summary"] = _with(_UTT, """
+, o AS (SELECT file, utt_idx, speaker, CASE WHEN utt_idx % 5 > 0 THEN utt_idx * 1500 END AS b, CASE WHEN utt_idx % 5 > 0 THEN utt_idx * 1500 + 700 END AS e, ['⌈', '⌊', ''][utt_idx % 3 + 1] AS m FROM utt),
+k AS (SELECT o.file, o.utt_idx, o.speaker, o.b, o.e, (SELECT max(t.utt_idx) FROM o t WHERE t.file = o.file AND t.m = '⌈' AND t.utt_idx < o.utt_idx) AS at_top FROM o WHERE m = '⌊'),
+p AS (SELECT k.*, t.utt_idx AS top, t.b AS tb, t.e AS te, coalesce(t.speaker <> k.speaker, false) AS fits FROM k LEFT JOIN o t ON t.file = k.file AND t.utt_idx = k.at_top),
+f AS (SELECT u.file, (SELECT count(*) FROM o WHERE o.file = u.file AND m = '⌈') AS tops, (SELECT count(*) FROM o WHERE o.file = u.file AND m = '⌊') AS bottoms, (SELECT count(DISTINCT top) FROM p WHERE p.file = u.file AND fits) AS groups,
+  (SELECT count(*) FROM p WHERE p.file = u.file AND NOT fits) AS orphan_bottoms, (SELECT count(*) FROM p WHERE p.file = u.file AND fits AND b IS NOT NULL AND tb IS NOT NULL) AS timed,
+  (SELECT count(*) FROM p WHERE p.file = u.file AND fits AND b <= te + 1000 AND e >= tb - 1000) AS consistent FROM (SELECT DISTINCT file FROM utt) u),
+q AS (SELECT *, tops - groups AS orphan_tops, tops - groups + orphan_bottoms AS alone FROM f)
+SELECT count(*) AS files, count(*) FILTER (tops + bottoms > 0) AS files_with_overlaps, sum(tops) AS tops, sum(bottoms) AS bottoms, sum(groups) AS groups, sum(orphan_tops) AS orphan_tops, sum(orphan_bottoms) AS orphan_bottoms, sum(timed) AS timed, sum(consistent) AS consistent,
+  count(*) FILTER (tops + bottoms > 0 AND alone = 0) AS fully_paired, count(*) FILTER (alone > 0 AND alone / greatest(1, groups + alone) > 0.8) AS open_only, count(*) FILTER (alone > 0 AND alone / greatest(1, groups + alone) <= 0.8) AS mixed,
+  round(sum(groups) / sum(tops), 6) AS paired_share, round(sum(consistent) / sum(timed), 6) AS consistent_share FROM q""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance import sinks
 from parlance.converters import export
-from parlance.operators import frequency, lengths
+from parlance.operators import frequency, lengths, profiles
 from parlance.plans.catalog import _TOK, _UTT, ORACLES as _CATALOG, _with
 from parlance.plans.requests import run_line
 from parlance.sources import chat
@@ -145,3 +145,10 @@ _add("request_groups", _line("freq '+sof the' '+sthe w*' +k"), _with(_TOK, """
 SELECT speaker, 'of the' AS word, count(*) AS count FROM l WHERE w = 'of' AND n = 'the' GROUP BY ALL UNION ALL SELECT speaker, 'the w*', count(*) FROM l WHERE w = 'the' AND n LIKE 'w%' GROUP BY ALL"""))
 _add("request_mlu", _line("mlu -t%mor +tassistant +z1-3"), _with(_GIVEN, """
 SELECT speaker, count(*) AS utterances, sum(len(cw)) AS total, round(avg(len(cw)), 6) AS mean, CASE WHEN count(*) > 1 THEN round(stddev_pop(len(cw)), 6) END AS sd, min(len(cw)) AS least, max(len(cw)) AS most FROM numbered WHERE len(cw) > 0 AND speaker = 'assistant' AND n <= 3 GROUP BY speaker"""))
+
+_add("cha_fluency", lambda spark, folder: profiles.fluency(_turns(spark, folder)), _with(_GIVEN, """
+, w AS (SELECT speaker, len(cw) >= 6 AS long, list_transform(list_concat(CASE WHEN len(cw) >= 6 THEN cw[1:3] ELSE [] END, flatten(list_transform(cw, lambda w: CASE WHEN length(w) % 7 = 0 THEN [w, w] WHEN length(w) % 5 = 0 THEN ['&-um', w] WHEN length(w) % 11 = 0 THEN ['zz', w] ELSE [w] END))), lambda w: lower(w)) AS said,
+  len(list_filter(cw, lambda w: length(w) % 7 = 0)) AS twice, len(list_filter(cw, lambda w: length(w) % 7 <> 0 AND length(w) % 5 = 0)) AS um FROM numbered),
+c AS (SELECT speaker, len(said) AS n, len(list_filter(range(2, len(said) + 1), lambda i: said[i] = said[i - 1])) AS again, twice + CASE WHEN long THEN 1 ELSE 0 END AS partial, CASE WHEN long THEN 2 ELSE 0 END AS "full", um FROM w),
+s AS (SELECT speaker, sum(n) AS words, 0 AS prolongations, 0 AS broken, sum(again) AS repetitions, sum(partial) AS phrase_repetitions, sum("full") AS revisions, sum(um) AS fillers, 0 AS fragments FROM c GROUP BY speaker)
+SELECT *, round(100 * repetitions / words, 6) AS stuttering_rate, round(100 * (phrase_repetitions + revisions + fillers) / words, 6) AS typical_rate FROM s"""))
