@@ -440,7 +440,11 @@ _add("cv_chat2praat", lambda t: export.textgrid(_said(t)), None, _events)
 _add("cv_praat2chat", lambda t: conv.from_textgrid(export.textgrid(_said(t).withColumns({"start_ms": F.col("utt_idx") * 2000, "end_ms": F.col("utt_idx") * 2000 + 1500}))), _with(_EV, "SELECT file, utt_idx, speaker, speaker || ' ' || code AS text, utt_idx * 2000 AS start_ms, utt_idx * 2000 + 1500 AS end_ms FROM ev"), _events)
 _add("cv_lena2chat", lambda t: conv.from_its(_line(t, "", F.lit('<Segment spkr="'), F.element_at(F.array(F.lit("CHN"), F.lit("FAN"), F.lit("SIL"), F.lit("XYZ")), (F.col("utt_idx") % 4 + 1).cast("int")), F.lit('" startTime="PT'), F.col("utt_idx").cast("string"), F.lit('.25S" endTime="PT1M'), F.col("utt_idx").cast("string"), F.lit('S"/>'))), _with(_EV, """
 SELECT file, row_number() OVER (PARTITION BY file ORDER BY utt_idx) AS utt_idx, CASE utt_idx % 4 WHEN 0 THEN 'CHI' WHEN 1 THEN 'MOT' ELSE 'UNK' END AS speaker, 'xxx' AS text, utt_idx * 1000 + 250 AS start_ms, 60000 + utt_idx * 1000 AS end_ms FROM ev WHERE utt_idx % 4 <> 2"""), _events)
-_add("cv_chat", lambda t: export.chat(t).select("file", F.char_length("text").alias("chars"), F.size(F.split("text", "\n\\*")).alias("parts")))
+_add("cv_chat", lambda t: export.chat(t).select("file", F.char_length("text").alias("chars"), F.size(F.split("text", "\n\\*")).alias("parts")), _with(_UTT, r"""
+, b AS (SELECT file, string_agg('*' || speaker || ':' || chr(9) || text || ' ' || coalesce(nullif(regexp_extract(text, '([.?!])\s*$', 1), ''), '.'), chr(10) ORDER BY utt_idx) AS body FROM utt GROUP BY file),
+s AS (SELECT file, string_agg(speaker || ' Participant', ', ' ORDER BY speaker) AS people, string_agg('@ID:' || chr(9) || 'eng|corpus|' || speaker || '|||||Participant|||', chr(10) ORDER BY speaker) AS ids FROM (SELECT DISTINCT file, speaker FROM utt) GROUP BY file),
+t AS (SELECT file, concat_ws(chr(10), '@UTF8', '@Begin', '@Languages:' || chr(9) || 'eng', '@Participants:' || chr(9) || people, ids, body, '@End' || chr(10)) AS text FROM b JOIN s USING (file))
+SELECT file, length(text) AS chars, len(string_split(text, chr(10) || '*')) AS parts FROM t"""))
 
 # Checks.
 _declared = lambda t: t.select("file", "speaker").unionByName(t.where("utt_idx = 1").select("file", F.lit("GHO").alias("speaker")))
