@@ -24,7 +24,7 @@ CAVEAT = (
 ID_COLUMNS = {"language": "Language", "corpus": "Corpus", "age": "Age", "sex": "Sex", "grp": "Group", "ses": "SES", "role": "Role", "education": "Education", "custom": "Custom"}
 _NAMED = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
 #: Places of lines that aren't data.
-_OPEN, _REMARK, _HEADER, _END = -100, -50, -1, 1 << 62
+_REMARK, _HEADER = -50, -1
 
 
 def text_cell(x: Column) -> Column:
@@ -48,17 +48,27 @@ def _titles(*names: str) -> Column:
     return F.concat(*(text_cell(F.lit(n)) for n in names))
 
 
-def write_workbooks(lines: DataFrame, path: str) -> None:
-    """Rows of sheets (book, n, line) as one file for each book, in the order of n."""
-    books = lines.select("book").distinct()
-    frame = lambda n, text: books.select("book", F.lit(n).cast("long").alias("n"), F.lit(text).alias("line"))
-    every = lines.select("book", F.col("n").cast("long").alias("n"), "line").unionByName(frame(_OPEN, OPENING)).unionByName(frame(_END, CLOSING))
-    every.repartition("book").sortWithinPartitions("book", "n").select(F.col("line").alias("value"), "book").write.partitionBy("book").text(path)
+def write_workbooks(lines: DataFrame, path: str, packed: bool = False) -> None:
+    """Rows of sheets (book, n, line) as one file for each book, in the order of n.
+
+    packed: Parquet rows (book, line) instead, many books in a file, for so many small books that a file each costs more than what is in it.
+    """
+    order = Window.partitionBy("book").orderBy("n")
+    none = F.array().cast("array<string>")
+    frame = lambda at, text: F.when(at, F.array(F.lit(text))).otherwise(none)
+    ends = lines.select("book", "n", "line", F.lag(F.lit(False), 1, True).over(order).alias("first"), F.lead(F.lit(False), 1, True).over(order).alias("last"))
+    framed = ends.select("book", "n", F.posexplode(F.concat(frame(F.col("first"), OPENING), F.array("line"), frame(F.col("last"), CLOSING))).alias("k", "value"))
+    every = framed.sortWithinPartitions("book", "n", "k").select("value", "book")
+    if packed:
+        every.write.parquet(path)
+    else:
+        every.write.partitionBy("book").text(path)
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """book and cells (array of text) of every row of the workbooks in a folder, titles and remarks among them; a point is read as one."""
-    rows = spark.read.schema("value string, book string").text(path).where(F.col("value").startswith("<Row>"))
+def read_workbooks(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """book and cells (array of text) of every row of the workbooks in a folder, titles and remarks among them; a point is read as one. packed: as they were written."""
+    found = spark.read.schema("value string, book string")
+    rows = (found.parquet(path) if packed else found.text(path)).where(F.col("value").startswith("<Row>"))
     cells = F.regexp_extract_all("value", F.lit(r"<Data ss:Type=\"\w+\">([^<]*)</Data>"), F.lit(1))
 
     def plain(x: Column) -> Column:
