@@ -14,23 +14,28 @@ from parlance.plans.catalog import _TOK, _UTT, ORACLES as _CATALOG, _with
 from parlance.plans.requests import run_line
 from parlance.sources import chat
 from parlance.sources.tables import conversation_turns, marked_turns, read
-from parlance.storage import new_path, read_texts, write_texts
+from parlance.storage import new_path, read_packed, write_packed, write_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _written(spark: SparkSession, folder: str) -> str:
-    """The folder of transcripts of all conversations."""
-    turns = marked_turns(conversation_turns(read(spark, folder, "conversations")).where("file is not null and speaker is not null and utt_idx is not null").withColumn("cw", F.coalesce("cw", F.array().cast("array<string>"))))
+def _transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """file and text of a transcript of each conversation."""
+    turns = conversation_turns(read(spark, folder, "conversations")).where("file is not null and speaker is not null and utt_idx is not null")
+    return export.chat(marked_turns(turns.withColumn("cw", F.coalesce("cw", F.array().cast("array<string>")))))
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """The transcripts of all conversations, written many to a file and read back: they are small, and a file each would cost more than what is in it."""
     path = new_path(spark, "transcripts")
-    write_texts(export.chat(turns), path)
-    return path
+    write_packed(_transcripts(spark, folder), path)
+    return read_packed(spark, path)
 
 
 def _turns(spark: SparkSession, folder: str, **more) -> DataFrame:
     """Turns of the transcripts, parsed from their files."""
-    turns = chat.turns(read_texts(spark, _written(spark, folder)), **more)
+    turns = chat.turns(_files(spark, folder), **more)
     return turns.withColumn("cw", chat.unprotected("cw"))
 
 
@@ -74,7 +79,7 @@ SELECT speaker, count(*) AS utterances, sum(len(cw)) AS total, round(avg(len(cw)
 
 def _headers(spark: SparkSession, folder: str) -> DataFrame:
     """From a scan that is stored by kind: what each file declares, and how many turns of each speaker it has."""
-    files, path = read_texts(spark, _written(spark, folder)), new_path(spark, "scan")
+    files, path = _files(spark, folder), new_path(spark, "scan")
     chat.store(files, path, ("header", "id", "turn"))
     lines = chat.stored(spark, path)
     declared = chat.headers(lines).where("kind = 'Participant'").select("file", F.col("participant").alias("speaker"), F.col("value").alias("role"))
@@ -88,7 +93,8 @@ _add("cha_headers", _headers, _with(_GIVEN, "SELECT file, speaker, 'Participant'
 
 def _discovered(spark: SparkSession, folder: str) -> DataFrame:
     """Of each transcript, and of a path that isn't there, whether it is read; names are asked for by a pattern before anything is opened."""
-    path = _written(spark, folder)
+    path = new_path(spark, "transcripts")
+    write_texts(_transcripts(spark, folder), path)
     found = chat.discovered(spark, [path, f"{path}/none.cha"], pattern="*.txt")
     of = F.coalesce(F.nullif(F.regexp_extract("file", r"/file=([^/]*)/", 1), F.lit("")), F.lit("none"))
     return found.where("reason is null or reason <> 'name'").groupBy(of.alias("file"), "status", "reason").agg((F.min("bytes") > 0).alias("filled"))
@@ -100,8 +106,8 @@ _add("cha_discovered", _discovered, _with(_GIVEN, "SELECT DISTINCT file, 'read'
 def _sheets(spark: SparkSession, folder: str, made: DataFrame) -> DataFrame:
     """The rows of workbooks that were written and read back."""
     path = new_path(spark, "sheets")
-    sinks.write_workbooks(made, path)
-    return sinks.read_workbooks(spark, path).where("cells[0] <> 'File' and size(cells) > 1")
+    sinks.write_workbooks(made, path, packed=True)
+    return sinks.read_workbooks(spark, path, packed=True).where("cells[0] <> 'File' and size(cells) > 1")
 
 
 def _conversations(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,7 +142,7 @@ FROM s JOIN v ON v.file = s.file LEFT JOIN c ON c.file = s.file AND c.speaker =
 
 def _line(text: str) -> Callable[[SparkSession, str], DataFrame]:
     """A command line over the transcripts."""
-    return lambda spark, folder: run_line(spark, text, read_texts(spark, _written(spark, folder)))
+    return lambda spark, folder: run_line(spark, text, _files(spark, folder))
 
 
 _add("request_freq", _line("freq +tuser -sthe +k"), _with(_TOK, "SELECT speaker, lower(word) AS word, count(*) AS count FROM tok WHERE speaker = 'user' AND lower(word) <> 'the' GROUP BY ALL"))

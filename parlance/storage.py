@@ -57,6 +57,23 @@ def write_texts(texts: DataFrame, path: str) -> None:
     texts.select("file", F.coalesce("text", F.lit("")).alias("value")).write.option("lineSep", "\n").partitionBy("file").text(path)
 
 
+#: Texts in a file of write_packed() at most.
+PACKED = 2000
+
+
+def write_packed(texts: DataFrame, path: str) -> None:
+    """The rows (file, text) with many texts in a file: no directory, commit and listing for each, so that the cost is that of the text.
+
+    For many small texts that are read back whole; a null text is an empty one.
+    """
+    texts.select("file", F.coalesce("text", F.lit("")).alias("text")).write.option("maxRecordsPerFile", PACKED).parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """file and text of what write_packed() wrote."""
+    return spark.read.schema("file string, text string").parquet(path).withColumn("text", F.regexp_replace("text", r"\n\z", ""))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """file and text of what write_texts() wrote."""
     out = spark.read.schema("value string, file string").text(path, wholetext=True)

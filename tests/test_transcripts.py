@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.plans import transcripts
 from parlance.sources import chat
-from parlance.storage import read_texts, write_texts
+from parlance.storage import read_packed, read_texts, write_packed, write_texts
 
 
 def words(text, **more):
@@ -95,6 +95,22 @@ def test_texts_round_trip(spark, tmp_path):
     assert sorted(read_texts(spark, str(tmp_path / "t")).collect()) == sorted((f, t or "") for f, t in rows)
 
 
+def test_packed_texts(spark, tmp_path):
+    rows = [(str(k), f"one {k}\n") for k in range(300)] + [("a b", ""), ("x=y", None), ("\u00e9", "tab\t\n\n")]
+    write_packed(spark.createDataFrame(rows, "file string, text string").repartition(2), str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").rglob("part-*"))) == 2  # not a file for each text
+    assert sorted(read_packed(spark, str(tmp_path / "t")).collect()) == sorted((f, (t or "").removesuffix("\n")) for f, t in rows)
+
+
+def test_queries_write_few_files(spark, tmp_path, monkeypatch):
+    rows = [(k, t, "user", "one two three.") for k in range(200) for t in range(2)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(transcripts, "new_path", lambda _, tag: str(tmp_path / tag))
+    assert transcripts.QUERIES["cha_turns"](spark, str(tmp_path)).count() == 400
+    assert transcripts.QUERIES["sheet_wide"](spark, str(tmp_path)).count() == 200
+    assert len(list((tmp_path / "transcripts").rglob("part-*"))) + len(list((tmp_path / "sheets").rglob("part-*"))) <= 16
+
+
 @pytest.mark.parametrize("name", sorted(transcripts.QUERIES))
 def test_queries(spark, name):
     same(spark, transcripts.QUERIES[name], transcripts.ORACLES[name])
