@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: where the tokens of two tokenizers end together, and which go with which.
 
 Both tokenizers cut the same bytes: the text after one space. The ends of their tokens, as running sums of byte lengths,
-are merged with two pointers; where both end, a group ends, and the two tokens that end there are linked.
+are merged by binary search; where both end, a group ends, and the two tokens that end there are linked.
 Spark counts the links of each pair of ids over all texts, takes each side's largest count, and joins
 both back to the texts.
 
@@ -41,17 +41,20 @@ class Tokens:
         self.encode, self.spelled = encode, spelled
         self.lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
 
-    def __call__(self, text: str, whole: bytes) -> np.ndarray | None:
-        """The ids of text; None if they don't spell whole."""
+    def __call__(self, text: str | None) -> np.ndarray | None:
+        """The ids of text; None if there is none or they don't spell space + text."""
+        if not text:
+            return None
         ids = self.encode(text)
-        return np.array(ids, np.int64) if b"".join(map(self.spelled.__getitem__, ids)) == whole else None
+        whole = (" " + text).encode("utf-8", "surrogatepass")
+        return np.fromiter(ids, np.int64, len(ids)) if b"".join(map(self.spelled.__getitem__, ids)) == whole else None
 
-    def ends(self, ids: np.ndarray) -> list[int]:
+    def ends(self, ids: np.ndarray) -> np.ndarray:
         """Where each token ends, in bytes."""
         sizes = self.lengths[ids]
         if not sizes.all():
             raise ValueError("a token without bytes")
-        return np.cumsum(sizes).tolist()
+        return np.cumsum(sizes)
 
 
 #: So much white space in a row is more than tiktoken's patterns can take.
@@ -92,6 +95,7 @@ def _pieces(model: bytes) -> Tokens:
     return Tokens(lambda text: processor.encode([text], num_threads=1)[0], spelled)
 
 
+_NONE = np.zeros(0, np.int64)
 _READY: dict[tuple[str, str], tuple[Tokens, Tokens]] = {}
 
 
@@ -104,21 +108,19 @@ def tokenizers_of(spec: str, model: bytes) -> tuple[Tokens, Tokens]:
     return _READY[key]
 
 
+def _both_end(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tokens of either side up to each place where both end; ends are ascending, so each is found by binary search among the other side's."""
+    if not len(a) or not len(b):
+        return _NONE, _NONE
+    at = np.searchsorted(b, a)
+    both = b[np.minimum(at, len(b) - 1)] == a
+    return np.flatnonzero(both) + 1, at[both] + 1
+
+
 def merge(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
-    """Numbers of tokens of either side up to each place where both end; ends are ascending."""
-    at_a: list[int] = []
-    at_b: list[int] = []
-    if ends_a and ends_b:
-        ends_b = [*ends_b, ends_a[-1] + 1]
-        j, y = 0, ends_b[0]
-        for i, x in enumerate(ends_a, 1):
-            while y < x:
-                j += 1
-                y = ends_b[j]
-            if y == x:
-                at_a.append(i)
-                at_b.append(j + 1)
-    return at_a, at_b
+    """_both_end() of lists."""
+    at_a, at_b = _both_end(np.array(ends_a, np.int64), np.array(ends_b, np.int64))
+    return at_a.tolist(), at_b.tolist()
 
 
 class _Written(dict):
@@ -130,7 +132,6 @@ class _Written(dict):
 
 
 _WRITTEN = _Written()
-_NONE = np.zeros(0, np.int64)
 
 
 class Aligned:
@@ -139,16 +140,12 @@ class Aligned:
     A null or empty text has none, nor has one that a tokenizer doesn't give back byte by byte.
     """
 
-    def __init__(self, text: str | None, first: Tokens, second: Tokens) -> None:
+    def __init__(self, a: np.ndarray | None, b: np.ndarray | None, first: Tokens, second: Tokens) -> None:
         self.a = self.b = self.at_a = self.at_b = self.linked = _NONE
-        if not text:
-            return
-        whole = (" " + text).encode("utf-8", "surrogatepass")
-        a, b = first(text, whole), second(text, whole)
         if a is None or b is None:
             return
         self.a, self.b = a, b
-        self.at_a, self.at_b = (np.array(x, np.int64) for x in merge(first.ends(a), second.ends(b)))
+        self.at_a, self.at_b = _both_end(first.ends(a), second.ends(b))
         self.linked = a[self.at_a - 1] << 32 | b[self.at_b - 1]
 
     def groups(self) -> str:
@@ -188,8 +185,10 @@ def aligned(docs: DataFrame, byte_vocabulary: str, piece_model: str, digest: boo
         first, second = tokenizers_of(spec.value, model.value)
         for batch in batches:
             groups, counts, parts = [], [], []
-            for value in batch.column(1).to_pylist():
-                one = Aligned(value, first, second)
+            texts = batch.column(1).to_pylist()
+            # One tokenizer after the other, not by turns: the tables of one push those of the other out of the processor's cache.
+            for a, b in zip(*(list(map(tokens, texts)) for tokens in (first, second)), strict=True):
+                one = Aligned(a, b, first, second)
                 found = one.groups()
                 groups.append(hashlib.sha256(found.encode()).hexdigest() if digest and found else found)
                 counts.append((len(one.a), len(one.b), len(one.linked), len(one.linked)))

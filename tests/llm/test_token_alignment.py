@@ -3,6 +3,7 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -94,6 +95,18 @@ def test_groups_as_text(spark):
     assert row.n_best_a <= row.n_links and row.count_sum >= row.n_links
 
 
+def test_ends_of_long_texts_are_arrays():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 40, 200_000):
+        a, b = (np.unique(rng.integers(1, 3 * size + 2, size)) for _ in range(2))
+        both = sorted(set(a.tolist()) & set(b.tolist()))
+        at_a, at_b = ta._both_end(a, b)
+        assert a[at_a - 1].tolist() == b[at_b - 1].tolist() == both
+    spelled = ta.Tokens(lambda text: [0, 1], [b" ", b"ab"])
+    assert spelled("ab").tolist() == [0, 1] and spelled("abc") is None and spelled("") is None and spelled(None) is None
+    assert isinstance(spelled.ends(spelled("ab")), np.ndarray)
+
+
 def test_merge_of_ends():
     assert ta.merge([1, 4, 6, 9], [2, 4, 9]) == ([2, 4], [2, 3])
     assert ta.merge([], [1]) == ta.merge([1], []) == ([], [])
