@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ WINDOW, LEAST_WORDS, ENOUGH = 8, 4, 6
 MARK_BITS = 26
 MARK_SLICES = 64
 STORE = 500_000
+#: Characters of texts that are read end to end, so that short ones don't cost calls of their own.
+TEXT_CHARS = 200_000
 #: Rows of windows or of classes of items that go to every executor, some 150 bytes each; more are joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
 
@@ -83,8 +86,9 @@ class _Tokens(dict):
             self.kinds[k] = _JOINT if _JOINTS.issuperset(word) else _BREAK
             return k
         low = word.lower()
-        self.hashes[k] = xxhash.xxh3_64_intdigest(low.encode())
-        self.slots[k] = xxhash.xxh3_64_intdigest(SINGULAR.get(low, low).encode())
+        self.hashes[k] = self.slots[k] = xxhash.xxh3_64_intdigest(low.encode())
+        if low in SINGULAR:
+            self.slots[k] = xxhash.xxh3_64_intdigest(SINGULAR[low].encode())
         capital = len(word) > 1 and word[0].isupper() and word[1:].islower() and low not in STARTERS
         self.kinds[k] = _NUMBER if word[0].isdigit() else _NAME if capital else _UNIT if low in UNITS else _WORD
         return k
@@ -105,48 +109,62 @@ class Windows:
         self._tokens, self._lengths = _Tokens(), (*lengths, WINDOW)
 
     def __call__(self, text: str | None, item: bool = False) -> list[tuple[int, Reading]]:
+        return [(k, (h, at, n, values)) for k, (h, at, n, values), _, _ in self.of([text], item)]
+
+    def of(self, texts: list[str | None], item: bool = False) -> Iterator[tuple[int, Reading, np.ndarray, np.ndarray]]:
+        """The readings of many texts end to end, whose windows lie within one text each; the text of each token, and the token that each text begins with.
+
+        item: of a single text, whether it is an item.
+        """
         if len(self._tokens) > STORE:
             self._tokens = _Tokens()
         known = self._tokens
-        found = _TOKENS.findall(text or "")
-        rows = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        found = [_TOKENS.findall(text or "") for text in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        rows = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
         kinds = known.kinds[rows]
+        of = np.repeat(np.arange(len(found)), sizes)
         token = kinds < _BREAK
         breaks = np.cumsum(kinds == _BREAK)[token]
-        rows, kinds = rows[token], kinds[token]
+        rows, kinds, of = rows[token], kinds[token], of[token]
         hashes, slots = known.hashes[rows], known.slots[rows]
-        read = [(hashes, np.zeros(len(hashes), _U))]
         name = kinds == _NAME
-        goes_on = name[1:] & name[:-1]
+        goes_on = name[1:] & name[:-1] & (of[1:] == of[:-1])
         broken = goes_on & (breaks[1:] != breaks[:-1])
-        if not broken.any():
-            read.append(_template(hashes, slots, kinds, goes_on))
-        else:
-            read += [_template(hashes, slots, kinds, goes_on & ~broken), _template(hashes, slots, kinds, goes_on)]
-        return [(k, w) for k, (own, values) in enumerate(read) for w in _windows(own, values, k > 0, (min(WINDOW, len(own)),) if item else self._lengths)]
-
-
-def _template(hashes: np.ndarray, slots: np.ndarray, kinds: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The template's tokens and slot values; goes_on: which tokens from the second on are of one name with the one before."""
+        read = [(0, hashes, np.zeros(len(hashes), _U), of), (1, *_template(hashes, slots, kinds, of, goes_on & ~broken))]
+        if broken.any():
+            # Of texts where it makes a difference alone.
+            other = np.isin(of, of[1:][broken])
+            within = goes_on[np.flatnonzero(other)[1:] - 1]
+            read.append((2, *_template(hashes[other], slots[other], kinds[other], of[other], within)))
+        for k, own, values, of_own in read:
+            begins = np.searchsorted(of_own, np.arange(len(texts)))
+            for w in _windows(own, values, of_own, k > 0, (min(WINDOW, len(own)),) if item else self._lengths):
+                yield k, w, of_own, begins
+
+
+def _template(hashes: np.ndarray, slots: np.ndarray, kinds: np.ndarray, of: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The template's tokens, slot values and texts; goes_on: which tokens from the second on are of one name with the one before."""
     if goes_on.any():
         keep = np.concatenate([[True], ~goes_on])
         heads = np.flatnonzero(keep)
         slots = np.add.reduceat(slots * (np.arange(len(slots), dtype=_U) - heads[np.cumsum(keep) - 1].astype(_U) + _U(1)), heads)
-        hashes, kinds = hashes[heads], kinds[heads]
+        hashes, kinds, of = hashes[heads], kinds[heads], of[heads]
     slot = kinds != _WORD
-    return np.where(slot, kinds.astype(_U), hashes), np.where(slot, slots * _PRIME + kinds.astype(_U), _U(0))
+    return np.where(slot, kinds.astype(_U), hashes), np.where(slot, slots * _PRIME + kinds.astype(_U), _U(0)), of
 
 
-def _windows(tokens: np.ndarray, values: np.ndarray, template: bool, lengths: tuple[int, ...]) -> Iterator[Reading]:
+def _windows(tokens: np.ndarray, values: np.ndarray, of: np.ndarray, template: bool, lengths: tuple[int, ...]) -> Iterator[Reading]:
     """Windows of each length; of a template those with enough words."""
     plain = np.concatenate([[0], np.cumsum(values == 0)]) if template else None
     for n in lengths:
         if not 0 < n <= len(tokens):
             continue
-        h, at = _rolled(tokens, n), np.arange(len(tokens) - n + 1)
+        h, within = _rolled(tokens, n), of[n - 1 :] == of[: len(of) - n + 1]
         if template:
-            enough = plain[at + n] - plain[at] >= LEAST_WORDS
-            h, at = h[enough] ^ _U(0x5851F42D4C957F2D), at[enough]
+            within &= plain[n:] - plain[:-n] >= LEAST_WORDS
+        at = np.flatnonzero(within)
+        h = h[at] ^ _U(0x5851F42D4C957F2D) if template else h[at]
         yield h, at, n, values
 
 
@@ -208,25 +226,40 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(out)
 
 
+def _some(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts in runs of TEXT_CHARS, or of one text, each with the place of its first."""
+    first = size = 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size >= TEXT_CHARS:
+            yield first, texts[first : k + 1]
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
 def _documents(marks: Callable[[], np.ndarray], lengths: tuple[int, ...]):
     """A row for each text (h null) and one for each window that is marked; of words each hash once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, bits, out = Windows(lengths), marks(), []
         for batch in batches:
-            for uid, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.append((uid, key, None, 0, 0, 0, 0, None, None))
-                for reading, (h, at, n, values) in windows(text):
-                    if not len(h):
-                        continue
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            out += [(*own, None, 0, 0, 0, 0, None, None) for own in keys]
+            for first, texts in _some(batch.column(2).to_pylist()):
+                for reading, (h, at, n, values), of, begins in windows.of(texts):
                     place = h >> _U(64 - MARK_BITS)
                     chosen = np.flatnonzero(bits[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8) & 1)
                     if not reading:
-                        chosen = chosen[np.unique(h[chosen], return_index=True)[1]]
+                        # Of a text each hash once, where it is first.
+                        chosen = chosen[np.lexsort((chosen, h[chosen], of[at[chosen]]))]
+                        held, text = h[chosen], of[at[chosen]]
+                        chosen = chosen[np.concatenate([[True], (held[1:] != held[:-1]) | (text[1:] != text[:-1])])[: len(chosen)]]
                     for k in chosen.tolist():
                         a = int(at[k])
-                        out.append((uid, key, int(h[k].view(np.int64)), reading, a, 0, n, None, values[a : a + n].view(np.int64).tolist() if reading else None))
-                        if len(out) == _ROWS:
+                        text = int(of[a])
+                        out.append((*keys[first + text], int(h[k].view(np.int64)), reading, a - int(begins[text]), 0, n, None, values[a : a + n].view(np.int64).tolist() if reading else None))
+                        if len(out) >= _ROWS:
                             yield _batch(out)
                             out = []
             if out:

@@ -157,3 +157,18 @@ def test_long_items_and_scripts_without_spaces(spark):
     bench = spark.createDataFrame([(1, long), (2, han)], "item_id long, text string")
     got = {r.doc_id: (r.n_items, r.first_item) for r in dc.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got == {1: (1, 1), 2: (1, 2), 3: (0, None), 4: (0, None)}
+
+
+def test_texts_end_to_end_are_those_one_by_one():
+    """Windows, places and readings of texts read together are those of each alone; no window lies in two of them."""
+    rnd = random.Random(3)
+    some = ["Anna", "Bob", "Mary-Jane", "Dr. Smith", "12", "3.5", "miles", "feet", "buys", "red", "apples", "and", "sells", "them", ", ", "\n", "If", "猫が"]
+    texts = [None, "", *(" ".join(rnd.choices(some, k=rnd.randrange(60))) for _ in range(60)), "", "..."]
+    windows = dc.Windows((2, 5))
+    alone = {(k, reading, n, int(a), int(x), tuple(values[a : a + n].tolist())) for k, text in enumerate(texts) for reading, (h, at, n, values) in windows(text) for x, a in zip(h, at, strict=True)}
+    together = set()
+    for reading, (h, at, n, values), of, begins in windows.of(texts):
+        for x, a in zip(h, at, strict=True):
+            assert of[a] == of[a + n - 1]
+            together.add((int(of[a]), reading, n, int(a - begins[of[a]]), int(x), tuple(values[a : a + n].tolist())))
+    assert together == alone and {r for _, r, *_ in alone} == {0, 1, 2}
