@@ -21,8 +21,9 @@ ORACLES: dict[str, str] = {}
 
 
 def _transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    """file and text of a transcript of each conversation."""
-    turns = conversation_turns(read(spark, folder, "conversations")).where("file is not null and speaker is not null and utt_idx is not null")
+    """file and text of a transcript of each conversation. Rows are dealt out before their words are cut and marked: a small file would be one task's work."""
+    dealt = read(spark, folder, "conversations").repartition(F.col("conv_id").cast("string"))
+    turns = conversation_turns(dealt).where("file is not null and speaker is not null and utt_idx is not null")
     return export.chat(marked_turns(turns.withColumn("cw", F.coalesce("cw", F.array().cast("array<string>")))))
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from oracle import same
 from pyspark.sql import functions as F
@@ -114,3 +115,29 @@ def test_queries_write_few_files(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize("name", sorted(transcripts.QUERIES))
 def test_queries(spark, name):
     same(spark, transcripts.QUERIES[name], transcripts.ORACLES[name])
+
+
+def test_rows_by_columns_are_those_dict_by_dict():
+    """Fields, nulls, empty lists and lists of structs, with objects that stand at several places."""
+    kind = pa.struct([("a", pa.int64()), ("w", pa.list_(pa.struct([("x", pa.string()), ("y", pa.list_(pa.string()))]))), ("t", pa.list_(pa.string()))])
+    word, other = {"x": "one", "y": ["u", None]}, {"x": None, "y": []}
+    rows = [{"a": 1, "w": [word, other, word], "t": ["p"]}, None, {"a": None, "w": [], "t": []}, {"a": 4}, {"a": 5, "w": [word, None, {"y": None}], "t": None}]
+    found = chat._column(rows, kind)
+    assert found.type == kind and found.to_pylist() == pa.array(rows, kind).to_pylist()
+    assert chat._column([], kind).to_pylist() == []
+
+
+def test_words_in_one_piece_are_those_token_by_token(monkeypatch):
+    text = "<zero <oneˈ> [/] 0two> [//]  &-um three [: fou(r) xxx] [*] (.) a@b , “five” \x1512_34\x15 [ six ] seven] \x15 ?"
+    found = chat.parse_main(text), chat.MainTier(text).problems
+    monkeypatch.setattr(chat, "_PIECE", chat._TOKEN)
+    assert found == (chat.parse_main(text), chat.MainTier(text).problems)
+    # Unmarked words are one object: they cost one row of a column, however often they stand.
+    first, second = chat.parse_main("again and again .")["words"][::2]
+    assert first is second
+
+
+def test_small_files_are_dealt_out_before_they_are_read(spark, capsys):
+    transcripts._transcripts(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and plan.index("split(text") < plan.index("REPARTITION_BY_COL")
