@@ -124,6 +124,10 @@ class Signatures:
         differ = largest * (100 - self._p) // (100 + self._p)
         return differ, differ + AGREE + 4 + differ // 20
 
+    def _differ(self, n: int) -> int:
+        """The largest difference of a set of n from one that it links with: all of both are n * 100 / percent at most."""
+        return n * 100 // self._p * (100 - self._p) // 100
+
     def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """The keys, whose last bit tells the two groups apart and the one before it empty parts, and for each group (even, odd) how many frequent keys can be spared."""
         n, spare = len(hashes), [0, 0]
@@ -136,6 +140,8 @@ class Signatures:
             differ, parts = self._split(g)
             if not differ:
                 continue  # sets so small link only when equal
+            # Of the group's bound a small set of it needs only what its own size allows.
+            differ = min(differ, self._differ(n))
             part = (top * _U(parts)) >> _U(32)  # grows with the hash, so each part is a run
             heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             content = np.add.reduceat(mixed, heads)
@@ -379,7 +385,10 @@ def _candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     needy = counts.where(F.when(can < 0, (F.col("filled") > 0) | (F.col("has") > -1 - can)).otherwise(F.col("has") > can)).select("uid", "side")
     bearers = frequent.join(needy, ["uid", "side"], "left_semi")
     first = bearers.groupBy("key").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("bearers")).where("bearers > 1")
-    return pairs, bearers.join(first, "key").select(F.col("uid").alias("a"), F.col("first").alias("b")).distinct()
+    # Near copies have dozens of keys, whose first bearers are few: each set goes to the least of its own, and those to each other.
+    firsts = bearers.join(first, "key").groupBy("uid").agg(F.collect_set("first").alias("firsts"), F.min("first").alias("b"))
+    stars = firsts.select(F.explode(F.array_append("firsts", F.col("uid"))).alias("a"), "b").distinct()
+    return pairs, stars
 
 
 _UNIT = ["block", "kind", "i", "j"]

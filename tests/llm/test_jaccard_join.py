@@ -79,6 +79,52 @@ def test_frequent_keys_can_be_spared():
                     assert len(shared) - spare[side] >= jj.AGREE
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sets_spare_keys_by_their_own_size(percent):
+    """Sets of all sizes of a group have frequent keys to spare and filled parts enough, and what they spare is right for the smallest and the largest sets they link with."""
+    rnd = np.random.default_rng(percent)
+    sig = jj.Signatures(percent)
+    for n in range(120, 900, 13):
+        a = np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64))
+        keys, spare = sig(a)
+        assert min(spare) >= 1 and not (keys & np.uint64(2)).any(), n
+        smaller = np.sort(a[rnd.permutation(n)[: -(-percent * n // 100)]])
+        larger = np.unique(np.concatenate([a, rnd.integers(0, 1 << 64, n * 100 // percent - n, dtype=np.uint64)]))
+        for b in (smaller, larger):
+            both = np.intersect1d(keys, sig(b)[0])
+            side = max(sig.size_class(n), sig.size_class(len(b))) & 1
+            for can in (spare, sig(b)[1]):
+                assert ((both & np.uint64(1)) == side).sum() - can[side] >= jj.AGREE
+
+
+def test_a_shared_line_leads_to_no_other_set(spark, monkeypatch):
+    """Texts that share a line of a tenth of their words, the smallest of their size class: they have frequent signatures, but none more than it can spare."""
+    monkeypatch.setattr(jj, "FEW", 3)
+    rnd = random.Random(23)
+    sig = jj.Signatures(80)
+    first = next(n for n in range(400, 800) if sig.size_class(n) > sig.size_class(n - 1))
+    line = ["line%d" % k for k in range(40)]
+    texts = []
+    for k in range(120):
+        own = ["w%d" % rnd.randrange(10**7) for _ in range(first - 36 + k % 8)]
+        texts.append(" ".join(own[:100] + line + own[100:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "uid long, text string").repartition(3).selectExpr("uid", "uid as doc_id", "text")
+    signed = jj.mapped(docs, jj._signed(5, 80), "key long, uid long, more binary").repartition(4, "key").sortWithinPartitions("key")
+    met = jj.mapped(signed, jj._met, jj._MET).cache()
+    assert met.where(F.col("what") == jj._FREQUENT).count()
+    assert not jj._candidates(met)[1].count()
+
+
+def test_stars_of_near_copies_are_few(spark):
+    """Sets with many frequent keys, of different first bearers: an edge for each set and one for each of those, and all hang together."""
+    met = [(jj._DOCUMENT, uid, None, uid, 99, 9, 0, 0, b"x") for uid in range(200)]
+    met += [(jj._FREQUENT, uid, key * 4, None, None, None, None, None, None) for uid in range(200) for key in range(30) if uid >= key]
+    pairs, stars = jj._candidates(spark.createDataFrame(met, jj._MET))
+    edges = [tuple(r) for r in stars.collect()]
+    assert len({a for a, _ in edges}) == 200 and sum(a != b for a, b in edges) <= 200 + 60
+    assert {tuple(r) for r in components(stars).collect()} == {(uid, 0) for uid in range(200)}
+
+
 def test_merge_skip():
     rnd = random.Random(1)
     for _ in range(300):
