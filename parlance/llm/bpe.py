@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.llm import pretokens
-from parlance.llm.common import mapped, own_name
+from parlance.llm.common import mapped, own_name, ready
 
 #: Words held ready with their ids in a worker; when full, the store starts anew.
 STORE = 300_000
@@ -176,16 +176,9 @@ class _Store(dict):
         return ids
 
 
-_READY: dict[str, Encoder] = {}
-
-
 def encoder_of(spec: str) -> Encoder:
     """The encoder of a vocabulary, built once per worker."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = Encoder(spec)
-    return _READY[key]
+    return ready("bpe", hashlib.sha256(spec.encode()).hexdigest(), lambda: Encoder(spec))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -210,7 +203,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids:
                 more.append(pa.array([encoder.decode(x) for x in found], pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, ids, *([decoded] if decoded else [])])
 
-    return mapped(docs, rows, schema)
+    return mapped(docs, rows, schema, ("bpe",))
 
 
 def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -237,4 +230,4 @@ def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
             )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return mapped(narrow, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(narrow, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", ("bpe",))

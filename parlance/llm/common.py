@@ -8,9 +8,10 @@ import gc
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager, suppress
 from functools import wraps
+from typing import Any
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -124,6 +125,26 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What a worker holds ready from one task to the next: by name, its key and what was made.
+_READY: dict[str, tuple[Hashable, Any]] = {}
+
+
+def ready(name: str, key: Hashable, make: Callable[[], Any]) -> Any:
+    """make(), held ready in this worker under name until another key comes, or a task of mapped() that doesn't ask for name."""
+    if name not in _READY or _READY[name][0] != key:
+        _READY.pop(name, None)
+        _READY[name] = key, make()
+    return _READY[name][1]
+
+
+def _let_go(names: tuple[str, ...]) -> None:
+    """Workers outlive stages and queries: what earlier ones held ready under other names goes."""
+    if others := _READY.keys() - set(names):
+        for name in others:
+            del _READY[name]
+        _give_back()
+
+
 #: Arrow settings that an application should give its session: Spark's own batches of 64 MB stand several times beside each worker.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "20000", "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
 
@@ -141,10 +162,14 @@ def configured(query: Callable) -> Callable:
     return run
 
 
-def mapped(df: DataFrame, rows: Callable, schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow with batches cut to some ARROW_BYTES, or one row. Spark's own batches end at spark.sql.execution.arrow.maxBytesPerBatch."""
+def mapped(df: DataFrame, rows: Callable, schema: T.StructType | str, names: tuple[str, ...] = ()) -> DataFrame:
+    """df.mapInArrow with batches cut to some ARROW_BYTES, or one row. Spark's own batches end at spark.sql.execution.arrow.maxBytesPerBatch.
+
+    names: what rows has held ready().
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go(names)
         try:
             yield from rows(_sliced(batches))
         finally:

@@ -35,7 +35,7 @@ WINDOW, LEAST_WORDS, ENOUGH = 8, 4, 6
 #: Bits of the bitmap: 8 MB, whatever the benchmark.
 MARK_BITS = 26
 MARK_SLICES = 64
-STORE = 500_000
+STORE = 200_000
 #: Characters of texts that are read end to end, so that short ones don't cost calls of their own.
 TEXT_CHARS = 200_000
 #: Rows of windows or of classes of items that go to every executor, some 150 bytes each; more are joined by a shuffle.

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import bpe, pretokens
-from parlance.llm.common import kept, mapped, scratch, small, written
+from parlance.llm.common import kept, mapped, ready, scratch, small, written
 
 #: Pairs of ids that go to every executor at most, some 100 bytes each.
 HOT = 100_000
@@ -96,16 +96,12 @@ def _pieces(model: bytes) -> Tokens:
 
 
 _NONE = np.zeros(0, np.int64)
-_READY: dict[tuple[str, str], tuple[Tokens, Tokens]] = {}
 
 
 def tokenizers_of(spec: str, model: bytes) -> tuple[Tokens, Tokens]:
     """Both tokenizers, built once per worker."""
     key = (hashlib.sha256(spec.encode()).hexdigest(), hashlib.sha256(model).hexdigest())
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = _byte_level(spec), _pieces(model)
-    return _READY[key]
+    return ready("token_alignment", key, lambda: (_byte_level(spec), _pieces(model)))
 
 
 def _both_end(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +192,7 @@ def aligned(docs: DataFrame, byte_vocabulary: str, piece_model: str, digest: boo
             numbers = [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, pa.string()), *numbers, _array(parts)], ["doc_id", "groups", "n_a", "n_b", "n_groups", "n_links", "pairs"])
 
-    return mapped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text), rows, f"doc_id long, {_TEXT}")
+    return mapped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text), rows, f"doc_id long, {_TEXT}", ("token_alignment", "bpe"))
 
 
 def pair_table(found: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import pretokens
-from parlance.llm.common import mapped
+from parlance.llm.common import mapped, ready
 
 #: Words: runs of letters and digits; any other visible character alone.
 WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -106,15 +106,8 @@ class _Counts(dict):
         return n
 
 
-_READY: dict[str, _Counts] = {}
-
-
 def counts_of(spec: str) -> _Counts:
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = _Counts(LongestMatch(*pieces_of(spec)))
-    return _READY[key]
+    return ready("token_counts", hashlib.sha256(spec.encode()).hexdigest(), lambda: _Counts(LongestMatch(*pieces_of(spec))))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -143,4 +136,4 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
             )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return mapped(narrow, rows, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return mapped(narrow, rows, "doc_id long, n_words long, n_tokens long, n_unknown long", ("token_counts",))

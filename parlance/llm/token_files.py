@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import pretokens
-from parlance.llm.common import mapped, new_path, number_rows, written
+from parlance.llm.common import mapped, new_path, number_rows, ready, written
 
 MAGIC, END = b"PTOK1\0", b"PTOKEND\0"
 HEAD, TAIL = struct.Struct("<6sBBI"), struct.Struct("<QQQ8s")
@@ -236,15 +236,8 @@ class WordTokenizer:
         return out
 
 
-_READY: dict[str, WordTokenizer] = {}
-
-
 def tokenizer_of(spec: str) -> WordTokenizer:
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = WordTokenizer(spec)
-    return _READY[key]
+    return ready("token_files", hashlib.sha256(spec.encode()).hexdigest(), lambda: WordTokenizer(spec))
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None) -> DataFrame:
@@ -285,7 +278,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
     order = ["doc_id", "head", "hash", "uid"]
     held = held.select("doc_id", "text", F.substring("text", 1, ORDER_CHARS).alias("head"), F.xxhash64("text").alias("hash"), F.col(uid).alias("uid"))
     ordered = held.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    files = written(mapped(ordered, rows, "shard long, part long, path string, n_docs long, n_ids long"), "token-files")
+    files = written(mapped(ordered, rows, "shard long, part long, path string, n_docs long, n_ids long", ("token_files",)), "token-files")
     before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from parlance.llm import bpe
+from parlance.llm import bpe, common
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -59,3 +59,24 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "the cat", "x")], "doc_id long, text string, IDS string")
     out = bpe.encode_documents(docs, PATH)
     assert out.columns == ["doc_id", "text", "IDS", "ids_"] and out.first().IDS == "x"
+
+
+def test_worker_lets_go_of_the_encoder(spark):
+    """Workers outlive stages: an encoder stays for the next task of its own operator, not beside the work of others."""
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        from parlance.llm.bpe import Encoder
+
+        for batch in batches:
+            found = sum(isinstance(x, Encoder) for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([found] * batch.num_rows, pa.int64())], ["n"])
+
+    rows = spark.range(8).selectExpr("id AS doc_id", "'some words' AS text").repartition(4)
+    bpe.encode_documents(rows, PATH).select("ids").collect()
+    assert spark.range(4).repartition(4).mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 1
+    common.mapped(spark.range(64).repartition(8), held, "n long").collect()
+    assert common.mapped(spark.range(64).repartition(8), held, "n long").agg({"n": "max"}).first()[0] == 0
