@@ -81,7 +81,7 @@ SELECT speaker, count(*) AS utterances, sum(len(cw)) AS total, round(avg(len(cw)
 def _headers(spark: SparkSession, folder: str) -> DataFrame:
     """From a scan that is stored by kind: what each file declares, and how many turns of each speaker it has."""
     files, path = _files(spark, folder), new_path(spark, "scan")
-    chat.store(files, path, ("header", "id", "turn"))
+    chat.store(files, path, ("header", "id", "turn"), only=["speaker"])
     lines = chat.stored(spark, path)
     declared = chat.headers(lines).where("kind = 'Participant'").select("file", F.col("participant").alias("speaker"), F.col("value").alias("role"))
     ids = chat.ids(lines).select("file", "speaker", "language", F.col("role").alias("id_role"))

@@ -155,3 +155,17 @@ def test_render(spark):
     assert '"n": 22' in render.render(df, "json")
     sheet = render.render(df, "xls")
     assert '<Data ss:Type="Number">0.500</Data>' in sheet and '<Data ss:Type="String">.</Data>' in sheet
+
+
+def test_only_fields_that_are_asked_for(spark, tmp_path):
+    """Fields nobody reads aren't made; what is left is the same, and main tiers aren't read for speakers alone."""
+    text = "@UTF8\n@Begin\n@Participants:\tA x\n*A:\t<so it> [//] was xxx &-um zz [: good] [*] .\n%mor:\tn|it\n*B:\tno [+ mlue] .\n*A:\tyes and no .\n@End\n"
+    files = spark.createDataFrame([("f", text)], "file string, text string")
+    names = ["utt_idx", "cw", "unclear", "n_err"]
+    whole, narrow = chat.turns(files, retraced=True), chat.turns(files, retraced=True, only=["utt_idx", "words.n_err"])
+    assert narrow.select(names).collect() == whole.select(names).collect() and len(narrow.collect()) == 3
+    assert "text" not in narrow.columns and "raw" not in narrow.schema["words"].dataType.elementType.names
+    chat.store(files, f"{tmp_path}/scan", ("header", "turn"), only=["speaker"])
+    stored = chat.stored(spark, f"{tmp_path}/scan")
+    assert [r.speaker for r in chat.turns(stored).orderBy("line_no").collect()] == ["A", "B", "A"]
+    assert all("words" not in row for _, kind, row in chat.parse_lines(text, ("turn",), main_tiers=False))
