@@ -59,7 +59,8 @@ _add(
 
 def _marks(spark: SparkSession, folder: str) -> DataFrame:
     words = lambda test: F.size(F.filter("words", test)).cast("long")
-    return _turns(spark, folder, retraced=True).select(
+    marks = [f"words.{f}" for f in ("retrace_kind", "n_err")]
+    return _turns(spark, folder, retraced=True, only=["utt_idx", *marks]).select(
         "file", "utt_idx", F.size("cw").cast("long").alias("counted"), words(lambda w: w["in_retrace"]).alias("retraced"),
         words(lambda w: w["retrace_kind"] == "full").alias("in_full"), words(lambda w: w["category"] == "filler").alias("fillers"), words(lambda w: w["replaced"]).alias("replaced"), F.col("n_err").cast("long").alias("errors"),
     )
