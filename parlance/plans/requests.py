@@ -116,7 +116,7 @@ class Corpus:
         return chat.ids(self.files)
 
     def turns(self, request: Request) -> DataFrame:
-        found = chat.turns(self.files, **request.reading)
+        found = chat.turns(self.files, **request.reading, only=COMMANDS[request.command].reads)
         return request.filters.apply(found.withColumn("cw", chat.unprotected("cw")), self.ids)
 
     def other(self, path: str, request: Request) -> DataFrame:
@@ -261,6 +261,7 @@ def _mortable(c: Corpus, r: Request) -> DataFrame:
 class Command(NamedTuple):
     run: Callable[[Corpus, Request], DataFrame]
     needs: tuple[str, ...] = ()
+    reads: tuple[str, ...] | None = None  # fields of turns that it and the filters take; all, if not told
 
 
 def _plain(operator: Callable[..., DataFrame], *names: str, by: bool = False, case: bool = False) -> Callable[[Corpus, Request], DataFrame]:
@@ -276,7 +277,7 @@ def _plain(operator: Callable[..., DataFrame], *names: str, by: bool = False, ca
 COMMANDS: dict[str, Command] = {
     "freq": Command(_freq),
     "gemfreq": Command(_freq, ("gems",)),
-    "mlu": Command(_mlu),
+    "mlu": Command(_mlu, reads=("utt_idx", "speaker", "active_gems", "postcodes", "mor")),
     "mlt": Command(_plain(lengths.turn_lengths, "solo")),
     "wdlen": Command(_plain(lengths.length_histograms)),
     "wdsize": Command(_wdsize),

@@ -159,6 +159,8 @@ def test_render(spark):
 
 def test_only_fields_that_are_asked_for(spark, tmp_path):
     """Fields nobody reads aren't made; what is left is the same, and main tiers aren't read for speakers alone."""
+    from parlance.plans.requests import run_line
+
     text = "@UTF8\n@Begin\n@Participants:\tA x\n*A:\t<so it> [//] was xxx &-um zz [: good] [*] .\n%mor:\tn|it\n*B:\tno [+ mlue] .\n*A:\tyes and no .\n@End\n"
     files = spark.createDataFrame([("f", text)], "file string, text string")
     names = ["utt_idx", "cw", "unclear", "n_err"]
@@ -169,3 +171,6 @@ def test_only_fields_that_are_asked_for(spark, tmp_path):
     stored = chat.stored(spark, f"{tmp_path}/scan")
     assert [r.speaker for r in chat.turns(stored).orderBy("line_no").collect()] == ["A", "B", "A"]
     assert all("words" not in row for _, kind, row in chat.parse_lines(text, ("turn",), main_tiers=False))
+    made = run_line(spark, "mlu -t%mor", files)
+    assert "retrace_kind" not in made._jdf.queryExecution().analyzed().toString() and "postcodes" in made._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r)[:3] for r in made.collect()] == [("A", 1, 3)]
